@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_encoding, sharding, warc
+from . import near_dup, packing, piece_encoding, quality, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_probminhash": near_dup.op3_probminhash,
         "op5_prefix_table_encoding": piece_encoding.op5_prefix_table_encoding,
+        "op6_robust_outliers": quality.op6_robust_outliers,
         "op7_vector_best_fit": packing.op7_vector_best_fit,
         "op8_stratified_interleaving": sharding.op8_stratified_interleaving,
         "op10_legacy_archive_converter": warc.op10_legacy_archive_converter,
