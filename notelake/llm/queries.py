@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, piece_encoding, quality, sharding, warc
+from . import near_dup, packing, piece_encoding, quality, sharding, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_probminhash": near_dup.op3_probminhash,
+        "op4_suffix_groups": suffix_dedup.op4_suffix_groups,
         "op5_prefix_table_encoding": piece_encoding.op5_prefix_table_encoding,
         "op6_robust_outliers": quality.op6_robust_outliers,
         "op7_vector_best_fit": packing.op7_vector_best_fit,
