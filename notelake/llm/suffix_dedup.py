@@ -7,10 +7,11 @@ same document further to the front. Strings are judged on the input.
    one anchor are a context, the bytes that they span. Equal windows have equal anchors, so they meet by anchor.
 2. By anchor, contexts that equal an earlier one are repeats as a whole; where an anchor has several different ones,
    the first of each is wanted with its bytes. Rows are streamed in sorted order; no anchor's rows are held.
-3. The bytes wanted come from the documents. Contexts of an anchor are joined to one text, a few hundred kB at most, and
-   sorted by suffix_array, the Lyndon grouping. Windows that are neighbours in the order and equal are one class; all but
-   its earliest are repeats. An anchor with more contexts than a text holds has several texts; their classes meet by
-   the windows' digests.
+3. The bytes wanted come from the documents. An anchor's windows fall in families by how far they reach to its left;
+   those of one family that agree on what all of them cover are compared: their strings are joined to one text and
+   sorted by suffix_array, the Lyndon grouping. Windows that are neighbours in the order and equal are one class; all
+   but its earliest are repeats. Where there are more than a text holds, there are several, and their classes meet by the
+   windows' digests.
 4. A document's repeats are merged and cut out.
 
 Nulls: a null text is empty. A null id is less than any other and stays null. Documents with one id are ordered by a
@@ -32,16 +33,22 @@ from .common import U64, blocks, mix, prefix_hash, range_hash, utf8, written
 from .suffix_groups import suffix_array
 
 LENGTH = 100
-GRAM = 20
-#: Bytes of contexts that are sorted together; an anchor's contexts share a text up to the second.
-TEXT_BYTES, MOST_BYTES = 1 << 17, 1 << 20
+GRAM = 48
+#: Windows of an anchor by how far they reach to its left: so many families.
+FAMILIES = 4
+#: Bytes that are sorted together; a family's strings share a text up to the second; contexts held of one anchor.
+TEXT_BYTES, MOST_BYTES, HELD_BYTES = 1 << 14, 1 << 20, 1 << 23
 SEGMENT = 1 << 22
 _PLACE = U64((1 << 24) - 1)
 LEAST = -(1 << 63)
+#: A context's number of windows stands in so many bits, the anchor's place in those above.
+BITS = 12
+LOW = (1 << BITS) - 1
 
 
 def contexts(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
-    """Document number, anchor hash, context hash, first window and number of windows of each context of a block."""
+    """Document number, anchor hash, context hash, first window and number of windows of each context of a block; above BITS, the
+    anchor's place in it."""
     n, wide = len(buf), length - gram + 1
     none = np.zeros(0, dtype=np.int64)
     if n < length:
@@ -67,7 +74,7 @@ def contexts(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
     start, anchor, doc = window[first], anchor[first], doc[first]
     with np.errstate(over="ignore"):
         own = mix(range_hash(prefix, start, start + many + length - 1) + (anchor - start).astype(U64) * U64(0xA24BAED4963EE407))
-    return doc, g[anchor], own, start - offs[doc], many
+    return doc, g[anchor], own, start - offs[doc], many | (anchor - start) << BITS
 
 
 def _segments(offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +117,7 @@ def _emit(length: int, gram: int):
                 order = np.argsort(key, kind="stable")
                 again = np.zeros(len(key), dtype=bool)
                 again[order[1:]] = key[order[1:]] == key[order[:-1]]
-                many = np.where(again, -(many + length - 1), many)
+                many = np.where(again, -((many & LOW) + length - 1), many)
                 doc = doc + i
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a), pa.array(c), pa.array(did[doc]), pa.array(th[doc].astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32))], names=[x.split()[0] for x in FOUND.split(", ")]
@@ -139,7 +146,7 @@ def _meet(length: int):
                 same = np.concatenate([fresh, (whole[:5, 1:] == whole[:5, :-1]).all(axis=0)])
                 last = rows[:, -1:]
                 repeat = rows[:, alike & ~same].copy()  # a row that equals the last throughout is a repeated document
-                repeat[5] = -(repeat[5] + length - 1)
+                repeat[5] = -((repeat[5] & LOW) + length - 1)
                 marks.append(repeat)
                 first = rows[:, ~alike]
                 if first.shape[1]:
@@ -164,19 +171,19 @@ def _meet(length: int):
     return run
 
 
-WANTED = "a long, did long, th int, start int, bytes binary"
+WANTED = "a long, did long, th int, start int, many int, bytes binary"
 
 
 def _slices(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            did, th, text, wanted = batch.columns
+            did, th, text, wanted = batch.columns[:4]
             for d, t, x, spans in zip(did.to_pylist(), th.to_pylist(), text, wanted.to_pylist(), strict=True):
                 data = x.as_py().encode()
                 for s in spans:
-                    out.append((s["a"], d, t, s["start"], data[s["start"] : s["start"] + s["many"] + length - 1]))
-                    size += s["many"] + length
+                    out.append((s["a"], d, t, s["start"], s["many"], data[s["start"] : s["start"] + (s["many"] & LOW) + length - 1]))
+                    size += 2 * length
                 if size > 1 << 22:
                     yield _wanted(out)
                     out, size = [], 0
@@ -187,7 +194,7 @@ def _slices(length: int):
 
 
 def _wanted(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in WANTED.split(", ")])
 
 
@@ -195,20 +202,18 @@ SORTED = "digest binary, did long, th int, start int, size int"
 
 
 def _sorted_repeats(rows: list[tuple], length: int, shared: bool) -> list[tuple]:
-    """Repeats among contexts (a, did, th, start, bytes) in order of anchor and place, by their suffixes' order.
+    """Repeats among strings (did, th, start, bytes), alike ones in order of place, by their suffixes' order.
 
-    shared: the anchor has more contexts elsewhere, so the earliest window of each class is told too, by its digest."""
-    parts = [r[4] for r in rows]
+    shared: there are more strings elsewhere, so the earliest window of each class is told too, by its digest."""
+    parts = [r[3] for r in rows]
     ends = np.cumsum([len(p) + 1 for p in parts])
     data = np.frombuffer(b"\x00".join(parts) + b"\x00", dtype=np.uint8)
     number = data.astype(np.int16) + 1
     number[ends - 1] = 0
     order = np.array(suffix_array(number.tolist()))
-    context = np.repeat(np.arange(len(parts)), np.diff(ends, prepend=0))
-    left = (ends - 1)[context] - np.arange(len(data))
+    owner = np.repeat(np.arange(len(parts)), np.diff(ends, prepend=0))
+    left = (ends - 1)[owner] - np.arange(len(data))
     order = order[left[order] >= length]
-    if not len(order):
-        return []
     strings = np.lib.stride_tricks.sliding_window_view(data, length)
     differs = np.ones(len(order), dtype=bool)
     for i in range(0, len(order) - 1, 1 << 16):
@@ -222,54 +227,88 @@ def _sorted_repeats(rows: list[tuple], length: int, shared: bool) -> list[tuple]
     out = []
     if len(repeat):
         new = np.ones(len(repeat), dtype=bool)
-        new[1:] = (np.diff(repeat) != 1) | (context[repeat[1:]] != context[repeat[:-1]])
+        new[1:] = (np.diff(repeat) != 1) | (owner[repeat[1:]] != owner[repeat[:-1]])
         first = np.flatnonzero(new)
         for s, e in zip(repeat[first].tolist(), repeat[np.append(first[1:], len(repeat)) - 1].tolist(), strict=True):
-            a, did, th, start, _ = rows[context[s]]
-            place = start + s - int(begins[context[s]])
-            out.append((f"{did} {th} {place}".rjust(20).encode(), did, th, place, e - s + length))  # longer than a digest
+            did, th, start, _ = rows[owner[s]]
+            out.append(_mark(did, th, start + s - int(begins[owner[s]]), e - s + length))
     if shared:
         for s in earliest.tolist():
-            a, did, th, start, _ = rows[context[s]]
-            out.append((hashlib.blake2b(strings[s].tobytes(), digest_size=16).digest(), did, th, start + s - int(begins[context[s]]), length))
+            did, th, start, _ = rows[owner[s]]
+            out.append((hashlib.blake2b(strings[s].tobytes(), digest_size=16).digest(), did, th, start + s - int(begins[owner[s]]), length))
     return out
 
 
-def _sort(length: int):
-    """Sorts the suffixes of contexts that come in order of anchor and place."""
+def _mark(did: int, th: int, start: int, size: int) -> tuple:
+    return f"{did} {th} {start}".rjust(20).encode(), did, th, start, size  # a key of its own, longer than a digest
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, cut = 0, False  # cut: the first anchor of held has contexts in an earlier text
 
-        def flush(more: bool) -> pa.RecordBatch | None:
-            out = []
-            if cut or more:  # only an anchor that several texts share tells its classes
-                edge = {held[0][0]} if cut else set()
-                edge |= {held[-1][0]} if more else set()
-                out += _sorted_repeats([r for r in held if r[0] in edge], length, True)
-                rest = [r for r in held if r[0] not in edge]
-            else:
-                rest = held
-            if rest:
-                out += _sorted_repeats(rest, length, False)
-            if not out:
-                return None
+def _sort(length: int, gram: int, families: int = FAMILIES):
+    """Finds repeats among contexts that come in order of anchor and place."""
+    wide = length - gram + 1
+    reach = [(-(-f * wide // families), -(-(f + 1) * wide // families) - 1) for f in range(families)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text: list[tuple] = []  # strings to be sorted together
+        size = 0
+
+        def alike(rows: list[tuple], part: bool) -> list[tuple]:
+            """Repeats among the contexts of one anchor, as far as text needn't be sorted; part: it has more of them."""
+            nonlocal size
+            found, out = {}, []
+            for _, did, th, start, many, data in rows:
+                at, many = many >> BITS, many & LOW
+                for f, (near, far) in enumerate(reach):
+                    s, e = max(0, at - far), min(many - 1, at - near)
+                    if s <= e:
+                        found.setdefault((f, data[at - near : at - far + length]), []).append((did, th, start + s, data[s : e + length]))
+            for strings in found.values():
+                if len(strings) == 1 and not part:
+                    continue
+                distinct = {}
+                for x in strings:
+                    if x[3] in distinct:
+                        out.append(_mark(x[0], x[1], x[2], len(x[3])))
+                    else:
+                        distinct[x[3]] = x
+                strings = list(distinct.values())
+                total = sum([len(x[3]) + 1 for x in strings])
+                if part or total > MOST_BYTES:
+                    each = max(1, MOST_BYTES // (total // len(strings) + 1))
+                    for i in range(0, len(strings), each):
+                        out += _sorted_repeats(strings[i : i + each], length, True)
+                elif len(strings) > 1:
+                    text.extend(strings)
+                    size += total
+                    if size >= TEXT_BYTES:
+                        out += _sorted_repeats(text, length, False)
+                        text.clear()
+                        size = 0
+            return out
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
             types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in SORTED.split(", ")])
 
+        held: list[tuple] = []
+        bytes_held, part, out = 0, False, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (size >= TEXT_BYTES and row[0] != held[-1][0] or size >= MOST_BYTES):
+                if held and (row[0] != held[-1][0] or bytes_held >= HELD_BYTES):
                     more = row[0] == held[-1][0]
-                    done = flush(more)
-                    if done is not None:
-                        yield done
-                    held, size, cut = [], 0, more
+                    out += alike(held, part or more)
+                    held, bytes_held, part = [], 0, more
+                    if len(out) > 50_000:
+                        yield batch_of(out)
+                        out = []
                 held.append(row)
-                size += len(row[4]) + 1
-        if held and (done := flush(False)) is not None:
-            yield done
+                bytes_held += len(row[5])
+        if held:
+            out += alike(held, part)
+        if text:
+            out += _sorted_repeats(text, length, False)
+        if out:
+            yield batch_of(out)
 
     return run
 
@@ -299,7 +338,8 @@ def _cut(length: int, with_text: bool):
                 out.append((*row, rest.decode("utf-8", "ignore")) if with_text else row)
             if out:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)], names=[x.split()[0] for x in CUT.split(", ")][: len(out[0])])
+                own = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)]
+                yield pa.RecordBatch.from_arrays([*own, batch.column(4)], names=[*[x.split()[0] for x in CUT.split(", ")][: len(own)], "carried"])
 
     return run
 
@@ -307,21 +347,23 @@ def _cut(length: int, with_text: bool):
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """What is left of docs (doc_id, text) without repeated strings; with_text: the text too, without halves of characters."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What is left of docs (doc_id, text) without repeated strings; with_text: the text too, without halves of characters.
+
+    carry: columns of docs that the result has as well."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), F.hash(text).alias("th"), text.alias("text"))
-    long = rows.where(F.octet_length("text") >= length)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), F.hash(text).alias("th"), text.alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"))
+    long = rows.drop("carried").where(F.octet_length("text") >= length)
     found = long.mapInArrow(_emit(length, gram), FOUND)
     met = found.repartition("a").sortWithinPartitions("a", "c", "did", "th", "start").mapInArrow(_meet(length), MET)
     met = written(met, "repeats")
     wanted = met.where("many > 0").groupBy("did", "th").agg(F.collect_list(F.struct("a", "start", "many")).alias("wanted"))
     dealt = rows.repartition(parts, "did", "th")  # the same exchange serves both joins
     # of rows that are equal throughout, any may serve
-    sliced = dealt.join(wanted, ["did", "th"]).select("did", "th", "text", "wanted").mapInArrow(_slices(length), WANTED)
-    ordered = sliced.repartition("a").sortWithinPartitions("a", "did", "th", "start").mapInArrow(_sort(length), SORTED)
+    sliced = dealt.join(wanted, ["did", "th"]).select("did", "th", "text", "wanted", "carried").mapInArrow(_slices(length), WANTED)
+    ordered = sliced.repartition("a").sortWithinPartitions("a", "did", "th", "start").mapInArrow(_sort(length, gram), SORTED)
     rank = Window.partitionBy("digest").orderBy("did", "th", "start")
     apart = ordered.withColumn("_rank", F.row_number().over(rank)).where((F.length("digest") != 16) | (F.col("_rank") > 1))
     spans = met.where("many < 0").select("did", "th", F.col("start"), (-F.col("many")).alias("size")).union(apart.select("did", "th", "start", "size"))
@@ -329,7 +371,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     joined = dealt.join(spans, ["did", "th"], "left")
     copy = F.row_number().over(Window.partitionBy("did", "th").orderBy(F.lit(0)))
     columns = CUT if with_text else CUT.removesuffix(", kept_text string")
-    return joined.select("did", copy.alias("copy"), "text", "spans").mapInArrow(_cut(length, with_text), columns)
+    done = joined.select("did", copy.alias("copy"), "text", "spans", "carried").mapInArrow(_cut(length, with_text), f"{columns}, carried {rows.schema['carried'].dataType.simpleString()}")
+    return done.select(*[x.split()[0] for x in columns.split(", ")], *[F.col(f"carried.`{c}`") for c in carry])
 
 
 def op4_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

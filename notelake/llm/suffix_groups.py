@@ -45,6 +45,24 @@ def suffix_array(text: list[int]) -> list[int]:
         group = members[g]
         if len(group) != size[g]:
             group = members[g] = [i for i in group if of[i] == g]
+        if len(group) == 1:
+            i = group[0]
+            done[i] = 1
+            p = i - 1
+            while p >= 0 and done[p]:
+                p = before[p]
+            before[i] = p
+            if p >= 0 and size[of[p]] > 1:
+                lower = of[p]
+                size[lower] -= 1
+                upper, new = above[lower], len(members)
+                members.append([p])
+                size.append(1)
+                above.append(upper)
+                below.append(lower)
+                above[lower] = below[upper] = of[p] = new
+            g = below[g]
+            continue
         for i in group:
             done[i] = 1
         # members come in order of place, so those that lead to one suffix are neighbours
