@@ -39,14 +39,15 @@ def _sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(((score + F.lit(128.0)) * F.lit(float(1 << 22))).cast("long"), 32).bitwiseOR(F.hash(term, t).cast("long").bitwiseAND(F.lit(_BITS)))
 
 
-def weighted_samples(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
+def weighted_samples(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES, also: dict[str, Column] | None = None) -> DataFrame:
     """One signature (array of samples' grid points) for each of the weight columns of terms (keys, term, weights).
 
-    A weight of 0 is an absent term. terms has each term of a key once."""
-    logs = terms.select(*keys, F.xxhash64("term").alias("_term"), *[F.log(F.col(w)).alias(w) for w in weights])
-    least = logs.groupBy(*keys).agg(*[F.min(_sample(F.col("_term"), F.col(w), k)).alias(f"_{w}_{k}") for w in weights for k in range(samples)])
+    A weight of 0 is an absent term. terms has each term of a key once. also: longs to keep the least of, by name."""
+    also = also or {}
+    logs = terms.select(*keys, F.xxhash64("term").alias("_term"), *[F.log(F.col(w)).alias(w) for w in weights], *[c.alias(n) for n, c in also.items()])
+    least = logs.groupBy(*keys).agg(*[F.min(n).alias(n) for n in also], *[F.min(_sample(F.col("_term"), F.col(w), k)).alias(f"_{w}_{k}") for w in weights for k in range(samples)])
     point = lambda c: F.coalesce(c.bitwiseAND(F.lit(_BITS)), F.lit(-1).cast("long"))
-    return least.select(*keys, *[F.array(*[point(F.col(f"_{w}_{k}")) for k in range(samples)]).alias(w) for w in weights])
+    return least.select(*keys, *also, *[F.array(*[point(F.col(f"_{w}_{k}")) for k in range(samples)]).alias(w) for w in weights])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,23 +84,31 @@ def op1_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("did").desc(), "text")
-    placed = by_ranges(docs, "did", 2 * parts).withColumn("next", F.lead("text").over(order)).withColumn("at", F.row_number().over(order))
+    # small tasks: the counts of a task's words stay in memory
+    placed = by_ranges(docs, "did", 8 * parts).repartition(4 * parts, "bucket").withColumn("next", F.lead("text").over(order)).withColumn("at", F.row_number().over(order))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     placed = placed.select("bucket", "ghost", "at", "did", "text", n.alias("n_chars"), (n - cut).alias("stays"), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut).alias("tail"))
     placed = placed.withColumn("head", F.substring("text", F.lit(1), F.col("stays"))).withColumn("edited", F.concat("head", "tail"))
+    # what is known of a text travels with its words, as one more that weighs nothing and holds a blank
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    facts = F.concat_ws(" ", F.lit(""), sha, F.col("n_chars").cast("string"), F.col("did").cast("string"), F.col("ghost").cast("int").cast("string"))
     # words that both texts begin with are counted once for both
-    words = placed.select("bucket", "at", F.split("text", BLANKS).alias("own"), F.split("edited", BLANKS).alias("new"), (F.size(F.split("head", BLANKS)) - 1).alias("same"))
+    words = placed.select("bucket", "at", facts.alias("facts"), F.split("text", BLANKS).alias("own"), F.split("edited", BLANKS).alias("new"), (F.size(F.split("head", BLANKS)) - 1).alias("same"))
     most = F.lit((1 << 31) - 1)
-    shares = F.array(*[F.struct(F.lit(a).alias("own"), F.lit(b).alias("new"), w.alias("words")) for a, b, w in ((1, 1, F.slice("own", 1, F.col("same"))), (1, 0, F.slice("own", F.col("same") + 1, most)), (0, 1, F.slice("new", F.col("same") + 1, most)))])
+    lists = ((1, 1, F.slice("own", 1, F.col("same"))), (1, 0, F.slice("own", F.col("same") + 1, most)), (0, 1, F.slice("new", F.col("same") + 1, most)), (0, 0, F.array("facts")))
+    shares = F.array(*[F.struct(F.lit(a).alias("own"), F.lit(b).alias("new"), w.alias("words")) for a, b, w in lists])
     words = words.select("bucket", "at", F.explode(shares).alias("share")).select("bucket", "at", "share.own", "share.new", F.explode("share.words").alias("term")).where("term <> ''")
     counted = words.groupBy("bucket", "at", "term").agg(F.sum("own").alias("own"), F.sum("new").alias("new"))
-    signed = weighted_samples(counted, ["bucket", "at"], ["own", "new"])
-    none = F.array(*[F.lit(-1).cast("long")] * SAMPLES)
-    facts = placed.select("bucket", "at", "ghost", "did", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    both = facts.join(signed, ["bucket", "at"], "left").withColumn("own", F.coalesce("own", none)).withColumn("new", F.coalesce("new", none))
-    both = both.withColumn("after", F.lead("own").over(Window.partitionBy("bucket").orderBy("at"))).where(~F.col("ghost"))
+    told = F.when(F.col("term").startswith(" "), F.col("term"))
+    part = lambda i: F.split_part(told, F.lit(" "), F.lit(i))
+    # a digest in five numbers of at most 60 bits
+    digits = {f"_sha{i}": F.conv(F.substring(part(2), 15 * i + 1, 15), 16, 10).cast("long") for i in range(5)}
+    also = digits | {"n_chars": part(3).cast("long"), "did": part(4).cast("long"), "ghost": part(5).cast("long")}
+    both = weighted_samples(counted, ["bucket", "at"], ["own", "new"], also=also)
+    both = both.withColumn("after", F.lead("own").over(Window.partitionBy("bucket").orderBy("at"))).where("ghost = 0")
+    edited = F.lower(F.concat(*[F.lpad(F.hex(f"_sha{i}"), 15 if i < 4 else 4, "0") for i in range(5)]))
     return both.select(
-        F.when(F.col("did") != LEAST, F.col("did")).alias("doc_id"), "n_chars", "edited_sha256", spelled(F.col("own")).alias("fingerprint"), spelled(F.col("new")).alias("edited_fingerprint"),
+        F.when(F.col("did") != LEAST, F.col("did")).alias("doc_id"), "n_chars", edited.alias("edited_sha256"), spelled(F.col("own")).alias("fingerprint"), spelled(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
     )
