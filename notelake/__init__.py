@@ -1,0 +1 @@
+"""Search, browsing, versions and curation of notes as Spark DataFrames."""
