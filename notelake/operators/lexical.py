@@ -125,15 +125,9 @@ def count_of(array: Column, phrase: Phrase) -> Column:
     if len(words) == 1:
         w = words[0]
         return F.size(F.filter(array, (lambda t: t.startswith(w)) if phrase.prefix else (lambda t: t == w)))
-    n = len(words)
-    starts = F.when(F.size(array) >= n, F.sequence(F.lit(1), F.size(array) - n + 1)).otherwise(F.array().cast("array<int>"))
-
-    def fits(i):
-        parts = [F.get(array, i + k - 1) == w for k, w in enumerate(words[:-1])]
-        last = F.get(array, i + n - 2)
-        return reduce(lambda a, b: a & b, parts) & (last.startswith(words[-1]) if phrase.prefix else last == words[-1])
-
-    return F.size(F.filter(starts, fits))
+    # places where the phrase begins, in the tokens set apart by blanks; they may overlap
+    line = F.concat(F.lit(" "), F.array_join(array, " "), F.lit(" "))
+    return F.regexp_count(line, F.lit(f"(?<= )(?={' '.join(words)}{'' if phrase.prefix else ' '})"))
 
 
 def analysed(notes: DataFrame, fields: dict[str, float]) -> DataFrame:
