@@ -51,7 +51,7 @@ def parse(query: str, fields=tuple(FIELD_WEIGHTS)):
     def take():
         nonlocal at
         at += 1
-        return items[at - 1]
+        return items[at - 1] if at <= len(items) else (None, None)
 
     def chain(operator: str, inner):
         left = inner()
@@ -76,7 +76,7 @@ def parse(query: str, fields=tuple(FIELD_WEIGHTS)):
         return left
 
     def single(column):
-        kind, value = take() if at < len(items) else (None, None)
+        kind, value = take()
         if (kind, value) == ("sign", "("):
             inner = either()
             if take() != ("sign", ")"):
