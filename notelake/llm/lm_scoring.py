@@ -66,6 +66,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], names=["entry", "background", "target"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in batch.columns], names=batch.schema.names)
+
+
 def counted(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(entry, background, target) sums over docs (doc_id, text); target has the doc_id of each target document once."""
     flags = target.select(F.col("doc_id").cast("long").alias("_id")).distinct()
@@ -102,8 +107,11 @@ SCORED = "doc_id long, n_words long, target_loss double, background_loss double"
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score of docs (doc_id, text)."""
     spark = docs.sparkSession
-    model = written(counted(docs, target), "counts").toPandas()  # at most ENTRIES rows
-    tables = spark.sparkContext.broadcast(log_tables(model["entry"].to_numpy(), model[["background", "target"]].to_numpy().T))
+    # at most ENTRIES entries, some 20 bytes each, come to the driver as one row a batch
+    model = written(counted(docs, target), "counts").mapInArrow(_packed, "entry binary, background binary, target binary").collect()
+    entry, background, aim = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[k], kind) for r in model]]) for k, kind in ((0, np.int32), (1, np.int64), (2, np.int64)))
+    del model
+    tables = spark.sparkContext.broadcast(log_tables(entry, np.stack([background, aim])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tables.value
