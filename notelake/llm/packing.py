@@ -31,6 +31,10 @@ from .common import written
 SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Letters without a composed form that differs, and signs that start no contraction or special token.
+_LETTERS = "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())
+_SIGNS = r"[!-&(-/:;=-@\[-`{-~]*"
+_PLAIN = re.compile(f"({_SIGNS})([A-Za-z{_LETTERS}]+)({_SIGNS})")
 #: Distinct words whose ids a worker remembers before it starts anew.
 MEMO = 1 << 20
 
@@ -97,15 +101,47 @@ def best_fit(histogram: list[tuple[int, int]], cap: Capacity) -> list[tuple[int,
     return runs
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+class WordIds(dict):
+    """The ids of words as bytes; a word that this worker hasn't met yet is encoded when it is looked up.
 
+    The tokenizer folds case and separates letters from other signs, so a word of letters between signs is the ids of
+    its parts, and far fewer parts than words are new. Other words go to the tokenizer whole."""
 
-def tokenizer_at(path: str) -> tuple:
-    """The tokenizer at path and the ids of words that this worker's earlier tasks met."""
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def part(self, text: str) -> bytes:
+        if text not in self.parts:
+            if len(self.parts) > MEMO:
+                self.parts = {"": b""}
+            self.parts[text] = np.array([t.id for t in self.model.tokenize(text.translate(self.letters))], dtype="<u4").tobytes()
+        return self.parts[text]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+        plain = _PLAIN.fullmatch(word)
+        if plain:
+            ids = self.part(plain[1]) + self.part(plain[2].lower()) + self.part(plain[3])
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
+_TOKENIZERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The words of the tokenizer at path, with those that this worker's earlier tasks met."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordIds(path)
     return _TOKENIZERS[path]
 
 
@@ -115,19 +151,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int) ->
     White space bounds what the tokenizer merges, so ids are looked up word by word; words not met before go to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tok, known), end = tokenizer_at(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        ids_of, end = word_ids(tokenizer).__getitem__, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = _WORD.findall(text.as_py() or "")
-                new = list({w for w in words if w not in known})
-                if new:
-                    if len(known) > MEMO:
-                        known.clear()
-                        new = list(set(words))
-                    for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                ids = b"".join([known[w] for w in words]) + end
+                ids = b"".join(map(ids_of, _WORD.findall(text.as_py() or ""))) + end
                 for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
