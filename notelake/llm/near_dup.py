@@ -7,10 +7,14 @@ termination). The share of registers on which two signatures agree estimates the
 is the plain one where weights are alike.
 
 BANDS bands of ROWS registers put texts that may be similar in one bucket: at a similarity of 0.8 all bands miss in 3
-of 100,000 pairs. Buckets are linked without listing their pairs: in each round every component found so far has one
-member in a bucket speak for it, and the others are held against the bucket's first; pairs are verified by the exact
-Jaccard similarity of their sets of shingles, of whole texts, and verified ones unite components. Rounds go on, with
-other speakers, until one finds nothing new. Equal texts are one text from the start; only their number of rows grows.
+of 100,000 pairs. Buckets are linked without listing their pairs. First every member is held against one of its bucket,
+and verified pairs unite components. Then the texts of buckets that still hold several components meet once more by
+rare shingles: texts as similar as asked share one of the first fifth of their shingles, rarest first, so pairs of
+different components that share such a shingle, and whose sizes and places in it allow the similarity, are all that
+can be left. Every pair is verified by the exact Jaccard similarity of the sets of shingles of whole texts; links
+between components are complete for texts that share a bucket. Rarity is told by a table of SLOTS counts that hashes
+share; it decides only how few pairs meet, never which links are found. Equal texts are one text from the start; only
+their number of rows grows.
 
 Nulls: a null text is an empty one, and texts without words are copies of each other only if equal. Null ids keep
 their row (label null). A text of less than five words is one shingle. Repeated rows share their class. Texts of any
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Words, blocks, mix, utf8, written
@@ -32,6 +36,8 @@ from .components import components
 BANDS, ROWS = 20, 4
 WIDTH = 5
 THRESHOLD = 0.8
+#: Counters that tell rare shingles from frequent ones.
+SLOTS = 1 << 20
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -148,6 +154,71 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
     return rows.select("a", "b", "text").mapInArrow(_jaccard(threshold, width), "a long, b long")
 
 
+def _slot_counts(width: int):
+    """Of rows (id, text), (slot, n): how many texts of the task have shingles in each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            buf, offs = utf8(batch.column(1))
+            for i, j in blocks(offs):
+                h = weighted_shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)[1]
+                np.add.at(total, (h % U64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(counts, threshold: float, width: int):
+    """Of rows (id, text), (id, size, pos, shingle) for the rarest shingles, of which similar texts share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            buf, offs = utf8(batch.column(1))
+            for i, j in blocks(offs):
+                doc, h, _ = weighted_shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
+                order = np.lexsort((h, table[(h % U64(SLOTS)).astype(np.int64)], doc))
+                doc, h = doc[order], h[order]
+                size = np.bincount(doc, minlength=j - i)
+                pos = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+                size = size[doc]
+                kept = pos <= size - np.ceil(threshold * size - 1e-9)
+                columns = [ids[i:j][doc[kept]], size[kept], pos[kept], h[kept].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "size", "pos", "shingle"])
+
+    return run
+
+
+def between(texts: DataFrame, labels: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
+    """Pairs (a, b) of texts (id, text) of different labels (id, label) that may be similar; no similar pair is missing."""
+    spark = texts.sparkSession
+    table = np.zeros(SLOTS, dtype=np.int64)
+    counts = texts.select("id", "text").mapInArrow(_slot_counts(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    held = counts.toArrow()  # at most SLOTS rows
+    table[held.column("slot").to_numpy()] = held.column("n").to_numpy()
+    rows = texts.select("id", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(table), threshold, width), "id long, size long, pos long, shingle long")
+    mixed = rows.join(labels, "id")
+    groups = mixed.groupBy("shingle").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("shingle")
+    mixed = written(mixed.join(groups, "shingle"), "prefixes")
+    # labels meet first, so that members of one component never meet each other
+    present = mixed.select("shingle", "label").distinct()
+    met = present.join(present.withColumnRenamed("label", "other"), "shingle").where("label < other")
+    side = lambda name, label: mixed.select("shingle", F.col("label").alias(label), F.col("id").alias(name), F.col("size").alias(f"size_{name}"), F.col("pos").alias(f"pos_{name}"))
+    pairs = met.join(side("x", "label"), ["shingle", "label"]).join(side("y", "other"), ["shingle", "other"])
+    sizes = F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y") - 1e-9
+    left = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))  # what the first shared shingle leaves
+    enough = left >= threshold / (1 + threshold) * (F.col("size_x") + F.col("size_y")) - 1e-6
+    return pairs.where(sizes & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) of all ids: the least id of the component, their own where no link holds them."""
+    return written(ids.join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "joined")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """(doc_id, class_id, class_rows) of docs (doc_id, text): class_id is the least doc_id of the class."""
     sigs = written(signed(docs, bands, rows, width), "signed")
@@ -161,32 +232,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     owners = distinct.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
     texts = source.join(wanted, "id", "left_semi").join(owners, (F.col("id") == F.col("_id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("_digest")), "left_semi").dropDuplicates(["id"])
     texts = written(texts, "texts")
-    links, tried, labels = None, None, buckets.select("id", F.col("id").alias("label")).distinct()
-    for turn in range(30):
-        # one member speaks for its component in a bucket; the first of the speakers is held against the others
-        member = F.xxhash64(F.lit(turn), "id")
-        held = buckets.join(labels, "id") if turn else buckets.withColumn("label", F.col("id"))
-        speakers = held.groupBy("bucket", "label").agg(F.min_by("id", member).alias("id"))
-        spread = speakers.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", member if turn else F.xxhash64(F.lit(-1), "id")).alias("first"))
-        met = speakers.join(spread.where("n > 1"), "bucket").where("id <> first")
-        pairs = met.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
-        # neighbours in another order meet as well, so that what differs from the first is not alone
-        w = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn + 1000), "label"), "id")
-        beside = speakers.join(spread.where("n > 2").select("bucket"), "bucket", "left_semi").withColumn("other", F.lag("id").over(w)).where("other IS NOT NULL")
-        pairs = pairs.union(beside.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = written(verified(pairs, texts, threshold, width), "links")
-        if turn > 1 and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        united = components(links)
-        everyone = buckets.select("id").distinct()
-        labels = written(everyone.join(united, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "joined")
+    everyone = written(wanted, "ids")
+    # every member of a bucket against one of them
+    first = buckets.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id")).alias("first"))
+    pairs = buckets.join(first, "bucket").where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    links = written(verified(pairs, texts, threshold, width), "links")
+    labels = labelled(everyone, links)
+    # what is left in buckets of several components
+    held = buckets.join(labels, "id")
+    several = held.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("bucket")
+    left = texts.join(held.join(several, "bucket").select("id").distinct(), "id", "left_semi")
+    more = written(verified(between(written(left, "left"), labels, threshold, width), texts, threshold, width), "links")
+    if not more.isEmpty():
+        named = labels.select(F.col("id").alias("_i"), "label")
+        joined = more.join(named.select(F.col("_i").alias("a"), F.col("label").alias("la")), "a").join(named.select(F.col("_i").alias("b"), F.col("label").alias("lb")), "b")
+        united = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("_least"))
+        labels = labels.join(united, "label", "left").select("id", F.coalesce("_least", "label").alias("label"))
     names = distinct.select(F.col("digest").alias("_d"), F.col("id").alias("_id"))
     labels = labels.select(F.col("id").alias("_member"), "label")
     classed = sigs.select("doc_id", "n_words", "digest").join(names, F.col("digest") == F.col("_d")).join(labels, F.col("_id") == F.col("_member"), "left")

@@ -63,6 +63,27 @@ def test_near_duplicates(spark, rows):
     assert near_dup.near_duplicates(table(spark, []).limit(0)).count() == 0
 
 
+def test_near_duplicates_within_shared_passages(spark):
+    """Texts that share most of a passage meet in large buckets; classes equal those of all pairs."""
+    r = random.Random(11)
+    shared, docs = prose(r, 60), []
+    for k in range(60):
+        own = (shared + " " + prose(r, r.choice([6, 9, 12, 15]))).split()
+        docs.append((len(docs), " ".join(own)))
+        for _ in range(r.randrange(3)):
+            own[r.randrange(50, len(own))] = f"w{k}"
+            docs.append((len(docs), " ".join(own)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    want = list(range(len(docs)))
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((want[a], want[b]))
+                want = [low if c == high else c for c in want]
+    got = {g.doc_id: g.class_id for g in near_dup.near_duplicates(table(spark, docs)).collect()}
+    assert 1 < len(set(want)) < len(docs) and got == dict(enumerate(want))
+
+
 def repeats(docs, length):
     seen, out = set(), {}
     for i, t in sorted(docs):
