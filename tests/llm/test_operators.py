@@ -247,3 +247,30 @@ def test_pipeline_keeps_clean_documents(spark, rows, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     clean = {i for i, t in docs if i < 30 and counts(t)[0] >= 10}
     assert clean <= got and 40 in got and not got & {41, 42, 43}
+
+
+def test_scores_count_every_word_and_pair(spark, monkeypatch):
+    """Losses equal those of whole counts, with more distinct words and pairs than any fixed table of classes tells apart."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 1 << 16)
+    monkeypatch.setattr(lm_scoring, "PART", 1 << 18)
+    r = random.Random(12)
+    docs = [(i, " ".join(f"w{r.choice([int(r.paretovariate(0.5)) % 1000, r.randrange(10**6)])}" for _ in range(1000))) for i in range(200)] + [(300, ""), (301, None), (None, "w1 w2 lone"), (302, "w1"), (302, "w1 w2 w1")]
+    sides = [i is not None and i % 3 == 0 for i, _ in docs]
+    words, pairs = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    for side, (_, t) in zip(sides, docs, strict=True):
+        w = WORD.findall(t or "")
+        words[side].update(w)
+        words[side].update([None] if w else [])
+        pairs[side].update(zip([None, *w], w, strict=False))
+    totals = [sum(n for w, n in c.items() if w is not None) for c in words]
+    size = len(set(words[0]) | set(words[1])) - 1
+    assert size > 65536
+
+    def loss(t, side):
+        w, k = WORD.findall(t or ""), totals[1] / totals[side]
+        return sum(-np.log2((k * pairs[side][a, b] + 20 * (k * words[side][b] + 0.5) / (totals[1] + 0.5 * size)) / (k * words[side][a] + 20)) for a, b in zip([None, *w], w, strict=False)) / len(w)
+
+    target = spark.createDataFrame([(i,) for s, (i, _) in zip(sides, docs, strict=True) if s] + [(None,)], "doc_id long")
+    got = sorted((x.doc_id if x.doc_id is not None else -1, x.n_words, x.target_loss, x.background_loss) for x in lm_scoring.score(table(spark, docs), target).where("n_words > 0").collect())
+    want = sorted((i if i is not None else -1, len(WORD.findall(t)), loss(t, 1), loss(t, 0)) for i, t in docs if t)
+    assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
