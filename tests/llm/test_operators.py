@@ -274,3 +274,22 @@ def test_scores_count_every_word_and_pair(spark, monkeypatch):
     got = sorted((x.doc_id if x.doc_id is not None else -1, x.n_words, x.target_loss, x.background_loss) for x in lm_scoring.score(table(spark, docs), target).where("n_words > 0").collect())
     want = sorted((i if i is not None else -1, len(WORD.findall(t)), loss(t, 1), loss(t, 0)) for i, t in docs if t)
     assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    """Sets alike, counts not: a line that occurs 50 times is changed, or repeated another number of times; classes equal those of all pairs."""
+    r = random.Random(21)
+    docs = []
+    for k in range(12):
+        base, line = prose(r, 200), f"printed on page {k} of the long report"
+        other = line.replace(f"page {k}", f"page x{k}")
+        docs += [base + (" " + line) * 50, base + (" " + other) * 50, base + (" " + line) * 3, prose(r, 60) + (" " + line) * 50]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, docs)]
+    want = list(range(len(docs)))
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((want[a], want[b]))
+                want = [low if c == high else c for c in want]
+    got = {g.doc_id: g.class_id for g in near_dup.near_duplicates(table(spark, list(enumerate(docs)))).collect()}
+    assert len(set(want)) == 24 and got == dict(enumerate(want))
