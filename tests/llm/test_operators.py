@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from notelake.llm import common, fingerprints, lm_scoring, near_dup, packing, piece_encoding, quality, sharding, suffix_dedup, suffix_groups, tool_calls, warc
+from notelake.llm import common, components, fingerprints, lm_scoring, near_dup, packing, piece_encoding, quality, sharding, suffix_dedup, suffix_groups, tool_calls, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, label string, id string, key int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -293,3 +293,13 @@ def test_near_duplicates_with_repeated_lines(spark):
                 want = [low if c == high else c for c in want]
     got = {g.doc_id: g.class_id for g in near_dup.near_duplicates(table(spark, list(enumerate(docs)))).collect()}
     assert len(set(want)) == 24 and got == dict(enumerate(want))
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    """A chain whose least id stands at one end and whose others descend, and a random one, in few rounds."""
+    rounds, written = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, what: rounds.append(what) or written(df, what))
+    order = random.Random(9).sample(range(1000, 1400), 400)
+    chains = [0, *range(99, 0, -1)], order
+    got = {x.id: x.label for x in components.components(spark.createDataFrame([p for c in chains for p in zip(c, c[1:], strict=False)], "a long, b long")).collect()}
+    assert got == {i: min(c) for c in chains for i in c} and len(rounds) < 20
