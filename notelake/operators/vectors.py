@@ -16,12 +16,13 @@ def normalized(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def similar(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = -2.0) -> DataFrame:
-    """(query_id, note_id, similarity, rank): the k nearest of each of a stated set of queries, itself left out.
+def similar(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float = -2.0) -> DataFrame:
+    """(query_id, note_id, similarity, rank): the k nearest (all, where k is None) of each of a stated set of queries, itself left out.
 
     Queries are few against the vectors: each partition of vectors meets all of them."""
     q = queries.select(F.col("note_id").alias("query_id"), F.col("embedding").alias("_q"))
     pairs = vectors.select("note_id", "embedding").join(q, F.col("note_id") != F.col("query_id"))
     scored = pairs.select("query_id", "note_id", dot(F.col("embedding"), F.col("_q")).alias("similarity")).where((F.col("similarity") >= threshold) & ~F.isnan("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "note_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -139,7 +139,7 @@ def _catalogue() -> dict:
     c["term_stats"] = (lambda v: lexical.term_stats(v.heads), f"WITH t AS (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS occurrences FROM t GROUP BY 1")
     sim = DOT.format(a="e.embedding", b="q.embedding")
     c["knn_topk"] = (lambda v: rounded(vectors.similar(v.vectors, v.vectors.where("note_id = 0"), 10), "similarity"), f"SELECT q.vec_id AS query_id, e.vec_id AS note_id, round({sim}, 6) AS similarity, row_number() OVER (ORDER BY {sim} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id = 0 AND e.vec_id <> 0 QUALIFY rank <= 10")
-    c["knn_threshold"] = (lambda v: rounded(vectors.similar(v.vectors, v.vectors.where("note_id = 0"), 1000, 0.7).select("note_id", "similarity"), "similarity"), f"SELECT e.vec_id AS note_id, round({sim}, 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id = 0 AND e.vec_id <> 0 WHERE {sim} >= 0.7")
+    c["knn_threshold"] = (lambda v: rounded(vectors.similar(v.vectors, v.vectors.where("note_id = 0"), None, 0.7).select("note_id", "similarity"), "similarity"), f"SELECT e.vec_id AS note_id, round({sim}, 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id = 0 AND e.vec_id <> 0 WHERE {sim} >= 0.7")
     c["knn_pairwise"] = (lambda v: _knn(v, 5).select("query_id", "note_id", "rank"), f"SELECT q.vec_id AS query_id, e.vec_id AS note_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {sim} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 5")
     c["l2_normalize"] = (lambda v: v.vectors.select("note_id", F.round(F.get(vectors.normalized(F.transform("embedding", lambda x: x * 3)), 0), 6).alias("x0")), f"SELECT vec_id AS note_id, round(CAST(embedding[1] AS DOUBLE) / sqrt({DOT.format(a='embedding', b='embedding')}), 6) AS x0 FROM embeddings")
     c["auto_edges"] = (
