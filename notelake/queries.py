@@ -200,7 +200,7 @@ def _catalogue() -> dict:
         f"WITH {EVALUATED} SELECT label AS class, count(*) AS queries, round(avg(recall_at_5), 6) AS recall_at_5, round(avg(mrr), 6) AS mrr FROM metrics JOIN q ON vec_id = query_id GROUP BY GROUPING SETS ((label), ())",
     )
     c["latency_percentile"] = (
-        lambda v: v.table("orders").groupBy("o_orderpriority").agg(evaluation.nearest_rank(F.col("o_totalprice"), 0.5).alias("p50"), evaluation.nearest_rank(F.col("o_totalprice"), 0.99).alias("p99")),
+        lambda v: evaluation.nearest_ranks(v.table("orders"), "o_orderpriority", "o_totalprice", {"p50": 0.5, "p99": 0.99}),
         "SELECT o_orderpriority, s[CAST(floor((len(s) - 1) * 0.5 + 0.5) AS INT) + 1] AS p50, s[CAST(floor((len(s) - 1) * 0.99 + 0.5) AS INT) + 1] AS p99 FROM (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS s FROM orders GROUP BY 1)",
     )
     c["reads_by_day"] = (
