@@ -1,4 +1,4 @@
-"""Streams over access events: windowed reads with a watermark, and content that is stored once."""
+"""Streams over access events: windowed reads with a watermark."""
 
 from __future__ import annotations
 
