@@ -9,14 +9,15 @@ is the plain one where weights are alike.
 A link is the exact Jaccard similarity of sets, so signatures with all weights one decide which texts meet: BANDS bands
 of ROWS registers put texts that may be similar in one bucket, and at a similarity of 0.8 all bands miss in 3 of 100,000
 pairs, however often lines are repeated. Texts with repeated shingles have the bands of their weighted signature
-besides. Buckets are linked without listing their pairs. First every member is held against one of its bucket,
-and verified pairs unite components. Then the texts of buckets that still hold several components meet once more by
-rare shingles: texts as similar as asked share one of the first fifth of their shingles, rarest first, so pairs of
-different components that share such a shingle, and whose sizes and places in it allow the similarity, are all that
-can be left. Every pair is verified by the exact Jaccard similarity of the sets of shingles of whole texts; links
-between components are complete for texts that share a bucket. Rarity is told by a table of SLOTS counts that hashes
-share; it decides only how few pairs meet, never which links are found. Equal texts are one text from the start; only
-their number of rows grows.
+besides. Buckets are linked without listing their pairs. First every member is held against the one of its bucket that
+stands in the largest buckets, as the text that others were made from does, and verified pairs unite components. Then
+the texts of buckets that still hold several components meet once more by rare shingles: their shingles are counted, and
+of two texts as similar as asked, in order from the rarest shingle on, the longer one has in its first fifth one that the
+shorter one has in its first ninth. Pairs of different components that share such a shingle, and whose sizes and places
+in the order allow the similarity, are all that can be left; a passage that many texts share stands last in their
+orders and brings none of them together. Every pair is verified by the exact Jaccard similarity of the sets of shingles of
+whole texts; links between components are complete for texts that share a bucket. Equal texts are one text from the
+start; only their number of rows grows.
 
 Nulls: a null text is an empty one, and texts without words are copies of each other only if equal. Null ids keep
 their row (label null). A text of less than five words is one shingle. Repeated rows share their class. Texts of any
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, blocks, mix, utf8, written
@@ -38,8 +39,8 @@ from .components import components
 BANDS, ROWS = 20, 4
 WIDTH = 5
 THRESHOLD = 0.8
-#: Counters that tell rare shingles from frequent ones.
-SLOTS = 1 << 20
+#: So many of the most frequent shingles are broadcast with their counts (1 MB); no more can be that frequent.
+HOT = 1 << 16
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -163,64 +164,58 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
     return rows.select("a", "b", "text").mapInArrow(_jaccard(threshold, width), "a long, b long")
 
 
-def _slot_counts(width: int):
-    """Of rows (id, text), (slot, n): how many texts of the task have shingles in each slot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
-            buf, offs = utf8(batch.column(1))
-            for i, j in blocks(offs):
-                h = weighted_shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)[1]
-                np.add.at(total, (h % U64(SLOTS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    return run
+SHINGLED = "id long, size long, shingle long"
 
 
-def _prefixes(counts, threshold: float, width: int):
-    """Of rows (id, text), (id, size, pos, shingle) for the rarest shingles, of which similar texts share one."""
+def _shingled(width: int):
+    """Of rows (id, text), each distinct shingle with the text's number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            ids = batch.column(0).to_numpy()
             buf, offs = utf8(batch.column(1))
             for i, j in blocks(offs):
                 doc, h, _ = weighted_shingles(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
-                order = np.lexsort((h, table[(h % U64(SLOTS)).astype(np.int64)], doc))
-                doc, h = doc[order], h[order]
                 size = np.bincount(doc, minlength=j - i)
-                pos = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
-                size = size[doc]
-                kept = pos <= size - np.ceil(threshold * size - 1e-9)
-                columns = [ids[i:j][doc[kept]], size[kept], pos[kept], h[kept].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "size", "pos", "shingle"])
+                columns = [ids[i:j][doc], size[doc], h.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "size", "shingle"])
 
     return run
 
 
 def between(texts: DataFrame, labels: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
     """Pairs (a, b) of texts (id, text) of different labels (id, label) that may be similar; no similar pair is missing."""
-    spark = texts.sparkSession
-    table = np.zeros(SLOTS, dtype=np.int64)
-    counts = texts.select("id", "text").mapInArrow(_slot_counts(width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    held = counts.toArrow()  # at most SLOTS rows
-    table[held.column("slot").to_numpy()] = held.column("n").to_numpy()
-    rows = texts.select("id", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(table), threshold, width), "id long, size long, pos long, shingle long")
-    mixed = rows.join(labels, "id")
-    groups = mixed.groupBy("shingle").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("shingle")
-    mixed = written(mixed.join(groups, "shingle"), "prefixes")
-    # labels meet first, so that members of one component never meet each other
-    present = mixed.select("shingle", "label").distinct()
-    met = present.join(present.withColumnRenamed("label", "other"), "shingle").where("label < other")
-    side = lambda name, label: mixed.select("shingle", F.col("label").alias(label), F.col("id").alias(name), F.col("size").alias(f"size_{name}"), F.col("pos").alias(f"pos_{name}"))
-    pairs = met.join(side("x", "label"), ["shingle", "label"]).join(side("y", "other"), ["shingle", "other"])
-    sizes = F.least("size_x", "size_y") >= threshold * F.greatest("size_x", "size_y") - 1e-9
-    left = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))  # what the first shared shingle leaves
-    enough = left >= threshold / (1 + threshold) * (F.col("size_x") + F.col("size_y")) - 1e-6
-    return pairs.where(sizes & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = texts.select("id", "text").mapInArrow(_shingled(width), SHINGLED).join(labels, "id")
+    rows = written(rows, "shingles")
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), (F.min("label") < F.max("label")).alias("meets")).where("n > 1")
+    counts = written(counts, "shingle-counts")
+    # at most HOT shingles occur that often, so they may be broadcast; the others meet their counts by shingle
+    often = F.lit(max(rows.count() // HOT, 1))
+    hot, rest = F.broadcast(counts.where(F.col("n") > often)), counts.where(F.col("n") <= often)
+    known = rows.join(hot, "shingle", "left")
+    shared = known.where("n IS NOT NULL").unionByName(known.where("n IS NULL").drop("n", "meets").join(rest, "shingle"))
+    # shingles of one text only come first in the order, then the rarest of the others
+    each = Window.partitionBy("id")
+    place = F.col("size") - F.count(F.lit(1)).over(each) + F.row_number().over(each.orderBy("n", "shingle")) - 1
+    placed = shared.withColumn("pos", place).where("meets")
+    t = F.lit(threshold)
+    least = lambda share: F.col("size") - F.ceil(share * F.col("size") - 1e-9)
+    placed = placed.withColumn("early", F.col("pos") <= least(2 * t / (1 + t))).where(F.col("pos") <= least(t))
+    placed = written(placed.select("shingle", "label", "id", "size", "pos", "early", (F.col("size") - F.col("pos")).alias("left")), "prefixes")
+    # labels meet first, so that members of one component never meet each other, and only where members' bounds allow it
+    groups = placed.groupBy("shingle", "label").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("left").alias("left"), F.max("early").alias("early"))
+    one, two = (groups.select("shingle", *[F.col(c).alias(c + k) for c in ("label", "low", "high", "left", "early")]) for k in "xy")
+    sizes = lambda ax, bx, ay, by: (bx >= t * ay - 1e-9) & (by >= t * ax - 1e-9)
+    enough = lambda lx, ly, sx, sy: F.least(lx, ly) >= t / (1 + t) * (sx + sy) - 1e-6  # noqa: E731  what the first shared shingle leaves
+    c = F.col
+    may = sizes(c("lowx"), c("highx"), c("lowy"), c("highy")) & enough(c("leftx"), c("lefty"), c("lowx"), c("lowy")) & (c("earlyx") | c("earlyy"))
+    met = one.join(two.withColumnRenamed("shingle", "_s"), (c("shingle") == c("_s")) & (c("labelx") < c("labely")) & may).select("shingle", "labelx", "labely")
+    side = lambda k: placed.select("shingle", *[F.col(x).alias(x + k) for x in ("label", "id", "size", "left", "early")])
+    fits = sizes(c("sizex"), c("sizex"), c("sizey"), c("sizey")) & enough(c("leftx"), c("lefty"), c("sizex"), c("sizey"))
+    fits &= F.when(c("sizex") < c("sizey"), c("earlyx")).when(c("sizex") > c("sizey"), c("earlyy")).otherwise(c("earlyx") & c("earlyy"))  # the shorter text meets by its first ninth
+    y = side("y").withColumnsRenamed({"shingle": "_s", "labely": "_l"})
+    pairs = met.join(side("x"), ["shingle", "labelx"]).join(y, (c("shingle") == c("_s")) & (c("labely") == c("_l")) & fits)
+    return pairs.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
 
 
 def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -233,8 +228,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     sigs = written(signed(docs, bands, rows, width), "signed")
     distinct = written(sigs.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "distinct")
     keyed = distinct.where("id IS NOT NULL").select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
-    several = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = written(keyed.join(several, "bucket"), "buckets")
+    several = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = written(keyed.join(several, "bucket").select("id", "bucket", "n"), "buckets")
     wanted = buckets.select("id").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # a repeated id may have several texts: the one whose digest is its own counts
@@ -242,8 +237,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     texts = source.join(wanted, "id", "left_semi").join(owners, (F.col("id") == F.col("_id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("_digest")), "left_semi").dropDuplicates(["id"])
     texts = written(texts, "texts")
     everyone = written(wanted, "ids")
-    # every member of a bucket against one of them
-    first = buckets.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id")).alias("first"))
+    # every member of a bucket against the one of them with the most bucket mates
+    mates = buckets.groupBy("id").agg(F.sum("n").alias("mates"))
+    first = buckets.join(mates, "id").groupBy("bucket").agg(F.max_by("id", F.struct("mates", F.xxhash64("id"))).alias("first"))
     pairs = buckets.join(first, "bucket").where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
     links = written(verified(pairs, texts, threshold, width), "links")
     labels = labelled(everyone, links)
