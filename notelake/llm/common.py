@@ -14,9 +14,11 @@ BLOCK_BYTES = 1 << 21
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where a session has none, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where a local session has none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="notelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

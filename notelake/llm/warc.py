@@ -147,6 +147,14 @@ def header(head: bytes, name: str) -> str | None:
     return m[1].decode("utf-8", "replace") if m else None
 
 
+def _key(stated: str | None) -> int | None:
+    """A key as it was written: any whole number of 64 bits, else none."""
+    if not stated or not re.fullmatch(r"-?\d{1,19}", stated):
+        return None
+    key = int(stated)
+    return key if -(1 << 63) <= key < 1 << 63 else None
+
+
 def iso(date: str) -> str:
     d = date.ljust(14, "0") if date.isdigit() else "19700101000000"
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
@@ -161,7 +169,7 @@ def _parsed(with_block: bool):
                     head, body = http_parts(block)
                     kind = "warcinfo" if url.startswith("filedesc:") else "response" if head else "resource"
                     key = header(head, KEY_HEADER)
-                    row = (archive, offset, url, ip, iso(date), mime, kind, int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None)
+                    row = (archive, offset, url, ip, iso(date), mime, kind, _key(key))
                     row += (str(uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{offset}")), short, hashlib.sha1(body).hexdigest(), len(body))
                     rows.append((*row, block) if with_block else row)
                     size += len(block)
@@ -264,7 +272,7 @@ def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size = int(header(head, "X-Payload-Length") or header(http, "Content-Length") or 0)
                 elif sha1 != hashlib.sha1(body).hexdigest():
                     raise ValueError(f"payload of {header(head, 'WARC-Record-ID')} does not fit its digest")
-                out.append((int(key) if key else None, plain(header(head, "WARC-Record-ID")), kind, header(head, "WARC-Target-URI"), size, sha1, plain(header(head, "WARC-Refers-To"))))
+                out.append((_key(key), plain(header(head, "WARC-Record-ID")), kind, header(head, "WARC-Target-URI"), size, sha1, plain(header(head, "WARC-Refers-To"))))
             if out:
                 names = [x.split()[0] for x in READ.split(", ")]
                 types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
@@ -306,7 +314,7 @@ def op10_legacy_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame
     back = written(read_warc(spark, warc), "warc-read")
     target = back.where("record_type = 'response'").select(F.col("record_id").alias("target_id"), F.col("key").alias("refers_to"))
     linked = back.join(target, back.refers_to_id == target.target_id, "left")
-    return linked.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url")
+    return linked.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
