@@ -225,6 +225,41 @@ def test_tool_calls(spark):
     assert got[2, "a"].canonical_json == '{"arguments":{"query":"é"},"depends_on":[],"id":"a","name":"reply","result":null,"type":"tool_call","valid":true}'
 
 
+def test_tool_calls_without_identifier_stay_apart(spark):
+    calls = spark.createDataFrame([(1, 1, None, "reply", '{"query":"a"}', []), (1, 2, None, "lookup", '{"a":NaN}', ["k"]), (1, 3, "k", "reply", '{"query":"\\ud800"}', None), (None, 1, "k", "reply", "{}", None), (None, 1, "k", "reply", "{}", None)], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, 4, None, "x"), (1, 5, None, "x"), (None, 1, "k", "y")], "conv_id long, turn long, call_id string, content string")
+    got = tool_calls.link(calls, results, tool_calls.TOOLS).collect()
+    assert collections.Counter(g.status for g in got) == {"unanswered": 5, "orphan": 3}
+    by = {g.call_turn: g for g in got if g.conv_id == 1 and g.call_turn}
+    assert by[2].error == "not JSON" and by[2].level == 1 and by[3].level == 0 and "\\ud800" in by[3].canonical_json
+
+
+def test_tool_call_levels(spark):
+    """Levels are longest chains of dependences in trees, in graphs and beside cycles."""
+    r, rows = random.Random(3), []
+    for conv in range(30):
+        n = r.randrange(1, 25)
+        for i in range(n):
+            rows.append((conv, f"c{i}", [f"c{r.randrange(n if conv % 3 == 2 else max(i, 1))}" for _ in range(r.randrange(2 if conv % 3 else 4))] if i or conv % 3 == 2 else []))
+    rows += [(99, f"c{i}", [f"c{i + 1}"]) for i in range(200)]
+    needs = {(c, i): {d for d in deps if (c, d) in {(x, y) for x, y, _ in rows}} for c, i, deps in rows}
+    want = {}
+    while ready := [k for k, ds in needs.items() if k not in want and all((k[0], d) in want for d in ds)]:
+        want |= {k: max([want[k[0], d] + 1 for d in needs[k]], default=0) for k in ready}
+    got = {(g.conv_id, g.id): g.level for g in tool_calls.levels(spark.createDataFrame(rows, "conv_id long, id string, depends_on array<string>")).collect()}
+    assert got == {k: want.get(k) for k in needs} and None in got.values()
+
+
+def test_tool_call_query_keeps_every_turn(spark, tmp_path):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "a\nb"), (1, 2, "assistant", "r"), (1, 3, "user", "c"), (1, 4, None, None), (2, 0, "assistant", None), (None, 1, "user", "x"), (None, 2, "assistant", "y")]
+    spark.createDataFrame([(*x, 1, "e") for x in rows], "conv_id long, turn long, role string, text string, position int, error string").write.parquet(f"{tmp_path}/a/conversations.parquet")
+    got = tool_calls.op2_tool_call_linking(spark, f"{tmp_path}/a").collect()
+    assert collections.Counter((g.conv_id, g.status) for g in got) == {(1, "other"): 2, (1, "linked"): 1, (1, "unanswered"): 1, (2, "orphan"): 1, (None, "unanswered"): 1, (None, "orphan"): 1}
+    assert {g.call_id: g.level for g in got if g.conv_id == 1 and g.call_id} == {"call-1": 1, "call-3": 0}
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/b/conversations.parquet")
+    assert tool_calls.op2_tool_call_linking(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_archives(spark, tmp_path):
     big = "<p>é</p>" * 300
     pages = [(1, "http://a/x y", big), (2, "http://b", big), (3, None, None), (4, "http://c", "small"), (5, "http://d", "small"), (2, "http://b", big), (None, "u", "n")]
@@ -239,6 +274,17 @@ def test_archives(spark, tmp_path):
     assert [(f[1], f[5], f[6]) for f in found] == [("http://a b", b"body", False), ("http://c", b"cut", True)]
 
 
+def test_archives_keep_keys_of_all_sizes(spark, tmp_path):
+    """The largest page_id answers whatever its digits; the query has the contract's five columns, empty tables too."""
+    big, ids = "y" * 1500, [7, 10**18 + 5, -(1 << 63), (1 << 63) - 1]
+    spark.createDataFrame([(i, "u", big, 1) for i in ids], "page_id long, url string, html string, key int").write.parquet(f"{tmp_path}/a/pages.parquet")
+    got = warc.op10_legacy_archive_converter(spark, f"{tmp_path}/a")
+    assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert {(g.page_id, g.record_type, g.refers_to) for g in got.collect()} == {(i, "revisit", ids[3]) for i in ids[:3]} | {(ids[3], "response", None)}
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/b/pages.parquet")
+    assert warc.op10_legacy_archive_converter(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, rows, tmp_path):
     import corpus_pipeline
 
