@@ -5,8 +5,10 @@ same document further to the front. Strings are judged on the input.
 
 1. Each LENGTH-byte window has an anchor: the first of its GRAM-byte strings with the least hash. Windows in a row with
    one anchor are a context, the bytes that they span. Equal windows have equal anchors, so they meet by anchor.
-2. By anchor, contexts that equal an earlier one are repeats as a whole; where an anchor has several different ones,
-   the first of each is wanted with its bytes. Rows are streamed in sorted order; no anchor's rows are held.
+2. By anchor, contexts that equal an earlier one are repeats as a whole, first within each block of documents; where an
+   anchor has several different ones, the first of each is wanted with its bytes. Rows are streamed in sorted order; no
+   anchor's rows are held. Contexts, of at most 152 bytes, are equal here if their 64-bit hashes and those of their
+   anchors are; bytes are compared only among the rest.
 3. The bytes wanted come from the documents. An anchor's windows fall in families by how far they reach to its left;
    those of one family that agree on what all of them cover are compared: their strings are joined to one text and
    sorted by suffix_array, the Lyndon grouping. Windows that are neighbours in the order and equal are one class; all
@@ -15,7 +17,7 @@ same document further to the front. Strings are judged on the input.
 4. A document's repeats are merged and cut out.
 
 Nulls: a null text is empty. A null id is less than any other and stays null. Documents with one id are ordered by a
-hash of their text; of rows that are equal throughout, the first is judged and the others repeat it. Texts of any
+hash of their text, 60 bits of its MD5; of rows that are equal throughout, the first is judged and the others repeat it. Texts of any
 length are taken whole, in segments that overlap. Extra columns are not read. An empty table gives no rows.
 """
 
@@ -38,6 +40,8 @@ GRAM = 48
 FAMILIES = 4
 #: Bytes that are sorted together; a family's strings share a text up to the second; contexts held of one anchor.
 TEXT_BYTES, MOST_BYTES, HELD_BYTES = 1 << 14, 1 << 20, 1 << 23
+#: Contexts of an anchor beyond which they are dealt to several tasks.
+HOT_ROWS = 20_000
 SEGMENT = 1 << 22
 _PLACE = U64((1 << 24) - 1)
 LEAST = -(1 << 63)
@@ -89,11 +93,12 @@ def _segments(offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return np.array(begin), np.array(end), np.array(row)
 
 
-FOUND = "a long, c long, did long, th int, start int, many int"
+FOUND = "a long, c long, did long, th long, start int, many int"
 
 
 def _emit(length: int, gram: int):
-    """Contexts of each document; those that it has twice are repeats already: many is then minus the bytes."""
+    """Contexts of each document; of those that a block of documents has several times, all but the earliest are repeats
+    already: many is then minus the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,21 +117,24 @@ def _emit(length: int, gram: int):
                 if not len(doc):
                     continue
                 a, c = a.view(np.int64), c.view(np.int64)
+                doc = doc + i
                 with np.errstate(over="ignore"):
-                    key = mix(a.view(U64) + mix(c.view(U64) + doc.astype(U64)))
-                order = np.argsort(key, kind="stable")
-                again = np.zeros(len(key), dtype=bool)
+                    key = mix(a.view(U64) + mix(c.view(U64)))
+                # rows that are equal throughout have one place
+                rank = np.unique(np.stack([did[i:j], th[i:j]]), axis=1, return_inverse=True)[1].ravel()
+                place = (rank[doc - i].astype(np.int64) << 32) + start
+                order = np.lexsort((place, key))
+                again, twin = np.zeros((2, len(key)), dtype=bool)
                 again[order[1:]] = key[order[1:]] == key[order[:-1]]
+                twin[order[1:]] = again[order[1:]] & (place[order[1:]] == place[order[:-1]])
                 many = np.where(again, -((many & LOW) + length - 1), many)
-                doc = doc + i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(c), pa.array(did[doc]), pa.array(th[doc].astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32))], names=[x.split()[0] for x in FOUND.split(", ")]
-                )
+                columns = [a, c, did[doc], th[doc], start.astype(np.int32), many.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[~twin]) for x in columns], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return run
 
 
-MET = "a long, did long, th int, start int, many int"
+MET = "a long, did long, th long, start int, many int"
 
 
 def _meet(length: int):
@@ -165,13 +173,13 @@ def _meet(length: int):
             out = np.concatenate(marks, axis=1)
             if out.shape[1]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0]), pa.array(out[2]), pa.array(out[3].astype(np.int32)), pa.array(out[4].astype(np.int32)), pa.array(out[5].astype(np.int32))], names=[x.split()[0] for x in MET.split(", ")]
+                    [pa.array(out[0]), pa.array(out[2]), pa.array(out[3]), pa.array(out[4].astype(np.int32)), pa.array(out[5].astype(np.int32))], names=[x.split()[0] for x in MET.split(", ")]
                 )
 
     return run
 
 
-WANTED = "a long, did long, th int, start int, many int, bytes binary"
+WANTED = "a long, salt int, did long, th long, start int, many int, bytes binary"
 
 
 def _slices(length: int):
@@ -182,7 +190,7 @@ def _slices(length: int):
             for d, t, x, spans in zip(did.to_pylist(), th.to_pylist(), text, wanted.to_pylist(), strict=True):
                 data = x.as_py().encode()
                 for s in spans:
-                    out.append((s["a"], d, t, s["start"], s["many"], data[s["start"] : s["start"] + (s["many"] & LOW) + length - 1]))
+                    out.append((s["a"], s["salt"], d, t, s["start"], s["many"], data[s["start"] : s["start"] + (s["many"] & LOW) + length - 1]))
                     size += 2 * length
                 if size > 1 << 22:
                     yield _wanted(out)
@@ -194,11 +202,11 @@ def _slices(length: int):
 
 
 def _wanted(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in WANTED.split(", ")])
 
 
-SORTED = "digest binary, did long, th int, start int, size int"
+SORTED = "digest binary, did long, th long, start int, size int"
 
 
 def _sorted_repeats(rows: list[tuple], length: int, shared: bool) -> list[tuple]:
@@ -244,7 +252,8 @@ def _mark(did: int, th: int, start: int, size: int) -> tuple:
 
 
 def _sort(length: int, gram: int, families: int = FAMILIES):
-    """Finds repeats among contexts that come in order of anchor and place."""
+    """Finds repeats among contexts that come in order of anchor, salt and place; an anchor with salts has its contexts in
+    several tasks."""
     wide = length - gram + 1
     reach = [(-(-f * wide // families), -(-(f + 1) * wide // families) - 1) for f in range(families)]
 
@@ -256,7 +265,7 @@ def _sort(length: int, gram: int, families: int = FAMILIES):
             """Repeats among the contexts of one anchor, as far as text needn't be sorted; part: it has more of them."""
             nonlocal size
             found, out = {}, []
-            for _, did, th, start, many, data in rows:
+            for _, _, did, th, start, many, data in rows:
                 at, many = many >> BITS, many & LOW
                 for f, (near, far) in enumerate(reach):
                     s, e = max(0, at - far), min(many - 1, at - near)
@@ -287,24 +296,24 @@ def _sort(length: int, gram: int, families: int = FAMILIES):
             return out
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in SORTED.split(", ")])
 
         held: list[tuple] = []
         bytes_held, part, out = 0, False, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (row[0] != held[-1][0] or bytes_held >= HELD_BYTES):
-                    more = row[0] == held[-1][0]
-                    out += alike(held, part or more)
+                if held and (row[:2] != held[-1][:2] or bytes_held >= HELD_BYTES):
+                    more = row[:2] == held[-1][:2]
+                    out += alike(held, part or more or held[0][1] >= 0)
                     held, bytes_held, part = [], 0, more
                     if len(out) > 50_000:
                         yield batch_of(out)
                         out = []
                 held.append(row)
-                bytes_held += len(row[5])
+                bytes_held += len(row[6])
         if held:
-            out += alike(held, part)
+            out += alike(held, part or held[0][1] >= 0)
         if text:
             out += _sorted_repeats(text, length, False)
         if out:
@@ -354,16 +363,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), F.hash(text).alias("th"), text.alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"))
+    digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("did"), digest.alias("th"), text.alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("carried"))
     long = rows.drop("carried").where(F.octet_length("text") >= length)
     found = long.mapInArrow(_emit(length, gram), FOUND)
-    met = found.repartition("a").sortWithinPartitions("a", "c", "did", "th", "start").mapInArrow(_meet(length), MET)
+    # repeats that are known already go anywhere, so a context of many documents is no heavier than their blocks are many
+    place = F.when(F.col("many") < 0, F.xxhash64("did", "start")).otherwise(F.col("a"))
+    met = found.repartition(place).sortWithinPartitions("a", "c", "did", "th", "start").mapInArrow(_meet(length), MET)
     met = written(met, "repeats")
-    wanted = met.where("many > 0").groupBy("did", "th").agg(F.collect_list(F.struct("a", "start", "many")).alias("wanted"))
+    # anchors with many contexts are dealt to several tasks; there is one to HOT_ROWS rows at most
+    hot = met.where("many > 0").groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select("a", F.ceil(F.col("_n") / HOT_ROWS).alias("_salts"))
+    hot = written(hot, "hot-anchors")
+    hot = F.broadcast(hot) if hot.count() <= 1 << 18 else hot
+    salt = F.coalesce(F.pmod(F.xxhash64("did", "start"), F.col("_salts")), F.lit(-1)).cast("int")
+    wanted = met.where("many > 0").join(hot, "a", "left").select("a", salt.alias("salt"), "did", "th", "start", "many")
+    wanted = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("a", "salt", "start", "many")).alias("wanted"))
     dealt = rows.repartition(parts, "did", "th")  # the same exchange serves both joins
     # of rows that are equal throughout, any may serve
     sliced = dealt.join(wanted, ["did", "th"]).select("did", "th", "text", "wanted", "carried").mapInArrow(_slices(length), WANTED)
-    ordered = sliced.repartition("a").sortWithinPartitions("a", "did", "th", "start").mapInArrow(_sort(length, gram), SORTED)
+    ordered = sliced.repartition("a", "salt").sortWithinPartitions("a", "salt", "did", "th", "start").mapInArrow(_sort(length, gram), SORTED)
     rank = Window.partitionBy("digest").orderBy("did", "th", "start")
     apart = ordered.withColumn("_rank", F.row_number().over(rank)).where((F.length("digest") != 16) | (F.col("_rank") > 1))
     spans = met.where("many < 0").select("did", "th", F.col("start"), (-F.col("many")).alias("size")).union(apart.select("did", "th", "start", "size"))

@@ -98,9 +98,10 @@ def repeats(docs, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "held"), [(100, 48, 1 << 20), (12, 4, 1 << 20), (12, 4, 200)])
-def test_repeated_strings(spark, rows, length, gram, held, monkeypatch):
+@pytest.mark.parametrize(("length", "gram", "held", "hot"), [(100, 48, 1 << 20, 20_000), (12, 4, 1 << 20, 20_000), (12, 4, 200, 20_000), (12, 4, 1 << 20, 2)])
+def test_repeated_strings(spark, rows, length, gram, held, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST_BYTES", held)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
     docs = [(i, t) for i, t in rows if i is not None and i < 56]
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(table(spark, docs), length, gram).collect()}
     assert got == repeats(docs, length)
@@ -113,6 +114,14 @@ def test_repeated_strings_of_repeated_rows(spark):
     assert suffix_dedup.remove_repeats(table(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_repeated_strings_of_null_ids(spark):
+    """Different texts without id are never taken for copies; equal ones are."""
+    r = random.Random(7)
+    texts = [" ".join(f"n{k}x{r.randrange(10**9)}" for _ in range(9)) for k in range(3000)]
+    got = suffix_dedup.remove_repeats(table(spark, [(None, t) for t in texts] + [(None, texts[0])])).collect()
+    assert sorted(g.n_removed for g in got)[-2:] == [0, len(texts[0])] and len(got) == 3001
+
+
 def test_piece_encoding(spark, rows):
     import sentencepiece
 
