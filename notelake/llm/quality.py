@@ -2,14 +2,22 @@
 
 Counts of a whole text (words, characters, symbols, repeated lines and words) become a vector of five transformed
 statistics. Documents that fail the base rules are rejected and take no part in the estimates. For each group of at
-least MIN_GROUP others, mean and covariance of the half of them with the least spread come from concentration steps:
-start at the medians and median deviations, take the half that is nearest, estimate again, until nothing changes.
-A document is an outlier where its squared Mahalanobis distance, scaled to the chi-square median, exceeds CUTOFF.
-
-A step is one grouped sum: moments by group and distance bin, added up from the nearest bin to the one that
-completes the half. So all rows count, no group meets in one task, and a source with a third of the rows is summed in
-parts. Inverses are taken on the executors, a group a row. Smaller groups use the estimate of their language, and
-small languages that of all documents; with fewer than MIN_GROUP documents in all, only the base rules judge.
+least MIN_GROUP others, concentration steps look for the half of them with the least determinant of covariance: estimate
+mean and covariance, take the half that is nearest, estimate again, until the determinant falls no more. Three starts
+(medians and their deviations, mean and covariance, covariance of spatial signs) go through the steps, and the least
+determinant of all counts. Documents within the 97.5 % quantile of that half's distances then give the final estimate.
+
+Most texts have no symbol and no repetition, so a covariance alone would be singular. The variance of each statistic has
+that of the smallest difference added: one word, character, symbol, repeated line or window more in the group's median
+text. Statistics that vary less than that in the half are no degrees of freedom. A squared Mahalanobis distance is
+divided by the group's median one over that of the chi-square distribution, but never enlarged, and a document is an outlier
+beyond the distribution's quantile at which one clean document in 1 / TAIL would be.
+
+A step is one grouped sum: moments by group, start and distance bin, added up from the nearest bin on; the bin that
+completes the half counts in part. So all rows count, no group meets in one task, and a source with a third of the rows
+is summed in parts. Inverses are taken on the executors, a group a row. Smaller groups use the estimate of their
+language, and small languages that of all documents; with fewer than MIN_GROUP documents in all, only the base rules
+judge.
 
 Nulls: a null text has no words and fails; null language and source are groups of their own; null ids stay null.
 Repeated rows count each. Extra columns are not read. An empty table gives no rows.
@@ -18,6 +26,7 @@ Repeated rows count each. Extra columns are not read. An empty table gives no ro
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix, range_hash, utf8, written
-
-#: Documents that an estimate needs.
-MIN_GROUP = 200
-#: Squared distance, in units in which the median is that of chi-square with five degrees of freedom, that rejects.
-CUTOFF = 400.0
-#: Median of chi-square with five degrees of freedom.
-MEDIAN = 4.351460191095526
-#: Least standard deviation of each statistic, as most documents have no symbols or repetition at all.
-FLOOR = (0.10, 0.03, 0.10, 0.25, 0.02)
-STEPS = 10
+from .common import U64, Words, blocks, mix, new_path, range_hash, utf8, written
+
+#: Documents that an estimate needs: ten for each statistic.
+MIN_GROUP = 50
+#: Share of clean documents that may lie beyond the cutoff, were they normal.
+TAIL = 1e-9
+#: Fall of the determinant's logarithm that is none.
+EPSILON = 0.01
+#: Groups whose estimates may be broadcast.
+MOST_GROUPS = 1 << 16
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -115,23 +123,112 @@ def _vector() -> list:
 
 
 _PAIRS = list(itertools.combinations_with_replacement(range(DIMS), 2))
-MODEL = "_group string, center array<double>, inverse array<double>, logdet double, unit double"
+#: What stands for the determinant before the first: any is less.
+BEFORE = 1e300
+MODEL = "_group string, _start int, m array<double>, center array<double>, inverse array<double>, logdet double, was double, dof int, unit double"
+_FIELDS = [(x.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}.get(x.split()[1], pa.list_(pa.float64()))) for x in MODEL.split(", ")]
+
+
+def chi_square_quantile(tail: float, dof: int) -> float:
+    """The value that a chi-square variable of dof degrees of freedom exceeds with probability tail, by bisection."""
+
+    def beyond(x: float) -> float:
+        if dof % 2 == 0:
+            term = total = math.exp(-x / 2)
+            for i in range(1, dof // 2):
+                term *= x / 2 / i
+                total += term
+            return total
+        total, term = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+        for i in range(3, dof + 1, 2):
+            total += term
+            term *= x / i
+        return total
+
+    low, high = 0.0, 1500.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if beyond(mid) > tail else (low, mid)
+    return low
+
+
+def smallest_steps(median: np.ndarray) -> np.ndarray:
+    """What one more word, character, symbol, repeated line and repeated window change in the statistics of the median text."""
+    words = max(math.expm1(median[0]), 1.0)
+    chars = max(words * math.exp(median[1]), 1.0)
+    return np.array([1 / (words + 1), 1 / chars, math.log1p(100 / chars), math.log(2), 5 / max(words, 5.0)])
 
 
-def _estimates(frames):
-    """Center and inverse covariance of each group from its sums."""
-    import pandas as pd
+def _model(group: str, start: int, m: np.ndarray, center: np.ndarray, cov: np.ndarray, was: float, unit: float = 1.0, dof: int | None = None) -> tuple:
+    steps = smallest_steps(m)
+    whole = cov + np.diag(steps**2)
+    dof = dof or max(int((np.diag(cov) > steps**2).sum()), 1)
+    return group, start, m.tolist(), center.tolist(), np.linalg.inv(whole).ravel().tolist(), float(np.linalg.slogdet(whole)[1]), was, dof, unit
 
-    for frame in frames:
+
+def _moments(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    center, cov = sums / n, np.zeros((DIMS, DIMS))
+    for (i, j), q in zip(_PAIRS, products, strict=True):
+        cov[i, j] = cov[j, i] = q / n - center[i] * center[j]
+    return center, cov
+
+
+def _models(out: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [[]] * len(_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+
+
+_SUMS = [f"s{i}" for i in range(DIMS)] + [f"q{i}{j}" for i, j in _PAIRS]
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three starts of each group from its medians, deviations, moments and moments of spatial signs."""
+    for batch in batches:
         out = []
-        for r in frame.to_dict("records"):
-            center = np.array([r[f"s{i}"] for i in range(DIMS)]) / r["n"]
-            cov = np.zeros((DIMS, DIMS))
+        for r in batch.to_pylist():
+            m, mad = np.array(r["m"]), 1.4826 * np.array(r["mad"])
+            scale, signs = np.maximum(mad, 1e-3), np.zeros((DIMS, DIMS))
             for i, j in _PAIRS:
-                cov[i, j] = cov[j, i] = r[f"q{i}{j}"] / r["n"] - center[i] * center[j]
-            cov += np.diag(np.square(FLOOR))
-            out.append((r["_group"], center.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), 1.0))
-        yield pd.DataFrame(out, columns=["_group", "center", "inverse", "logdet", "unit"])
+                signs[i, j] = signs[j, i] = r[f"u{i}{j}"] / r["n"] * DIMS * scale[i] * scale[j]
+            sums = np.array([r[c] for c in _SUMS])
+            starts = [(m, np.diag(mad**2)), _moments(r["n"], sums[:DIMS], sums[DIMS:]), (m, signs)]
+            for k, (center, cov) in enumerate(starts):
+                own = _model(r["_group"], k, m, center, cov, BEFORE)
+                out.append((*own[:5], BEFORE, *own[6:]))  # it is no half's
+        yield _models(out)
+
+
+def _halves(whole: bool):
+    """Of sums by group, start and bin, in this order, the model of the nearest half, or the given one with its unit of distance."""
+
+    def one(rows: list[dict]) -> tuple:
+        r = rows[0]
+        n = np.array([x["n"] for x in rows])
+        need = int(n.sum()) // 2 + 1
+        at = int(np.searchsorted(np.cumsum(n), need))
+        part = (need - n[:at].sum()) / n[at]  # of the bin that completes the half
+        if not whole:
+            median = 2.0 ** ((rows[at]["_bin"] + part) / 16) - 1e-9
+            return (*(r[c] for c, _ in _FIELDS[:-1]), median / chi_square_quantile(0.5, r["dof"]))
+        sums = np.array([[x[c] for c in _SUMS] for x in rows[: at + 1]])
+        sums[at] *= part
+        sums = sums.sum(axis=0)
+        return _model(r["_group"], r["_start"], np.array(r["m"]), *_moments(need, sums[:DIMS], sums[DIMS:]), r["logdet"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        out: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (row["_group"], row["_start"]) != (held[-1]["_group"], held[-1]["_start"]):
+                    out.append(one(held))
+                    held = []
+                held.append(row)
+        if held:
+            out.append(one(held))
+        yield _models(out)
+
+    return run
 
 
 def _distance():
@@ -141,45 +238,59 @@ def _distance():
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
-def _binned(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows with their distance's bin, sixteen to a doubling."""
-    return rows.join(model, "_group").withColumn("_bin", F.floor(16 * F.log2(_distance() + 1e-3)))
+def _near(table: DataFrame, what: str) -> DataFrame:
+    """A table of a row or a few for each group, written; broadcast where groups are few enough."""
+    table = written(table, what)
+    return F.broadcast(table) if table.count() <= 3 * MOST_GROUPS else table
 
 
-def _up_to_half(sums: DataFrame) -> DataFrame:
-    """Of sums by group and bin, those up to the bin that completes half of the group."""
-    order = Window.partitionBy("_group").orderBy("_bin")
-    columns = [c for c in sums.columns if c not in ("_group", "_bin")]
-    total = F.sum("n").over(Window.partitionBy("_group"))
-    run = sums.select("_group", "_bin", F.col("n").alias("_own"), total.alias("_total"), *[F.sum(c).over(order).alias(c) for c in columns])
-    need = F.floor(F.col("_total") / 2) + 1
-    return run.where((F.col("n") >= need) & (F.col("n") - F.col("_own") < need))
+def _binned(rows: DataFrame, model: DataFrame, whole: bool) -> DataFrame:
+    """_halves of rows by model: at most some hundred bins a group and start."""
+    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMS)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}{j}") for i, j in _PAIRS]
+    bins = rows.join(model.select("_group", "_start", "center", "inverse"), "_group").withColumn("_bin", F.floor(16 * F.log2(_distance() + 1e-9)))
+    bins = bins.groupBy("_group", "_start", "_bin").agg(F.count(F.lit(1)).cast("double").alias("n"), *(sums if whole else [])).join(model, ["_group", "_start"])
+    return bins.repartition("_group", "_start").sortWithinPartitions("_group", "_start", "_bin").mapInArrow(_halves(whole), MODEL)
 
 
 def fitted(rows: DataFrame) -> DataFrame:
-    """The model of each group of rows (_group, x): center, inverse covariance and the unit of distance."""
-    median = [F.percentile(F.round(F.col("x")[i], 3), 0.5) for i in range(DIMS)]  # at most some 10,000 distinct values
-    mid = rows.groupBy("_group").agg(F.array(*median).alias("m"))
-    away = [F.percentile(F.round(F.abs(F.col("x")[i] - F.col("m")[i]), 3), 0.5) for i in range(DIMS)]
-    spread = rows.join(mid, "_group").groupBy("_group").agg(F.first("m").alias("center"), F.array(*away).alias("mad"))
-    var = [F.pow(F.col("mad")[i] * 1.4826, 2) + F.lit(FLOOR[i] ** 2) for i in range(DIMS)]
-    diagonal = F.array(*[1 / var[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)])
-    model = written(spread.select("_group", "center", diagonal.alias("inverse"), F.lit(0.0).alias("logdet"), F.lit(1.0).alias("unit")), "mcd")
-    sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMS)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}{j}") for i, j in _PAIRS]]
-    for _ in range(STEPS):
-        half = _up_to_half(_binned(rows, model).groupBy("_group", "_bin").agg(*sums))
-        later = written(half.mapInPandas(_estimates, MODEL), "mcd")
-        moved = later.join(model.select("_group", F.col("logdet").alias("_was")), "_group").agg(F.max(F.abs(F.col("logdet") - F.col("_was")))).first()[0]
-        model = later
-        if moved is None or moved < 1e-9:
-            break
-    halves = _up_to_half(_binned(rows, model).groupBy("_group", "_bin").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    unit = halves.select("_group", (F.pow(F.lit(2.0), (F.col("_bin") + 0.5) / 16) / MEDIAN).alias("_unit"))
-    return model.join(unit, "_group").select("_group", "center", "inverse", "logdet", F.greatest("_unit", F.lit(1e-3)).alias("unit"))
-
-
-def judged(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """stats (of measured, written) with distance and kept."""
+    """The model of each group of rows (_group, x): center, inverse covariance, degrees of freedom and the unit of distance."""
+    spark, rows = rows.sparkSession, written(rows, "vectors")
+    x = lambda i: F.col("x")[i]
+    median = [F.percentile(F.round(x(i), 3), 0.5) for i in range(DIMS)]  # at most some 10,000 distinct values
+    mid = _near(rows.groupBy("_group").agg(F.array(*median).alias("m")), "medians")
+    away = [F.percentile(F.round(F.abs(x(i) - F.col("m")[i]), 3), 0.5) for i in range(DIMS)]
+    spread = _near(rows.join(mid, "_group").groupBy("_group").agg(F.array(*away).alias("mad")).join(mid, "_group"), "deviations")
+    # statistics in units of their deviation, for their signs; no deviation is taken for less than a thousandth
+    unit = F.transform(F.zip_with("x", F.arrays_zip("m", "mad"), lambda a, b: (a - b["m"]) / F.greatest(b["mad"] * 1.4826, F.lit(1e-3))), lambda y: y)
+    length = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, y: t + y * y)), F.lit(1e-9))
+    signs = rows.join(spread, "_group").withColumn("v", unit).withColumn("v", F.transform("v", lambda y: y / length))
+    sums = [F.sum(x(i)).alias(f"s{i}") for i in range(DIMS)] + [F.sum(x(i) * x(j)).alias(f"q{i}{j}") for i, j in _PAIRS]
+    signs = signs.groupBy("_group").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"u{i}{j}") for i, j in _PAIRS]).join(spread, "_group")
+    path = new_path(spark, "mcd")
+    signs.mapInArrow(_starts, MODEL).write.parquet(f"{path}/step=0")
+    model, step = spark.read.schema(MODEL).parquet(f"{path}/step=0"), 0
+    while (groups := model.count()) > 0:  # a start's determinant falls by EPSILON at least each time, and it has a bound
+        step += 1
+        _binned(rows, F.broadcast(model) if groups <= 3 * MOST_GROUPS else model, whole=True).write.parquet(f"{path}/step={step}")
+        model = spark.read.schema(MODEL).parquet(f"{path}/step={step}").where(F.col("logdet") < F.col("was") - EPSILON)
+    steps = spark.read.schema(MODEL).parquet(*[f"{path}/step={k}" for k in range(1, step + 1)]) if step else model
+    least = steps.groupBy("_group").agg(F.min_by(F.struct(*[c for c in steps.columns if c != "_group"]), F.struct("logdet", "_start")).alias("b")).select("_group", "b.*")
+    model = _near(_binned(rows, _near(least, "least"), False), "half")
+    near = F.array(*[F.lit(chi_square_quantile(0.025, k)) for k in range(1, DIMS + 1)])
+    close = rows.join(model, "_group").where(_distance() <= F.col("unit") * F.element_at(near, F.col("dof")))
+    again = close.groupBy("_group").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums).join(model.select("_group", "m", "dof"), "_group")
+
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moments = [(r, np.array([r[c] for c in _SUMS])) for r in batch.to_pylist()]
+            yield _models([_model(r["_group"], 0, np.array(r["m"]), *_moments(r["n"], s[:DIMS], s[DIMS:]), 0.0, dof=r["dof"]) for r, s in moments])
+
+    last = _binned(rows, _near(again.mapInArrow(estimated, MODEL), "reweighted"), False)
+    return _near(last.select("_group", "center", "inverse", "logdet", "dof", F.greatest("unit", F.lit(1.0)).alias("unit")), "models")
+
+
+def judged(stats: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
+    """stats (of measured, written) with distance, in units of the cutoff, and kept."""
     keys = {"s": F.to_json(F.struct("lang", "source")), "l": F.to_json(F.struct("lang")), "a": F.lit("")}
     good = stats.where(~F.col("base_failed"))
     counts = good.groupBy("lang", "source").count()
@@ -191,15 +302,16 @@ def judged(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP)
     # a document counts for its own group and, where smaller groups need it, for its language and for all
     wanted = F.array(*[F.concat(F.lit(f"{k}:"), keys[k]) for k in sorted(used | {"s"})])
     spread = rows.select(F.explode(wanted).alias("_group"), "x")
-    enough = spread.groupBy("_group").count().where(F.col("count") >= min_group).select("_group")
+    enough = _near(spread.groupBy("_group").count().where(F.col("count") >= min_group).select("_group"), "enough")
     model = fitted(spread.join(enough, "_group", "left_semi"))
-    own = F.when(F.col("_level") == "s", F.concat(F.lit("s:"), keys["s"])).when(F.col("_level") == "l", F.concat(F.lit("l:"), keys["l"])).otherwise(F.lit("a:"))
-    known = named.withColumnRenamed("_lang", "lang").withColumnRenamed("_source", "source").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), own.alias("_group"))
-    models = known.join(model, "_group", "left").drop("_group")
+    own = F.when(F.col("_level") == "s", F.concat(F.lit("s:"), F.to_json(F.struct(F.col("_lang").alias("lang"), F.col("_source").alias("source")))))
+    own = own.when(F.col("_level") == "l", F.concat(F.lit("l:"), F.to_json(F.struct(F.col("_lang").alias("lang"))))).otherwise(F.lit("a:"))
+    models = _near(named.select("_lang", "_source", own.alias("_group")).join(model, "_group", "left").drop("_group"), "named-models")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    scored = stats.withColumn("x", F.when(~F.col("base_failed"), F.array(*_vector()))).join(models, same, "left").withColumn("distance", _distance() / F.col("unit"))
+    beyond = F.array(*[F.lit(chi_square_quantile(tail, k)) for k in range(1, DIMS + 1)])
+    scored = stats.withColumn("x", F.when(~F.col("base_failed"), F.array(*_vector()))).join(models, same, "left").withColumn("distance", _distance() / F.col("unit") / F.element_at(beyond, F.col("dof")))
     scored = scored.withColumn("distance", F.when(F.col("center").isNotNull() & ~F.col("base_failed"), F.col("distance")))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).select(*stats.columns, "distance", "kept")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= 1)).select(*stats.columns, "distance", "kept")
 
 
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

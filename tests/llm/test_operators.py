@@ -161,6 +161,57 @@ def test_quality(spark, rows):
     assert quality.judged(empty).count() == 0
 
 
+def brute_distances(x, seed):
+    """Distances by the least determinant of covariance of exact halves, over many random starts, reweighted; in units of the cutoff."""
+    rng, steps = np.random.default_rng(seed), quality.smallest_steps(np.median(x, 0))
+    floor, h, best = np.diag(steps**2), len(x) // 2 + 1, None
+    distances = lambda c, s: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s), x - c)
+    for _ in range(60):
+        half, last = rng.choice(len(x), 6, replace=False), np.inf
+        while True:
+            c, s = x[half].mean(0), np.cov(x[half].T, bias=True)
+            det = np.linalg.slogdet(s + floor)[1]
+            if len(half) == h and det > last - 1e-9:
+                break
+            last = det if len(half) == h else np.inf
+            half = np.argsort(distances(c, s + floor), kind="stable")[:h]
+        if best is None or det < best[0]:
+            best = det, c, s
+    det, c, s = best
+    dof = max(int((np.diag(s) > steps**2).sum()), 1)
+    d = distances(c, s + floor)
+    near = d <= np.sort(d)[h - 1] / quality.chi_square_quantile(0.5, dof) * quality.chi_square_quantile(0.025, dof)
+    d = distances(x[near].mean(0), np.cov(x[near].T, bias=True) + floor)
+    return d / max(np.sort(d)[h - 1] / quality.chi_square_quantile(0.5, dof), 1) / quality.chi_square_quantile(quality.TAIL, dof)
+
+
+def test_quality_against_brute_force(spark):
+    """Distances of two groups equal those of exact halves but for the width of bins; junk of graded strength goes."""
+    r, docs = random.Random(31), []
+    for k in range(700):
+        w = prose(r, int(min(r.lognormvariate(4.5, 0.6), 900)) + 12).split()
+        w[3] += "$" if k % 5 == 0 else ""
+        docs.append((k, " ".join(w), "en", "a" if k % 3 else "b"))
+    docs += [(1000 + k, " ".join(w + "#$" * (1 + k % 4) if i % (1 + k % 7) == 0 else w for i, w in enumerate(prose(r, 120).split())), "en", "a") for k in range(90)]
+    stats = common.written(quality.measured(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")))
+    got = {g.doc_id: g for g in quality.judged(stats).collect()}
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for source in "ab":
+        ids = [g.doc_id for g in got.values() if g.source == source and not g.base_failed]
+        n, chars, symbols, lines, words = np.array([[got[i][c] for c in names] for i in ids], dtype=float).T
+        want = brute_distances(np.stack([np.log1p(n), np.log(chars / n), np.log1p(100 * symbols / chars), np.log1p(lines), words / n], 1), 5)
+        have = np.array([got[i].distance for i in ids])
+        # bins are a sixteenth of a doubling wide, and steps end short of the last percent: other halves, much the same estimate
+        assert np.corrcoef(np.log(have), np.log(want))[0, 1] > 0.98 and abs(np.median(have / want) - 1) < 0.1
+        assert ((have > 1) == (want > 1)).mean() > 0.99
+    assert not any(got[1000 + k].kept for k in range(90)) and sum(got[k].kept for k in range(700)) >= 690
+
+
+def test_chi_square_quantiles():
+    for dof, tail, want in ((1, 0.5, 0.454936), (2, 0.025, 7.377759), (3, 0.05, 7.814728), (4, 0.5, 3.356694), (5, 0.01, 15.086272)):
+        assert abs(quality.chi_square_quantile(tail, dof) - want) < 1e-5
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     r = random.Random(4)
