@@ -355,6 +355,41 @@ def test_pipeline_keeps_clean_documents(spark, rows, tmp_path):
     assert clean <= got and 40 in got and not got & {41, 42, 43}
 
 
+def test_pipeline_stages(spark, rows, tmp_path):
+    """Each stage on nulls, empty, long and repeated texts, repeated and null ids, clashing columns and an empty table."""
+    import corpus_pipeline
+
+    docs = common.written(table(spark, rows))
+    for data in (docs, common.written(docs.limit(0))):
+        kept = dict()
+        for name, stage in corpus_pipeline.STAGES:
+            kept[name] = stage(spark, data, "")
+            assert name == "best-fit packing" or tuple(kept[name].columns) == corpus_pipeline.COLUMNS
+            kept[name] = kept[name].collect()
+    assert not any(kept.values())
+    kept = {name: stage(spark, docs, "").collect() for name, stage in corpus_pipeline.STAGES}
+    first = [(g.doc_id, g.text) for g in kept["near-duplicates"]]
+    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    want, seen = [], set()
+    for i, t in sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], digest(x[1]))):
+        if (t or "") not in seen and i != 41:  # 41 is near 40, with a lesser id or digest
+            want.append((i, t or ""))
+        seen.add(t or "")
+    assert sorted((str(i), t or "") for i, t in first) == sorted((str(i), t) for i, t in want)
+    assert {g.doc_id for g in kept["quality rules"]} >= {i for i, t in rows if i is not None and i < 30 and counts(t)[0] >= 10}
+    assert len(kept["repeated strings"]) == len(rows) and all(g.n_chars == len(g.text) for g in kept["repeated strings"])
+    assert sum(len((t or "")) for _, t in rows) > sum(g.n_chars for g in kept["repeated strings"])
+
+
+@pytest.mark.parametrize("name", ["op1_weighted_sampling", "op3_probminhash", "op4_suffix_groups", "op5_prefix_table_encoding", "op6_robust_outliers", "op7_vector_best_fit", "op8_stratified_interleaving", "op9_cross_entropy_difference", "pipeline"])
+def test_empty_tables(spark, tmp_path, name):
+    from notelake.llm import queries
+
+    table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries.queries()[name](spark, str(tmp_path)).count() == 0
+
+
 def test_scores_count_every_word_and_pair(spark, monkeypatch):
     """Losses equal those of whole counts, with more distinct words and pairs than any fixed table of classes tells apart."""
     monkeypatch.setattr(lm_scoring, "BLOCK", 1 << 16)
