@@ -24,6 +24,4 @@ class Ranking:
     popularity: float = 0.40
     decay: float = 0.5
     respect_domain: bool = False
-    similar: float = 0.7
-    auto_link: float = 0.8
     fields: dict = field(default_factory=lambda: dict(FIELD_WEIGHTS))

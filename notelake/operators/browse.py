@@ -44,6 +44,11 @@ def with_all_tags(tags: DataFrame, wanted: list[str]) -> DataFrame:
     return tags.where(F.col("tag").isin(wanted)).groupBy("note_id").agg(F.count_distinct("tag").alias("n")).where(F.col("n") == len(wanted)).select("note_id")
 
 
+def with_each_tag(notes: DataFrame, tags: DataFrame, wanted: list[str]) -> DataFrame:
+    """notes that have every tag wanted, one semi-join a tag; a tag that is wanted twice changes nothing."""
+    return reduce(lambda d, t: d.join(tags.where(F.col("tag") == t).select("note_id"), "note_id", "left_semi"), wanted, notes)
+
+
 def tag_usage(tags: DataFrame, notes: DataFrame) -> DataFrame:
     kept = notes.where("status <> 'retracted'").select("note_id")
     return tags.join(kept, "note_id", "left_semi").groupBy("tag").agg(F.count(F.lit(1)).alias("notes"))
@@ -66,6 +71,17 @@ def bulk(notes: DataFrame, tags: DataFrame, *, domain=None, kind=None, wanted=()
     return rows.select("note_id", "title", "updated_at").orderBy(F.col("updated_at").desc(), "note_id")
 
 
+def resolved_prefixes(notes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(prefix, notes, note_id) of prefixes of ids: how many notes begin with each, and the one where it is the only one.
+
+    Prefixes meet ids by their own lengths, one join for each length."""
+    ids = notes.select("note_id", F.lower(F.col("note_id").cast("string")).alias("_id"))
+    sizes = [r[0] for r in prefixes.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).collect()]  # at most an id's length
+    met = [prefixes.where(F.length("prefix") == n).select("prefix").distinct().join(ids.select("note_id", F.substring("_id", 1, n).alias("_p")), F.lower("prefix") == F.col("_p"), "left") for n in sizes]
+    every = reduce(DataFrame.union, met) if met else prefixes.select("prefix", F.lit(None).cast("long").alias("note_id"), F.lit(None).cast("string").alias("_p")).where(F.lit(False))
+    return every.groupBy("prefix").agg(F.count("note_id").alias("notes"), F.min("note_id").alias("_least")).select("prefix", "notes", F.when(F.col("notes") == 1, F.col("_least")).alias("note_id"))
+
+
 def resolve(notes: DataFrame, prefix: str) -> int:
     """The one note whose id begins with prefix; none or several are errors. Two ids at most reach the driver."""
     found = notes.where(F.lower(F.col("note_id").cast("string")).startswith(prefix.lower())).select("note_id").limit(2).collect()

@@ -1,11 +1,14 @@
-"""The typed graph of notes: neighbours, degrees, one-hop expansion."""
+"""The typed graph of notes: links in texts, their targets, neighbours, degrees, one-hop expansion."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EDGE_WEIGHTS
+from ..functions.text import wikilinks
+
+EDGE = ("src", "dst", "edge_type", "weight", "source_type", "context")
 
 
 def weight(edge_type: Column) -> Column:
@@ -13,12 +16,53 @@ def weight(edge_type: Column) -> Column:
     return F.coalesce(F.try_element_at(table, edge_type), F.lit(1.0))
 
 
-def neighbors(edges: DataFrame, notes: DataFrame, note_id: int) -> DataFrame:
-    """Edges from and to a note with the other note's title; notes that don't exist are left out, retracted ones not."""
+def resolved(links: DataFrame, notes: DataFrame, target: str = "target") -> DataFrame:
+    """links with dst: the live note whose id the target is, else the least live one with that title in any case; null without."""
+    live = notes.where("status <> 'retracted'")
+    ids = live.select(F.col("note_id").alias("_by_id"), F.col("note_id").cast("string").alias("_id"))
+    titles = live.where("title IS NOT NULL").groupBy(F.lower("title").alias("_title")).agg(F.min("note_id").alias("_by_title"))
+    met = links.join(ids, F.col(target) == F.col("_id"), "left").join(titles, F.lower(target) == F.col("_title"), "left")
+    return met.withColumn("dst", F.coalesce("_by_id", "_by_title")).drop("_by_id", "_id", "_by_title", "_title")
+
+
+def text_links(texts: DataFrame) -> DataFrame:
+    """(src, target, edge_type, source_type, context, pos) of the wikilinks of texts (note_id, body), each target once."""
+    found = texts.select(F.col("note_id").alias("src"), F.explode(wikilinks(F.col("body"))).alias("x"))
+    return found.select("src", "x.target", F.lit("references").alias("edge_type"), F.lit("body").alias("source_type"), "x.context", "x.pos")
+
+
+def stated_links(notes: DataFrame) -> DataFrame:
+    """As text_links, of the frontmatter's links: notes (note_id, links array of (target, rel))."""
+    found = notes.select(F.col("note_id").alias("src"), F.posexplode("links").alias("pos", "x"))
+    return found.select("src", "x.target", F.col("x.rel").alias("edge_type"), F.lit("frontmatter").alias("source_type"), F.lit(None).cast("string").alias("context"), "pos")
+
+
+def synced(links: DataFrame, notes: DataFrame, kept: DataFrame) -> DataFrame:
+    """Edges of notes from all their links and the edges kept (made by similarity), one for each source, destination and type.
+
+    Kept edges come first, then links in the body, then those in the frontmatter; dead links and links to oneself go."""
+    found = resolved(links, notes).where("dst IS NOT NULL AND dst <> src").withColumn("weight", weight(F.col("edge_type")))
+    rank = F.when(F.col("source_type") == "body", 1).otherwise(2)
+    every = found.select(*EDGE, rank.alias("_rank"), "pos").unionByName(kept.select(*EDGE, F.lit(0).alias("_rank"), F.lit(0).alias("pos")))
+    first = Window.partitionBy("src", "dst", "edge_type").orderBy("_rank", "pos", "context")
+    return every.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*EDGE)
+
+
+def touched(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Notes whose degrees a change of edges may change: destinations of old and new ones, and their sources."""
+    ends = old.select(F.col("dst").alias("note_id")).union(new.select("dst")).union(old.select("src")).union(new.select("src"))
+    return ends.distinct()
+
+
+def neighbors(edges: DataFrame, notes: DataFrame, note_id: int | None = None) -> DataFrame:
+    """Edges from and to a note, or from and to each note, with the other note's title; notes that don't exist are left out, retracted ones not."""
     titles = notes.select(F.col("note_id").alias("other"), "title")
-    away = edges.where(F.col("src") == note_id).select(F.lit("out").alias("direction"), F.col("dst").alias("other"), "edge_type")
-    back = edges.where(F.col("dst") == note_id).select(F.lit("in").alias("direction"), F.col("src").alias("other"), "edge_type")
-    return away.union(back).join(titles, "other")
+    away = edges.select(F.col("src").alias("note_id"), F.lit("out").alias("direction"), F.col("dst").alias("other"), "edge_type")
+    back = edges.select(F.col("dst").alias("note_id"), F.lit("in").alias("direction"), F.col("src").alias("other"), "edge_type")
+    both = away.union(back)
+    if note_id is not None:
+        both = both.where(F.col("note_id") == note_id).drop("note_id")
+    return both.join(titles, "other")
 
 
 def degrees(edges: DataFrame, notes: DataFrame) -> DataFrame:
@@ -32,12 +76,13 @@ def expand(seeds: DataFrame, edges: DataFrame, decay: float = 0.5) -> DataFrame:
     """(note_id, graph) that seeds (note_id, seed) pass on over one hop, in both directions.
 
     An edge counts once for each end that is a seed, so one between two seeds counts double in either direction. An edge
-    of type supersedes passes nothing, either way, if its source is a seed."""
+    of type supersedes passes nothing, either way, if its source is a seed. Only edges that touch a seed are read on."""
     s = seeds.select(F.col("note_id").alias("_s"), F.col("seed").alias("_from"))
     t = seeds.select(F.col("note_id").alias("_t"), F.col("seed").alias("_to"))
-    met = edges.select("src", "dst", "edge_type").join(s, F.col("src") == F.col("_s"), "left").join(t, F.col("dst") == F.col("_t"), "left")
-    met = met.where("(_s IS NOT NULL OR _t IS NOT NULL) AND NOT (edge_type = 'supersedes' AND _s IS NOT NULL)")
-    times = F.when(F.col("_s").isNotNull() & F.col("_t").isNotNull(), F.lit(2.0)).otherwise(F.lit(1.0))
-    met = met.withColumn("w", times * weight(F.col("edge_type")) * F.lit(decay))
+    e = edges.select("src", "dst", "edge_type")
+    out = e.join(s, F.col("src") == F.col("_s")).join(t, F.col("dst") == F.col("_t"), "left")
+    into = e.join(t, F.col("dst") == F.col("_t")).join(s, F.col("src") == F.col("_s"), "left")
+    met = out.select("src", "dst", "edge_type", "_from", "_to").union(into.select("src", "dst", "edge_type", "_from", "_to"))
+    met = met.where("NOT (edge_type = 'supersedes' AND _from IS NOT NULL)").withColumn("w", weight(F.col("edge_type")) * F.lit(decay))
     ways = F.array(F.struct(F.col("dst").alias("note_id"), (F.col("_from") * F.col("w")).alias("g")), F.struct(F.col("src").alias("note_id"), (F.col("_to") * F.col("w")).alias("g")))
     return met.select(F.explode(ways).alias("x")).select("x.*").where("g IS NOT NULL").groupBy("note_id").agg(F.sum("g").alias("graph"))

@@ -1,19 +1,24 @@
-"""Full-text search: a query language, BM25 over weighted fields, corpus statistics.
+"""Full-text search: a query language, an index of postings, BM25 over weighted fields, snippets, corpus statistics.
 
-A query's phrases are counted in token arrays by array functions, so the corpus is scanned once for its statistics (one
-row) and once for the scores; no postings are shuffled, whatever the number of phrases."""
+The index is a table (term, note_id, field, n, places), sorted by term in each of its files, so that a query reads the
+pages of its own terms only, a table of the notes' lengths, and the corpus's totals. It is built once from a set of texts
+and serves every query on it; phrases are met by the places of their words."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FIELD_WEIGHTS
-from ..functions.text import tokens
+from ..functions.text import fold, tokens, words
+from ..plans.tables import written
 
 K1, B = 1.2, 0.75
 
@@ -32,13 +37,6 @@ class Both:
     how: str  # AND, OR, NOT
 
 
-def _words(text: str) -> tuple[str, ...]:
-    import unicodedata
-
-    folded = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-    return tuple(re.findall(r"[^\W_]+", folded))
-
-
 def parse(query: str, fields=tuple(FIELD_WEIGHTS)):
     """The query's tree of Both and Phrase. Precedence, tightest first: side by side, NOT, AND, OR."""
     found = re.findall(r'\s*(?:("(?:[^"]|"")*")|([\w\x80-\U0010ffff]+)|(\S))', query)
@@ -92,7 +90,7 @@ def parse(query: str, fields=tuple(FIELD_WEIGHTS)):
         prefix = peek() == ("sign", "*")
         if prefix:
             take()
-        return Phrase(_words(value), column, prefix)
+        return Phrase(words(value), column, prefix)
 
     tree = either()
     if at < len(items):
@@ -117,62 +115,188 @@ def all_phrases(tree) -> list[Phrase]:
     return [tree] if isinstance(tree, Phrase) else all_phrases(tree.left) + all_phrases(tree.right)
 
 
-def count_of(array: Column, phrase: Phrase) -> Column:
-    """How often a token array has the phrase."""
-    words = phrase.words
-    if not words:
-        return F.lit(0)
-    if len(words) == 1:
-        w = words[0]
-        return F.size(F.filter(array, (lambda t: t.startswith(w)) if phrase.prefix else (lambda t: t == w)))
-    # places where the phrase begins, in the tokens set apart by blanks; they may overlap
-    line = F.concat(F.lit(" "), F.array_join(array, " "), F.lit(" "))
-    return F.regexp_count(line, F.lit(f"(?<= )(?={' '.join(words)}{'' if phrase.prefix else ' '})"))
-
-
-def analysed(notes: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """Notes with a token array for each field."""
-    return notes.select("note_id", *[tokens(F.col(f)).alias(f"tok_{f}") for f in fields])
+class Index:
+    """Postings, lengths and totals of texts (note_id, a column for each field); a field that texts lack is empty."""
+
+    def __init__(self, texts: DataFrame, fields=tuple(FIELD_WEIGHTS)):
+        self.fields = tuple(f for f in fields if f in texts.columns)
+        self.texts = texts
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """Places are counted from 0. Notes meet their terms by term, note and field, so a frequent word is in many tasks."""
+        every = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in self.fields])
+        rows = self.texts.select("note_id", F.explode(every).alias("x")).select("note_id", "x.field", F.posexplode("x.t").alias("place", "term"))
+        found = rows.groupBy("term", "note_id", "field").agg(F.count(F.lit(1)).alias("n"), F.collect_list("place").alias("places"))
+        return written(found.sortWithinPartitions("term", "note_id"), "postings")
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        sums = self.postings.groupBy("note_id").agg(*[F.sum(F.when(F.col("field") == f, F.col("n"))).alias(f) for f in self.fields])
+        every = self.texts.select("note_id").join(sums, "note_id", "left")
+        return written(every.select("note_id", *[F.coalesce(f, F.lit(0)).alias(f) for f in self.fields]), "lengths")
+
+    @cached_property
+    def totals(self) -> dict[str, int]:
+        """Number of notes, and of tokens by field: one row."""
+        row = self.lengths.agg(F.count(F.lit(1)).alias("_notes"), *[F.sum(f).alias(f) for f in self.fields]).first()
+        return {k: int(v or 0) for k, v in row.asDict().items()}
+
+    def phrase(self, p: Phrase, weights: dict[str, float]) -> DataFrame:
+        """(note_id, n, f) of the notes that have a phrase: how often, and by weights of fields."""
+        used = {p.field: weights[p.field]} if p.field else weights
+        weight = F.element_at(F.create_map(*[F.lit(x) for pair in used.items() for x in (pair[0], float(pair[1]))]), F.col("field"))
+        rows = self.postings.where(F.col("field").isin(list(used)))
+        meets = lambda i: F.col("term").startswith(p.words[i]) if p.prefix and i == len(p.words) - 1 else F.col("term") == p.words[i]
+        if not p.words:
+            rows = rows.where(F.lit(False))
+        elif len(p.words) == 1:
+            rows = rows.where(meets(0))
+        else:
+            of = lambda i: rows.where(meets(i)).select("note_id", "field", F.explode("places").alias("_p")).select("note_id", "field", (F.col("_p") - i).alias("_p"))
+            found = reduce(lambda a, i: a.join(of(i), ["note_id", "field", "_p"], "left_semi"), range(1, len(p.words)), of(0))
+            rows = found.groupBy("note_id", "field").agg(F.count(F.lit(1)).alias("n"))
+        return rows.select("note_id", "n", (F.col("n") * weight).alias("f"))
+
+    def bm25(self, query: str, weights: dict[str, float] | None = None) -> DataFrame:
+        """(note_id, bm25) of the notes that match, the least (most negative) being the best. A malformed query matches none.
+
+        Statistics span all notes of the index, as filters come after matching. All fields of weights count in a note's
+        length; a phrase that is bound to a column has its occurrences from there alone."""
+        weights = {f: w for f, w in (weights or FIELD_WEIGHTS).items() if f in self.fields}
+        try:
+            tree = parse(query, tuple(weights))
+        except ValueError:
+            return self.lengths.select("note_id", F.lit(0.0).alias("bm25")).where(F.lit(False))
+        phrases = list(dict.fromkeys(all_phrases(tree)))
+        name = {p: f"p{i}" for i, p in enumerate(phrases)}
+        every = reduce(DataFrame.unionByName, [self.phrase(p, weights).withColumn("_k", F.lit(i)) for i, p in enumerate(phrases)])
+        zero = lambda c, i: F.coalesce(F.sum(F.when(F.col("_k") == i, F.col(c))), F.lit(0))
+        rows = every.groupBy("note_id").agg(*[x for i, k in enumerate(name.values()) for x in (zero("n", i).alias(f"n_{k}"), zero("f", i).cast("double").alias(f"f_{k}"))])
+        rows = written(rows, "matches")
+        have = rows.agg(*[F.count_if(F.col(f"n_{k}") > 0).alias(k) for k in name.values()]).first()
+        total, size = self.totals["_notes"], sum(self.totals[f] for f in weights)
+
+        def matches(t) -> Column:
+            if isinstance(t, Phrase):
+                return F.col(f"n_{name[t]}") > 0
+            left, right = matches(t.left), matches(t.right)
+            return left & right if t.how == "AND" else left | right if t.how == "OR" else left & ~right
+
+        length = reduce(lambda a, b: a + b, [F.col(f) for f in weights])
+        score = F.lit(0.0)
+        for p in scored_phrases(tree):
+            k = name[p]
+            rare = math.log((total - have[k] + 0.5) / (have[k] + 0.5))
+            f = F.col(f"f_{k}")
+            share = F.lit(rare if rare > 0 else 1e-6)
+            score = score - F.when(f > 0, share * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(size / total if total and size else 1.0)))).otherwise(F.lit(0.0))
+        return rows.where(matches(tree)).join(self.lengths, "note_id").select("note_id", score.alias("bm25"))
 
 
 def bm25(notes: DataFrame, query: str, fields: dict[str, float] | None = None) -> DataFrame:
-    """(note_id, bm25) of the notes that match, the least (most negative) being the best. A malformed query matches none.
-
-    Statistics span all notes given, as filters come after matching."""
+    """Index.bm25 over an index of notes that is built for this query alone."""
     fields = fields or FIELD_WEIGHTS
-    text = analysed(notes, fields)
+    return Index(notes, tuple(fields)).bm25(query, fields)
+
+
+def plain_query(text: str) -> str:
+    """A text's letters and digits as a query in which all of them have to occur, whatever signs it holds."""
+    return " ".join(f'"{w}"' for w in re.findall(r"[^\W_]+", text))
+
+
+# ---------------------------------------------------------------- snippets
+
+SNIPPET = 32
+
+
+def _spans(body: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), fold(m[0])) for m in re.finditer(r"[^\W_]+(?:[\u0300-\u036f]+[^\W_]*)*", body)]
+
+
+def _hits(spans: list[tuple[int, int, str]], phrases: list[Phrase]) -> list[tuple[int, int, int]]:
+    """(first token, number of tokens, phrase) of the phrases' places, in order."""
+    out = []
+    for k, p in enumerate(phrases):
+        n = len(p.words)
+        for i in range(len(spans) - n + 1 if n else 0):
+            last = spans[i + n - 1][2]
+            if all(spans[i + j][2] == p.words[j] for j in range(n - 1)) and (last.startswith(p.words[-1]) if p.prefix else last == p.words[-1]):
+                out.append((i, n, k))
+    return sorted(out)
+
+
+def snippet(body: str | None, phrases: list[Phrase], size: int = SNIPPET) -> str:
+    """The part of a body of at most size tokens with most of the phrases, these in brackets; empty without a body.
+
+    A window begins at each hit, centred on its hits, and at the sentence before it. It scores 1000 for each phrase, 1 for
+    each repetition, 100 for a sentence's start and 120 for the body's; of the best, the first counts."""
+    body = body or ""
+    spans = _spans(body)
+    hits = _hits(spans, phrases)
+    starts = [0]
+    for i in range(1, len(spans)):
+        gap = body[spans[i - 1][1] : spans[i][0]]
+        if gap[-1:].isspace() and gap.rstrip()[-1:] in (".", ":"):
+            starts.append(i)
+
+    def value(begin: int) -> tuple[int, int, int]:
+        seen, total, first, last = set(), 0, None, None
+        for i, n, k in hits:
+            if begin <= i and i + n <= begin + size:
+                total += 1 if k in seen else 1000
+                seen.add(k)
+                first = i if first is None else first
+                last = i + n
+        return total, begin if first is None else first, begin + 1 if last is None else last
+
+    best, at = -1, 0
+    for begin, _, _ in hits:
+        total, first, last = value(begin)
+        if total > best:
+            best = total
+            at = max(0, min(first - int((size - (last - first)) / 2), max(len(spans) - size, 0)))
+        if len(spans) > size:
+            before = [s for s in starts if s < begin]
+            if before:
+                total = value(before[-1])[0] + (120 if before[-1] == 0 else 100)
+                if total > best:
+                    best, at = total, before[-1]
+    if not spans:
+        return body
+    end = min(at + size, len(spans))
+    out, here, until = [], spans[at][0] if at else 0, spans[end - 1][1] if end < len(spans) else len(body)
+    marked = []
+    for i, n, _ in hits:
+        if at <= i and i + n <= end:
+            if marked and i < marked[-1][1]:
+                marked[-1][1] = max(marked[-1][1], i + n)
+            else:
+                marked.append([i, i + n])
+    for a, b in marked:
+        out += [body[here : spans[a][0]], "[", body[spans[a][0] : spans[b - 1][1]], "]"]
+        here = spans[b - 1][1]
+    return "..." * (at > 0) + "".join(out) + body[here:until] + "..." * (end < len(spans))
+
+
+def snippets(notes: DataFrame, query: str, size: int = SNIPPET) -> DataFrame:
+    """(note_id, snippet) of a few notes (note_id, body) for a query; a phrase bound to another column marks nothing."""
     try:
-        tree = parse(query, tuple(fields))
+        phrases = [p for p in dict.fromkeys(scored_phrases(parse(query))) if p.field in (None, "body")]
     except ValueError:
-        return text.select("note_id", F.lit(0.0).alias("bm25")).where(F.lit(False))
-    phrases = list(dict.fromkeys(all_phrases(tree)))
-    name = {p: f"p{i}" for i, p in enumerate(phrases)}
-    counts = []
-    for p in phrases:
-        used = {p.field: fields[p.field]} if p.field else fields
-        per = {f: count_of(F.col(f"tok_{f}"), p) for f in used}
-        counts += [reduce(lambda a, b: a + b, per.values()).alias(f"n_{name[p]}"), reduce(lambda a, b: a + b, [per[f] * F.lit(w) for f, w in used.items()]).alias(f"f_{name[p]}")]
-    length = reduce(lambda a, b: a + b, [F.size(f"tok_{f}") for f in fields])
-    rows = text.select("note_id", length.alias("len"), *counts)
-    stats = rows.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avgdl"), *[F.sum(F.when(F.col(f"n_{k}") > 0, 1).otherwise(0)).alias(f"d_{k}") for k in name.values()])
-
-    def matches(t) -> Column:
-        if isinstance(t, Phrase):
-            return F.col(f"n_{name[t]}") > 0
-        left, right = matches(t.left), matches(t.right)
-        return left & right if t.how == "AND" else left | right if t.how == "OR" else left & ~right
-
-    score = F.lit(0.0)
-    for p in scored_phrases(tree):
-        k = name[p]
-        idf = F.log((F.col("N") - F.col(f"d_{k}") + F.lit(0.5)) / (F.col(f"d_{k}") + F.lit(0.5)))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        f = F.col(f"f_{k}")
-        score = score - F.when(f > 0, idf * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avgdl")))).otherwise(F.lit(0.0))
-    return rows.where(matches(tree)).crossJoin(F.broadcast(stats)).select("note_id", score.alias("bm25"))  # stats is one row
+        phrases = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([snippet(x.as_py(), phrases, size) for x in batch.column(1)], pa.string())], names=["note_id", "snippet"])
+
+    return notes.select("note_id", "body").mapInArrow(run, f"note_id {dict(notes.dtypes)['note_id']}, snippet string")
+
+
+# ---------------------------------------------------------------- statistics
 
 
 def term_stats(notes: DataFrame, field: str = "body") -> DataFrame:
     """Documents and occurrences of each term of a field."""
-    words = notes.select("note_id", F.explode(tokens(F.col(field))).alias("term"))
-    return words.groupBy("note_id", "term").count().groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("count").alias("occurrences"))
+    found = notes.select("note_id", F.explode(tokens(F.col(field))).alias("term"))
+    return found.groupBy("note_id", "term").count().groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("count").alias("occurrences"))

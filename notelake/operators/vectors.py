@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries whose vectors are sent to all executors at once; more of them are served in as many passes.
+BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """Sum of products, up to the shorter one's end."""
+    n = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def normalized(v: Column) -> Column:
@@ -16,13 +26,72 @@ def normalized(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+def off_unit(vectors: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """(note_id, norm) of the vectors whose length isn't one; none should be left."""
+    return vectors.select("note_id", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).where(F.abs(F.col("norm") - 1) > tolerance)
+
+
+def _rows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the vectors of one size; others, null ones too, meet nothing."""
+    column = column.cast(pa.list_(pa.float64()))
+    lengths = np.array(column.value_lengths().fill_null(-1))
+    kept = np.flatnonzero(lengths == size)
+    flat = column.take(pa.array(kept)).flatten()
+    return kept, flat.to_numpy(zero_copy_only=False).reshape(len(kept), size)
+
+
+def _near(ids: np.ndarray, queries: np.ndarray, k: int | None, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            for i in range(0, len(names), 4096):
+                kept, values = _rows(batch.column(1).slice(i, 4096), queries.shape[1])
+                if not len(kept):
+                    continue
+                about = values @ queries.T
+                about[names[i:][kept][:, None] == ids[None, :]] = -np.inf
+                least = np.full(len(ids), threshold)
+                if k is not None and k < len(kept):
+                    least = np.maximum(least, np.partition(about, len(kept) - k, axis=0)[len(kept) - k])
+                n, q = np.nonzero(about >= least - 1e-9)
+                exact = np.zeros(len(n))
+                for d in range(queries.shape[1]):  # in one order of terms, so that equal vectors are equally near
+                    exact += values[n, d] * queries[q, d]
+                found = exact >= threshold
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q][found]), pa.array(names[i:][kept][n][found]), pa.array(exact[found])], names=["query_id", "note_id", "similarity"])
+
+    return run
+
+
 def similar(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float = -2.0) -> DataFrame:
     """(query_id, note_id, similarity, rank): the k nearest (all, where k is None) of each of a stated set of queries, itself left out.
 
-    Queries are few against the vectors: each partition of vectors meets all of them."""
-    q = queries.select(F.col("note_id").alias("query_id"), F.col("embedding").alias("_q"))
-    pairs = vectors.select("note_id", "embedding").join(q, F.col("note_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "note_id", dot(F.col("embedding"), F.col("_q")).alias("similarity")).where((F.col("similarity") >= threshold) & ~F.isnan("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "note_id")
-    ranked = scored.withColumn("rank", F.row_number().over(w))
+    Queries go to the executors in blocks of BLOCK, and all vectors pass each block; of a batch of vectors only the k
+    nearest of each query are passed on. Vectors of another size than the queries' most frequent one meet nothing."""
+    queries = queries.select(F.col("note_id").cast("long").alias("note_id"), "embedding").where("note_id IS NOT NULL AND embedding IS NOT NULL")
+    schema = "query_id long, note_id long, similarity double"
+    common = queries.groupBy(F.size("embedding").alias("size")).count().orderBy(F.col("count").desc(), "size").first()
+    empty = queries.sparkSession.createDataFrame([], schema)
+    blocks = -(-queries.count() // BLOCK)
+    parts = []
+    for b in range(blocks):
+        block = queries.where((F.pmod(F.xxhash64("note_id"), F.lit(blocks)) == b) & (F.size("embedding") == common["size"])).toArrow()  # some BLOCK rows
+        ids = block.column("note_id").to_numpy()
+        matrix = _rows(block.column("embedding").combine_chunks(), common["size"])[1] if len(ids) else np.zeros((0, common["size"]))
+        parts.append(vectors.select(F.col("note_id").cast("long"), "embedding").where("note_id IS NOT NULL").mapInArrow(_near(ids, matrix, k, threshold), schema))
+    scored = reduce(DataFrame.union, parts, empty) if parts else empty
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "note_id")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def suggestions(vectors: DataFrame, queries: DataFrame, notes: DataFrame, most: int = 5, threshold: float = 0.7) -> DataFrame:
+    """(query_id, note_id, title, similarity, rank) of the nearest live notes beyond threshold; similarity to three places."""
+    near = similar(vectors, queries, most, threshold)
+    return near.join(notes.select("note_id", "title"), "note_id").select("query_id", "note_id", "title", F.round("similarity", 3).alias("similarity"), "rank")
+
+
+def auto_edges(near: DataFrame, edges: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Edges to append for near (query_id, note_id, similarity): references from the query, but for those that exist."""
+    new = near.where(F.col("similarity") >= threshold).select(F.col("query_id").alias("src"), F.col("note_id").alias("dst"), F.lit("references").alias("edge_type"))
+    new = new.join(edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
+    return new.select("src", "dst", "edge_type", F.lit(1.0).alias("weight"), F.lit("auto").alias("source_type"), F.lit(None).cast("string").alias("context"))

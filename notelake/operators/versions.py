@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import heading, right_trimmed
 
-def history(versions: DataFrame, note_id: int) -> DataFrame:
-    """A note's versions from the head back, by its chain of predecessors; depth 0 is the head."""
-    spark = versions.sparkSession
-    versions.where(F.col("note_id") == note_id).select("note_id", "seq", "prev", "content_hash").createOrReplaceTempView("_chain")
-    return spark.sql("""
-        WITH RECURSIVE h AS (
-          SELECT note_id, seq, prev, content_hash, 0 AS depth FROM _chain WHERE seq = (SELECT max(seq) FROM _chain)
-          UNION ALL SELECT c.note_id, c.seq, c.prev, c.content_hash, h.depth + 1 FROM h JOIN _chain c ON c.seq = h.prev)
-        SELECT note_id, seq, content_hash, depth FROM h""")
+
+def history(versions: DataFrame, note_id: int | None = None) -> DataFrame:
+    """Versions of a note, or of each note, from the head back; depth 0 is the head. Chains are linear: order by seq."""
+    rows = versions if note_id is None else versions.where(F.col("note_id") == note_id)
+    depth = F.row_number().over(Window.partitionBy("note_id").orderBy(F.col("seq").desc())) - 1
+    return rows.select("note_id", "seq", "content_hash", depth.alias("depth"))
 
 
 def heads(versions: DataFrame) -> DataFrame:
@@ -32,61 +30,145 @@ def rollback(versions: DataFrame, to: int) -> DataFrame:
     return latest.join(old, "note_id").select("note_id", (F.col("head") + 1).alias("seq"), F.col("head").alias("prev"), "content_hash")
 
 
+def hashed(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def stored(texts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(hash, payload) to append to a content-addressed table: each new content once."""
     new = texts.select(F.sha2("text", 256).alias("hash"), F.col("text").alias("payload")).dropDuplicates(["hash"])
     return new if existing is None else new.join(existing.select("hash"), "hash", "left_anti")
 
 
+def committed(versions: DataFrame, changed: DataFrame) -> DataFrame:
+    """The versions to append for changed notes (note_id, frontmatter, body): each follows its note's head, or is its first.
+
+    A content's hash is that of the two parts' hashes, one behind the other; a note whose content stays gets no version."""
+    latest = heads(versions).select("note_id", F.col("seq").alias("head"), F.col("content_hash").alias("_was"))
+    parts = changed.select("note_id", hashed(F.col("frontmatter")).alias("fm_hash"), hashed(F.col("body")).alias("md_hash"))
+    rows = parts.withColumn("content_hash", F.sha2(F.concat("fm_hash", "md_hash"), 256)).join(latest, "note_id", "left")
+    rows = rows.where("_was IS NULL OR _was <> content_hash")
+    return rows.select("note_id", F.coalesce(F.col("head") + 1, F.lit(0)).alias("seq"), F.col("head").alias("prev"), "fm_hash", "md_hash", "content_hash")
+
+
+# ---------------------------------------------------------------- differences
+
+
 def line_diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """A shortest edit script by lines: (' ', '-' or '+', line)."""
-    n, m = len(old), len(new)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if old[i] == new[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and old[i] == new[j]:
-            out.append((" ", old[i]))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
-            out.append(("-", old[i]))
-            i += 1
-        else:
-            out.append(("+", new[j]))
-            j += 1
-    return out
+    """A shortest edit script by lines: (' ', '-' or '+', line). Its work grows with the lines times the differences."""
+    head = 0
+    while head < min(len(old), len(new)) and old[head] == new[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    a, b = old[head : len(old) - tail], new[head : len(new) - tail]
+    script: list[tuple[str, str]] = []
+    for steps in _furthest(a, b):
+        script.append(steps)
+    return [(" ", x) for x in old[:head]] + script + [(" ", x) for x in old[len(old) - tail :]]
+
+
+def _furthest(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """The edit script by furthest places on each diagonal, for ever more differences."""
+    n, m = len(a), len(b)
+    reach, trail = {1: 0}, []
+    for d in range(n + m + 1):
+        trail.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            down = k == -d or k != d and reach[k - 1] < reach[k + 1]
+            x = reach[k + 1] if down else reach[k - 1] + 1
+            while x < n and x - k < m and a[x] == b[x - k]:
+                x += 1
+            reach[k] = x
+            if x >= n and x - k >= m:
+                return _script(a, b, trail)
+    return []
+
+
+def _script(a: list[str], b: list[str], trail: list[dict]) -> list[tuple[str, str]]:
+    x, y, out = len(a), len(b), []
+    for d in range(len(trail) - 1, -1, -1):
+        reach, k = trail[d], x - y
+        down = k == -d or k != d and reach[k - 1] < reach[k + 1]
+        before = k + 1 if down else k - 1
+        px = reach[before] if d else 0
+        py = px - before if d else 0
+        while x > px and y > py:
+            x, y = x - 1, y - 1
+            out.append((" ", a[x]))
+        if d:
+            out.append(("+", b[y - 1]) if down else ("-", a[x - 1]))
+            x, y = px, py
+    return out[::-1]
 
 
 def diffs(versions: DataFrame) -> DataFrame:
-    """Lines added and deleted from each version to the next."""
-    before = F.lag("text").over(Window.partitionBy("note_id").orderBy("seq"))
-    pairs = versions.select("note_id", "seq", before.alias("old"), F.col("text").alias("new")).where("old IS NOT NULL")
+    """Lines added and deleted from each version to the next; a null text is empty."""
+    before = F.lag(F.coalesce("text", F.lit(""))).over(Window.partitionBy("note_id").orderBy("seq"))
+    pairs = versions.select("note_id", "seq", before.alias("old"), F.coalesce("text", F.lit("")).alias("new")).where("old IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [[t for t, _ in line_diff(a.as_py().split("\n"), b.as_py().split("\n"))] for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.count("+") for s in signs], pa.int64()), pa.array([s.count("-") for s in signs], pa.int64())], names=["note_id", "seq", "added", "deleted"])
+
+    return pairs.select(F.col("note_id").cast("long"), F.col("seq").cast("long"), "old", "new").mapInArrow(run, "note_id long, seq long, added long, deleted long")
+
+
+# ---------------------------------------------------------------- edits, as columns
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            scripts = [line_diff(a.split("\n"), b.split("\n")) for a, b in zip(f["old"], f["new"])]
-            yield pd.DataFrame({"note_id": f["note_id"], "seq": f["seq"], "added": [sum(t == "+" for t, _ in s) for s in scripts], "deleted": [sum(t == "-" for t, _ in s) for s in scripts]})
+def times(text: Column, part: Column) -> Column:
+    """How often part occurs in text, without overlaps; an empty part never does."""
+    return F.when(F.length(part) > 0, ((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    return pairs.mapInPandas(run, "note_id long, seq long, added long, deleted long")
 
+def edited(notes: DataFrame, operations: list[dict]) -> DataFrame:
+    """notes (note_id, frontmatter, body) after operations in order: columns frontmatter, body and error, all or none of them.
 
-def edit(text: str, operations: list[dict]) -> str:
-    """Operations in order, all or none: set, replace (unique unless all or count is given), append, prepend."""
+    Operations: {"op": "set", "text"} puts a whole document; {"op": "replace", "old", "new"} demands one place in the document,
+    with "all" any number, with "count" just so many, and replaces all of them; "append" and "prepend" change the body only.
+    A note that an operation doesn't fit keeps its parts and has an error. Documents are `---`, frontmatter, `---`, body."""
+    document = lambda fm, body: F.concat(F.lit("---\n"), fm, F.lit("---\n"), body)
+    rows = notes.select("note_id", F.col("frontmatter").alias("_fm"), F.col("body").alias("_body"), F.coalesce("frontmatter", F.lit("")).alias("frontmatter"), F.coalesce("body", F.lit("")).alias("body"), F.lit(None).cast("string").alias("error"))
+    pattern = "(?s)\\A---\\n(.*?\\n|)---\\n(.*)\\z"
     for op in operations:
-        kind = op["op"]
+        kind, doc, wrong = op["op"], document(F.col("frontmatter"), F.col("body")), F.lit(None).cast("string")
+        if kind == "append":
+            rows = rows.withColumn("body", F.concat(right_trimmed(F.col("body")), F.lit("\n"), F.lit(op["text"])))
+            continue
+        if kind == "prepend":
+            rows = rows.withColumn("body", F.concat(F.lit(op["text"]), F.lit("\n"), F.col("body")))
+            continue
         if kind == "set":
-            text = op["text"]
-        elif kind == "append":
-            text = f"{text.rstrip()}\n{op['text']}"
-        elif kind == "prepend":
-            text = f"{op['text']}\n{text.lstrip()}"
+            changed = F.lit(op["text"])
         elif kind == "replace":
-            n = text.count(op["old"]) if op["old"] else 0
-            if not n or n > 1 and not op.get("all") and "count" not in op:
-                raise ValueError(f"{n} places for {op['old']!r}")
-            text = text.replace(op["old"], op["new"], -1 if op.get("all") else op.get("count", 1))
+            n = times(doc, F.lit(op["old"]))
+            fits = n > 0 if op.get("all") else n == op.get("count", 1)
+            wrong = F.when(~fits, F.concat(n.cast("string"), F.lit(" places")))
+            changed = F.replace(doc, F.lit(op["old"]), F.lit(op["new"]))
         else:
             raise ValueError(f"no such operation: {kind}")
-    return text
+        rows = rows.withColumn("_doc", changed).withColumn("error", F.coalesce("error", wrong, F.when(~F.col("_doc").rlike(pattern), "no frontmatter")))
+        good = F.col("error").isNull()
+        part = lambda i: F.regexp_extract("_doc", pattern, i)
+        rows = rows.withColumns({"frontmatter": F.when(good, part(1)).otherwise(F.col("frontmatter")), "body": F.when(good, part(2)).otherwise(F.col("body"))}).drop("_doc")
+    good = F.col("error").isNull()
+    return rows.select("note_id", F.when(good, F.col("frontmatter")).otherwise(F.col("_fm")).alias("frontmatter"), F.when(good, F.col("body")).otherwise(F.col("_body")).alias("body"), "error")
+
+
+def linked_body(body: Column, target: Column, rel: Column) -> Column:
+    """body with a wikilink to target in the section of its relation: after the section's last link, else at its head, else in a
+    new section at the end; a body that has the link somewhere stays as it is."""
+    link, entry, head = F.concat(F.lit("[["), target, F.lit("]]")), F.concat(F.lit("- [["), target, F.lit("]]")), heading(rel)
+    lines = F.split(F.regexp_replace(body, "\r?\n\\z", ""), "\r?\n")
+    bare = F.transform(lines, lambda x: F.trim(x))
+    at = F.array_position(bare, head).cast("int")
+    after = F.slice(bare, at + 1, F.greatest(F.size(bare) - at, F.lit(0)))
+    ends = F.filter(F.transform(after, lambda x, i: F.when(x.startswith("## "), i)), lambda i: i.isNotNull())
+    section = F.slice(after, F.lit(1), F.coalesce(F.get(ends, F.lit(0)), F.size(after)))
+    places = F.filter(F.transform(section, lambda x, i: F.when(x.startswith("- [["), i + 1)), lambda i: i.isNotNull())
+    cut = at + F.coalesce(F.element_at(places, F.when(F.size(places) > 0, F.size(places)).otherwise(F.lit(None).cast("int"))), F.lit(0))
+    inside = F.array_join(F.concat(F.slice(lines, F.lit(1), cut), F.array(entry), F.slice(lines, cut + 1, F.greatest(F.size(lines) - cut, F.lit(0)))), "\n")
+    return F.when(F.contains(body, link), body).when(at > 0, inside).otherwise(F.concat(right_trimmed(body), F.lit("\n\n"), head, F.lit("\n"), entry))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import KINDS
 from ..functions.text import title
+from .tables import written
 
 NOW = datetime.datetime(2024, 1, 31)
 EDGE_TYPES = ["references", "depends-on", "supersedes", "contradicts", "extends", "informed-by", "unknown"]
@@ -21,7 +22,7 @@ def live(notes: DataFrame) -> DataFrame:
 
 
 class Vault:
-    """The given tables in their roles; every attribute is a plan, nothing is read before an action."""
+    """The given tables in their roles. Attributes are plans, but for notes and index: these are written once for all searches."""
 
     def __init__(self, spark: SparkSession, folder: str, now: datetime.datetime = NOW):
         self.spark, self.folder, self.now = spark, folder, now
@@ -48,6 +49,28 @@ class Vault:
         )
         return heads.join(self.access, "note_id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
 
+    @cached_property
+    def bodies(self) -> DataFrame:
+        return self.table("documents").select(F.col("doc_id").alias("note_id"), F.col("text").alias("body"))
+
+    @cached_property
+    def notes(self) -> DataFrame:
+        """heads without their texts: what searches read again and again."""
+        return written(self.heads.drop("body"), "notes")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The searchable fields of each note: spine is its place, keywords are its tags; the given tables have no aliases."""
+        return self.heads.select("note_id", "title", "body", F.concat_ws("/", "domain", "intent", "kind").alias("spine"), F.lit("").alias("aliases")).join(
+            self.tags.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("keywords")), "note_id", "left"
+        )
+
+    @cached_property
+    def index(self):
+        from ..operators.lexical import Index
+
+        return Index(self.texts)
+
     @cached_property
     def edges(self) -> DataFrame:
         types = F.array(*map(F.lit, EDGE_TYPES))

@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import datetime
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import KINDS, Ranking
 from .functions import text as T
-from .operators import browse, evaluation, graph, lexical, ranking, vectors, versions
+from .operators import browse, evaluation, graph, lexical, mutations, ranking, vectors, versions
+from .plans.tables import written
 from .plans.vault import Vault, live
 from .sources import markdown
 from .streaming import access
 
-QUERY = "the and"
 FTS = "thing OR shes OR ound"
 DAY = datetime.datetime
+#: How near vectors of the given tables have to be; hardly any two are as near as the defaults ask.
+NEAR = 0.3
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _vector(v: Vault, note_id: int = 0) -> list[float]:
-    return list(v.vectors.where(F.col("note_id") == note_id).first()["embedding"])
+def _vector(v: Vault, note_id: int = 0) -> list[float] | None:
+    row = v.vectors.where(F.col("note_id") == note_id).first()
+    return None if row is None else list(row["embedding"])
 
 
 _kinds = ", ".join(f"'{k}'" for k in KINDS)
@@ -41,25 +45,22 @@ EDGES = """edges AS (SELECT l_suppkey AS src, l_partkey AS dst, (['references',
   min(l_shipdate) AS created_at FROM lineitem GROUP BY 1, 2, 3)"""
 VERSIONS = "versions AS (SELECT conv_id AS note_id, turn AS seq, CASE WHEN turn > 0 THEN turn - 1 END AS prev, sha256(text) AS content_hash FROM conversations)"
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
-EVALUATED = """q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0),
-pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS note_id, q.label = e.label AS good, row_number() OVER (PARTITION BY q.vec_id ORDER BY """ + DOT.format(a="q.embedding", b="e.embedding") + """ DESC, e.vec_id) AS rank
-  FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+EVALUATED = f"""q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 20 = 0),
+pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS note_id, q.label = e.label AS good, {DOT.format(a="q.embedding", b="e.embedding")} AS s FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+ranked AS (SELECT *, CASE WHEN s >= {NEAR} THEN row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) END AS rank FROM pairs),
 m AS (SELECT query_id, count(*) FILTER (good) AS n, count(*) FILTER (good AND rank <= 1) AS h1, count(*) FILTER (good AND rank <= 5) AS h5, count(*) FILTER (good AND rank <= 10) AS h10,
-  min(rank) FILTER (good AND rank <= 20) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (good AND rank <= 10), 0) AS dcg FROM pairs GROUP BY 1),
+  min(rank) FILTER (good AND rank <= 20) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (good AND rank <= 10), 0) AS dcg FROM ranked GROUP BY 1),
 metrics AS (SELECT query_id, CASE WHEN n = 0 THEN 1 ELSE h1 / n END AS recall_at_1, CASE WHEN n = 0 THEN 1 ELSE h5 / n END AS recall_at_5, CASE WHEN n = 0 THEN 1 ELSE h10 / n END AS recall_at_10,
   coalesce(1 / first, 0) AS mrr, CASE WHEN n = 0 THEN 1 ELSE dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10) + 1) t(i)) END AS ndcg_at_10 FROM m)"""
-FIELDS = ("title", "body", "spine", "keywords")
-
-
-def _searchable(v: Vault) -> DataFrame:
-    return v.heads.withColumn("spine", F.concat_ws("/", "domain", "intent", "kind")).withColumn("keywords", F.col("domain"))
+KEYWORDS = "kw AS (SELECT note_id, string_agg(tag, ' ' ORDER BY tag) AS keywords FROM tags GROUP BY 1)"
 
 
 def _tokens(column: str) -> str:
     return f"regexp_extract_all(strip_accents(lower({column})), '[\\p{{L}}\\p{{N}}]+')"
 
 
-ANALYSED = "tok AS (SELECT note_id, status, " + ", ".join(f"{_tokens(c)} AS {f}" for f, c in (("title", "title"), ("body", "body"), ("spine", "domain || '/' || intent || '/' || kind"), ("keywords", "domain"))) + " FROM heads)"
+_COLUMNS = (("title", "title"), ("body", "body"), ("spine", "domain || '/' || intent || '/' || kind"), ("aliases", "''"), ("keywords", "coalesce(keywords, '')"))
+ANALYSED = f"{TAGS}, {KEYWORDS}, tok AS (SELECT note_id, status, updated_at, domain, kind, " + ", ".join(f"{_tokens(c)} AS {f}" for f, c in _COLUMNS) + " FROM heads LEFT JOIN kw USING (note_id))"
 
 
 def bm25_sql(leaves: list[tuple], match: str, weights: dict[str, float], top: int) -> str:
@@ -77,33 +78,249 @@ def bm25_sql(leaves: list[tuple], match: str, weights: dict[str, float], top: in
       SELECT note_id, round(-({score}), 6) AS bm25 FROM r, s WHERE ({match.replace('-n', 'n')}) ORDER BY -({score}), note_id LIMIT {top}"""
 
 
+_W = Ranking().fields
+
+
 def _bm25(query: str, top: int = 20, fields=None):
-    w = fields or {f: Ranking().fields[f] for f in FIELDS}
-    return lambda v: rounded(lexical.bm25(_searchable(v), query, w).orderBy("bm25", "note_id").limit(top), "bm25")
+    return lambda v: rounded(v.index.bm25(query, fields or _W).orderBy("bm25", "note_id").limit(top), "bm25")
+
+
+def _word(w: str, field: str | None = None) -> tuple:
+    return f"x = '{w}'", field, 1
+
+
+def _pool_sql(leaves: list[tuple], match: str) -> str:
+    """(note_id, bm25) of the 100 best live notes, unrounded, without its own WITH; HEADS and ANALYSED have to stand before."""
+    whole = bm25_sql(leaves, match, _W, 100).replace("round(-(", "(-(").replace("), 6) AS bm25", ")) AS bm25")
+    return whole.split(" FROM heads LEFT JOIN kw USING (note_id)), ", 1)[1]
+
+
+#: Lexical candidates of `thing OR shes`; rank counts from 0.
+_LEXICAL = f"""WITH {HEADS}, {ANALYSED}, lexical AS (SELECT note_id, CAST(row_number() OVER (ORDER BY bm25, note_id) - 1 AS BIGINT) AS rank FROM (WITH {_pool_sql([_word("thing"), _word("shes")], "status <> 'retracted' AND (n0 > 0 OR n1 > 0)")}))"""
+_ENGAGEMENT = "0.6 * coalesce(exp(-(greatest(epoch(TIMESTAMP '2024-01-31') - floor(epoch(greatest(coalesce(last_accessed, updated_at), updated_at))), 0) / 3600.0) * ln(2) / 168), 0.3) + 0.4 * least(1, ln(1 + access_count) / ln(21))"
+_WEIGHTS = "CASE edge_type WHEN 'depends-on' THEN 2.0 WHEN 'supersedes' THEN 1.5 WHEN 'contradicts' THEN 1.5 WHEN 'extends' THEN 1.2 WHEN 'informed-by' THEN 0.8 ELSE 1.0 END"
+_SPREAD = f"""m AS (SELECT src, dst, s.seed AS a, t.seed AS b, (CASE WHEN s.seed IS NOT NULL AND t.seed IS NOT NULL THEN 2 ELSE 1 END) * 0.5 * {_WEIGHTS} AS w FROM edges LEFT JOIN seeds s ON s.note_id = src LEFT JOIN seeds t ON t.note_id = dst
+  WHERE (s.seed IS NOT NULL OR t.seed IS NOT NULL) AND NOT (edge_type = 'supersedes' AND s.seed IS NOT NULL)),
+passed AS (SELECT note_id, CAST(sum(g) AS DOUBLE) AS graph FROM (SELECT dst AS note_id, a * w AS g FROM m WHERE a IS NOT NULL UNION ALL SELECT src, b * w FROM m WHERE b IS NOT NULL) GROUP BY 1)"""
+
+
+def blended_sql(pool: str, vectors: bool, limit: int) -> str:
+    """A WITH clause that ends in result: candidates of pool (note_id, rank), which the text before it defines, blended and cut."""
+    dot = DOT.format(a="e.embedding", b="(SELECT embedding FROM embeddings WHERE vec_id = 0)")
+    cosine = f"coalesce((SELECT {dot} FROM embeddings e WHERE e.vec_id = c.note_id), 0)" if vectors else "0.0"
+    primary = "cosine" if vectors else "CASE WHEN rank IS NOT NULL THEN 1 - rank / ranked ELSE 0 END"
+    return f"""{EDGES}, pool AS ({pool}), size AS (SELECT count(*) AS p, count(rank) AS ranked FROM pool), seeds AS (SELECT note_id, CASE WHEN rank IS NOT NULL THEN 1 - rank / p ELSE 0.5 END AS seed FROM pool, size),
+    {_SPREAD}, c AS (SELECT note_id, rank, coalesce(graph, 0) AS graph FROM (SELECT note_id, rank, graph FROM pool FULL JOIN passed USING (note_id)) JOIN live USING (note_id)), top AS (SELECT max(graph) AS top FROM c),
+    scored AS (SELECT note_id, rank, ranked, CASE WHEN top > 0 THEN graph / top ELSE graph END AS graph, {cosine} AS cosine, {_ENGAGEMENT} AS engagement FROM c JOIN live USING (note_id), top, size),
+    result AS (SELECT note_id, cosine, graph, engagement, 0.5 * ({primary}) + 0.25 * graph + 0.25 * engagement AS final FROM scored WHERE 0.5 * ({primary}) + 0.25 * graph + 0.25 * engagement >= 0.1 ORDER BY final DESC, note_id LIMIT {limit})"""
+
+
+_RECENT = "SELECT note_id, CAST(NULL AS BIGINT) AS rank FROM live {where} ORDER BY updated_at DESC, note_id LIMIT 100"
+_NEAREST = f"SELECT e.vec_id AS note_id FROM embeddings e JOIN live ON note_id = e.vec_id ORDER BY {DOT.format(a='e.embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 0)')} DESC, e.vec_id LIMIT 100"
+
+#: Pages stand for notes with wikilinks: their links become them, and the number in their url is one more.
+_BODY = "regexp_replace(html, 'href=\"/([^\"]*)\"', '[[\\1]]', 'g') || coalesce(chr(10) || '[[' || nullif(regexp_extract(url, '/(\\d+)', 1), '') || ']]', '')"
+_LINKS = f"""lines AS (SELECT page_id, unnest(string_split({_BODY}, chr(10))) AS line, generate_subscripts(string_split({_BODY}, chr(10)), 1) AS ln FROM pages),
+every AS (SELECT page_id, ln, line, unnest(regexp_extract_all(line, '\\[\\[([^\\]]+)\\]\\]', 1)) AS target, generate_subscripts(regexp_extract_all(line, '\\[\\[([^\\]]+)\\]\\]', 1), 1) AS part FROM lines),
+links AS (SELECT page_id AS src, target, sha256(trim(line, ' ' || chr(9) || chr(13))) AS context_hash, ln, part FROM every QUALIFY row_number() OVER (PARTITION BY page_id, target ORDER BY ln, part) = 1)"""
+#: Titles that such links can meet: a title's first word.
+_FIRST_WORDS = "firsts AS (SELECT note_id, status, regexp_extract(title, '^[^ ,.]*') AS title FROM heads)"
+_RESOLVED = """ids AS (SELECT note_id AS by_id, CAST(note_id AS VARCHAR) AS id FROM firsts WHERE status <> 'retracted'), titles AS (SELECT lower(title) AS t, min(note_id) AS by_title FROM firsts WHERE status <> 'retracted' GROUP BY 1),
+resolved AS (SELECT links.*, coalesce(by_id, by_title) AS dst FROM links LEFT JOIN ids ON target = id LEFT JOIN titles ON lower(target) = t)"""
+
+
+def _page_texts(v: Vault) -> DataFrame:
+    body = F.regexp_replace("html", 'href="/([^"]*)"', "[[$1]]")
+    number = F.nullif(F.regexp_extract("url", "/(\\d+)", 1), F.lit(""))
+    return v.table("pages").select(F.col("page_id").alias("note_id"), F.concat(body, F.coalesce(F.concat(F.lit("\n[["), number, F.lit("]]")), F.lit(""))).alias("body"))
+
+
+def _first_words(v: Vault) -> DataFrame:
+    return v.heads.select("note_id", "status", F.regexp_extract("title", "^[^ ,.]*", 0).alias("title"))
+
+
+def _auto(v: Vault) -> DataFrame:
+    near = vectors.similar(v.vectors, _queries(v), 5, NEAR)
+    return vectors.auto_edges(near, v.edges, NEAR)
+
+
+def _synced(v: Vault) -> DataFrame:
+    return graph.synced(graph.text_links(_page_texts(v)), _first_words(v), _auto(v))
+
+
+def _queries(v: Vault) -> DataFrame:
+    return v.vectors.where("note_id % 20 = 0")
+
+
+def _knn(v: Vault, k: int = 20, threshold: float = -2.0) -> DataFrame:
+    return vectors.similar(v.vectors, _queries(v), k, threshold)
+
+
+def _metrics(v: Vault, threshold: float = NEAR) -> DataFrame:
+    queries = _queries(v).select(F.col("note_id").alias("query_id"), F.col("label").alias("_l"))
+    gold = v.vectors.join(F.broadcast(queries) if queries.count() <= 1 << 20 else queries, (F.col("label") == F.col("_l")) & (F.col("note_id") != F.col("query_id"))).select("query_id", "note_id")
+    return evaluation.per_query(_knn(v, threshold=threshold), gold, queries)
+
+
+def _retract_deprecated(v: Vault) -> DataFrame:
+    """Notes that a bulk retraction selects: the deprecated ones."""
+    return live(v.heads).where("status = 'deprecated'").select("note_id", "title")
+
 
+def _documents(v: Vault) -> DataFrame:
+    """Notes as documents: frontmatter of two lines and the body."""
+    return v.heads.select("note_id", F.concat(F.lit("title: "), "title", F.lit("\nkind: "), "kind", F.lit("\n")).alias("frontmatter"), "body")
 
-_W = {f: Ranking().fields[f] for f in FIELDS}
-_LINKS = "links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages)"
-_SEEDS = "seeds AS (SELECT n AS note_id, 1.0 - n / 10.0 AS seed FROM range(0, 10) t(n))"
 
+_DOCUMENTS = "documents_of AS (SELECT note_id, 'title: ' || title || chr(10) || 'kind: ' || kind || chr(10) AS frontmatter, body FROM heads)"
+_EDITS = [{"op": "replace", "old": "kind: decision", "new": "kind: note"}, {"op": "append", "text": "Seen."}]
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_EDITED = f"""edited AS (SELECT note_id, CASE WHEN n = 1 THEN replace(frontmatter, 'kind: decision', 'kind: note') ELSE frontmatter END AS frontmatter,
+  CASE WHEN n = 1 THEN rtrim(body, {SPACES}) || chr(10) || 'Seen.' ELSE body END AS body, CASE WHEN n <> 1 THEN n || ' places' END AS error
+  FROM (SELECT *, (length(doc) - length(replace(doc, 'kind: decision', ''))) // 14 AS n FROM (SELECT *, '---' || chr(10) || frontmatter || '---' || chr(10) || body AS doc FROM documents_of)))"""
+_DRAFTS = "drafts AS (SELECT conv_id * 1000 + turn AS draft_id, text AS body, conv_id AS template, role FROM conversations)"
 
-def _links(v: Vault) -> DataFrame:
-    return v.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
 
+def _drafts(v: Vault) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    return v.table("conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("draft_id"), F.col("text").alias("body"), none("string").alias("title"), F.when(F.col("role") == "system", "inbox").alias("domain"), none("string").alias("intent"),
+        F.when(F.col("role") == "assistant", "journal").when(F.col("role") == "system", "letter").alias("kind"), none("string").alias("status"), none("array<string>").alias("tags"), F.col("conv_id").alias("template"),
+    )
 
-def _knn(v: Vault, k: int = 20) -> DataFrame:
-    return vectors.similar(v.vectors, v.vectors.where("note_id % 20 = 0"), k)
 
+def _templates(v: Vault) -> DataFrame:
+    tags = v.tags.groupBy("note_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return v.heads.join(tags, "note_id", "left")
 
-def _metrics(v: Vault) -> DataFrame:
-    queries = v.vectors.where("note_id % 20 = 0").select(F.col("note_id").alias("query_id"), F.col("label").alias("_l"))
-    gold = v.vectors.join(queries, (F.col("label") == F.col("_l")) & (F.col("note_id") != F.col("query_id"))).select("query_id", "note_id")
-    return evaluation.per_query(_knn(v), gold)
 
+_TEXT_DOC = "chr(45) || '--' || chr(10) || 'title: ' || title || chr(10) || 'tags: [' || domain || ', ' || intent || ']' || chr(10) || '---' || chr(10) || body"
 
-def _snippets(v: Vault) -> DataFrame:
-    found = lexical.bm25(_searchable(v), FTS, _W).orderBy("bm25", "note_id").limit(20)
-    return found.join(v.heads.select("note_id", T.cut_at_word(F.col("body"), 150).alias("snippet")), "note_id").select("note_id", "snippet")
+
+def _frontmatter(v: Vault) -> DataFrame:
+    doc = F.concat(F.lit("---\ntitle: '"), F.replace("title", F.lit("'"), F.lit("''")), F.lit("'\ntags: ["), "domain", F.lit(", "), "intent", F.lit("]\nlinks:\n  - target: "), "kind", F.lit("\n    rel: extends\n---\n"), "body")
+    read = markdown.fields(markdown.split(v.heads.select(F.col("note_id").cast("string").alias("file"), doc.alias("doc"))))
+    return read.select(F.col("file").cast("long").alias("note_id"), F.col("meta.title").alias("title"), F.array_join("meta.tags", "+").alias("tags"), F.col("meta.links")[0]["target"].alias("target"), F.sha2("body", 256).alias("body_hash"))
+
+
+def _cut_sql(most: int) -> str:
+    """body of at most so many bytes, up to its last blank, trimmed."""
+    head = f"substr(body, 1, list_max(list_filter(range(0, {most + 1}), lambda i: strlen(substr(body, 1, i)) <= {most})))"
+    return f"trim(CASE WHEN strlen(body) <= {most} THEN body WHEN contains({head}, ' ') THEN regexp_extract({head}, '(?s)^(.*) ', 1) ELSE {head} END, {SPACES})"
+
+
+def _changes(c: dict) -> None:
+    """Queries of what is written: rows to append and states after a change."""
+    none = "CAST(NULL AS {})"
+    now = "TIMESTAMP '2024-01-31'"
+    c["batch_titles"] = (lambda v: v.table("labels").select(F.col("doc_id").alias("note_id")).distinct().join(v.heads.select("note_id", "title"), "note_id"), f"WITH {HEADS} SELECT DISTINCT doc_id AS note_id, title FROM labels JOIN heads ON note_id = doc_id")
+    c["prefix_resolution"] = (
+        lambda v: browse.resolved_prefixes(v.heads, v.heads.select(F.substring(F.col("note_id").cast("string"), 1, 3).alias("prefix")).distinct()),
+        f"WITH {HEADS}, p AS (SELECT DISTINCT substr(CAST(note_id AS VARCHAR), 1, 3) AS prefix FROM heads), m AS (SELECT prefix, count(*) AS n, min(note_id) AS least FROM p JOIN heads ON starts_with(CAST(note_id AS VARCHAR), prefix) GROUP BY 1) SELECT prefix, n AS notes, CASE WHEN n = 1 THEN least END AS note_id FROM m",
+    )
+    c["head_contents"] = (
+        lambda v: versions.heads(v.versions).join(versions.stored(v.versions).withColumnRenamed("hash", "content_hash"), "content_hash").select("note_id", "seq", F.length("payload").cast("long").alias("n")),
+        "SELECT conv_id AS note_id, max(turn) AS seq, CAST(length(arg_max(text, turn)) AS BIGINT) AS n FROM conversations GROUP BY 1",
+    )
+    c["tags_each_of"] = (lambda v: browse.with_each_tag(v.heads, v.tags, ["red", "economy"]).select("note_id"), f"WITH {HEADS}, {TAGS} SELECT note_id FROM heads WHERE EXISTS (SELECT 1 FROM tags t WHERE t.note_id = heads.note_id AND tag = 'red') AND EXISTS (SELECT 1 FROM tags t WHERE t.note_id = heads.note_id AND tag = 'economy')")
+    c["bm25_baseline"] = (
+        lambda v: rounded(v.index.bm25(lexical.plain_query("the, thing!"), {"body": 1.0}).select("note_id", (-F.col("bm25")).alias("score")).orderBy(F.col("score").desc(), "note_id").limit(20), "score"),
+        f"SELECT note_id, round(-bm25, 6) AS score FROM ({bm25_sql([_word('the'), _word('thing')], 'n0 > 0 AND n1 > 0', {'body': 1.0}, 20)})",
+    )
+    c["query_sanitise"] = (lambda v: v.table("benchmark").select("item_id", F.sha2(T.sanitised(F.col("text")), 256).alias("query_hash")), "SELECT item_id, sha256(trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS query_hash FROM benchmark")
+    c["token_counters"] = (lambda v: v.table("conversations").groupBy("role").agg(F.sum(F.length("text")).alias("characters"), F.count(F.lit(1)).alias("operations")), "SELECT role, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) AS operations FROM conversations GROUP BY 1")
+    c["regression_gate"] = (
+        lambda v: rounded(_gate(v), "base", "new"),
+        "WITH "
+        + EVALUATED
+        + ", b AS ("
+        + EVALUATED.replace(f"CASE WHEN s >= {NEAR} THEN row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) END AS rank", "row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) AS rank").join(["WITH ", " SELECT * FROM metrics"])
+        + "), n AS (SELECT avg(recall_at_5) AS r, avg(mrr) AS m, avg(ndcg_at_10) AS g FROM metrics), o AS (SELECT avg(recall_at_5) AS r, avg(mrr) AS m, avg(ndcg_at_10) AS g FROM b), t AS (SELECT 'recall_at_5' AS metric, o.r AS base, n.r AS new FROM n, o UNION ALL SELECT 'mrr', o.m, n.m FROM n, o UNION ALL SELECT 'ndcg_at_10', o.g, n.g FROM n, o) "
+        "SELECT metric, round(base, 6) AS base, round(new, 6) AS new, base > 0 AND (base - new) / base > 0.02 AS fell FROM t",
+    )
+    # versions and edits
+    c["edit_ops"] = (
+        lambda v: versions.edited(_documents(v), _EDITS).select("note_id", F.sha2("frontmatter", 256).alias("fm_hash"), F.sha2("body", 256).alias("md_hash"), "error"),
+        f"WITH {HEADS}, {_DOCUMENTS}, {_EDITED} SELECT note_id, sha256(frontmatter) AS fm_hash, sha256(body) AS md_hash, error FROM edited",
+    )
+    both = "sha256(sha256(frontmatter) || sha256(body))"
+    c["versions_committed"] = (
+        lambda v: versions.committed(v.versions, versions.edited(_documents(v), _EDITS).where("error IS NULL")),
+        f"WITH {HEADS}, {_DOCUMENTS}, {_EDITED}, {VERSIONS}, h AS (SELECT note_id, max(seq) AS head, arg_max(content_hash, seq) AS was FROM versions GROUP BY 1) "
+        f"SELECT note_id, coalesce(head + 1, 0) AS seq, head AS prev, sha256(frontmatter) AS fm_hash, sha256(body) AS md_hash, {both} AS content_hash FROM edited LEFT JOIN h USING (note_id) WHERE error IS NULL AND (was IS NULL OR was <> {both})",
+    )
+    c["links_inserted"] = (
+        lambda v: v.heads.select("note_id", F.sha2(versions.linked_body(F.concat("body", F.lit("\n## Depends On\n\n- [[7]]\nmore")), F.lit("12"), F.when(F.col("kind") == "decision", "depends-on").otherwise(F.lit("extends"))), 256).alias("body_hash")),
+        f"""WITH {HEADS} SELECT note_id, sha256(CASE WHEN kind = 'decision' THEN body || chr(10) || '## Depends On' || chr(10) || chr(10) || '- [[7]]' || chr(10) || '- [[12]]' || chr(10) || 'more'
+          ELSE body || chr(10) || '## Depends On' || chr(10) || chr(10) || '- [[7]]' || chr(10) || 'more' || chr(10) || chr(10) || '## Extends' || chr(10) || '- [[12]]' END) AS body_hash FROM heads""",
+    )
+    c["notes_captured"] = (
+        lambda v: mutations.captured(_drafts(v), _templates(v)).select("draft_id", "title", "domain", "intent", "kind", "status", F.array_join("tags", "+").alias("tags"), "error"),
+        f"""WITH {HEADS}, {TAGS}, {_DRAFTS}, kws AS (SELECT note_id, string_agg(tag, '+' ORDER BY tag) AS ts FROM tags GROUP BY 1), x AS (SELECT draft_id, trim(d.body, {SPACES}) AS body, h.note_id AS t, CASE role WHEN 'system' THEN 'inbox' ELSE h.domain END AS domain, coalesce(h.intent, 'research') AS intent,
+          CASE role WHEN 'assistant' THEN 'journal' WHEN 'system' THEN 'letter' ELSE coalesce(h.kind, 'reference') END AS kind, coalesce(h.status, 'active') AS status, coalesce(ts, '') AS tags FROM drafts d LEFT JOIN heads h ON h.note_id = template LEFT JOIN kws ON kws.note_id = template)
+          SELECT draft_id, substr(trim(regexp_replace(split_part(body, chr(10), 1), '^#+', ''), {SPACES}), 1, 80) AS title, domain, intent, kind, status, tags,
+          CASE WHEN t IS NULL THEN 'no such template' WHEN domain IS NULL THEN 'no domain' WHEN kind = 'letter' THEN 'no such kind' WHEN body = '' THEN 'empty body' END AS error FROM x""",
+    )
+    # heads
+    new_heads = "SELECT doc_id AS note_id, 'Page ' || doc_id AS title, quality FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1)"
+    c["heads_upserted"] = (
+        lambda v: mutations.upserted(v.heads.select("note_id", "title", "status", "access_count", "last_accessed"), v.table("labels").groupBy(F.col("doc_id").alias("note_id")).agg(F.max("quality").alias("q")).select("note_id", F.concat(F.lit("Page "), "note_id").alias("title"), F.when(F.col("q") == 1, "active").otherwise("draft").alias("status"))),
+        f"WITH {HEADS}, n AS ({new_heads}) SELECT heads.note_id, coalesce(n.title, heads.title) AS title, CASE WHEN n.note_id IS NULL THEN status WHEN quality = 1 THEN 'active' ELSE 'draft' END AS status, access_count, last_accessed FROM heads LEFT JOIN n USING (note_id)",
+    )
+    c["heads_retracted"] = (
+        lambda v: mutations.retracted(v.heads.select("note_id", "status", "updated_at"), mutations.selected(v.heads, None, _retract_deprecated(v)), v.now).groupBy("status").agg(F.count(F.lit(1)).alias("notes"), F.max("updated_at").alias("updated_at")),
+        f"WITH {HEADS}, r AS (SELECT CASE WHEN status = 'deprecated' THEN 'retracted' ELSE status END AS status, CASE WHEN status = 'deprecated' THEN {now} ELSE updated_at END AS updated_at FROM heads) SELECT status, count(*) AS notes, max(updated_at) AS updated_at FROM r GROUP BY 1",
+    )
+    c["bulk_retract_plan"] = (_retract_deprecated, f"WITH {HEADS} SELECT note_id, title FROM live WHERE status = 'deprecated'")
+    c["audit_rows"] = (
+        lambda v: mutations.audited(_retract_deprecated(v), "retract", v.now).select("action", "target_id", "detail", "created_at"),
+        f"WITH {HEADS} SELECT 'retract' AS action, note_id AS target_id, {none.format('VARCHAR')} AS detail, {now} AS created_at FROM live WHERE status = 'deprecated'",
+    )
+    gone = "gone AS (SELECT note_id FROM heads WHERE status = 'retracted')"
+    left = "rest AS (SELECT * FROM edges WHERE src NOT IN (SELECT note_id FROM gone) AND dst NOT IN (SELECT note_id FROM gone))"
+    dead = lambda v: v.heads.where("status = 'retracted'").select("note_id")
+    c["edges_after_delete"] = (lambda v: mutations.without(v.edges, dead(v), "src", "dst").select("src", "dst", "edge_type"), f"WITH {HEADS}, {EDGES}, {gone}, {left} SELECT src, dst, edge_type FROM rest")
+    degree = lambda e, h: f"SELECT note_id, coalesce(o, 0) AS links_out, coalesce(i, 0) AS links_in FROM {h} LEFT JOIN (SELECT src, count(*) o FROM {e} GROUP BY 1) ON src = note_id LEFT JOIN (SELECT dst, count(*) i FROM {e} GROUP BY 1) ON dst = note_id"
+    c["degrees_after_delete"] = (
+        lambda v: mutations.degree_changes(graph.degrees(v.edges, v.heads), graph.degrees(mutations.without(v.edges, dead(v), "src", "dst"), mutations.without(v.heads, dead(v), "note_id"))),
+        f"WITH {HEADS}, {EDGES}, {gone}, {left}, a AS ({degree('edges', 'heads')}), b AS ({degree('rest', 'live')}) SELECT b.* FROM b JOIN a USING (note_id) WHERE a.links_out <> b.links_out OR a.links_in <> b.links_in",
+    )
+    c["contents_orphaned"] = (
+        lambda v: mutations.orphaned(versions.stored(v.table("documents")), v.table("documents").select(F.col("doc_id").alias("note_id"), F.sha2("text", 256).alias("hash")), dead(v)),
+        f"WITH {HEADS} SELECT sha256(body) AS hash FROM heads GROUP BY 1 HAVING bool_and(status = 'retracted')",
+    )
+    # tags
+    marked = lambda v: browse.with_all_tags(v.tags, ["red"])
+    changed = f"changed AS (SELECT note_id, tag FROM tags WHERE NOT (tag = 'economy' AND note_id IN (SELECT note_id FROM tags WHERE tag = 'red')) UNION SELECT note_id, 'reviewed' FROM tags WHERE tag = 'red')"
+    c["tags_mutated"] = (lambda v: mutations.tags_after(v.tags, mutations.tag_events(marked(v), ["reviewed"], ["economy"], v.now)), f"WITH {TAGS}, {changed} SELECT note_id, tag FROM changed")
+    c["keywords_refreshed"] = (lambda v: mutations.keywords(mutations.tags_after(v.tags, mutations.tag_events(marked(v), ["reviewed"], ["economy"], v.now))), f"WITH {TAGS}, {changed} SELECT note_id, string_agg(tag, ' ' ORDER BY tag) AS keywords FROM changed GROUP BY 1")
+    # accesses and vectors
+    c["accesses_bumped"] = (
+        lambda v: mutations.counted(v.access, mutations.accessed(browse.recent(v.heads, 50), v.now)),
+        f"WITH {HEADS}, r AS (SELECT note_id FROM live ORDER BY updated_at DESC, note_id LIMIT 50), u AS (SELECT * FROM acc UNION ALL SELECT note_id, 1, {now} FROM r) SELECT note_id, CAST(sum(access_count) AS BIGINT) AS access_count, max(last_accessed) AS last_accessed FROM u GROUP BY 1",
+    )
+    stated = lambda v: v.vectors.select("note_id", "embedding", F.concat(F.lit("m"), "label").alias("model"), F.lit(v.now).cast("timestamp_ntz").alias("updated_at"))
+    c["vectors_upserted"] = (
+        lambda v: mutations.latest_vectors(stated(v).unionByName(stated(v).where("model = 'm3'").withColumns({"model": F.lit("new"), "updated_at": F.col("updated_at") + F.expr("INTERVAL 1 DAY")}))).groupBy("model").agg(F.count(F.lit(1)).alias("notes")),
+        "SELECT CASE WHEN label = 3 THEN 'new' ELSE 'm' || label END AS model, count(*) AS notes FROM embeddings GROUP BY 1",
+    )
+    c["embed_backfill"] = (lambda v: mutations.backfill(v.heads, stated(v), "m3"), f"WITH {HEADS} SELECT note_id FROM live")
+    # streams
+    c["stream_reads"] = (
+        lambda v: access.drained(access.reads_by_window(access.event_stream(v.spark, v.folder, v.table("events").schema, "events*")), "complete").select("note_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "reads"),
+        "SELECT user_id AS note_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS reads FROM events WHERE event_type = 'view' GROUP BY 1, 2",
+    )
+    c["stream_contents"] = (
+        lambda v: access.drained(access.stored_once(access.event_stream(v.spark, v.folder, v.table("events").schema, "events*").select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("payload"), F.date_trunc("month", F.col("ts").cast("timestamp")).alias("at")))).select("hash", "payload"),
+        "SELECT DISTINCT sha256(event_type || '/' || user_id) AS hash, event_type || '/' || user_id AS payload FROM events",
+    )
+
+
+def _gate(v: Vault) -> DataFrame:
+    """Means of a threshold search (new) against those of a search without one (base), and which fell by more than 2 %."""
+    names = ("recall_at_5", "mrr", "ndcg_at_10")
+    mean = lambda m, what: m.agg(*[F.avg(x).alias(x) for x in names]).select(F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias(what)) for x in names])).alias("m")).select("m.*")
+    return evaluation.gate(mean(_metrics(v), "new"), mean(_metrics(v, -2.0), "base"))
 
 
 def _catalogue() -> dict:
@@ -138,50 +355,82 @@ def _catalogue() -> dict:
     c["fts_column"] = (_bm25("title:the", 50), bm25_sql([("x = 'the'", "title", 1)], "n0 > 0", _W, 50))
     c["term_stats"] = (lambda v: lexical.term_stats(v.heads), f"WITH t AS (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS occurrences FROM t GROUP BY 1")
     sim = DOT.format(a="e.embedding", b="q.embedding")
-    c["knn_topk"] = (lambda v: rounded(vectors.similar(v.vectors, v.vectors.where("note_id = 0"), 10), "similarity"), f"SELECT q.vec_id AS query_id, e.vec_id AS note_id, round({sim}, 6) AS similarity, row_number() OVER (ORDER BY {sim} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id = 0 AND e.vec_id <> 0 QUALIFY rank <= 10")
-    c["knn_threshold"] = (lambda v: rounded(vectors.similar(v.vectors, v.vectors.where("note_id = 0"), None, 0.7).select("note_id", "similarity"), "similarity"), f"SELECT e.vec_id AS note_id, round({sim}, 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id = 0 AND e.vec_id <> 0 WHERE {sim} >= 0.7")
-    c["knn_pairwise"] = (lambda v: _knn(v, 5).select("query_id", "note_id", "rank"), f"SELECT q.vec_id AS query_id, e.vec_id AS note_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {sim} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id QUALIFY rank <= 5")
+    pairs = f"p AS (SELECT q.vec_id AS query_id, e.vec_id AS note_id, {sim} AS s FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)"
+    near = f"{pairs}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) AS rank FROM p WHERE s >= {NEAR} QUALIFY rank <= 5)"
+    c["knn_topk"] = (lambda v: rounded(_knn(v, 10), "similarity"), f"WITH {pairs} SELECT query_id, note_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) AS rank FROM p QUALIFY rank <= 10")
+    c["knn_threshold"] = (lambda v: rounded(_knn(v, None, NEAR).select("query_id", "note_id", "similarity"), "similarity"), f"WITH {pairs} SELECT query_id, note_id, round(s, 6) AS similarity FROM p WHERE s >= {NEAR}")
+    c["knn_pairwise"] = (lambda v: _knn(v, 5).select("query_id", "note_id", "rank"), f"WITH {pairs} SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) AS rank FROM p QUALIFY rank <= 5")
+    c["related_notes"] = (
+        lambda v: vectors.suggestions(v.vectors.join(live(v.heads).select("note_id"), "note_id", "left_semi"), _queries(v), v.heads, 5, NEAR),
+        f"WITH {HEADS}, p AS (SELECT q.vec_id AS query_id, e.vec_id AS note_id, {sim} AS s FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id JOIN live ON live.note_id = e.vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) AS rank FROM p WHERE s >= {NEAR} QUALIFY rank <= 5) "
+        "SELECT query_id, n.note_id, title, round(s, 3) AS similarity, rank FROM n JOIN heads ON heads.note_id = n.note_id",
+    )
+    c["live_vectors"] = (lambda v: v.vectors.join(live(v.heads).select("note_id"), "note_id").groupBy("label").agg(F.count(F.lit(1)).alias("notes")), f"WITH {HEADS} SELECT label, count(*) AS notes FROM embeddings JOIN live ON note_id = vec_id GROUP BY 1")
+    c["vectors_off_unit"] = (lambda v: vectors.off_unit(v.vectors.withColumn("embedding", F.transform("embedding", lambda x: x * (1 + F.col("label"))))).select("note_id", F.round("norm", 4).alias("norm")), f"SELECT vec_id AS note_id, round((1 + label) * sqrt({DOT.format(a='embedding', b='embedding')}), 4) AS norm FROM embeddings WHERE label > 0")
     c["l2_normalize"] = (lambda v: v.vectors.select("note_id", F.round(F.get(vectors.normalized(F.transform("embedding", lambda x: x * 3)), 0), 6).alias("x0")), f"SELECT vec_id AS note_id, round(CAST(embedding[1] AS DOUBLE) / sqrt({DOT.format(a='embedding', b='embedding')}), 6) AS x0 FROM embeddings")
     c["auto_edges"] = (
-        lambda v: vectors.similar(v.vectors, v.vectors.where("note_id % 20 = 0"), 5, 0.8).select(F.col("query_id").alias("src"), F.col("note_id").alias("dst")).join(v.edges.where("edge_type = 'references'").select("src", "dst"), ["src", "dst"], "left_anti"),
-        f"WITH {EDGES}, n AS (SELECT q.vec_id AS src, e.vec_id AS dst, {sim} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {sim} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) "
-        "SELECT src, dst FROM n WHERE s >= 0.8 AND rank <= 5 AND NOT EXISTS (SELECT 1 FROM edges WHERE edges.src = n.src AND edges.dst = n.dst AND edge_type = 'references')",
+        lambda v: _auto(v).select("src", "dst"),
+        f"WITH {EDGES}, {near} SELECT query_id AS src, note_id AS dst FROM near WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = query_id AND dst = note_id AND edge_type = 'references')",
     )
-    c["link_extract"] = (lambda v: _links(v).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("times")), f"WITH {_LINKS} SELECT page_id, target, count(*) AS times FROM links GROUP BY 1, 2")
+    c["link_extract"] = (lambda v: graph.text_links(_page_texts(v)).select("src", "target", F.sha2(F.trim(F.col("context")), 256).alias("context_hash")), f"WITH {_LINKS} SELECT src, target, context_hash FROM links")
     c["link_resolve"] = (
-        lambda v: _links(v).select("page_id", F.lower(F.ltrim(F.col("target"), F.lit("/"))).alias("t")).distinct().join(v.heads.groupBy(F.lower("title").alias("t")).agg(F.min("note_id").alias("note_id")), "t"),
-        f"WITH {HEADS}, {_LINKS} SELECT DISTINCT page_id, l.t, h.note_id FROM (SELECT page_id, lower(ltrim(target, '/')) AS t FROM links) l JOIN (SELECT lower(title) AS t, min(note_id) AS note_id FROM heads GROUP BY 1) h ON l.t = h.t",
+        lambda v: graph.resolved(graph.text_links(_page_texts(v)), _first_words(v)).where("dst IS NOT NULL").select("src", "target", "dst"),
+        f"WITH {HEADS}, {_LINKS}, {_FIRST_WORDS}, {_RESOLVED} SELECT src, target, dst FROM resolved WHERE dst IS NOT NULL",
     )
-    c["neighbors"] = (lambda v: graph.neighbors(v.edges, v.heads, 5), f"WITH {HEADS}, {EDGES}, n AS (SELECT 'out' AS direction, dst AS other, edge_type FROM edges WHERE src = 5 UNION ALL SELECT 'in', src, edge_type FROM edges WHERE dst = 5) SELECT other, direction, edge_type, title FROM n JOIN heads ON other = note_id")
+    synced = f"""{HEADS}, {EDGES}, {_LINKS}, {_FIRST_WORDS}, {_RESOLVED}, {near},
+        kept AS (SELECT query_id AS src, note_id AS dst FROM near WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = query_id AND dst = note_id AND edge_type = 'references')),
+        every AS (SELECT src, dst, 'auto' AS source_type, 0 AS k, 0 AS ln, 0 AS part FROM kept UNION ALL SELECT src, dst, 'body', 1, ln, part FROM resolved WHERE dst IS NOT NULL AND dst <> src),
+        synced AS (SELECT src, dst, 'references' AS edge_type, source_type FROM every QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY k, ln, part) = 1)""".replace("every AS (SELECT page_id", "every_link AS (SELECT page_id").replace("FROM every QUALIFY row_number() OVER (PARTITION BY page_id", "FROM every_link QUALIFY row_number() OVER (PARTITION BY page_id")
+    c["edges_synced"] = (lambda v: _synced(v).select("src", "dst", "edge_type", "source_type"), f"WITH {synced} SELECT src, dst, edge_type, source_type FROM synced")
+    c["edges_touched"] = (lambda v: graph.touched(v.edges.where("edge_type = 'unknown'"), _synced(v)), f"WITH {synced} SELECT src AS note_id FROM synced UNION SELECT dst FROM synced UNION SELECT src FROM edges WHERE edge_type = 'unknown' UNION SELECT dst FROM edges WHERE edge_type = 'unknown'")
+    c["neighbors"] = (lambda v: graph.neighbors(v.edges, v.heads), f"WITH {HEADS}, {EDGES}, n AS (SELECT src AS note_id, 'out' AS direction, dst AS other, edge_type FROM edges UNION ALL SELECT dst, 'in', src, edge_type FROM edges) SELECT n.note_id, other, direction, edge_type, title FROM n JOIN heads ON other = heads.note_id")
     c["degrees"] = (lambda v: graph.degrees(v.edges, v.heads), f"WITH {HEADS}, {EDGES} SELECT note_id, coalesce(o, 0) AS links_out, coalesce(i, 0) AS links_in FROM heads LEFT JOIN (SELECT src, count(*) o FROM edges GROUP BY 1) ON src = note_id LEFT JOIN (SELECT dst, count(*) i FROM edges GROUP BY 1) ON dst = note_id")
-    weights = "CASE edge_type WHEN 'depends-on' THEN 2.0 WHEN 'supersedes' THEN 1.5 WHEN 'contradicts' THEN 1.5 WHEN 'extends' THEN 1.2 WHEN 'informed-by' THEN 0.8 ELSE 1.0 END"
     c["graph_expand"] = (
-        lambda v: rounded(graph.expand(v.edges.where("src < 10").select(F.col("src").alias("note_id")).distinct().select("note_id", (1 - F.col("note_id") / 10).alias("seed")), v.edges), "graph"),
-        f"""WITH {EDGES}, seeds AS (SELECT DISTINCT src AS note_id, 1.0 - src / 10.0 AS seed FROM edges WHERE src < 10),
-        m AS (SELECT src, dst, s.seed AS a, t.seed AS b, (CASE WHEN s.seed IS NOT NULL AND t.seed IS NOT NULL THEN 2 ELSE 1 END) * 0.5 * {weights} AS w FROM edges LEFT JOIN seeds s ON s.note_id = src LEFT JOIN seeds t ON t.note_id = dst
-          WHERE (s.seed IS NOT NULL OR t.seed IS NOT NULL) AND NOT (edge_type = 'supersedes' AND s.seed IS NOT NULL))
-        SELECT note_id, round(CAST(sum(g) AS DOUBLE), 6) AS graph FROM (SELECT dst AS note_id, a * w AS g FROM m WHERE a IS NOT NULL UNION ALL SELECT src, b * w FROM m WHERE b IS NOT NULL) GROUP BY 1""",
-    )
-    eng = "0.6 * coalesce(exp(-(greatest(epoch(TIMESTAMP '2024-01-31') - floor(epoch(greatest(coalesce(last_accessed, updated_at), updated_at))), 0) / 3600.0) * ln(2) / 168), 0.3) + 0.4 * least(1, ln(1 + access_count) / ln(21))"
-    c["engagement"] = (lambda v: v.heads.select("note_id", F.round(ranking.engagement(v.now, Ranking()), 6).alias("engagement")), f"WITH {HEADS} SELECT note_id, round({eng}, 6) AS engagement FROM heads")
+        lambda v: rounded(graph.expand(live(v.heads).select("note_id", (1 / (1 + F.col("access_count"))).alias("seed")), v.edges), "graph"),
+        f"WITH {HEADS}, {EDGES}, seeds AS (SELECT note_id, 1 / (1 + access_count) AS seed FROM live), {_SPREAD} SELECT note_id, round(graph, 6) AS graph FROM passed",
+    )
+    c["engagement"] = (lambda v: v.heads.select("note_id", F.round(ranking.engagement(v.now, Ranking()), 6).alias("engagement")), f"WITH {HEADS} SELECT note_id, round({_ENGAGEMENT}, 6) AS engagement FROM heads")
+    scores = ("cosine", "graph", "engagement", "final")
+    scored = lambda df: rounded(df.select("note_id", *scores), *scores)
+    told = "SELECT note_id, " + ", ".join(f"round({x}, 6) AS {x}" for x in scores) + " FROM result"
     c["search_filter_only"] = (
-        lambda v: rounded(ranking.search(v, allowed=F.col("domain") == "src0", cfg=Ranking(limit=20)).select("note_id", "engagement"), "engagement"),
-        None,
+        lambda v: scored(ranking.search(v, filters=ranking.Filters(domain="src0", since=DAY(2024, 1, 5)), cfg=Ranking(limit=20))),
+        f"WITH {HEADS}, {blended_sql(_RECENT.format(where=chr(87) + 'HERE domain = ' + chr(39) + 'src0' + chr(39) + ' AND updated_at >= TIMESTAMP ' + chr(39) + '2024-01-05' + chr(39)), False, 20)} {told}",
     )
-    lex = bm25_sql([("x = 'thing'", None, 1), ("x = 'shes'", None, 1)], "status <> 'retracted' AND (n0 > 0 OR n1 > 0)", {"title": 5.0, "body": 1.0}, 100)
     c["search_bm25"] = (
         lambda v: rounded(ranking.search(v, "thing OR shes", mode="bm25").select("note_id", "final"), "final"),
-        f"WITH {HEADS}, pool AS ({lex.replace('round(-', '(-').replace(', 6) AS bm25', ') AS bm25')}), r AS (SELECT note_id, row_number() OVER (ORDER BY bm25, note_id) - 1 AS rank, count(*) OVER () AS n FROM pool) "
-        f"SELECT note_id, round(final, 6) AS final FROM (SELECT note_id, 0.75 * (1 - rank / n) + 0.25 * ({eng}) AS final FROM r JOIN heads USING (note_id)) WHERE final >= 0.1 ORDER BY final DESC, note_id LIMIT 10",
+        f"{_LEXICAL}, f AS (SELECT note_id, 0.75 * (1 - rank / (SELECT count(*) FROM lexical)) + 0.25 * ({_ENGAGEMENT}) AS final FROM lexical JOIN heads USING (note_id)) SELECT note_id, round(final, 6) AS final FROM f WHERE final >= 0.1 ORDER BY f.final DESC, note_id LIMIT 10",
+    )
+    merged = f"SELECT coalesce(l.note_id, n.note_id) AS note_id, rank FROM lexical l FULL JOIN ({_NEAREST}) n ON l.note_id = n.note_id"
+    c["search_hybrid"] = (lambda v: scored(ranking.search(v, "thing OR shes", vector=_vector(v))), f"{_LEXICAL}, {blended_sql(merged, True, 10)} {told}")
+    c["search_graph"] = (lambda v: scored(ranking.search(v, "thing OR shes")), f"{_LEXICAL}, {blended_sql('SELECT note_id, rank FROM lexical', False, 10)} {told}")
+    c["search_semantic"] = (lambda v: scored(ranking.search(v, "thing", mode="semantic", vector=_vector(v))), f"WITH {HEADS}, {blended_sql(_RECENT.format(where=''), True, 10)} {told}")
+    tagged = _LEXICAL.replace("status <> 'retracted' AND", "status <> 'retracted' AND note_id IN (SELECT note_id FROM tags WHERE tag = 'red') AND")
+    c["search_tagged"] = (lambda v: scored(ranking.search(v, "thing OR shes", filters=ranking.Filters(tags=("red",)))), f"{tagged}, {blended_sql('SELECT note_id, rank FROM lexical', False, 10)} {told}")
+    narrow = _LEXICAL.replace("status <> 'retracted' AND", "status <> 'retracted' AND note_id IN (SELECT note_id FROM heads WHERE domain = 'src0') AND")
+    inside = blended_sql("SELECT note_id, rank FROM lexical", False, 10).replace("JOIN live USING (note_id)), top", "JOIN live USING (note_id) WHERE domain = 'src0' OR note_id IN (SELECT note_id FROM pool)), top")
+    c["search_in_domain"] = (lambda v: scored(ranking.search(v, "thing OR shes", filters=ranking.Filters(domain="src0"), cfg=Ranking(respect_domain=True))), f"{narrow}, {inside} {told}")
+    c["search_hits"] = (lambda v: rounded(ranking.hits(v, ranking.search(v, "thing OR shes", vector=_vector(v)), "thing OR shes"), "final"), None)
+    degree = "(SELECT count(*) FROM edges WHERE dst = note_id) AS links_in, (SELECT count(*) FROM edges WHERE src = note_id) AS links_out"
+    c["about_notes"] = (
+        lambda v: ranking.about(v, "thing OR shes").select("note_id", F.round("final", 6).alias("final"), F.sha2("body_preview", 256).alias("preview_hash"), "links_in", "links_out"),
+        f"{_LEXICAL}, {blended_sql('SELECT note_id, rank FROM lexical', False, 3)} SELECT note_id, round(final, 6) AS final, sha256({_cut_sql(500)}) AS preview_hash, {degree} FROM result JOIN heads USING (note_id)",
+    )
+    c["orient_briefing"] = (lambda v: v.spark.createDataFrame([(ranking.briefing(v, "thing OR shes"),)], "briefing string"), None)
+    c["orient_tags"] = (
+        lambda v: v.tags.join(ranking.search(v, "thing OR shes", cfg=Ranking(limit=5)).select("note_id"), "note_id", "left_semi").select("tag").distinct(),
+        f"{_LEXICAL}, {blended_sql('SELECT note_id, rank FROM lexical', False, 5)} SELECT DISTINCT tag FROM tags JOIN result USING (note_id)",
+    )
+    c["orient_recent"] = (
+        lambda v: ranking.recently_updated(v, ranking.Filters(tags=("red",)), T.cutoff("7d", v.now)),
+        f"WITH {HEADS}, {TAGS} SELECT count(*) AS notes FROM live WHERE updated_at >= TIMESTAMP '2024-01-24' AND EXISTS (SELECT 1 FROM tags WHERE tags.note_id = live.note_id AND tag = 'red')",
     )
-    c["search_hybrid"] = (lambda v: rounded(ranking.search(v, "thing OR shes", vector=_vector(v)).select("note_id", "cosine", "graph", "engagement", "final"), "cosine", "graph", "engagement", "final"), None)
-    c["search_semantic"] = (lambda v: rounded(ranking.search(v, "thing", mode="semantic", vector=_vector(v)).select("note_id", "cosine", "graph", "final"), "cosine", "graph", "final"), None)
     c["candidate_merge"] = (
-        lambda v: lexical.bm25(_searchable(v), FTS, _W).select("note_id", F.lit(1).alias("lexical")).join(vectors.similar(v.vectors, v.vectors.where("note_id = 0"), 100).select("note_id", F.lit(1).alias("near")), "note_id", "full_outer"),
-        f"WITH a AS ({bm25_sql([(f'x = {chr(39)}{w}{chr(39)}', None, 1) for w in ('thing', 'shes', 'ound')], 'n0 > 0 OR n1 > 0 OR n2 > 0', _W, 1000000000)}), b AS (SELECT e.vec_id AS note_id FROM embeddings q JOIN embeddings e ON q.vec_id = 0 AND e.vec_id <> 0 ORDER BY {sim} DESC, e.vec_id LIMIT 100) "
+        lambda v: v.index.bm25(FTS, _W).select("note_id", F.lit(1).alias("lexical")).join(_knn(v, None, NEAR).select("note_id").distinct().select("note_id", F.lit(1).alias("near")), "note_id", "full_outer"),
+        f"WITH a AS ({bm25_sql([_word(w) for w in ('thing', 'shes', 'ound')], 'n0 > 0 OR n1 > 0 OR n2 > 0', _W, 1000000000)}), {pairs}, b AS (SELECT DISTINCT note_id FROM p WHERE s >= {NEAR}) "
         "SELECT coalesce(a.note_id, b.note_id) AS note_id, CASE WHEN a.note_id IS NOT NULL THEN 1 END AS lexical, CASE WHEN b.note_id IS NOT NULL THEN 1 END AS near FROM a FULL JOIN b ON a.note_id = b.note_id",
     )
-    c["version_history"] = (lambda v: versions.history(v.versions, 3), f"WITH {VERSIONS} SELECT note_id, seq, content_hash, CAST(max(seq) OVER () - seq AS INT) AS depth FROM versions WHERE note_id = 3")
+    c["version_history"] = (lambda v: versions.history(v.versions), f"WITH {VERSIONS} SELECT note_id, seq, content_hash, CAST(row_number() OVER (PARTITION BY note_id ORDER BY seq DESC) - 1 AS INT) AS depth FROM versions")
     c["version_heads"] = (lambda v: versions.heads(v.versions), f"WITH {VERSIONS} SELECT note_id, max(seq) AS seq, arg_max(content_hash, seq) AS content_hash FROM versions GROUP BY 1")
     c["rollback"] = (lambda v: versions.rollback(v.versions, 0), f"WITH {VERSIONS}, h AS (SELECT note_id, max(seq) AS head FROM versions GROUP BY 1) SELECT note_id, head + 1 AS seq, head AS prev, content_hash FROM h JOIN versions USING (note_id) WHERE seq = 0")
     c["content_hash"] = (lambda v: v.table("documents").select("doc_id", F.sha2("text", 256).alias("content_hash")), "SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -191,8 +440,6 @@ def _catalogue() -> dict:
         lambda v: v.heads.select("note_id", F.sha2(T.embed_input(F.col("title"), F.col("domain"), F.col("kind"), F.col("intent"), F.array(F.col("intent"), F.col("kind")), F.col("body")), 256).alias("input_hash")),
         f"WITH {HEADS} SELECT note_id, sha256('[' || domain || ' ' || kind || ' — ' || intent || '] [' || intent || ', ' || kind || '] ' || title || chr(10) || chr(10) || body) AS input_hash FROM heads",
     )
-    c["orient_tags"] = (lambda v: v.tags.groupBy("tag").agg(F.max("note_id").alias("n")).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags")), f"WITH {TAGS} SELECT string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT tag FROM tags)")
-    c["orient_recent"] = (lambda v: live(v.heads).where(F.col("updated_at") >= F.lit(T.cutoff("7d", v.now)).cast("timestamp_ntz")).agg(F.count(F.lit(1)).alias("notes")), f"WITH {HEADS} SELECT count(*) AS notes FROM live WHERE updated_at >= TIMESTAMP '2024-01-24'")
     for name, columns in (("ir_recall", ("recall_at_1", "recall_at_5", "recall_at_10")), ("ir_mrr", ("mrr",)), ("ir_ndcg", ("ndcg_at_10",))):
         c[name] = (lambda v, columns=columns: rounded(_metrics(v).select("query_id", *columns), *columns), f"WITH {EVALUATED} SELECT query_id, {', '.join(f'round({x}, 6) AS {x}' for x in columns)} FROM metrics")
     c["ir_by_class"] = (
@@ -208,17 +455,24 @@ def _catalogue() -> dict:
         "SELECT user_id AS note_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS reads FROM events WHERE event_type = 'view' GROUP BY 1, 2",
     )
     c["version_diffs"] = (lambda v: versions.diffs(v.versions), None)
-    c["snippet_fallback"] = (_snippets, None)
-    c["frontmatter_parse"] = (
-        lambda v: markdown.fields(markdown.split(v.heads.select(F.col("note_id").cast("string").alias("file"), F.concat(F.lit("---\ntitle: "), "title", F.lit("\ntags: ["), "domain", F.lit(", "), "intent", F.lit("]\n---\n"), "body").alias("doc")))).select("file", F.col("meta.title").alias("title"), F.array_join("tags", "+").alias("tags"), F.length("body").alias("n")),
-        None,
+    c["snippet_fallback"] = (
+        lambda v: v.heads.select("note_id", F.sha2(T.trimmed(T.cut_at_word(F.col("body"), 150)), 256).alias("snippet_hash")),
+        f"WITH {HEADS} SELECT note_id, sha256({_cut_sql(150)}) AS snippet_hash FROM heads",
     )
+    c["frontmatter_parse"] = (_frontmatter, f"WITH {HEADS} SELECT note_id, title, domain || '+' || intent AS tags, kind AS target, sha256(trim(body, {SPACES})) AS body_hash FROM heads")
+    _changes(c)
     return c
 
 
+@lru_cache(maxsize=4)
+def _vault(application: str, spark: SparkSession, folder: str) -> Vault:
+    """One vault for all queries of a session on a folder, so that its index is built once."""
+    return Vault(spark, folder)
+
+
 def queries() -> dict:
     def of(plan):
-        return lambda spark, sf_dir: plan(Vault(spark, sf_dir))
+        return lambda spark, sf_dir: plan(_vault(spark.sparkContext.applicationId, spark, sf_dir))
 
     return {name: of(plan) for name, (plan, _) in _catalogue().items()}
 

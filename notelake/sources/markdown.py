@@ -1,29 +1,157 @@
-"""Markdown notes with frontmatter as a DataFrame source."""
+"""Markdown notes with frontmatter, queries and settings as DataFrame sources."""
 
 from __future__ import annotations
 
+import json
+import tomllib
+from collections.abc import Iterator
+from dataclasses import replace
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Ranking
+from ..functions.text import trimmed
+
 
 def read_notes(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(file, frontmatter, body, error) of the *.md files below path; a file without frontmatter has an error."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.md").load(path)
-    return split(files.select(F.input_file_name().alias("file"), F.col("value").alias("doc")))
+    """(file, name, frontmatter, body, error) of the *.md files below path, or of a file; name is the file's without its ending.
+
+    A file without frontmatter has an error; a path that doesn't exist is one, when the table is read."""
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", recursive)
+    if path.rstrip("/").rsplit("/", 1)[-1].count(".") == 0:
+        files = files.option("pathGlobFilter", "*.md")
+    files = files.load(path)
+    rows = split(files.select(F.input_file_name().alias("file"), F.col("value").alias("doc")))
+    return rows.withColumn("name", F.regexp_extract("file", "([^/]*?)(?:\\.[^./]*)?$", 1))
+
+
+def stream_notes(spark: SparkSession, path: str) -> DataFrame:
+    """As read_notes, of files as they come in."""
+    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(path)
+    return split(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc")))
 
 
 def split(docs: DataFrame) -> DataFrame:
     """docs (file, doc) in frontmatter and body: the first ends at the first line of three dashes after its own."""
     pattern = "(?s)\\A---\\n(.*?)\\n---\\n(.*)\\z"
-    fits = F.col("doc").rlike(pattern)
+    fits = F.coalesce(F.col("doc").rlike(pattern), F.lit(False))
     part = lambda i: F.when(fits, F.regexp_extract("doc", pattern, i))
-    return docs.select("file", part(1).alias("frontmatter"), F.trim(part(2)).alias("body"), F.when(~fits, "no frontmatter").alias("error"))
+    return docs.select("file", part(1).alias("frontmatter"), trimmed(part(2)).alias("body"), F.when(~fits, "no frontmatter").alias("error"))
+
+
+META = "title string, author string, domain string, intent string, kind string, status string, tags array<string>, aliases array<string>, links array<struct<target:string,rel:string>>, problem string"
+_TEXT = ("title", "author", "domain", "intent", "kind", "status")
+
+
+def _scalar(text: str) -> str:
+    text = text.strip()
+    if text[:1] == '"' and text[-1:] == '"' and len(text) > 1:
+        try:
+            return json.loads(text)
+        except ValueError:
+            return text[1:-1]
+    return text[1:-1].replace("''", "'") if text[:1] == "'" and text[-1:] == "'" and len(text) > 1 else text
+
+
+def frontmatter(text: str) -> dict:
+    """The fields of frontmatter of plain form: `key: value`, `[a, b]`, block lists, and lists of `key: value` groups.
+
+    ValueError for a repeated key or a line of another form."""
+    found: dict = {}
+    key = None
+    for line in text.split("\n"):
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if line[0] not in " -":
+            name, colon, value = line.partition(":")
+            if not colon or name in found:
+                raise ValueError(f"repeated key: {name}" if colon else f"no field: {line}")
+            key, value = name.strip(), value.strip()
+            if value[:1] == "[" and value[-1:] == "]":
+                found[key] = [_scalar(x) for x in value[1:-1].split(",") if x.strip()]
+            else:
+                found[key] = _scalar(value) if value else []
+        elif key is not None and isinstance(found[key], list):
+            item = line.strip()
+            if item.startswith("- "):
+                item = item[2:].strip()
+                name, colon, value = item.partition(": ")
+                found[key].append({name: _scalar(value)} if colon else _scalar(item))
+            elif found[key] and isinstance(found[key][-1], dict) and ": " in item:
+                name, _, value = item.partition(": ")
+                found[key][-1][name] = _scalar(value)
+            else:
+                raise ValueError(f"no field: {line}")
+        else:
+            raise ValueError(f"no field: {line}")
+    return found
+
+
+def _meta(text: str | None) -> dict | None:
+    if text is None:
+        return None
+    try:
+        found = frontmatter(text)
+    except ValueError as e:
+        return {"problem": str(e)}
+    out = {c: found[c] for c in _TEXT if isinstance(found.get(c), str)}
+    for c in ("tags", "aliases"):
+        out[c] = [x for x in found.get(c, []) if isinstance(x, str)] if isinstance(found.get(c, []), list) else []
+    links = found.get("links", [])
+    out["links"] = [{"target": x.get("target"), "rel": x.get("rel")} for x in links if isinstance(x, dict)] if isinstance(links, list) else []
+    missing = [c for c in _TEXT if c not in out] + ["tags"] * ("tags" not in found)
+    return out | {"problem": f"missing: {', '.join(missing)}" if missing else None}
 
 
 def fields(notes: DataFrame) -> DataFrame:
-    """Adds the map of the frontmatter's plain `key: value` lines, and tags of a `[a, b]` list."""
-    lines = F.filter(F.split("frontmatter", "\n"), lambda x: x.rlike("^[A-Za-z_]+: ?\\S"))
-    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    meta = F.map_from_entries(pairs)
-    tags = F.filter(F.split(F.regexp_replace(F.coalesce(F.try_element_at(meta, F.lit("tags")), F.lit("")), "[\\[\\]]", ""), ",\\s*"), lambda x: x != "")
-    return notes.withColumn("meta", meta).withColumn("tags", tags)
+    """notes with the struct meta of their frontmatter: the six texts, tags, aliases, links, and a problem if there is one."""
+    text, many = pa.string(), pa.list_(pa.string())
+    kind = pa.struct([*[(c, text) for c in _TEXT], ("tags", many), ("aliases", many), ("links", pa.list_(pa.struct([("target", text), ("rel", text)]))), ("problem", text)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = notes_columns.index("frontmatter")
+        for batch in batches:
+            meta = pa.array([_meta(x) for x in batch.column(at).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, meta], names=[*notes_columns, "meta"])
+
+    notes_columns = notes.columns
+    schema = ", ".join(f"`{n}` {t}" for n, t in notes.dtypes)
+    return notes.mapInArrow(run, f"{schema}, meta struct<{META.replace(' array', ':array').replace(' string', ':string')}>")
+
+
+QUERY = "query_id string, query string, relevant array<string>, class string"
+
+
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Queries with their relevant notes, one JSON object a line; blank lines are skipped and class may be missing."""
+    return spark.read.schema(QUERY).json(path).where("query_id IS NOT NULL")
+
+
+#: The settings of a search by section, and the fields that they set.
+SETTINGS = {
+    "": {"threshold": "threshold"},
+    "bm25": {"top_k": "top_k"},
+    "weights": {"cosine": "cosine", "graph": "graph", "engagement": "engagement", "activation": "engagement"},
+    "engagement": {"half_life_hours": "half_life_hours", "saturation_reads": "saturation", "weight_recency": "recency", "weight_popularity": "popularity"},
+    "graph": {"decay": "decay", "respect_domain_filter": "respect_domain"},
+}
+
+
+def ranking_of(text: str) -> Ranking:
+    """The ranking's settings from TOML (table `search` and its tables); what isn't stated stays as it is by default."""
+    search = tomllib.loads(text).get("search", {})
+    given = {field: table[name] for part, names in SETTINGS.items() for table in [search.get(part, {}) if part else search] for name, field in names.items() if name in table}
+    weights = {name.removeprefix("weight_"): value for name, value in search.get("bm25", {}).items() if name.startswith("weight_")}
+    return replace(Ranking(), **given, fields=Ranking().fields | weights)
+
+
+def result_name(task: str, system: str, corpus: str, config: str) -> str:
+    """The name of a result file; separators of paths become hyphens."""
+    return "-".join(x.replace("/", "-").replace("\\", "-") for x in (task, system, corpus, config)) + ".json"
+
+
+def write_result(result: DataFrame, path: str) -> None:
+    """A result of a few rows as JSON lines in one file."""
+    result.coalesce(1).write.mode("overwrite").json(path)
