@@ -70,12 +70,9 @@ def title(text: Column) -> Column:
     return F.substring(trimmed(F.regexp_replace(F.substring_index(text, "\n", 1), "^#+", "")), 1, 80)
 
 
-def wikilinks(body: Column) -> Column:
-    """Targets of [[...]] in order, each once, with the trimmed line where it stands first: array of (target, pos, context)."""
-    lines = F.transform(F.split(body, "\n"), lambda x: F.transform(F.regexp_extract_all(x, F.lit("\\[\\[([^\\]]+)\\]\\]"), F.lit(1)), lambda t: F.struct(t.alias("target"), trimmed(x).alias("context"))))
-    found = F.transform(F.flatten(lines), lambda x, i: F.struct(x["target"].alias("target"), i.alias("pos"), x["context"].alias("context")))
-    names = F.transform(found, lambda x: x["target"])
-    return F.filter(found, lambda x: F.array_position(names, x["target"]) == x["pos"] + 1)
+def wikilinks(line: Column) -> Column:
+    """Targets of [[...]] in a line, in order."""
+    return F.regexp_extract_all(line, F.lit("\\[\\[([^\\]]+)\\]\\]"), F.lit(1))
 
 
 def heading(rel: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EDGE_WEIGHTS
-from ..functions.text import wikilinks
+from ..functions.text import trimmed, wikilinks
 
 EDGE = ("src", "dst", "edge_type", "weight", "source_type", "context")
 
@@ -27,13 +27,16 @@ def resolved(links: DataFrame, notes: DataFrame, target: str = "target") -> Data
 
 def text_links(texts: DataFrame) -> DataFrame:
     """(src, target, edge_type, source_type, context, pos) of the wikilinks of texts (note_id, body), each target once."""
-    found = texts.select(F.col("note_id").alias("src"), F.explode(wikilinks(F.col("body"))).alias("x"))
-    return found.select("src", "x.target", F.lit("references").alias("edge_type"), F.lit("body").alias("source_type"), "x.context", "x.pos")
+    lines = texts.select(F.col("note_id").alias("src"), F.posexplode(F.split("body", "\n")).alias("line", "text")).where(F.contains("text", F.lit("[[")))
+    found = lines.select("src", "line", "text", F.posexplode(wikilinks(F.col("text"))).alias("part", "target"))
+    first = found.groupBy("src", "target").agg(F.min(F.struct("line", "part", "text")).alias("x"))  # a note's links are in one task already
+    pos = F.col("x.line").cast("long") * (1 << 32) + F.col("x.part")
+    return first.select("src", "target", F.lit("references").alias("edge_type"), F.lit("body").alias("source_type"), trimmed(F.col("x.text")).alias("context"), pos.alias("pos"))
 
 
 def stated_links(notes: DataFrame) -> DataFrame:
     """As text_links, of the frontmatter's links: notes (note_id, links array of (target, rel))."""
-    found = notes.select(F.col("note_id").alias("src"), F.posexplode("links").alias("pos", "x"))
+    found = notes.select(F.col("note_id").alias("src"), F.posexplode("links").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
     return found.select("src", "x.target", F.col("x.rel").alias("edge_type"), F.lit("frontmatter").alias("source_type"), F.lit(None).cast("string").alias("context"), "pos")
 
 
@@ -43,7 +46,7 @@ def synced(links: DataFrame, notes: DataFrame, kept: DataFrame) -> DataFrame:
     Kept edges come first, then links in the body, then those in the frontmatter; dead links and links to oneself go."""
     found = resolved(links, notes).where("dst IS NOT NULL AND dst <> src").withColumn("weight", weight(F.col("edge_type")))
     rank = F.when(F.col("source_type") == "body", 1).otherwise(2)
-    every = found.select(*EDGE, rank.alias("_rank"), "pos").unionByName(kept.select(*EDGE, F.lit(0).alias("_rank"), F.lit(0).alias("pos")))
+    every = found.select(*EDGE, rank.alias("_rank"), "pos").unionByName(kept.select(*EDGE, F.lit(0).alias("_rank"), F.lit(0).cast("long").alias("pos")))
     first = Window.partitionBy("src", "dst", "edge_type").orderBy("_rank", "pos", "context")
     return every.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*EDGE)
 

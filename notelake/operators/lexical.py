@@ -1,8 +1,8 @@
 """Full-text search: a query language, an index of postings, BM25 over weighted fields, snippets, corpus statistics.
 
-The index is a table (term, note_id, field, n, places), sorted by term in each of its files, so that a query reads the
-pages of its own terms only, a table of the notes' lengths, and the corpus's totals. It is built once from a set of texts
-and serves every query on it; phrases are met by the places of their words."""
+The index is a table (term, note_id, field, place) of all words, sorted by term in each of its files, so that a query
+reads the pages of its own terms only, a table of the notes' lengths, and the corpus's totals. It is built once, without
+moving a text, and serves every query; phrases are met by the places of their words."""
 
 from __future__ import annotations
 
@@ -116,23 +116,28 @@ def all_phrases(tree) -> list[Phrase]:
 
 
 class Index:
-    """Postings, lengths and totals of texts (note_id, a column for each field); a field that texts lack is empty."""
+    """Postings, lengths and totals of texts (note_id, a column for each field); a field that texts lack is empty.
 
-    def __init__(self, texts: DataFrame, fields=tuple(FIELD_WEIGHTS)):
-        self.fields = tuple(f for f in fields if f in texts.columns)
+    apart: further fields, each in a table of its own (note_id, text); only notes of texts count."""
+
+    def __init__(self, texts: DataFrame, apart: dict[str, DataFrame] | None = None, fields=tuple(FIELD_WEIGHTS)):
+        self.apart = apart or {}
+        self.fields = tuple(f for f in fields if f in texts.columns or f in self.apart)
         self.texts = texts
 
     @cached_property
     def postings(self) -> DataFrame:
-        """Places are counted from 0. Notes meet their terms by term, note and field, so a frequent word is in many tasks."""
-        every = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in self.fields])
+        """A row for each word's place, counted from 0."""
+        every = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in self.fields if f not in self.apart])
         rows = self.texts.select("note_id", F.explode(every).alias("x")).select("note_id", "x.field", F.posexplode("x.t").alias("place", "term"))
-        found = rows.groupBy("term", "note_id", "field").agg(F.count(F.lit(1)).alias("n"), F.collect_list("place").alias("places"))
-        return written(found.sortWithinPartitions("term", "note_id"), "postings")
+        for field, table in self.apart.items():
+            known = table.join(self.texts.select("note_id"), "note_id", "left_semi")
+            rows = rows.unionByName(known.select("note_id", F.lit(field).alias("field"), F.posexplode(tokens(F.col("text"))).alias("place", "term")))
+        return written(rows.select("term", "note_id", "field", "place").sortWithinPartitions("term"), "postings")
 
     @cached_property
     def lengths(self) -> DataFrame:
-        sums = self.postings.groupBy("note_id").agg(*[F.sum(F.when(F.col("field") == f, F.col("n"))).alias(f) for f in self.fields])
+        sums = self.postings.groupBy("note_id").agg(*[F.count_if(F.col("field") == f).alias(f) for f in self.fields])
         every = self.texts.select("note_id").join(sums, "note_id", "left")
         return written(every.select("note_id", *[F.coalesce(f, F.lit(0)).alias(f) for f in self.fields]), "lengths")
 
@@ -150,13 +155,10 @@ class Index:
         meets = lambda i: F.col("term").startswith(p.words[i]) if p.prefix and i == len(p.words) - 1 else F.col("term") == p.words[i]
         if not p.words:
             rows = rows.where(F.lit(False))
-        elif len(p.words) == 1:
-            rows = rows.where(meets(0))
         else:
-            of = lambda i: rows.where(meets(i)).select("note_id", "field", F.explode("places").alias("_p")).select("note_id", "field", (F.col("_p") - i).alias("_p"))
-            found = reduce(lambda a, i: a.join(of(i), ["note_id", "field", "_p"], "left_semi"), range(1, len(p.words)), of(0))
-            rows = found.groupBy("note_id", "field").agg(F.count(F.lit(1)).alias("n"))
-        return rows.select("note_id", "n", (F.col("n") * weight).alias("f"))
+            of = lambda i: rows.where(meets(i)).select("note_id", "field", (F.col("place") - i).alias("place"))
+            rows = reduce(lambda a, i: a.join(of(i), ["note_id", "field", "place"], "left_semi"), range(1, len(p.words)), of(0))
+        return rows.groupBy("note_id", "field").agg(F.count(F.lit(1)).alias("n")).select("note_id", "n", (F.col("n") * weight).alias("f"))
 
     def bm25(self, query: str, weights: dict[str, float] | None = None) -> DataFrame:
         """(note_id, bm25) of the notes that match, the least (most negative) being the best. A malformed query matches none.
@@ -197,7 +199,7 @@ class Index:
 def bm25(notes: DataFrame, query: str, fields: dict[str, float] | None = None) -> DataFrame:
     """Index.bm25 over an index of notes that is built for this query alone."""
     fields = fields or FIELD_WEIGHTS
-    return Index(notes, tuple(fields)).bm25(query, fields)
+    return Index(notes, fields=tuple(fields)).bm25(query, fields)
 
 
 def plain_query(text: str) -> str:

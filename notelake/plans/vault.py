@@ -58,18 +58,14 @@ class Vault:
         """heads without their texts: what searches read again and again."""
         return written(self.heads.drop("body"), "notes")
 
-    @cached_property
-    def texts(self) -> DataFrame:
-        """The searchable fields of each note: spine is its place, keywords are its tags; the given tables have no aliases."""
-        return self.heads.select("note_id", "title", "body", F.concat_ws("/", "domain", "intent", "kind").alias("spine"), F.lit("").alias("aliases")).join(
-            self.tags.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("keywords")), "note_id", "left"
-        )
-
     @cached_property
     def index(self):
+        """Full-text index of title, body, spine (a note's place) and keywords (its tags); the given tables have no aliases."""
         from ..operators.lexical import Index
 
-        return Index(self.texts)
+        texts = self.heads.select("note_id", "title", "body", F.concat_ws("/", "domain", "intent", "kind").alias("spine"), F.lit("").alias("aliases"))
+        keywords = self.tags.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("text"))
+        return Index(texts, {"keywords": keywords})
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -470,9 +470,13 @@ def _vault(application: str, spark: SparkSession, folder: str) -> Vault:
     return Vault(spark, folder)
 
 
+def vault_of(spark: SparkSession, folder: str) -> Vault:
+    return _vault(spark.sparkContext.applicationId, spark, folder)
+
+
 def queries() -> dict:
     def of(plan):
-        return lambda spark, sf_dir: plan(_vault(spark.sparkContext.applicationId, spark, sf_dir))
+        return lambda spark, sf_dir: plan(vault_of(spark, sf_dir))
 
     return {name: of(plan) for name, (plan, _) in _catalogue().items()}
 
