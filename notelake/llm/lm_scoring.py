@@ -4,7 +4,7 @@ Both are word bigram models over the words of the corpus. Every distinct word an
 counted on its own, so the models grow with the corpus; they are never in one place. The target is a set of documents,
 the background all others; background counts are scaled to the target's total, so both models are smoothed alike. A
 word's probability after another is its pair's count, with PRIOR times its own probability added, over the other's count
-and PRIOR. A word's own probability is smoothed over all distinct words. A document's score is the mean over its words
+and PRIOR. Every document is left out of the counts that score it, so those of the target are judged as held-out ones are. A word's own probability is smoothed over all distinct words. A document's score is the mean over its words
 of the target's loss less the background's, in bits: the lower, the nearer to the target.
 
 Words and pairs are told apart by 62 bits of hash: of a billion distinct ones, about one in ten corpora has two that
@@ -168,29 +168,43 @@ def _told(parts: int):
 SCORED = "doc_id long, n_words long, target_loss double, background_loss double"
 
 
+def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each entry's key occurs in its document."""
+    _, at, n = np.unique(doc.astype(np.int64) << 32 | key, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def _scored(totals: tuple[int, int, int]):
-    """Of rows (block, part, background, target, doc_id, text) by block and part (-1: documents), the documents' losses."""
+    """Of rows (block, part, background, target, doc_id, text) by block and part (-2: ids of the target, -1: documents), the
+    documents' losses."""
     scale = totals[1] / totals[0] if totals[0] and totals[1] else 1.0
-    words = [totals[0] * scale, float(totals[1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches):
             table = pa.Table.from_batches(rows)
-            is_doc = table.column(1).to_numpy() < 0
-            docs = [r for r in table.filter(pa.array(is_doc)).to_batches() if len(r)]
+            part = table.column(1).to_numpy()
+            docs = [r for r in table.filter(pa.array(part == -1)).to_batches() if len(r)]
+            if not docs:
+                continue  # the target names ids that there aren't
             ids, buf, offs = texts(docs, 4, 5)
+            named = table.filter(pa.array(part == -2)).column(4).to_numpy()
+            ours = np.isin(ids.fill_null(0).to_numpy(), named) & ids.is_valid().to_numpy(zero_copy_only=False)
             doc, own, before, pair, count = keys(buf, offs)
             key, at = np.unique(np.concatenate([own, pair, np.full(min(len(own), 1), START)]), return_inverse=True)
-            told = table.filter(pa.array(~is_doc))
-            n = len(own)
+            told = table.filter(pa.array(part >= 0))
+            n, first = len(own), before == START
             context = np.empty(n, dtype=np.int64)
             context[1:] = at[: max(n - 1, 0)]
-            context[before == START] = at[-1] if n else 0
+            context[first] = at[-1] if n else 0
+            own_single, own_pair = _own(doc, at[:n]), _own(doc, at[n : 2 * n])
+            own_ahead = np.ones(n, dtype=np.int64)  # a document starts once
+            own_ahead[1:] = own_single[: max(n - 1, 0)]
+            own_ahead[first] = 1
             out = []
-            for side, total, times in ((2, words[0], scale), (3, words[1], 1.0)):
-                counts = np.concatenate([np.zeros(0), *map(unpacked, told.column(side).to_pylist())]) * times
-                single, both, ahead = counts[at[:n]], counts[at[n : 2 * n]], counts[context]
-                alone = (single + ALPHA) / (total + ALPHA * totals[2])
+            for side, total, times, mine in ((2, totals[0], scale, ~ours), (3, totals[1], 1.0, ours)):
+                counts, less = np.concatenate([np.zeros(0), *map(unpacked, told.column(side).to_pylist())]), mine[doc]
+                single, both, ahead = ((counts[c] - less * o) * times for c, o in ((at[:n], own_single), (at[n : 2 * n], own_pair), (context, own_ahead)))
+                alone = (single + ALPHA) / ((total - less * count[doc]) * times + ALPHA * totals[2])
                 loss = -np.log2((both + PRIOR * alone) / (ahead + PRIOR))
                 out.append(np.bincount(doc, weights=loss, minlength=len(count)) / np.maximum(count, 1))
             none = count == 0
@@ -214,7 +228,8 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     totals = tuple(int(x or 0) for x in told.where("block IS NULL").agg(F.sum("n_background"), F.sum("n_target"), F.sum("vocabulary")).first())
     answers = told.where("block IS NOT NULL").select("block", "part", "background", "target", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     none = F.lit(None).cast("binary")
-    both = answers.unionByName(placed.select("block", F.lit(-1).cast("long").alias("part"), none.alias("background"), none.alias("target"), "doc_id", "text"))
+    of = lambda rows, part: rows.select("block", F.lit(part).cast("long").alias("part"), none.alias("background"), none.alias("target"), "doc_id", "text")
+    both = answers.unionByName(of(placed, -1)).unionByName(of(flags, -2))
     scored = both.repartition(many, "block").sortWithinPartitions("block", "part").mapInArrow(_scored(totals), SCORED)
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 

@@ -407,13 +407,17 @@ def test_scores_count_every_word_and_pair(spark, monkeypatch):
     size = len(set(words[0]) | set(words[1])) - 1
     assert size > 65536
 
-    def loss(t, side):
+    def loss(t, side, ours):
+        """A document's loss by a side's counts, without its own where it is of that side."""
         w, k = WORD.findall(t or ""), totals[1] / totals[side]
-        return sum(-np.log2((k * pairs[side][a, b] + 20 * (k * words[side][b] + 0.5) / (totals[1] + 0.5 * size)) / (k * words[side][a] + 20)) for a, b in zip([None, *w], w, strict=False)) / len(w)
+        own, twos = (collections.Counter([None, *w]), collections.Counter(zip([None, *w], w, strict=False))) if ours == side else ({}, {})
+        single, both = (lambda a: k * (words[side][a] - own.get(a, 0))), (lambda a, b: k * (pairs[side][a, b] - twos.get((a, b), 0)))
+        total = k * (totals[side] - len(w) * (ours == side))
+        return sum(-np.log2((both(a, b) + 20 * (single(b) + 0.5) / (total + 0.5 * size)) / (single(a) + 20)) for a, b in zip([None, *w], w, strict=False)) / len(w)
 
-    target = spark.createDataFrame([(i,) for s, (i, _) in zip(sides, docs, strict=True) if s] + [(None,)], "doc_id long")
+    target = spark.createDataFrame([(i,) for s, (i, _) in zip(sides, docs, strict=True) if s] + [(None,), (10**9,)], "doc_id long")
     got = sorted((x.doc_id if x.doc_id is not None else -1, x.n_words, x.target_loss, x.background_loss) for x in lm_scoring.score(table(spark, docs), target).where("n_words > 0").collect())
-    want = sorted((i if i is not None else -1, len(WORD.findall(t)), loss(t, 1), loss(t, 0)) for i, t in docs if t)
+    want = sorted((i if i is not None else -1, len(WORD.findall(t)), loss(t, 1, s), loss(t, 0, s)) for s, (i, t) in zip(sides, docs, strict=True) if t)
     assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
 
 
