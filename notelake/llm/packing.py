@@ -6,7 +6,9 @@ weighted norm of what would remain, `dot` the largest weighted product of demand
 where none fits.
 
 Pieces of one length are alike, and sequences with one history have one residual, so the choice is made once for
-each such class: the driver sees a histogram of at most max_tokens rows, whatever the size of the input, and returns
+each such class. By `norm` that is what choosing piece by piece gives, as a sequence that has taken a piece has less left than
+its like and stays the best until it is full; by `dot`, too, sequences of a class are filled one after another. With the
+default capacities tokens alone can bind, as the contract of the query knows no other limit. The driver sees a histogram of at most max_tokens rows, whatever the size of the input, and returns
 runs of ranks within a length. Spark ranks the pieces within their length (in salted parts, as a third of them may have
 one length) and joins them to these runs, of which there are at most a few for each length.
 
@@ -17,6 +19,7 @@ Extra columns are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -101,11 +104,18 @@ def best_fit(histogram: list[tuple[int, int]], cap: Capacity) -> list[tuple[int,
     return runs
 
 
+def _probes() -> list[str]:
+    """Words with every letter and sign that _PLAIN allows."""
+    letters, signs = string.ascii_letters + _LETTERS, [chr(c) for c in range(33, 127) if re.fullmatch(_SIGNS, chr(c))]
+    return [f"{sign}a{c}{c}{sign}{sign}" for k, c in enumerate(letters) for sign in ("", signs[k % len(signs)])] + [f"{x}the{y}" for x, y in zip(signs, signs[1:], strict=False)]
+
+
 class WordIds(dict):
     """The ids of words as bytes; a word that this worker hasn't met yet is encoded when it is looked up.
 
-    The tokenizer folds case and separates letters from other signs, so a word of letters between signs is the ids of
-    its parts, and far fewer parts than words are new. Other words go to the tokenizer whole."""
+    Where the tokenizer folds case and separates letters from other signs, which is tried on all of them at the start, a
+    word of letters between signs is the ids of its parts, and far fewer parts than words are new. Other words, and all
+    words of another tokenizer, go to it whole."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -115,6 +125,13 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         self.parts: dict[str, bytes] = {"": b""}
+        self.separates = all(self._parts(m) == self._whole(m[0]) for m in map(_PLAIN.fullmatch, _probes()))
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _parts(self, plain: re.Match) -> bytes:
+        return self.part(plain[1]) + self.part(plain[2].lower()) + self.part(plain[3])
 
     def part(self, text: str) -> bytes:
         if text not in self.parts:
@@ -126,12 +143,8 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO:
             self.clear()
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            ids = self.part(plain[1]) + self.part(plain[2].lower()) + self.part(plain[3])
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[word] = ids
+        plain = _PLAIN.fullmatch(word) if self.separates else None
+        ids = self[word] = self._parts(plain) if plain else self._whole(word)
         return ids
 
 

@@ -42,6 +42,8 @@ MIN_GROUP = 50
 TAIL = 1e-9
 #: Fall of the determinant's logarithm that is none.
 EPSILON = 0.01
+#: Groups, with a start each, that one task estimates.
+GROUPS_A_TASK = 64
 #: Groups whose estimates may be broadcast.
 MOST_GROUPS = 1 << 16
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -244,12 +246,12 @@ def _near(table: DataFrame, what: str) -> DataFrame:
     return F.broadcast(table) if table.count() <= 3 * MOST_GROUPS else table
 
 
-def _binned(rows: DataFrame, model: DataFrame, whole: bool) -> DataFrame:
-    """_halves of rows by model: at most some hundred bins a group and start."""
+def _binned(rows: DataFrame, model: DataFrame, whole: bool, groups: int) -> DataFrame:
+    """_halves of rows by model of so many groups and starts: at most some hundred bins each, so a task takes many of them."""
     sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMS)] + [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}{j}") for i, j in _PAIRS]
     bins = rows.join(model.select("_group", "_start", "center", "inverse"), "_group").withColumn("_bin", F.floor(16 * F.log2(_distance() + 1e-9)))
     bins = bins.groupBy("_group", "_start", "_bin").agg(F.count(F.lit(1)).cast("double").alias("n"), *(sums if whole else [])).join(model, ["_group", "_start"])
-    return bins.repartition("_group", "_start").sortWithinPartitions("_group", "_start", "_bin").mapInArrow(_halves(whole), MODEL)
+    return bins.repartition("_group", "_start").coalesce(max(8, groups // GROUPS_A_TASK)).sortWithinPartitions("_group", "_start", "_bin").mapInArrow(_halves(whole), MODEL)
 
 
 def fitted(rows: DataFrame) -> DataFrame:
@@ -271,11 +273,13 @@ def fitted(rows: DataFrame) -> DataFrame:
     model, step = spark.read.schema(MODEL).parquet(f"{path}/step=0"), 0
     while (groups := model.count()) > 0:  # a start's determinant falls by EPSILON at least each time, and it has a bound
         step += 1
-        _binned(rows, F.broadcast(model) if groups <= 3 * MOST_GROUPS else model, whole=True).write.parquet(f"{path}/step={step}")
+        _binned(rows, F.broadcast(model) if groups <= 3 * MOST_GROUPS else model, True, groups).write.parquet(f"{path}/step={step}")
         model = spark.read.schema(MODEL).parquet(f"{path}/step={step}").where(F.col("logdet") < F.col("was") - EPSILON)
     steps = spark.read.schema(MODEL).parquet(*[f"{path}/step={k}" for k in range(1, step + 1)]) if step else model
     least = steps.groupBy("_group").agg(F.min_by(F.struct(*[c for c in steps.columns if c != "_group"]), F.struct("logdet", "_start")).alias("b")).select("_group", "b.*")
-    model = _near(_binned(rows, _near(least, "least"), False), "half")
+    least = _near(least, "least")
+    groups = least.count()
+    model = _near(_binned(rows, least, False, groups), "half")
     near = F.array(*[F.lit(chi_square_quantile(0.025, k)) for k in range(1, DIMS + 1)])
     close = rows.join(model, "_group").where(_distance() <= F.col("unit") * F.element_at(near, F.col("dof")))
     again = close.groupBy("_group").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums).join(model.select("_group", "m", "dof"), "_group")
@@ -285,7 +289,7 @@ def fitted(rows: DataFrame) -> DataFrame:
             moments = [(r, np.array([r[c] for c in _SUMS])) for r in batch.to_pylist()]
             yield _models([_model(r["_group"], 0, np.array(r["m"]), *_moments(r["n"], s[:DIMS], s[DIMS:]), 0.0, dof=r["dof"]) for r, s in moments])
 
-    last = _binned(rows, _near(again.mapInArrow(estimated, MODEL), "reweighted"), False)
+    last = _binned(rows, _near(again.mapInArrow(estimated, MODEL), "reweighted"), False, groups)
     return _near(last.select("_group", "center", "inverse", "logdet", "dof", F.greatest("unit", F.lit(1.0)).alias("unit")), "models")
 
 

@@ -229,11 +229,39 @@ def test_best_fit_keeps_every_capacity(rule):
         assert sum(n for _, n in parts) <= 64 and len(parts) <= 5 and sum(n * n for _, n in parts) <= 4400
 
 
+@pytest.mark.parametrize("documents", [3, 5, 64])
+def test_best_fit_chooses_as_piece_by_piece(documents):
+    """Runs of classes fill sequences as single pieces do, each in the sequence with the least weighted norm left."""
+    r = random.Random(documents)
+    histogram = [(n, r.randrange(1, 7)) for n in range(1, 49)]
+    cap = packing.Capacity(tokens=64, documents=documents, attention=1800 if documents > 3 else 4096)
+    histogram = [(n, c) for n, c in histogram if n * n <= cap.attention]
+    bins = collections.defaultdict(list)
+    for length, first, end, per, start, _ in packing.best_fit(histogram, cap):
+        for rank in range(first, end):
+            bins[start + (rank - first) // per].append(length)
+    limit, left, held = np.array([64, documents, cap.attention], dtype=float), [], []
+    for length, count in sorted(histogram, reverse=True):
+        for _ in range(count):
+            need = np.array([length, 1, length * length])
+            fits = [k for k, x in enumerate(left) if (x >= need).all()]
+            if fits:
+                k = min(fits, key=lambda k: ((((left[k] - need) / limit) ** 2 * cap.weights).sum(), k))
+            else:
+                k = len(left)
+                left.append(limit.copy())
+                held.append([])
+            left[k] -= need
+            held[k].append(length)
+    assert sorted(map(sorted, bins.values())) == sorted(map(sorted, held))
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
+    assert packing.WordIds(path).separates and not packing.WordIds(public_tokenizers.path("byte_bpe_50k.json")).separates
     got = packing.pack_documents(table(spark, rows), path).collect()
     want = collections.Counter()
     for i, t in rows:
