@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .config import KINDS, Ranking
 from .functions import text as T
 from .operators import browse, evaluation, graph, lexical, mutations, ranking, vectors, versions
-from .plans.tables import written
 from .plans.vault import Vault, live
 from .sources import markdown
 from .streaming import access
@@ -158,8 +157,11 @@ def _knn(v: Vault, k: int = 20, threshold: float = -2.0) -> DataFrame:
 
 def _metrics(v: Vault, threshold: float = NEAR) -> DataFrame:
     queries = _queries(v).select(F.col("note_id").alias("query_id"), F.col("label").alias("_l"))
-    gold = v.vectors.join(F.broadcast(queries) if queries.count() <= 1 << 20 else queries, (F.col("label") == F.col("_l")) & (F.col("note_id") != F.col("query_id"))).select("query_id", "note_id")
-    return evaluation.per_query(_knn(v, threshold=threshold), gold, queries)
+    ranked = _knn(v, threshold=threshold).select("query_id", "note_id", "rank")
+    # relevant are the other vectors of a query's label: among the ranked ones by join, in all by the label's count
+    gold = ranked.join(v.vectors.select("note_id", "label"), "note_id").join(queries, "query_id").where("label = _l")
+    sizes = queries.join(v.vectors.groupBy(F.col("label").alias("_l")).agg((F.count(F.lit(1)) - 1).alias("n")), "_l").select("query_id", "n")
+    return evaluation.per_query(ranked, gold, queries, sizes)
 
 
 def _retract_deprecated(v: Vault) -> DataFrame:
