@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import cached_property, reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FIELD_WEIGHTS
@@ -196,6 +196,27 @@ class Index:
         return rows.where(matches(tree)).join(self.lengths, "note_id").select("note_id", score.alias("bm25"))
 
 
+def batch(index: Index, queries: DataFrame, k: int, field: str = "body", every: bool = True) -> DataFrame:
+    """(query_id, note_id, score, rank) of the k best notes for each of queries (query_id, query), by one field; more is better.
+
+    A query is its letters and digits, whatever signs it holds; a note has to have all of its words, or any, if not every.
+    A word that a query has twice counts twice. Words meet postings by term; queries without words find nothing."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    postings = index.postings.where(F.col("field") == field).join(asked.select("term").distinct(), "term", "left_semi")
+    counts = written(postings.groupBy("term", "note_id").agg(F.count(F.lit(1)).alias("f")), "counts")
+    total, size = index.totals["_notes"], index.totals[field]
+    rare = F.log((total - F.col("d") + 0.5) / (F.col("d") + 0.5))
+    weights = counts.groupBy("term").agg(F.count(F.lit(1)).alias("d")).select("term", F.when(rare > 0, rare).otherwise(F.lit(1e-6)).alias("idf"))
+    lengths = index.lengths.select("note_id", F.col(field).alias("len"))
+    met = asked.join(weights, "term").join(counts, "term").join(lengths, "note_id")
+    one = F.col("times") * F.col("idf") * F.col("f") * F.lit(K1 + 1) / (F.col("f") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(size / total if total and size else 1.0)))
+    found = met.groupBy("query_id", "note_id").agg(F.sum(one).alias("score"), F.count(F.lit(1)).alias("have"))
+    if every:
+        found = found.join(asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("need")), "query_id").where("have = need")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "note_id"))  # sums of other orders tie
+    return found.select("query_id", "note_id", "score", rank.alias("rank")).where(F.col("rank") <= k)
+
+
 def bm25(notes: DataFrame, query: str, fields: dict[str, float] | None = None) -> DataFrame:
     """Index.bm25 over an index of notes that is built for this query alone."""
     fields = fields or FIELD_WEIGHTS

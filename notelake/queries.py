@@ -12,7 +12,7 @@ from .config import KINDS, Ranking
 from .functions import text as T
 from .operators import browse, evaluation, graph, lexical, mutations, ranking, vectors, versions
 from .plans.vault import Vault, live
-from .sources import markdown
+from .sources import markdown, providers
 from .streaming import access
 
 FTS = "thing OR shes OR ound"
@@ -229,6 +229,19 @@ def _changes(c: dict) -> None:
         lambda v: rounded(v.index.bm25(lexical.plain_query("the, thing!"), {"body": 1.0}).select("note_id", (-F.col("bm25")).alias("score")).orderBy(F.col("score").desc(), "note_id").limit(20), "score"),
         f"SELECT note_id, round(-bm25, 6) AS score FROM ({bm25_sql([_word('the'), _word('thing')], 'n0 > 0 AND n1 > 0', {'body': 1.0}, 20)})",
     )
+    asked = f"asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_tokens('text')}) AS term FROM benchmark) GROUP BY 1, 2)"
+    counted = f"words AS (SELECT doc_id AS note_id, unnest({_tokens('text')}) AS term FROM documents), f AS (SELECT term, note_id, count(*) AS f FROM words GROUP BY 1, 2), len AS (SELECT doc_id AS note_id, len({_tokens('text')}) AS len FROM documents), total AS (SELECT count(*) AS N, sum(len) / count(*) AS avgdl FROM len)"
+    scored = """d AS (SELECT term, count(*) AS d FROM f WHERE term IN (SELECT term FROM asked) GROUP BY 1), idf AS (SELECT term, CASE WHEN ln((N - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - d + 0.5) / (d + 0.5)) END AS idf FROM d, total),
+      s AS (SELECT query_id, note_id, sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score, count(*) AS have FROM asked JOIN idf USING (term) JOIN f USING (term) JOIN len USING (note_id), total GROUP BY 1, 2)"""
+    for name, every in (("bm25_batch_any", False), ("bm25_batch_all", True)):
+        c[name] = (
+            lambda v, every=every: rounded(lexical.batch(v.index, v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10, every=every), "score"),
+            f"WITH {asked}, {counted}, {scored} SELECT query_id, note_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, note_id) AS rank FROM s JOIN (SELECT query_id, count(*) AS need FROM asked GROUP BY 1) USING (query_id)" + (" WHERE have = need" if every else "") + " QUALIFY rank <= 10",
+        )
+    c["notes_embedded"] = (
+        lambda v: providers.embedded(v.bodies.select("note_id", F.col("body").alias("input")), providers.Hashing(32)).select("note_id", "model", F.size("embedding").alias("dimensions"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm")),
+        f"SELECT doc_id AS note_id, 'hashing-32' AS model, 32 AS dimensions, CASE WHEN len({_tokens('text')}) = 0 THEN 0.0 ELSE 1.0 END AS norm FROM documents",
+    )
     c["query_sanitise"] = (lambda v: v.table("benchmark").select("item_id", F.sha2(T.sanitised(F.col("text")), 256).alias("query_hash")), "SELECT item_id, sha256(trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS query_hash FROM benchmark")
     c["token_counters"] = (lambda v: v.table("conversations").groupBy("role").agg(F.sum(F.length("text")).alias("characters"), F.count(F.lit(1)).alias("operations")), "SELECT role, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) AS operations FROM conversations GROUP BY 1")
     c["regression_gate"] = (

@@ -208,6 +208,19 @@ def test_markdown_stream(spark, tmp_path):
     assert [(r.frontmatter, r.body) for r in got] == [("t: 1", "x")]
 
 
+def test_facts(spark, tmp_path):
+    from notelake.config import KINDS
+    from notelake.plans import facts
+
+    for _ in range(2):
+        facts.created(spark, str(tmp_path))
+        facts.seeded(spark, str(tmp_path))
+    assert facts.fact(spark, str(tmp_path), "kinds").count() == len(KINDS)
+    spark.createDataFrame([("h", "p")], facts.FACTS["contents"]).write.mode("append").parquet(f"{tmp_path}/contents")
+    assert facts.reset(spark, str(tmp_path))["kinds"] == len(KINDS) == facts.reset(spark, str(tmp_path), confirm=True)["kinds"]
+    assert facts.fact(spark, str(tmp_path), "kinds").count() == 0 and facts.fact(spark, str(tmp_path), "contents").count() == 1
+
+
 def test_captures(spark):
     templates = spark.createDataFrame([(1, "d", "i", "spec", "draft", ["t"])], "note_id long, domain string, intent string, kind string, status string, tags array<string>")
     drafts = spark.createDataFrame([(1, "# Head\nx", None, None, None, None, None, None, 1), (2, " \n", None, "d", None, None, None, None, None), (3, "b", None, "d", None, "poem", None, ["u"], None), (4, "b", "T", "d", None, None, None, None, None), (5, "b", None, None, None, None, None, None, 9)],
