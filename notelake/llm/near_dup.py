@@ -39,6 +39,8 @@ from .components import components
 BANDS, ROWS = 20, 4
 WIDTH = 5
 THRESHOLD = 0.8
+#: Texts in buckets whose ids may be broadcast (some 30 MB).
+MOST_IDS = 1 << 20
 #: So many of the most frequent shingles are broadcast with their counts (1 MB); no more can be that frequent.
 HOT = 1 << 16
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -230,13 +232,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     keyed = distinct.where("id IS NOT NULL").select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     several = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(keyed.join(several, "bucket").select("id", "bucket", "n"), "buckets")
-    wanted = buckets.select("id").distinct()
+    everyone = written(buckets.select("id").distinct(), "ids")
+    near = F.broadcast if everyone.count() <= MOST_IDS else lambda df: df  # few enough, texts needn't move to be chosen
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # a repeated id may have several texts: the one whose digest is its own counts
-    owners = distinct.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
-    texts = source.join(wanted, "id", "left_semi").join(owners, (F.col("id") == F.col("_id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("_digest")), "left_semi").dropDuplicates(["id"])
+    owners = distinct.join(everyone, "id", "left_semi").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    texts = source.join(near(everyone), "id", "left_semi").join(near(owners), (F.col("id") == F.col("_id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("_digest")), "left_semi").dropDuplicates(["id"])
     texts = written(texts, "texts")
-    everyone = written(wanted, "ids")
     # every member of a bucket against the one of them with the most bucket mates
     mates = buckets.groupBy("id").agg(F.sum("n").alias("mates"))
     first = buckets.join(mates, "id").groupBy("bucket").agg(F.max_by("id", F.struct("mates", F.xxhash64("id"))).alias("first"))
