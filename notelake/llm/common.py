@@ -18,12 +18,14 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str = "table") -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, what: str = "table", plain: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: lineage ends there and lost executors cost nothing.
+
+    plain: not compressed, for small tables that are read often, as compressors hold memory outside the heap."""
     spark = df.sparkSession
     path = new_path(spark, what)
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.option("compression", "none") if plain else df.write).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

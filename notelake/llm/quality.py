@@ -44,6 +44,8 @@ TAIL = 1e-9
 EPSILON = 0.01
 #: Groups, with a start each, that one task estimates.
 GROUPS_A_TASK = 64
+#: Files of a table of groups.
+FILES = 32
 #: Groups whose estimates may be broadcast.
 MOST_GROUPS = 1 << 16
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -241,8 +243,8 @@ def _distance():
 
 
 def _near(table: DataFrame, what: str) -> DataFrame:
-    """A table of a row or a few for each group, written; broadcast where groups are few enough."""
-    table = written(table, what)
+    """A table of a row or a few for each group, written in few files; broadcast where groups are few enough."""
+    table = written(table.coalesce(FILES), what, plain=True)
     return F.broadcast(table) if table.count() <= 3 * MOST_GROUPS else table
 
 
@@ -256,7 +258,7 @@ def _binned(rows: DataFrame, model: DataFrame, whole: bool, groups: int) -> Data
 
 def fitted(rows: DataFrame) -> DataFrame:
     """The model of each group of rows (_group, x): center, inverse covariance, degrees of freedom and the unit of distance."""
-    spark, rows = rows.sparkSession, written(rows, "vectors")
+    spark, rows = rows.sparkSession, written(rows, "vectors", plain=True)
     x = lambda i: F.col("x")[i]
     median = [F.percentile(F.round(x(i), 3), 0.5) for i in range(DIMS)]  # at most some 10,000 distinct values
     mid = _near(rows.groupBy("_group").agg(F.array(*median).alias("m")), "medians")
@@ -269,11 +271,11 @@ def fitted(rows: DataFrame) -> DataFrame:
     sums = [F.sum(x(i)).alias(f"s{i}") for i in range(DIMS)] + [F.sum(x(i) * x(j)).alias(f"q{i}{j}") for i, j in _PAIRS]
     signs = signs.groupBy("_group").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"u{i}{j}") for i, j in _PAIRS]).join(spread, "_group")
     path = new_path(spark, "mcd")
-    signs.mapInArrow(_starts, MODEL).write.parquet(f"{path}/step=0")
+    signs.coalesce(FILES).mapInArrow(_starts, MODEL).write.option("compression", "none").parquet(f"{path}/step=0")
     model, step = spark.read.schema(MODEL).parquet(f"{path}/step=0"), 0
     while (groups := model.count()) > 0:  # a start's determinant falls by EPSILON at least each time, and it has a bound
         step += 1
-        _binned(rows, F.broadcast(model) if groups <= 3 * MOST_GROUPS else model, True, groups).write.parquet(f"{path}/step={step}")
+        _binned(rows, F.broadcast(model) if groups <= 3 * MOST_GROUPS else model, True, groups).write.option("compression", "none").parquet(f"{path}/step={step}")
         model = spark.read.schema(MODEL).parquet(f"{path}/step={step}").where(F.col("logdet") < F.col("was") - EPSILON)
     steps = spark.read.schema(MODEL).parquet(*[f"{path}/step={k}" for k in range(1, step + 1)]) if step else model
     least = steps.groupBy("_group").agg(F.min_by(F.struct(*[c for c in steps.columns if c != "_group"]), F.struct("logdet", "_start")).alias("b")).select("_group", "b.*")
