@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lm_scoring, near_dup, packing, piece_encoding, quality, sharding, suffix_dedup, tool_calls, warc
+from . import fingerprints, lm_scoring, near_dup, packing, piece_encoding, quality, ranked_search, sharding, suffix_dedup, tool_calls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,9 @@ def queries() -> dict[str, Query]:
         "op8_stratified_interleaving": sharding.op8_stratified_interleaving,
         "op9_cross_entropy_difference": lm_scoring.op9_cross_entropy_difference,
         "op10_legacy_archive_converter": warc.op10_legacy_archive_converter,
+        "op11_ranked_lexical_search": ranked_search.op11_ranked_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_legacy_archive_converter": warc.ORACLE}
+    return {"op10_legacy_archive_converter": warc.ORACLE, "op11_ranked_lexical_search": ranked_search.ORACLE}
