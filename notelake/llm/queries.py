@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lm_scoring, near_dup, packing, piece_encoding, quality, ranked_search, sharding, suffix_dedup, tool_calls, warc
+from . import cover_trees, fingerprints, lm_scoring, near_dup, packing, piece_encoding, quality, ranked_search, sharding, suffix_dedup, tool_calls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +26,9 @@ def queries() -> dict[str, Query]:
         "op9_cross_entropy_difference": lm_scoring.op9_cross_entropy_difference,
         "op10_legacy_archive_converter": warc.op10_legacy_archive_converter,
         "op11_ranked_lexical_search": ranked_search.op11_ranked_lexical_search,
+        "op12_dual_cover_trees": cover_trees.op12_dual_cover_trees,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_legacy_archive_converter": warc.ORACLE, "op11_ranked_lexical_search": ranked_search.ORACLE}
+    return {"op10_legacy_archive_converter": warc.ORACLE, "op11_ranked_lexical_search": ranked_search.ORACLE, "op12_dual_cover_trees": cover_trees.ORACLE}
