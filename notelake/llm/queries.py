@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_trees, fingerprints, lm_scoring, near_dup, packing, piece_encoding, quality, ranked_search, sharding, suffix_dedup, tool_calls, warc
+from . import cover_trees, fingerprints, lm_scoring, near_dup, packing, piece_encoding, quality, ranked_search, sharding, suffix_dedup, tool_calls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op10_legacy_archive_converter": warc.op10_legacy_archive_converter,
         "op11_ranked_lexical_search": ranked_search.op11_ranked_lexical_search,
         "op12_dual_cover_trees": cover_trees.op12_dual_cover_trees,
+        "op13_lanczos_whitening": whitening.op13_lanczos_whitening,
     }
 
 
