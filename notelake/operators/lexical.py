@@ -1,13 +1,14 @@
-"""Full-text search: a query language, an index of postings, BM25 over weighted fields, snippets, corpus statistics.
+"""Full-text search: a query language, BM25 over weighted fields, exact best notes by bounds of blocks, snippets, statistics.
 
-The index is a table (term, note_id, field, place) of all words, sorted by term in each of its files, so that a query
-reads the pages of its own terms only, a table of the notes' lengths, and the corpus's totals. It is built once, without
-moving a text, and serves every query; phrases are met by the places of their words."""
+A query's words lead to the rows of their postings (operators/postings.py), which one grouping by note turns into the counts
+of all its phrases. For the k best, blocks are bounded first, without reading notes: the few with the greatest bounds give a
+score that k notes have, and only blocks that can reach it are scored."""
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 
 from ..config import FIELD_WEIGHTS
 from ..functions.text import fold, tokens, words
-from ..plans.tables import written
+from ..plans.tables import shared_folder
+from .postings import PLACE, Store
 
 K1, B = 1.2, 0.75
+#: Blocks that give the first k-th score.
+FIRST = 24
 
 
 @dataclass(frozen=True)
@@ -116,84 +120,203 @@ def all_phrases(tree) -> list[Phrase]:
 
 
 class Index:
-    """Postings, lengths and totals of texts (note_id, a column for each field); a field that texts lack is empty.
+    """Search over stored postings, of texts (note_id, a column for each field) or of an index that is stored already."""
 
-    apart: further fields, each in a table of its own (note_id, text); only notes of texts count."""
+    def __init__(self, texts: DataFrame | None = None, fields=tuple(FIELD_WEIGHTS), store: Store | None = None):
+        self.fields = store.fields if store else tuple(f for f in fields if f in texts.columns)
+        self._texts, self._store = texts, store
 
-    def __init__(self, texts: DataFrame, apart: dict[str, DataFrame] | None = None, fields=tuple(FIELD_WEIGHTS)):
-        self.apart = apart or {}
-        self.fields = tuple(f for f in fields if f in texts.columns or f in self.apart)
-        self.texts = texts
+    @property
+    def store(self) -> Store:
+        if self._store is None:
+            spark = self._texts.sparkSession
+            self._store = Store(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", self.fields)
+            self._store.refresh(self._texts)
+        return self._store
 
-    @cached_property
-    def postings(self) -> DataFrame:
-        """A row for each word's place, counted from 0."""
-        every = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in self.fields if f not in self.apart])
-        rows = self.texts.select("note_id", F.explode(every).alias("x")).select("note_id", "x.field", F.posexplode("x.t").alias("place", "term"))
-        for field, table in self.apart.items():
-            known = table.join(self.texts.select("note_id"), "note_id", "left_semi")
-            rows = rows.unionByName(known.select("note_id", F.lit(field).alias("field"), F.posexplode(tokens(F.col("text"))).alias("place", "term")))
-        return written(rows.select("term", "note_id", "field", "place").sortWithinPartitions("term"), "postings")
-
-    @cached_property
-    def lengths(self) -> DataFrame:
-        sums = self.postings.groupBy("note_id").agg(*[F.count_if(F.col("field") == f).alias(f) for f in self.fields])
-        every = self.texts.select("note_id").join(sums, "note_id", "left")
-        return written(every.select("note_id", *[F.coalesce(f, F.lit(0)).alias(f) for f in self.fields]), "lengths")
-
-    @cached_property
+    @property
     def totals(self) -> dict[str, int]:
-        """Number of notes, and of tokens by field: one row."""
-        row = self.lengths.agg(F.count(F.lit(1)).alias("_notes"), *[F.sum(f).alias(f) for f in self.fields]).first()
-        return {k: int(v or 0) for k, v in row.asDict().items()}
-
-    def phrase(self, p: Phrase, weights: dict[str, float]) -> DataFrame:
-        """(note_id, n, f) of the notes that have a phrase: how often, and by weights of fields."""
-        used = {p.field: weights[p.field]} if p.field else weights
-        weight = F.element_at(F.create_map(*[F.lit(x) for pair in used.items() for x in (pair[0], float(pair[1]))]), F.col("field"))
-        rows = self.postings.where(F.col("field").isin(list(used)))
-        meets = lambda i: F.col("term").startswith(p.words[i]) if p.prefix and i == len(p.words) - 1 else F.col("term") == p.words[i]
-        if not p.words:
-            rows = rows.where(F.lit(False))
-        else:
-            of = lambda i: rows.where(meets(i)).select("note_id", "field", (F.col("place") - i).alias("place"))
-            rows = reduce(lambda a, i: a.join(of(i), ["note_id", "field", "place"], "left_semi"), range(1, len(p.words)), of(0))
-        return rows.groupBy("note_id", "field").agg(F.count(F.lit(1)).alias("n")).select("note_id", "n", (F.col("n") * weight).alias("f"))
+        """Number of notes, and of words by field."""
+        return self.store.totals()
+
+    def asked(self, query: str, weights: dict[str, float] | None = None) -> Asked | None:
+        """A query over this index; None where it is malformed."""
+        weights = {f: w for f, w in (weights or FIELD_WEIGHTS).items() if f in self.fields}
+        try:
+            return Asked(self, parse(query, tuple(weights)), weights)
+        except ValueError:
+            return None
 
     def bm25(self, query: str, weights: dict[str, float] | None = None) -> DataFrame:
         """(note_id, bm25) of the notes that match, the least (most negative) being the best. A malformed query matches none.
 
         Statistics span all notes of the index, as filters come after matching. All fields of weights count in a note's
         length; a phrase that is bound to a column has its occurrences from there alone."""
-        weights = {f: w for f, w in (weights or FIELD_WEIGHTS).items() if f in self.fields}
-        try:
-            tree = parse(query, tuple(weights))
-        except ValueError:
-            return self.lengths.select("note_id", F.lit(0.0).alias("bm25")).where(F.lit(False))
-        phrases = list(dict.fromkeys(all_phrases(tree)))
-        name = {p: f"p{i}" for i, p in enumerate(phrases)}
-        every = reduce(DataFrame.unionByName, [self.phrase(p, weights).withColumn("_k", F.lit(i)) for i, p in enumerate(phrases)])
-        zero = lambda c, i: F.coalesce(F.sum(F.when(F.col("_k") == i, F.col(c))), F.lit(0))
-        rows = every.groupBy("note_id").agg(*[x for i, k in enumerate(name.values()) for x in (zero("n", i).alias(f"n_{k}"), zero("f", i).cast("double").alias(f"f_{k}"))])
-        rows = written(rows, "matches")
-        have = rows.agg(*[F.count_if(F.col(f"n_{k}") > 0).alias(k) for k in name.values()]).first()
-        total, size = self.totals["_notes"], sum(self.totals[f] for f in weights)
-
-        def matches(t) -> Column:
-            if isinstance(t, Phrase):
-                return F.col(f"n_{name[t]}") > 0
-            left, right = matches(t.left), matches(t.right)
-            return left & right if t.how == "AND" else left | right if t.how == "OR" else left & ~right
-
-        length = reduce(lambda a, b: a + b, [F.col(f) for f in weights])
+        asked = self.asked(query, weights)
+        return self._none() if asked is None else asked.scored()
+
+    def top(self, query: str, k: int, weights: dict[str, float] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """The k best rows of bm25, in order, of the notes (note_id) that are allowed; blocks that can't hold one aren't scored."""
+        asked = self.asked(query, weights)
+        return self._none() if asked is None else asked.top(k, allowed)
+
+    def _none(self) -> DataFrame:
+        return self.store.spark.createDataFrame([], "note_id long, bm25 double")
+
+
+class Asked:
+    """A query's plan: the rows of its words, the notes that match, their scores, and what bounds these by block."""
+
+    def __init__(self, index: Index, tree, weights: dict[str, float]):
+        self.index, self.store, self.tree, self.weights = index, index.store, tree, weights
+        self.phrases = list(dict.fromkeys(all_phrases(tree)))
+        self.name = {p: f"p{i}" for i, p in enumerate(self.phrases)}
+        ends = [p.words[-1] for p in self.phrases if p.words and p.prefix]
+        terms = {w for p in self.phrases for w in (p.words[:-1] if p.prefix else p.words)}
+        self.terms = sorted(terms | set(self.store.expanded(sorted(set(ends)))))
+        totals = index.totals
+        self.notes, size = totals["_notes"], sum(totals[f] for f in weights)
+        self.average = size / self.notes if self.notes and size else 1.0
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self.store.postings(self.terms)
+
+    def _meets(self, p: Phrase, i: int) -> Column:
+        return F.col("term").startswith(p.words[i]) if p.prefix and i == len(p.words) - 1 else F.col("term") == p.words[i]
+
+    def _used(self, p: Phrase) -> dict[str, float]:
+        return {p.field: self.weights[p.field]} if p.field else self.weights
+
+    # ------------------------------------------------------------ notes
+
+    def counted(self, blocks: DataFrame | list[int] | None = None) -> DataFrame:
+        """(block, note_id, len, and n_ and f_ of each phrase: how often, and by weights) of the notes that have a word."""
+        rows = self.rows
+        if isinstance(blocks, list):
+            rows = rows.where(F.col("block").isin(blocks))
+        elif blocks is not None:
+            rows = rows.join(blocks.select("block"), "block", "left_semi")
+        several = any(len(p.words) > 1 for p in self.phrases)
+        lists = ["notes", *(f"{x}_{f}" for f in self.weights for x in ("c", "l")), *(["places"] if several else [])]
+        each = rows.select("term", "block", F.explode(F.arrays_zip(*lists)).alias("x")).select("term", "block", F.col("x.notes").alias("note_id"), *[f"x.{c}" for c in lists[1:]])
+        sums, after = [F.max(reduce(lambda a, b: a + b, [F.col(f"l_{f}") for f in self.weights])).alias("len")], [F.col("block"), F.col("note_id"), F.col("len")]
+        for p in self.phrases:
+            k, used = self.name[p], self._used(p)
+            if len(p.words) == 1:
+                n, f = (reduce(lambda a, b: a + b, [F.col(f"c_{f}") * F.lit(w) for f, w in x.items()]) for x in (dict.fromkeys(used, 1), used))
+                sums += [F.sum(F.when(self._meets(p, 0), n)).alias(f"n_{k}"), F.sum(F.when(self._meets(p, 0), f)).alias(f"f_{k}")]
+                after += [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}"), F.coalesce(f"f_{k}", F.lit(0)).cast("double").alias(f"f_{k}")]
+                continue
+            sums += [F.flatten(F.collect_list(F.when(self._meets(p, i), F.col("places")))).alias(f"{k}_{i}") for i in range(len(p.words))]  # of one note
+            hits = reduce(F.array_intersect, [_begins(f"{k}_{i}", i) for i in range(len(p.words))]) if p.words else F.array().cast("array<long>")
+            times = {f: _inside(hits, self.index.fields.index(f)) for f in used}
+            after += [reduce(lambda a, b: a + b, times.values()).cast("long").alias(f"n_{k}"), reduce(lambda a, b: a + b, [n * F.lit(float(used[f])) for f, n in times.items()]).cast("double").alias(f"f_{k}")]
+        return self.store.living(each).groupBy("block", "note_id").agg(*sums).select(*after)
+
+    def matches(self, t=None, has=None) -> Column:
+        """Whether a row of counted matches the query; has tells a phrase's presence otherwise."""
+        t = self.tree if t is None else t
+        has = has or (lambda p: F.col(f"n_{self.name[p]}") > 0)
+        if isinstance(t, Phrase):
+            return has(t)
+        left, right = self.matches(t.left, has), self.matches(t.right, has)
+        return left & right if t.how == "AND" else left | right if t.how == "OR" else left & ~right
+
+    @cached_property
+    def rare(self) -> dict[Phrase, float]:
+        """How much a scored phrase counts, by the living notes that have it.
+
+        Rows of postings tell it for single words, of all fields or of one; otherwise notes are counted."""
+        scored = list(dict.fromkeys(p for p in scored_phrases(self.tree)))
+        plain = self.store.tombstones is None and all(len(p.words) == 1 and not p.prefix and len(self._used(p)) in (1, len(self.index.fields)) for p in scored)
+        if not scored:
+            return {}
+        if plain:
+            count = {p: F.sum(F.when(self._meets(p, 0), F.col("n" if len(self._used(p)) == len(self.index.fields) else f"n_{next(iter(self._used(p)))}"))) for p in scored}
+            row = self.rows.agg(*[count[p].alias(self.name[p]) for p in scored]).first()
+        else:
+            row = self.counted().agg(*[F.count_if(F.col(f"n_{self.name[p]}") > 0).alias(self.name[p]) for p in scored]).first()
+        have = {p: row[self.name[p]] or 0 for p in scored}
+        value = {p: math.log((self.notes - d + 0.5) / (d + 0.5)) for p, d in have.items()}
+        return {p: v if v > 0 else 1e-6 for p, v in value.items()}
+
+    def _saturated(self, p: Phrase, f: Column, length: Column) -> Column:
+        return F.lit(self.rare[p]) * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(self.average)))
+
+    def scored(self, blocks: DataFrame | list[int] | None = None) -> DataFrame:
         score = F.lit(0.0)
-        for p in scored_phrases(tree):
-            k = name[p]
-            rare = math.log((total - have[k] + 0.5) / (have[k] + 0.5))
-            f = F.col(f"f_{k}")
-            share = F.lit(rare if rare > 0 else 1e-6)
-            score = score - F.when(f > 0, share * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(size / total if total and size else 1.0)))).otherwise(F.lit(0.0))
-        return rows.where(matches(tree)).join(self.lengths, "note_id").select("note_id", score.alias("bm25"))
+        for p in scored_phrases(self.tree):
+            f = F.col(f"f_{self.name[p]}")
+            score = score - F.when(f > 0, self._saturated(p, f, F.col("len"))).otherwise(F.lit(0.0))
+        return self.counted(blocks).where(self.matches()).select("note_id", score.alias("bm25"))
+
+    # ------------------------------------------------------------ blocks
+
+    def bounds(self) -> DataFrame:
+        """(block, bound, n) of the blocks that may hold a match: no note's score, taken positive, exceeds bound.
+
+        Of a phrase the greatest count is that of its rarest word, of a prefix the sum of its terms'; lengths are at least the
+        sum of the fields' least. n is the number of postings."""
+        sums, after = [F.sum("n").alias("n")], F.lit(0.0)
+        for p in self.phrases:
+            used = self._used(p)
+            most = reduce(lambda a, b: a + b, [F.col(f"most_{f}") * F.lit(float(w)) for f, w in used.items()])
+            least = reduce(lambda a, b: a + b, [F.col(f"least_{f}") for f in self.weights])
+            for i in range(len(p.words)):
+                sums += [F.coalesce(F.sum(F.when(self._meets(p, i), most)), F.lit(0.0)).alias(f"m_{self.name[p]}_{i}"), F.min(F.when(self._meets(p, i), least)).alias(f"l_{self.name[p]}_{i}")]
+
+        def most_of(p: Phrase) -> Column:
+            every = [F.col(f"m_{self.name[p]}_{i}") for i in range(len(p.words))]
+            return F.lit(0.0) if not every else every[0] if len(every) == 1 else F.least(*every)
+
+        for p in scored_phrases(self.tree):
+            if p.words:
+                length = reduce(F.greatest, [F.coalesce(f"l_{self.name[p]}_{i}", F.lit(0)) for i in range(len(p.words))])
+                after = after + F.when(most_of(p) > 0, self._saturated(p, most_of(p), length)).otherwise(F.lit(0.0))
+        may = self.matches(_without_not(self.tree), lambda p: most_of(p) > 0)
+        return self.rows.groupBy("block").agg(*sums).where(may).select("block", (after * (1 + 1e-9) + 1e-12).alias("bound"), "n")
+
+    def floor(self, k: int, allowed: DataFrame | None, first: list) -> float | None:
+        """A score that k allowed notes of the first blocks have; None where they don't hold as many."""
+        best = _allowed(self.scored([r.block for r in first]), allowed).orderBy("bm25").limit(k).collect()
+        return -best[-1].bm25 if len(best) == k else None
+
+    def chosen(self, k: int, allowed: DataFrame | None = None) -> DataFrame | list[int]:
+        """The blocks that may hold one of the k best allowed notes: those whose bound reaches a score that k notes have.
+
+        The k-th score of FIRST blocks with the greatest bounds is that score."""
+        first = self.bounds().orderBy(F.col("bound").desc(), "block").limit(FIRST + 1).collect()
+        if len(first) <= FIRST:
+            return [r.block for r in first]
+        floor = self.floor(k, allowed, first[:FIRST])
+        if floor is not None and first[FIRST].bound < floor:
+            return [r.block for r in first[:FIRST] if r.bound >= floor]
+        return self.bounds() if floor is None else self.bounds().where(F.col("bound") >= floor)
+
+    def top(self, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        return _allowed(self.scored(self.chosen(k, allowed)), allowed).orderBy("bm25", "note_id").limit(k)
+
+
+def _begins(places: str, after: int) -> Column:
+    """Where a phrase would begin whose word at number after stands at these places."""
+    return F.transform(places, lambda x: x - F.lit(after))
+
+
+def _inside(places: Column, field: int) -> Column:
+    """How many places are in a field."""
+    return F.size(F.filter(places, lambda x: F.shiftright(x, PLACE) == F.lit(field)))
+
+
+def _allowed(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    return rows if allowed is None else rows.join(allowed.select("note_id"), "note_id", "left_semi")
+
+
+def _without_not(tree):
+    """What a match has to have: a tree without right sides of NOT."""
+    if isinstance(tree, Phrase):
+        return tree
+    return _without_not(tree.left) if tree.how == "NOT" else Both(_without_not(tree.left), _without_not(tree.right), tree.how)
 
 
 def batch(index: Index, queries: DataFrame, k: int, field: str = "body", every: bool = True) -> DataFrame:
@@ -202,13 +325,14 @@ def batch(index: Index, queries: DataFrame, k: int, field: str = "body", every:
     A query is its letters and digits, whatever signs it holds; a note has to have all of its words, or any, if not every.
     A word that a query has twice counts twice. Words meet postings by term; queries without words find nothing."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = index.postings.where(F.col("field") == field).join(asked.select("term").distinct(), "term", "left_semi")
-    counts = written(postings.groupBy("term", "note_id").agg(F.count(F.lit(1)).alias("f")), "counts")
-    total, size = index.totals["_notes"], index.totals[field]
+    lists = F.arrays_zip("notes", f"c_{field}", f"l_{field}")
+    each = index.store.postings_of(asked).select("term", "block", F.explode(lists).alias("x")).select("term", "block", F.col("x.notes").alias("note_id"), F.col(f"x.c_{field}").alias("f"), F.col(f"x.l_{field}").alias("len"))
+    counts = index.store.living(each).where("f > 0")
+    totals = index.totals
+    total, size = totals["_notes"], totals[field]
     rare = F.log((total - F.col("d") + 0.5) / (F.col("d") + 0.5))
     weights = counts.groupBy("term").agg(F.count(F.lit(1)).alias("d")).select("term", F.when(rare > 0, rare).otherwise(F.lit(1e-6)).alias("idf"))
-    lengths = index.lengths.select("note_id", F.col(field).alias("len"))
-    met = asked.join(weights, "term").join(counts, "term").join(lengths, "note_id")
+    met = asked.join(weights, "term").join(counts, "term")
     one = F.col("times") * F.col("idf") * F.col("f") * F.lit(K1 + 1) / (F.col("f") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(size / total if total and size else 1.0)))
     found = met.groupBy("query_id", "note_id").agg(F.sum(one).alias("score"), F.count(F.lit(1)).alias("have"))
     if every:

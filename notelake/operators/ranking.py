@@ -55,9 +55,8 @@ def engagement(now: datetime.datetime, cfg: Ranking) -> Column:
 
 def lexical_pool(vault, query: str, filters: Filters, cfg: Ranking) -> list[tuple]:
     """(note_id, rank) of the best top_k matches that the filters allow, ranked from 0."""
-    hits = vault.index.bm25(query, cfg.fields)
-    best = hits.join(filters.apply(live(vault.notes), vault.tags).select("note_id"), "note_id", "left_semi")
-    return [(r.note_id, i) for i, r in enumerate(best.orderBy("bm25", "note_id").limit(cfg.top_k).collect())]
+    best = vault.index.top(query, cfg.top_k, cfg.fields, filters.apply(live(vault.notes), vault.tags))
+    return [(r.note_id, i) for i, r in enumerate(best.collect())]
 
 
 def cosine_pool(vault, vector: list[float], filters: Filters, cfg: Ranking) -> list[int]:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import KINDS
+from ..config import FIELD_WEIGHTS, KINDS
 from ..functions.text import title
-from .tables import written
+from .tables import shared_folder, written
 
 NOW = datetime.datetime(2024, 1, 31)
 EDGE_TYPES = ["references", "depends-on", "supersedes", "contradicts", "extends", "informed-by", "unknown"]
@@ -22,10 +23,11 @@ def live(notes: DataFrame) -> DataFrame:
 
 
 class Vault:
-    """The given tables in their roles. Attributes are plans, but for notes and index: these are written once for all searches."""
+    """The given tables in their roles. Attributes are plans, but for notes and index, which are kept for all searches as long as the tables stay what they are."""
 
     def __init__(self, spark: SparkSession, folder: str, now: datetime.datetime = NOW):
         self.spark, self.folder, self.now = spark, folder, now
+        self._notes, self._index = (None, None), None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -53,19 +55,39 @@ class Vault:
     def bodies(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").alias("note_id"), F.col("text").alias("body"))
 
-    @cached_property
+    def stamp(self, *tables: str) -> str:
+        """What the files of tables are at this moment: changes whenever one of them is written, added to or taken from."""
+        files = self.spark.read.format("binaryFile").load([f"{self.folder}/{t}.parquet" for t in tables])
+        row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("files")).first()
+        return f"{row.n} {row.bytes} {row.files}"
+
+    @property
     def notes(self) -> DataFrame:
-        """heads without their texts: what searches read again and again."""
-        return written(self.heads.drop("body"), "notes")
+        """heads without their texts: what searches read again and again; written anew when the tables have changed."""
+        stamp = self.stamp("documents", "labels", "events")
+        if self._notes[0] != stamp:
+            self._notes = stamp, written(self.heads.drop("body"), "notes")
+        return self._notes[1]
 
-    @cached_property
+    @property
     def index(self):
-        """Full-text index of title, body, spine (a note's place) and keywords (its tags); the given tables have no aliases."""
-        from ..operators.lexical import Index
+        """Full-text index of title, body, spine (a note's place) and keywords (its tags); the given tables have no aliases.
 
-        texts = self.heads.select("note_id", "title", "body", F.concat_ws("/", "domain", "intent", "kind").alias("spine"), F.lit("").alias("aliases"))
-        keywords = self.tags.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("text"))
-        return Index(texts, {"keywords": keywords})
+        It is stored in the shared folder under the given folder's name, so that later sessions find it; new and changed
+        notes are added to it, and deleted ones taken out, when the tables have changed."""
+        from ..operators.lexical import Index
+        from ..operators.postings import Store
+
+        stamp = self.stamp("documents", "part")
+        if self._index is None:
+            place = hashlib.md5(self.folder.rstrip("/").encode(), usedforsecurity=False).hexdigest()
+            self._index = Index(store=Store(self.spark, f"{shared_folder(self.spark)}/index-{place}", tuple(FIELD_WEIGHTS)))
+        if self._index.store.stamp != stamp:
+            keywords = self.tags.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("keywords"))
+            texts = self.heads.select("note_id", "title", "body", F.concat_ws("/", "domain", "intent", "kind").alias("spine"), F.lit("").alias("aliases")).join(keywords, "note_id", "left")
+            self._index.store.refresh(texts, stamp)
+            self._index.store.merge()
+        return self._index
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -81,7 +81,7 @@ _W = Ranking().fields
 
 
 def _bm25(query: str, top: int = 20, fields=None):
-    return lambda v: rounded(v.index.bm25(query, fields or _W).orderBy("bm25", "note_id").limit(top), "bm25")
+    return lambda v: rounded(v.index.top(query, top, fields or _W), "bm25")
 
 
 def _word(w: str, field: str | None = None) -> tuple:
@@ -226,7 +226,7 @@ def _changes(c: dict) -> None:
     )
     c["tags_each_of"] = (lambda v: browse.with_each_tag(v.heads, v.tags, ["red", "economy"]).select("note_id"), f"WITH {HEADS}, {TAGS} SELECT note_id FROM heads WHERE EXISTS (SELECT 1 FROM tags t WHERE t.note_id = heads.note_id AND tag = 'red') AND EXISTS (SELECT 1 FROM tags t WHERE t.note_id = heads.note_id AND tag = 'economy')")
     c["bm25_baseline"] = (
-        lambda v: rounded(v.index.bm25(lexical.plain_query("the, thing!"), {"body": 1.0}).select("note_id", (-F.col("bm25")).alias("score")).orderBy(F.col("score").desc(), "note_id").limit(20), "score"),
+        lambda v: rounded(v.index.top(lexical.plain_query("the, thing!"), 20, {"body": 1.0}).select("note_id", (-F.col("bm25")).alias("score")), "score"),
         f"SELECT note_id, round(-bm25, 6) AS score FROM ({bm25_sql([_word('the'), _word('thing')], 'n0 > 0 AND n1 > 0', {'body': 1.0}, 20)})",
     )
     asked = f"asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_tokens('text')}) AS term FROM benchmark) GROUP BY 1, 2)"
