@@ -7,9 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import products, ranked
+
 #: Queries whose vectors are sent to all executors at once; more of them are served in as many passes.
 BLOCK = 4096
 
@@ -48,17 +50,8 @@ def _near(ids: np.ndarray, queries: np.ndarray, k: int | None, threshold: float)
                 kept, values = _rows(batch.column(1).slice(i, 4096), queries.shape[1])
                 if not len(kept):
                     continue
-                about = values @ queries.T
-                about[names[i:][kept][:, None] == ids[None, :]] = -np.inf
-                least = np.full(len(ids), threshold)
-                if k is not None and k < len(kept):
-                    least = np.maximum(least, np.partition(about, len(kept) - k, axis=0)[len(kept) - k])
-                n, q = np.nonzero(about >= least - 1e-9)
-                exact = np.zeros(len(n))
-                for d in range(queries.shape[1]):  # in one order of terms, so that equal vectors are equally near
-                    exact += values[n, d] * queries[q, d]
-                found = exact >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q][found]), pa.array(names[i:][kept][n][found]), pa.array(exact[found])], names=["query_id", "note_id", "similarity"])
+                found = products(names[i:][kept], values, ids, queries, np.full(len(ids), threshold), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "note_id", "similarity"])
 
     return run
 
@@ -67,21 +60,21 @@ def similar(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: fl
     """(query_id, note_id, similarity, rank): the k nearest (all, where k is None) of each of a stated set of queries, itself left out.
 
     Queries go to the executors in blocks of BLOCK, and all vectors pass each block; of a batch of vectors only the k
-    nearest of each query are passed on. Vectors of another size than the queries' most frequent one meet nothing."""
+    nearest of each query are passed on. Vectors meet queries of their own size. operators/neighbours.py has an index for
+    many queries of the same vectors; this is for vectors that a filter has just chosen."""
     queries = queries.select(F.col("note_id").cast("long").alias("note_id"), "embedding").where("note_id IS NOT NULL AND embedding IS NOT NULL")
     schema = "query_id long, note_id long, similarity double"
-    common = queries.groupBy(F.size("embedding").alias("size")).count().orderBy(F.col("count").desc(), "size").first()
-    empty = queries.sparkSession.createDataFrame([], schema)
-    blocks = -(-queries.count() // BLOCK)
+    sizes = queries.groupBy(F.size("embedding").alias("size")).count().orderBy("size").collect()  # the models' sizes
     parts = []
-    for b in range(blocks):
-        block = queries.where((F.pmod(F.xxhash64("note_id"), F.lit(blocks)) == b) & (F.size("embedding") == common["size"])).toArrow()  # some BLOCK rows
-        ids = block.column("note_id").to_numpy()
-        matrix = _rows(block.column("embedding").combine_chunks(), common["size"])[1] if len(ids) else np.zeros((0, common["size"]))
-        parts.append(vectors.select(F.col("note_id").cast("long"), "embedding").where("note_id IS NOT NULL").mapInArrow(_near(ids, matrix, k, threshold), schema))
-    scored = reduce(DataFrame.union, parts, empty) if parts else empty
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "note_id")))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    for size, n in sizes:
+        blocks = -(-n // BLOCK)
+        for b in range(blocks):
+            block = queries.where((F.pmod(F.xxhash64("note_id"), F.lit(blocks)) == b) & (F.size("embedding") == size)).toArrow()  # some BLOCK rows
+            ids = block.column("note_id").to_numpy()
+            matrix = _rows(block.column("embedding").combine_chunks(), size)[1] if len(ids) else np.zeros((0, size))
+            parts.append(vectors.select(F.col("note_id").cast("long"), "embedding").where("note_id IS NOT NULL").mapInArrow(_near(ids, matrix, k, threshold), schema))
+    scored = reduce(DataFrame.union, parts) if parts else queries.sparkSession.createDataFrame([], schema)
+    return ranked(scored, k)
 
 
 def suggestions(vectors: DataFrame, queries: DataFrame, notes: DataFrame, most: int = 5, threshold: float = 0.7) -> DataFrame:

@@ -27,7 +27,7 @@ class Vault:
 
     def __init__(self, spark: SparkSession, folder: str, now: datetime.datetime = NOW):
         self.spark, self.folder, self.now = spark, folder, now
-        self._notes, self._index = (None, None), None
+        self._notes, self._near, self._index = (None, None), (None, None), None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -89,6 +89,17 @@ class Vault:
             self._index.store.merge()
         return self._index
 
+    @property
+    def near(self):
+        """Index of the vectors, stored in the shared folder for the files that the table has now."""
+        from ..operators.neighbours import VectorIndex
+
+        stamp = self.stamp("embeddings")
+        if self._near[0] != stamp:
+            place = hashlib.md5(f"{self.folder.rstrip('/')} {stamp}".encode(), usedforsecurity=False).hexdigest()
+            self._near = stamp, VectorIndex(self.spark, f"{shared_folder(self.spark)}/vectors-{place}", self.vectors)
+        return self._near[1]
+
     @cached_property
     def edges(self) -> DataFrame:
         types = F.array(*map(F.lit, EDGE_TYPES))

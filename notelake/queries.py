@@ -139,8 +139,7 @@ def _first_words(v: Vault) -> DataFrame:
 
 
 def _auto(v: Vault) -> DataFrame:
-    near = vectors.similar(v.vectors, _queries(v), 5, NEAR)
-    return vectors.auto_edges(near, v.edges, NEAR)
+    return vectors.auto_edges(_knn(v, 5, NEAR), v.edges, NEAR)
 
 
 def _synced(v: Vault) -> DataFrame:
@@ -152,7 +151,7 @@ def _queries(v: Vault) -> DataFrame:
 
 
 def _knn(v: Vault, k: int = 20, threshold: float = -2.0) -> DataFrame:
-    return vectors.similar(v.vectors, _queries(v), k, threshold)
+    return v.near.nearest(_queries(v).withColumnRenamed("note_id", "query_id"), k, threshold)
 
 
 def _metrics(v: Vault, threshold: float = NEAR) -> DataFrame:
