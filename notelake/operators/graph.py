@@ -75,17 +75,21 @@ def degrees(edges: DataFrame, notes: DataFrame) -> DataFrame:
     return notes.select("note_id").join(out, "note_id", "left").join(into, "note_id", "left").select("note_id", F.coalesce("links_out", none).alias("links_out"), F.coalesce("links_in", none).alias("links_in"))
 
 
-def expand(seeds: DataFrame, edges: DataFrame, decay: float = 0.5) -> DataFrame:
-    """(note_id, graph) that seeds (note_id, seed) pass on over one hop, in both directions.
+def expand(seeds: DataFrame, edges: DataFrame, decay: float = 0.5, by: str | None = None) -> DataFrame:
+    """(note_id, graph) that seeds (note_id, seed) pass on over one hop, in both directions; by: a column that keeps searches apart.
 
     An edge counts once for each end that is a seed, so one between two seeds counts double in either direction. An edge
     of type supersedes passes nothing, either way, if its source is a seed. Only edges that touch a seed are read on."""
-    s = seeds.select(F.col("note_id").alias("_s"), F.col("seed").alias("_from"))
-    t = seeds.select(F.col("note_id").alias("_t"), F.col("seed").alias("_to"))
+    own = [] if by is None else [by]
+    s = seeds.select(F.col("note_id").alias("_s"), F.col("seed").alias("_from"), *[F.col(c).alias("_bs") for c in own])
+    t = seeds.select(F.col("note_id").alias("_t"), F.col("seed").alias("_to"), *[F.col(c).alias("_bt") for c in own])
     e = edges.select("src", "dst", "edge_type")
-    out = e.join(s, F.col("src") == F.col("_s")).join(t, F.col("dst") == F.col("_t"), "left")
-    into = e.join(t, F.col("dst") == F.col("_t")).join(s, F.col("src") == F.col("_s"), "left")
-    met = out.select("src", "dst", "edge_type", "_from", "_to").union(into.select("src", "dst", "edge_type", "_from", "_to"))
+    from_s, to_t = F.col("src") == F.col("_s"), F.col("dst") == F.col("_t")
+    same = F.col("_bs") == F.col("_bt") if own else F.lit(True)
+    out = e.join(s, from_s).join(t, to_t & same, "left")
+    into = e.join(t, to_t).join(s, from_s & same, "left")
+    ends = ["src", "dst", "edge_type", "_from", "_to"]
+    met = out.select(*ends, *[F.col("_bs").alias(c) for c in own]).union(into.select(*ends, *[F.col("_bt").alias(c) for c in own]))
     met = met.where("NOT (edge_type = 'supersedes' AND _from IS NOT NULL)").withColumn("w", weight(F.col("edge_type")) * F.lit(decay))
     ways = F.array(F.struct(F.col("dst").alias("note_id"), (F.col("_from") * F.col("w")).alias("g")), F.struct(F.col("src").alias("note_id"), (F.col("_to") * F.col("w")).alias("g")))
-    return met.select(F.explode(ways).alias("x")).select("x.*").where("g IS NOT NULL").groupBy("note_id").agg(F.sum("g").alias("graph"))
+    return met.select(*own, F.explode(ways).alias("x")).select(*own, "x.*").where("g IS NOT NULL").groupBy(*own, "note_id").agg(F.sum("g").alias("graph"))

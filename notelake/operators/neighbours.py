@@ -142,12 +142,13 @@ def _routed(centres: Centres, radii: dict[tuple[int, int], float], probes: int |
     return run
 
 
-def products(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int | None):
+def products(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int | None, itself: bool = False):
     """(query, note, similarity) of one list's rows: those that reach the floor, and of them the k nearest with their ties.
 
     Sums run in one order of terms, so that equal vectors are equally near."""
     about = x @ q.T
-    about[ids[:, None] == queries[None, :]] = -np.inf
+    if not itself:
+        about[ids[:, None] == queries[None, :]] = -np.inf
     least = floors.copy()
     if k is not None and k < len(ids):
         least = np.maximum(least, np.partition(about, len(ids) - k, axis=0)[len(ids) - k])
@@ -159,12 +160,12 @@ def products(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray,
     return queries[m][good], ids[n][good], exact[good]
 
 
-def _met(k: int | None):
+def _met(k: int | None, itself: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 x, q = (np.frombuffer(r[c], dtype="<f8").reshape(-1, r["size"]) for c in ("x", "q"))
-                found = products(np.array(r["ids"]), x, np.array(r["queries"]), q, np.array(r["floors"]), k)
+                found = products(np.array(r["ids"]), x, np.array(r["queries"]), q, np.array(r["floors"]), k, itself)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "note_id", "similarity"])
 
     return run
@@ -214,20 +215,21 @@ class VectorIndex:
         if hasattr(self, "radii"):
             self.radii = {(r["size"], r["list"]): r["radius"] for r in self.lists.groupBy("size", "list").agg(F.max("radius").alias("radius")).collect()}
 
-    def probed(self, queries: DataFrame, k: int | None, threshold: float = -np.inf, probes: int | None = None) -> DataFrame:
+    def probed(self, queries: DataFrame, k: int | None, threshold: float = -np.inf, probes: int | None = None, itself: bool = False) -> DataFrame:
         """FOUND of the lists that probes choose for queries (query_id, embedding): approximate, in any order."""
         asked = _usable(queries.select(F.col("query_id").alias("note_id"), "embedding")).select("size", F.col("note_id").alias("query_id"), "embedding", F.lit(float(threshold)).alias("floor"))
-        return self._meet(asked, k, probes, False)
+        return self._meet(asked, k, probes, False, itself)
 
-    def _meet(self, asked: DataFrame, k: int | None, probes: int | None, exact: bool) -> DataFrame:
+    def _meet(self, asked: DataFrame, k: int | None, probes: int | None, exact: bool, itself: bool) -> DataFrame:
         routed = asked.mapInArrow(_routed(self.centres, self.radii, probes, exact), "size int, list int, queries array<long>, q binary, floors array<double>")
-        return self.lists.select("size", "list", "ids", "x").join(routed, ["size", "list"]).mapInArrow(_met(k), FOUND)
+        return self.lists.select("size", "list", "ids", "x").join(routed, ["size", "list"]).mapInArrow(_met(k, itself), FOUND)
 
-    def nearest(self, queries: DataFrame, k: int | None, threshold: float = -np.inf, probes: int | None = None, exact: bool = True) -> DataFrame:
+    def nearest(self, queries: DataFrame, k: int | None, threshold: float = -np.inf, probes: int | None = None, exact: bool = True, itself: bool = False) -> DataFrame:
         """(query_id, note_id, similarity, rank) of the k nearest (all, where k is None) of queries (query_id, embedding), each but itself.
 
+        itself: queries are no notes, so that a note of a query's number may be found as any other.
         exact: the result is that of all products; otherwise that of the probed lists."""
-        found = self.probed(queries, k, threshold, probes)
+        found = self.probed(queries, k, threshold, probes, itself)
         if exact:
             floor = F.lit(float(threshold))
             asked = _usable(queries.select(F.col("query_id").alias("note_id"), "embedding")).withColumnRenamed("note_id", "query_id")
@@ -236,7 +238,7 @@ class VectorIndex:
             else:
                 kth = ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("similarity").alias("_low"))
                 asked = asked.join(kth, F.col("query_id") == F.col("_q"), "left").withColumn("floor", F.greatest(F.coalesce("_low", floor), floor))
-            found = found.unionByName(self._meet(asked.select("size", "query_id", "embedding", "floor"), k, probes, True))
+            found = found.unionByName(self._meet(asked.select("size", "query_id", "embedding", "floor"), k, probes, True, itself))
         return ranked(found, k)
 
 

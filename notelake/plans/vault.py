@@ -27,7 +27,7 @@ class Vault:
 
     def __init__(self, spark: SparkSession, folder: str, now: datetime.datetime = NOW):
         self.spark, self.folder, self.now = spark, folder, now
-        self._notes, self._near, self._index = (None, None), (None, None), None
+        self._notes, self._near, self._index = (None, None), {}, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -89,16 +89,24 @@ class Vault:
             self._index.store.merge()
         return self._index
 
+    def _vectors_of(self, what: str, tables: tuple[str, ...], rows):
+        from ..operators.neighbours import VectorIndex
+
+        stamp = self.stamp(*tables)
+        if self._near.get(what, (None, None))[0] != stamp:
+            place = hashlib.md5(f"{what} {self.folder.rstrip('/')} {stamp}".encode(), usedforsecurity=False).hexdigest()
+            self._near[what] = stamp, VectorIndex(self.spark, f"{shared_folder(self.spark)}/vectors-{place}", rows())
+        return self._near[what][1]
+
     @property
     def near(self):
-        """Index of the vectors, stored in the shared folder for the files that the table has now."""
-        from ..operators.neighbours import VectorIndex
+        """Index of all vectors, stored in the shared folder for the files that the table has now."""
+        return self._vectors_of("all", ("embeddings",), lambda: self.vectors)
 
-        stamp = self.stamp("embeddings")
-        if self._near[0] != stamp:
-            place = hashlib.md5(f"{self.folder.rstrip('/')} {stamp}".encode(), usedforsecurity=False).hexdigest()
-            self._near = stamp, VectorIndex(self.spark, f"{shared_folder(self.spark)}/vectors-{place}", self.vectors)
-        return self._near[1]
+    @property
+    def near_live(self):
+        """Index of the vectors of live notes."""
+        return self._vectors_of("live", ("embeddings", "documents", "labels"), lambda: self.vectors.join(live(self.heads).select("note_id"), "note_id", "left_semi"))
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import datetime
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import KINDS, Ranking
 from .functions import text as T
-from .operators import browse, evaluation, graph, lexical, mutations, ranking, vectors, versions
+from .operators import batched, browse, evaluation, graph, lexical, mutations, ranking, vectors, versions
 from .plans.vault import Vault, live
 from .sources import markdown, providers
 from .streaming import access
@@ -242,6 +242,20 @@ def _changes(c: dict) -> None:
         f"SELECT doc_id AS note_id, 'hashing-32' AS model, 32 AS dimensions, CASE WHEN len({_tokens('text')}) = 0 THEN 0.0 ELSE 1.0 END AS norm FROM documents",
     )
     c["query_sanitise"] = (lambda v: v.table("benchmark").select("item_id", F.sha2(T.sanitised(F.col("text")), 256).alias("query_hash")), "SELECT item_id, sha256(trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS query_hash FROM benchmark")
+    plain = f"{asked}, {counted}, {scored} SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, note_id) AS rank FROM s JOIN (SELECT query_id, count(*) AS need FROM asked GROUP BY 1) USING (query_id) WHERE have = need QUALIFY rank <= 10"
+    runs = f"WITH {_RUNS}, bm25 AS (WITH {plain}), runs AS (SELECT 'bm25' AS system, * FROM bm25 UNION ALL SELECT 'vector', * FROM vector UNION ALL SELECT 'hybrid', * FROM hybrid)"
+    c["ir_runs"] = (lambda v: reduce(DataFrame.unionByName, [run.select(F.lit(name).alias("system"), "query_id", "note_id", "rank") for name, run in _runs(v)[0].items()]), f"{runs} SELECT * FROM runs")
+    c["ir_systems"] = (
+        lambda v: rounded(_systems(v), "recall_at_1", "recall_at_5", "recall_at_10", "mrr", "ndcg_at_10"),
+        f"""{runs}, item_lines AS (SELECT DISTINCT item_id AS query_id, sentence FROM (SELECT item_id, unnest(string_split(text, '. ')) AS sentence FROM benchmark) WHERE length(sentence) >= 20),
+        doc_lines AS (SELECT DISTINCT doc_id AS note_id, sentence FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS sentence FROM documents) WHERE length(sentence) >= 20),
+        gold AS (SELECT DISTINCT query_id, note_id FROM item_lines JOIN doc_lines USING (sentence)), golds AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
+        hit AS (SELECT system, query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) AS h10, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM runs JOIN gold USING (query_id, note_id) GROUP BY 1, 2),
+        each_query AS (SELECT system, query_id, n, h1, h5, h10, first, dcg FROM (SELECT unnest(['bm25', 'vector', 'hybrid']) AS system) CROSS JOIN (SELECT item_id AS query_id FROM benchmark) a LEFT JOIN golds USING (query_id) LEFT JOIN hit USING (system, query_id) WHERE NOT (system = 'hybrid' AND query_id % 10 = 9))
+        SELECT system, count(*) AS queries, (SELECT count(*) FROM benchmark) - count(*) AS errors, round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h1, 0) / n END), 6) AS recall_at_1, round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h5, 0) / n END), 6) AS recall_at_5,
+        round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h10, 0) / n END), 6) AS recall_at_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10) + 1) t(i)) END), 6) AS ndcg_at_10
+        FROM each_query GROUP BY system""",
+    )
     c["token_counters"] = (lambda v: v.table("conversations").groupBy("role").agg(F.sum(F.length("text")).alias("characters"), F.count(F.lit(1)).alias("operations")), "SELECT role, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) AS operations FROM conversations GROUP BY 1")
     c["regression_gate"] = (
         lambda v: rounded(_gate(v), "base", "new"),
@@ -330,6 +344,67 @@ def _changes(c: dict) -> None:
     )
 
 
+def _asked(v: Vault) -> DataFrame:
+    """Benchmark items as searches: their first words, a phrase of the next two, and the vector of their number.
+
+    Each tenth is asked as it stands, which no parser takes."""
+    words = F.split(T.sanitised(F.lower("text")), " ")
+    query = F.concat(F.get(words, 0), F.lit(" OR "), F.get(words, 1), F.lit(' OR "'), F.get(words, 2), F.lit(" "), F.get(words, 3), F.lit('"'))
+    items = v.table("benchmark").select(F.col("item_id").alias("query_id"), "text", F.when(F.col("item_id") % 10 == 9, F.col("text")).otherwise(query).alias("query"))
+    return items.join(v.vectors.select(F.col("note_id").alias("query_id"), "embedding"), "query_id", "left")
+
+
+def _sentences(table: DataFrame, key: str, text: str) -> DataFrame:
+    return table.select(key, F.explode(F.split(text, "\\. ")).alias("sentence")).where(F.length("sentence") >= 20).distinct()
+
+
+def _gold(v: Vault) -> DataFrame:
+    """(query_id, note_id): notes that share a sentence with an item are relevant to it."""
+    items = _sentences(v.table("benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
+    return items.join(_sentences(v.bodies, "note_id", "body"), "sentence").select("query_id", "note_id").distinct()
+
+
+def _runs(v: Vault) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Ranked notes of each system for all items, and the error rows of those that have any."""
+    asked = _asked(v)
+    words = lexical.batch(v.index, asked.select("query_id", F.col("text").alias("query")), 10)
+    near = v.near.nearest(asked.where("embedding IS NOT NULL").select("query_id", "embedding"), 10, itself=True)
+    hits, failed = batched.hybrid(v, asked)
+    return {"bm25": words, "vector": near, "hybrid": hits}, {"hybrid": failed}
+
+
+def _systems(v: Vault) -> DataFrame:
+    runs, failed = _runs(v)
+    return evaluation.systems({name: run.select("query_id", "note_id", "rank") for name, run in runs.items()}, failed, _gold(v), _asked(v).select("query_id"))
+
+
+_RUNS = f"""{HEADS}, {EDGES}, {ANALYSED},
+asked AS (SELECT item_id AS query_id, {_tokens('text')} AS w, item_id % 10 = 9 AS wrong FROM benchmark),
+leaf AS (SELECT query_id, unnest([0, 1]) AS p, unnest([w[1], w[2]]) AS t, NULL AS u FROM asked WHERE NOT wrong UNION ALL SELECT query_id, 2, w[3], w[4] FROM asked WHERE NOT wrong),
+occ AS ({" UNION ALL ".join(f"SELECT note_id, '{f}' AS field, unnest({f}) AS term, generate_subscripts({f}, 1) AS place FROM tok" for f, _ in _COLUMNS)}),
+len AS (SELECT note_id, {" + ".join(f"len({f})" for f, _ in _COLUMNS)} AS len FROM tok),
+found AS (SELECT query_id, p, a.note_id, a.field FROM leaf JOIN occ a ON a.term = t WHERE u IS NULL UNION ALL SELECT query_id, p, a.note_id, a.field FROM leaf JOIN occ a ON a.term = t JOIN occ b ON b.note_id = a.note_id AND b.field = a.field AND b.place = a.place + 1 AND b.term = u),
+f AS (SELECT query_id, p, note_id, sum(CASE field WHEN 'title' THEN 5.0 WHEN 'body' THEN 1.0 WHEN 'spine' THEN 2.0 WHEN 'aliases' THEN 3.0 ELSE 10.0 END) AS f FROM found GROUP BY ALL),
+idf AS (SELECT query_id, p, CASE WHEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM f, (SELECT count(*) AS n FROM len) GROUP BY query_id, p, n),
+words AS (SELECT query_id, note_id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM len)))) AS s FROM f JOIN idf USING (query_id, p) JOIN len USING (note_id) GROUP BY ALL),
+lexical AS (SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9), note_id) - 1 AS rank FROM words JOIN live USING (note_id) QUALIFY rank < 100),
+vq AS (SELECT query_id, wrong, embedding AS qv FROM asked JOIN embeddings ON vec_id = query_id),
+sims AS (SELECT query_id, wrong, vec_id AS note_id, {DOT.format(a="embedding", b="qv")} AS s FROM vq, embeddings),
+nearest AS (SELECT query_id, note_id FROM sims JOIN live USING (note_id) WHERE NOT wrong QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) <= 100),
+pool AS (SELECT query_id, note_id, rank FROM lexical FULL JOIN nearest USING (query_id, note_id)),
+size AS (SELECT query_id, count(*) AS p, count(rank) AS ranked FROM pool GROUP BY 1),
+seeds AS (SELECT query_id, note_id, CASE WHEN rank IS NOT NULL THEN 1 - rank / p ELSE 0.5 END AS seed FROM pool JOIN size USING (query_id)),
+both_ends AS (SELECT query_id, src, dst, edge_type, seed AS a, NULL AS b FROM edges JOIN seeds ON note_id = src UNION ALL SELECT query_id, src, dst, edge_type, NULL, seed FROM edges JOIN seeds ON note_id = dst),
+m AS (SELECT query_id, src, dst, max(a) AS a, max(b) AS b, (CASE WHEN max(a) IS NOT NULL AND max(b) IS NOT NULL THEN 2 ELSE 1 END) * 0.5 * {_WEIGHTS} AS w FROM both_ends GROUP BY query_id, src, dst, edge_type HAVING NOT (edge_type = 'supersedes' AND max(a) IS NOT NULL)),
+passed AS (SELECT query_id, note_id, CAST(sum(g) AS DOUBLE) AS graph FROM (SELECT query_id, dst AS note_id, a * w AS g FROM m WHERE a IS NOT NULL UNION ALL SELECT query_id, src, b * w FROM m WHERE b IS NOT NULL) GROUP BY 1, 2),
+c AS (SELECT query_id, note_id, rank, coalesce(graph, 0) AS graph FROM pool FULL JOIN passed USING (query_id, note_id)),
+scored AS (SELECT c.query_id, c.note_id, graph / nullif(max(graph) OVER (PARTITION BY c.query_id), 0) AS graph, coalesce(s, 0) AS cosine, CASE WHEN c.query_id IN (SELECT query_id FROM vq) THEN coalesce(s, 0) WHEN rank IS NOT NULL THEN 1 - rank / ranked ELSE 0 END AS main, {_ENGAGEMENT} AS engagement
+  FROM c JOIN live USING (note_id) JOIN size USING (query_id) LEFT JOIN sims ON sims.query_id = c.query_id AND sims.note_id = c.note_id),
+blended AS (SELECT query_id, note_id, 0.5 * main + 0.25 * coalesce(graph, 0) + 0.25 * engagement AS final FROM scored),
+hybrid AS (SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, note_id) AS rank FROM blended WHERE final >= 0.1 QUALIFY rank <= 10),
+vector AS (SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, note_id) AS rank FROM sims QUALIFY rank <= 10)"""
+
+
 def _gate(v: Vault) -> DataFrame:
     """Means of a threshold search (new) against those of a search without one (base), and which fell by more than 2 %."""
     names = ("recall_at_5", "mrr", "ndcg_at_10")
