@@ -19,7 +19,6 @@ from ..plans.tables import written
 from ..plans.vault import live
 from .graph import expand
 from .lexical import B, K1, Both, Index, Phrase, all_phrases, parse, scored_phrases
-from .postings import PLACE
 from .ranking import NOTE, engagement
 from .vectors import dot
 
@@ -68,12 +67,6 @@ def holds(program: Column, present: Column) -> Column:
     return F.get(F.aggregate(program, F.array().cast("array<boolean>"), step), 0)
 
 
-def _of_fields(weights: dict[str, float], what: str, weighted: bool) -> Column:
-    """Sum over the fields that a phrase may stand in, by their weights or plain."""
-    each = [F.when(F.col("field").isNull() | (F.col("field") == f), F.col(f"{what}_{f}") * F.lit(float(w) if weighted else 1)).otherwise(F.lit(0)) for f, w in weights.items()]
-    return reduce(lambda a, b: a + b, each)
-
-
 def occurrences(index: Index, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(query_id, p, note_id, len, n, f) of the notes that have a phrase of asked (PARSED): how often, and by weights."""
     phrases = asked.select("query_id", F.explode("phrases").alias("x")).select("query_id", "x.*").where(F.size("words") > 0)
@@ -84,26 +77,31 @@ def occurrences(index: Index, asked: DataFrame, weights: dict[str, float]) -> Da
     terms = index.store.dictionary().select("term").distinct()
     same = (F.substring("term", 1, 1) == F.substring("word", 1, 1)) & F.col("term").startswith(F.col("word"))
     words = written(exact.unionByName(begun.join(terms, same)), "words")
-    postings = index.store.postings_of(words)
-    length = reduce(lambda a, b: a + b, [F.col(f"l_{f}") for f in weights])
-    lists = [f"{x}_{f}" for f in weights for x in ("c", "l")]
+    weight, number = F.lit(0.0), {f: index.fields.index(f) for f in weights}
+    for f, w in weights.items():
+        weight = F.when(F.col("field") == number[f], float(w)).otherwise(weight)
+    postings = index.store.postings_of(words).where(F.col("field").isin(list(number.values()))).withColumn("w", weight)
+    name = F.lit(None).cast("string")
+    for f, k in number.items():
+        name = F.when(F.col("field") == k, f).otherwise(name)
+    postings = postings.withColumn("name", name)
 
     def met(own: DataFrame, *more: str) -> DataFrame:
-        rows = postings.join(own, "term")
-        each = rows.select("query_id", "p", "i", "many", "field", "block", F.explode(F.arrays_zip("notes", *lists, *more)).alias("x"))
-        each = each.select("query_id", "p", "i", "many", "field", "block", F.col("x.notes").alias("note_id"), *[f"x.{c}" for c in (*lists, *more)])
-        return index.store.living(each)
-
-    one = met(words.where("many = 1"))
-    one = one.groupBy("query_id", "p", "note_id").agg(F.max(length).alias("len"), F.sum(_of_fields(weights, "c", False)).cast("long").alias("n"), F.sum(_of_fields(weights, "c", True)).alias("f"))
+        lists = ("notes", "counts", "own", "every", *more)
+        rows = postings.join(own.withColumnRenamed("field", "only"), "term").where("only IS NULL OR only = name")
+        each = rows.select("query_id", "p", "i", "many", "field", "w", "block", F.explode(F.arrays_zip(*lists)).alias("x"))
+        each = index.store.living(each.select("query_id", "p", "i", "many", "field", "w", "block", F.col("x.notes").alias("note_id"), *[f"x.{c}" for c in lists[1:]]))
+        if len(weights) in (1, len(index.fields)):
+            return each.withColumn("len", F.col("own" if len(weights) == 1 else "every"))
+        told = index.store.notes().select("note_id", reduce(lambda a, b: a + b, [F.col(f"l_{f}") for f in weights]).alias("len"))
+        return each.join(told, "note_id")
+
+    one = met(words.where("many = 1")).groupBy("query_id", "p", "note_id").agg(F.max("len").alias("len"), F.sum("counts").alias("n"), F.sum(F.col("counts") * F.col("w")).alias("f"))
     # a phrase begins where all of its words stand, each as many places on as its number
-    several = met(words.where("many > 1"), "places").select("query_id", "p", "i", "many", "field", "note_id", length.alias("len"), F.explode("places").alias("place"))
-    begins = several.groupBy("query_id", "p", "many", "field", "note_id", (F.col("place") - F.col("i")).alias("at")).agg(F.max("len").alias("len"), F.count_distinct("i").alias("words")).where("words = many")
-    number = F.shiftright("at", PLACE)
-    for f in weights:
-        begins = begins.withColumn(f"c_{f}", (number == index.fields.index(f)).cast("int"))
-    more = begins.groupBy("query_id", "p", "note_id").agg(F.max("len").alias("len"), F.sum(_of_fields(weights, "c", False)).cast("long").alias("n"), F.sum(_of_fields(weights, "c", True)).alias("f"))
-    return one.unionByName(more).where("n > 0")
+    several = met(words.where("many > 1"), "places").select("query_id", "p", "i", "many", "field", "w", "note_id", "len", F.explode("places").alias("place"))
+    begins = several.groupBy("query_id", "p", "many", "field", "w", "note_id", (F.col("place") - F.col("i")).alias("at")).agg(F.max("len").alias("len"), F.count_distinct("i").alias("words")).where("words = many")
+    more = begins.groupBy("query_id", "p", "note_id").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("f"))
+    return one.unionByName(more)
 
 
 def bm25(index: Index, asked: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..config import FIELD_WEIGHTS
 from ..functions.text import fold, tokens, words
 from ..plans.tables import shared_folder
-from .postings import PLACE, Store
+from .postings import Store
 
 K1, B = 1.2, 0.75
 #: Blocks that give the first k-th score.
@@ -180,39 +180,50 @@ class Asked:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return self.store.postings(self.terms)
+        """Postings of the query's words in the fields of weights, with w, their field's weight."""
+        number = {self.index.fields.index(f): float(w) for f, w in self.weights.items()}
+        weight = F.lit(0.0)
+        for k, w in number.items():
+            weight = F.when(F.col("field") == k, w).otherwise(weight)
+        return self.store.postings(self.terms).where(F.col("field").isin(list(number))).withColumn("w", weight)
 
-    def _meets(self, p: Phrase, i: int) -> Column:
-        return F.col("term").startswith(p.words[i]) if p.prefix and i == len(p.words) - 1 else F.col("term") == p.words[i]
+    def _length(self, one: str, every: str) -> Column | None:
+        """A note's length in the fields of weights, where these are one or all; None where notes have to tell it."""
+        return F.col(every) if len(self.weights) == len(self.index.fields) else F.col(one) if len(self.weights) == 1 else None
 
-    def _used(self, p: Phrase) -> dict[str, float]:
-        return {p.field: self.weights[p.field]} if p.field else self.weights
+    def _meets(self, p: Phrase, i: int) -> Column:
+        word = F.col("term").startswith(p.words[i]) if p.prefix and i == len(p.words) - 1 else F.col("term") == p.words[i]
+        return word & (F.col("field") == self.index.fields.index(p.field)) if p.field else word
 
     # ------------------------------------------------------------ notes
 
     def counted(self, blocks: DataFrame | list[int] | None = None) -> DataFrame:
-        """(block, note_id, len, and n_ and f_ of each phrase: how often, and by weights) of the notes that have a word."""
+        """(note_id, len, and n_ and f_ of each phrase: how often, and by weights) of the notes that have a word."""
         rows = self.rows
         if isinstance(blocks, list):
             rows = rows.where(F.col("block").isin(blocks))
         elif blocks is not None:
             rows = rows.join(blocks.select("block"), "block", "left_semi")
         several = any(len(p.words) > 1 for p in self.phrases)
-        lists = ["notes", *(f"{x}_{f}" for f in self.weights for x in ("c", "l")), *(["places"] if several else [])]
-        each = rows.select("term", "block", F.explode(F.arrays_zip(*lists)).alias("x")).select("term", "block", F.col("x.notes").alias("note_id"), *[f"x.{c}" for c in lists[1:]])
-        sums, after = [F.max(reduce(lambda a, b: a + b, [F.col(f"l_{f}") for f in self.weights])).alias("len")], [F.col("block"), F.col("note_id"), F.col("len")]
+        lists = ["notes", "counts", "own", "every", *(["places"] if several else [])]
+        each = rows.select("term", "field", "w", "block", F.explode(F.arrays_zip(*lists)).alias("x")).select("term", "field", "w", "block", F.col("x.notes").alias("note_id"), *[f"x.{c}" for c in lists[1:]])
+        length = self._length("own", "every")
+        sums, after = [F.max(F.lit(0) if length is None else length).alias("len")], ["note_id", "len"]
         for p in self.phrases:
-            k, used = self.name[p], self._used(p)
+            k = self.name[p]
             if len(p.words) == 1:
-                n, f = (reduce(lambda a, b: a + b, [F.col(f"c_{f}") * F.lit(w) for f, w in x.items()]) for x in (dict.fromkeys(used, 1), used))
-                sums += [F.sum(F.when(self._meets(p, 0), n)).alias(f"n_{k}"), F.sum(F.when(self._meets(p, 0), f)).alias(f"f_{k}")]
-                after += [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}"), F.coalesce(f"f_{k}", F.lit(0)).cast("double").alias(f"f_{k}")]
+                sums += [F.coalesce(F.sum(F.when(self._meets(p, 0), F.col("counts"))), F.lit(0)).alias(f"n_{k}"), F.coalesce(F.sum(F.when(self._meets(p, 0), F.col("counts") * F.col("w"))), F.lit(0.0)).alias(f"f_{k}")]
+                after += [f"n_{k}", f"f_{k}"]
                 continue
-            sums += [F.flatten(F.collect_list(F.when(self._meets(p, i), F.col("places")))).alias(f"{k}_{i}") for i in range(len(p.words))]  # of one note
-            hits = reduce(F.array_intersect, [_begins(f"{k}_{i}", i) for i in range(len(p.words))]) if p.words else F.array().cast("array<long>")
-            times = {f: _inside(hits, self.index.fields.index(f)) for f in used}
-            after += [reduce(lambda a, b: a + b, times.values()).cast("long").alias(f"n_{k}"), reduce(lambda a, b: a + b, [n * F.lit(float(used[f])) for f, n in times.items()]).cast("double").alias(f"f_{k}")]
-        return self.store.living(each).groupBy("block", "note_id").agg(*sums).select(*after)
+            # where a phrase begins is told by each of its words: its place less its number in the phrase
+            sums += [F.flatten(F.collect_list(F.when(self._meets(p, i), _begins(i)))).alias(f"{k}_{i}") for i in range(len(p.words))]  # of one note
+            hits = reduce(F.array_intersect, [F.col(f"{k}_{i}") for i in range(len(p.words))]) if p.words else F.array().cast("array<struct<field:int,w:double,at:int>>")
+            after += [F.size(hits).cast("long").alias(f"n_{k}"), F.aggregate(hits, F.lit(0.0), lambda s, x: s + x["w"]).alias(f"f_{k}")]
+        found = self.store.living(each).groupBy("note_id").agg(*sums).select(*after)
+        if length is None:
+            told = self.store.notes().select("note_id", reduce(lambda a, b: a + b, [F.col(f"l_{f}") for f in self.weights]).alias("len"))
+            found = found.drop("len").join(told, "note_id")
+        return found
 
     def matches(self, t=None, has=None) -> Column:
         """Whether a row of counted matches the query; has tells a phrase's presence otherwise."""
@@ -228,13 +239,13 @@ class Asked:
         """How much a scored phrase counts, by the living notes that have it.
 
         Rows of postings tell it for single words, of all fields or of one; otherwise notes are counted."""
-        scored = list(dict.fromkeys(p for p in scored_phrases(self.tree)))
-        plain = self.store.tombstones is None and all(len(p.words) == 1 and not p.prefix and len(self._used(p)) in (1, len(self.index.fields)) for p in scored)
+        scored = list(dict.fromkeys(scored_phrases(self.tree)))
+        whole = len(self.weights) == len(self.index.fields)
         if not scored:
             return {}
-        if plain:
-            count = {p: F.sum(F.when(self._meets(p, 0), F.col("n" if len(self._used(p)) == len(self.index.fields) else f"n_{next(iter(self._used(p)))}"))) for p in scored}
-            row = self.rows.agg(*[count[p].alias(self.name[p]) for p in scored]).first()
+        if self.store.tombstones is None and all(len(p.words) == 1 and not p.prefix and (p.field or whole or len(self.weights) == 1) for p in scored):
+            of = lambda p: F.sum(F.when(self._meets(p, 0), F.col("fresh" if whole and not p.field else "n")))
+            row = self.rows.agg(*[of(p).alias(self.name[p]) for p in scored]).first()
         else:
             row = self.counted().agg(*[F.count_if(F.col(f"n_{self.name[p]}") > 0).alias(self.name[p]) for p in scored]).first()
         have = {p: row[self.name[p]] or 0 for p in scored}
@@ -259,12 +270,11 @@ class Asked:
         Of a phrase the greatest count is that of its rarest word, of a prefix the sum of its terms'; lengths are at least the
         sum of the fields' least. n is the number of postings."""
         sums, after = [F.sum("n").alias("n")], F.lit(0.0)
+        least = self._length("least", "least_of_all")
         for p in self.phrases:
-            used = self._used(p)
-            most = reduce(lambda a, b: a + b, [F.col(f"most_{f}") * F.lit(float(w)) for f, w in used.items()])
-            least = reduce(lambda a, b: a + b, [F.col(f"least_{f}") for f in self.weights])
             for i in range(len(p.words)):
-                sums += [F.coalesce(F.sum(F.when(self._meets(p, i), most)), F.lit(0.0)).alias(f"m_{self.name[p]}_{i}"), F.min(F.when(self._meets(p, i), least)).alias(f"l_{self.name[p]}_{i}")]
+                k = f"{self.name[p]}_{i}"
+                sums += [F.coalesce(F.sum(F.when(self._meets(p, i), F.col("most") * F.col("w"))), F.lit(0.0)).alias(f"m_{k}"), F.min(F.when(self._meets(p, i), F.lit(0) if least is None else least)).alias(f"l_{k}")]
 
         def most_of(p: Phrase) -> Column:
             every = [F.col(f"m_{self.name[p]}_{i}") for i in range(len(p.words))]
@@ -298,14 +308,9 @@ class Asked:
         return _allowed(self.scored(self.chosen(k, allowed)), allowed).orderBy("bm25", "note_id").limit(k)
 
 
-def _begins(places: str, after: int) -> Column:
-    """Where a phrase would begin whose word at number after stands at these places."""
-    return F.transform(places, lambda x: x - F.lit(after))
-
-
-def _inside(places: Column, field: int) -> Column:
-    """How many places are in a field."""
-    return F.size(F.filter(places, lambda x: F.shiftright(x, PLACE) == F.lit(field)))
+def _begins(after: int) -> Column:
+    """Where a phrase would begin whose word at number after stands at a row's places."""
+    return F.transform("places", lambda x: F.struct(F.col("field").alias("field"), F.col("w").alias("w"), (x - F.lit(after)).alias("at")))
 
 
 def _allowed(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -325,9 +330,9 @@ def batch(index: Index, queries: DataFrame, k: int, field: str = "body", every:
     A query is its letters and digits, whatever signs it holds; a note has to have all of its words, or any, if not every.
     A word that a query has twice counts twice. Words meet postings by term; queries without words find nothing."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    lists = F.arrays_zip("notes", f"c_{field}", f"l_{field}")
-    each = index.store.postings_of(asked).select("term", "block", F.explode(lists).alias("x")).select("term", "block", F.col("x.notes").alias("note_id"), F.col(f"x.c_{field}").alias("f"), F.col(f"x.l_{field}").alias("len"))
-    counts = index.store.living(each).where("f > 0")
+    rows = index.store.postings_of(asked).where(F.col("field") == index.fields.index(field))
+    each = rows.select("term", "block", F.explode(F.arrays_zip("notes", "counts", "own")).alias("x")).select("term", "block", F.col("x.notes").alias("note_id"), F.col("x.counts").alias("f"), F.col("x.own").alias("len"))
+    counts = index.store.living(each)
     totals = index.totals
     total, size = totals["_notes"], totals[field]
     rare = F.log((total - F.col("d") + 0.5) / (F.col("d") + 0.5))

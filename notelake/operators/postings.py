@@ -1,10 +1,10 @@
 """The stored index: postings in segments, a term's files apart from others', appended to, deleted from and merged.
 
-A segment holds the words of some notes. Its postings are rows of a term and a block of notes: notes of about the same length,
-dealt to blocks by a hash. A row has its notes, their counts and lengths in each field, their words' places, and what bounds a
-score without reading these: the greatest counts and least lengths. Rows stand in folders by a hash of their term, sorted by
-term and block, so that a query lists and opens the folders of its terms only. A dictionary of terms, sorted, leads from a
-prefix to its terms.
+A segment holds the words of some notes. Its postings are rows of a term, a field and a block of notes: notes of about the same
+length, dealt to blocks by a hash. A row has its notes, how often they have the term, their lengths (of the field and of all
+fields) and the term's places, and what bounds a score without reading these: the greatest count and the least lengths. Rows
+stand in folders by a hash of their term, sorted by term and block, so that a query lists and opens the folders of its terms
+only. A dictionary of terms, sorted, leads from a prefix to its terms.
 
 The list of segments is a table of versions, and writing the next version is what makes a change seen: a reader takes one
 version, and what a failed writer leaves isn't in any. New and changed notes make a segment; notes that were changed or
@@ -13,7 +13,6 @@ into one. Counts of notes and words are kept for each segment, and count living
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,18 +21,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..plans.tables import written
 
 #: Notes of a block, about; occurrences of a folder of terms, and folders of a segment at least and at most.
-BLOCK, FOLDER, FOLDERS = 128, 1 << 18, (8, 4096)
+BLOCK, FOLDER, FOLDERS = 256, 1 << 18, (8, 4096)
 #: Occurrences of a folder's task: common terms are dealt to several by their blocks.
 TASK = 1 << 22
-#: A place is a field's number and the number of words before it in the field; segments, kinds of length and hashes in a block's number.
-PLACE, SEGMENT, KIND = 40, 48, 32
+#: Where a block's number has its segment's and its kind of length; a hash is below.
+SEGMENT, KIND = 48, 32
 #: Segments of at most so many notes are merged once there are so many of them.
 SMALL, MANY = 1 << 20, 8
 
@@ -41,54 +40,63 @@ NOTES = "note_id long, segment int, hash long, block long"
 SEGMENTS = "segment int, path string, folders int, held array<int>, notes long, words map<string,long>, dead long, dead_words map<string,long>, tombstones array<string>, stamp string"
 
 
-def posting_schema(fields: tuple[str, ...]) -> str:
-    each = [f"c_{f} array<int>, l_{f} array<int>, n_{f} int, most_{f} int, least_{f} int" for f in fields]
-    return f"term string, block long, n int, notes array<long>, places array<array<long>>, {', '.join(each)}"
+#: field counts from 0; n notes have the term in the field, and for fresh of them no earlier field has it.
+POSTINGS = "term string, field int, block long, n int, fresh int, most int, least int, least_of_all int, notes array<long>, counts array<int>, own array<int>, every array<int>, places array<array<int>>"
+LISTS = ("notes", "counts", "own", "every", "places")
 
 
-def _inverted(fields: tuple[str, ...], spread: int):
-    """Of rows (note_id, hash, salt, a text for each field): each note's lengths, and its terms' rows of its block."""
-    columns = ["note_id", "hash", "block", *(f"l_{f}" for f in fields), "term", "notes", "places", *(f"c_{f}" for f in fields), *(f"ls_{f}" for f in fields)]
+def _measured(fields: tuple[str, ...], spread: int):
+    """Rows (note_id, hash, salt, a text for each field) with each note's block and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                n = part.num_rows
-                number: dict[str, int] = {}
-                terms, note, code, lengths = [], [], [], np.zeros((len(fields), n), dtype=np.int32)
-                for k in range(len(fields)):
-                    for j, text in enumerate(part.column(3 + k)):
-                        found = words(text.as_py() or "")
-                        lengths[k, j] = len(found)
-                        terms += [number.setdefault(w, len(number)) for w in found]
-                        note.append(np.full(len(found), j))
-                        code.append(np.arange(len(found), dtype=np.int64) + (k << PLACE))
-                # notes of about the same length share blocks: a quarter of a doubling is one kind of length
-                kind = np.floor(4 * np.log2(1 + lengths.sum(0))).astype(np.int64)
-                block = (kind << KIND) + np.mod(part.column(2).to_numpy(), spread)
-                none = pa.nulls(n, pa.string())
-                many, most = pa.list_(pa.int64()), pa.list_(pa.int32())
-                empty = [pa.nulls(n, many), pa.nulls(n, pa.list_(many)), *[pa.nulls(n, most)] * (2 * len(fields))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(block), *[pa.array(x) for x in lengths], none, *empty], names=columns)
-                if not number:
-                    continue
-                term, note, code = np.array(terms), np.concatenate(note), np.concatenate(code)
-                order = np.lexsort((code, note, block[note], term))
-                term, note, code = term[order], note[order], code[order]
-                new_note = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(note) != 0)]))
-                t, d = term[new_note], note[new_note]
-                new_row = np.flatnonzero(np.concatenate([[True], (np.diff(t) != 0) | (np.diff(block[d]) != 0)]))
-                ends = pa.array(np.append(new_row, len(t)), pa.int32())
-                listed = lambda x, kind: pa.ListArray.from_arrays(ends, pa.array(x, kind))  # noqa: B023, E731
-                places = pa.ListArray.from_arrays(ends, pa.ListArray.from_arrays(pa.array(np.append(new_note, len(code)), pa.int32()), pa.array(code)))
-                counts = [np.add.reduceat((code >> PLACE) == k, new_note).astype(np.int32) for k in range(len(fields))]
-                m = len(new_row)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                names = np.array(list(number), dtype=object)
-                own = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(block[d[new_row]]), *[pa.nulls(m, pa.int32())] * len(fields)]
-                rows = [pa.array(names[t[new_row]], pa.string()), listed(ids[d], pa.int64()), places, *[listed(c, pa.int32()) for c in counts], *[listed(x[d], pa.int32()) for x in lengths]]
-                yield pa.RecordBatch.from_arrays([*own, *rows], names=columns)
+            lengths = np.array([[len(words(x or "")) for x in batch.column(3 + k).to_pylist()] for k in range(len(fields))], dtype=np.int32).reshape(len(fields), batch.num_rows)
+            # notes of about the same length share blocks: a half of a doubling is one kind of length
+            kind = np.floor(2 * np.log2(1 + lengths.sum(0))).astype(np.int64)
+            block = (kind << KIND) + np.mod(batch.column(2).to_numpy(), spread)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block), *[pa.array(x) for x in lengths], *batch.columns[3:]], names=["note_id", "hash", "block", *(f"l_{f}" for f in fields), *fields])
+
+    return run
+
+
+def _inverted(fields: tuple[str, ...]):
+    """POSTINGS of rows (note_id, block, a text for each field) in order of block; a block of two batches has two rows a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, block, ids = batch.num_rows, batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            number: dict[str, int] = {}
+            terms: list[int] = []
+            lengths = np.zeros((len(fields), n), dtype=np.int32)
+            for k in range(len(fields)):
+                for j, text in enumerate(batch.column(2 + k).to_pylist()):
+                    found = words(text or "")
+                    lengths[k, j] = len(found)
+                    terms += [number.setdefault(w, len(number)) for w in found]
+            if not number:
+                continue
+            term, note, field = np.array(terms), np.concatenate([np.repeat(np.arange(n), x) for x in lengths]), np.repeat(np.arange(len(fields)), lengths.sum(1))
+            flat = lengths.ravel()
+            place = np.arange(len(term)) - np.repeat(np.cumsum(flat) - flat, flat)
+            rank = np.empty(len(number), dtype=np.int64)
+            names = np.array(list(number), dtype=object)
+            rank[np.argsort(names, kind="stable")] = np.arange(len(number))
+            order = np.lexsort((place, note, field, block[note], rank[term]))
+            term, note, field, place = term[order], note[order], field[order], place[order].astype(np.int32)
+            starts = lambda *keys: np.flatnonzero(np.concatenate([[True], np.any([np.diff(k) != 0 for k in keys], axis=0)]))
+            pair = starts(term, field, note)
+            t, f, d = term[pair], field[pair], note[pair]
+            counts = np.diff(np.append(pair, len(term))).astype(np.int32)
+            row = starts(t, block[d], f)
+            first = np.zeros(len(t), dtype=np.int32)
+            first[np.unique(np.stack([t * n + d, f]).T[:, 0], return_index=True)[1]] = 1  # pairs of a term and a note come by field
+            own, every = lengths[f, d], lengths.sum(0)[d].astype(np.int32)
+            ends = pa.array(np.append(row, len(t)), pa.int32())
+            listed = lambda x, kind: pa.ListArray.from_arrays(ends, pa.array(x, kind))  # noqa: B023, E731
+            places = pa.ListArray.from_arrays(ends, pa.ListArray.from_arrays(pa.array(np.append(pair, len(term)), pa.int32()), pa.array(place)))
+            scalars = [np.diff(np.append(row, len(t))), np.add.reduceat(first, row), np.maximum.reduceat(counts, row), np.minimum.reduceat(own, row), np.minimum.reduceat(every, row)]
+            columns = [pa.array(names[t[row]], pa.string()), pa.array(f[row], pa.int32()), pa.array(block[d[row]]), *[pa.array(x, pa.int32()) for x in scalars]]
+            yield pa.RecordBatch.from_arrays([*columns, listed(ids[d], pa.int64()), *[listed(x, pa.int32()) for x in (counts, own, every)], places], names=[c.split()[0] for c in POSTINGS.split(", ")])
 
     return run
 
@@ -98,7 +106,6 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...]):
         self.spark, self.path, self.fields = spark, path.rstrip("/"), fields
-        self.schema = posting_schema(fields)
         self.version, self.segments = self._latest()
 
     # ------------------------------------------------------------ versions
@@ -118,9 +125,11 @@ class Store:
 
     def _commit(self, segments: list[dict], stamp: str | None) -> None:
         """The next version, with these segments; of two writers of the same version one fails."""
-        names = [c.split()[0] for c in re.split(r", (?=\w+ )", SEGMENTS)]
-        rows = [tuple((s | {"stamp": stamp})[c] for c in names) for s in segments] or [(None,) * (len(names) - 1) + (stamp,)]
-        self.spark.createDataFrame(rows, SEGMENTS).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/versions/version={self.version + 1}")
+        rows = [s | {"stamp": stamp} for s in segments] or [{"stamp": stamp}]
+        numbers = pa.map_(pa.string(), pa.int64())
+        kinds = {"segment": pa.int32(), "path": pa.string(), "folders": pa.int32(), "held": pa.list_(pa.int32()), "notes": pa.int64(), "words": numbers, "dead": pa.int64(), "dead_words": numbers, "tombstones": pa.list_(pa.string()), "stamp": pa.string()}
+        columns = [pa.array([(list(x.items()) if isinstance(x := r.get(c), dict) else x) for r in rows], kind) for c, kind in kinds.items()]
+        self.spark.createDataFrame(pa.Table.from_arrays(columns, names=list(kinds))).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/versions/version={self.version + 1}")
         self.version, self.segments = self._latest()
 
     # ------------------------------------------------------------ reading
@@ -158,12 +167,12 @@ class Store:
     def postings(self, terms: list[str]) -> DataFrame:
         """The rows of terms; folders without one of them aren't opened."""
         paths = self._folders(lambda n: {zlib.crc32(t.encode()) % n for t in terms})
-        return self._read(self.schema, paths).where(F.col("term").isin(terms))
+        return self._read(POSTINGS, paths).where(F.col("term").isin(terms))
 
     def postings_of(self, terms: DataFrame) -> DataFrame:
         """The rows of terms (term), of which there may be many."""
         paths = self._folders(lambda n: {r[0] for r in terms.select(_folder(n)).distinct().collect()})
-        return self._read(self.schema, paths).join(terms.select("term").distinct(), "term", "left_semi")
+        return self._read(POSTINGS, paths).join(terms.select("term").distinct(), "term", "left_semi")
 
     def dictionary(self) -> DataFrame:
         """(term, n) of each segment, by ranges of terms: notes that have a term, dead ones included."""
@@ -191,10 +200,11 @@ class Store:
             changed = self._bury(segments, known.join(now, ["note_id", "hash"], "left_anti"))
         n = fresh.count()
         if n:
-            spread = max(1, n // (16 * BLOCK))
-            names = ", ".join(["note_id long, hash long, block long", *(f"l_{f} int" for f in self.fields), "term string, notes array<long>, places array<array<long>>", *(f"c_{f} array<int>" for f in self.fields), *(f"ls_{f} array<int>" for f in self.fields)])
-            rows = fresh.select("note_id", "hash", F.xxhash64("note_id").alias("salt"), *self.fields).mapInArrow(_inverted(self.fields, spread), names)
-            segments.append(self._write(written(rows, "inverted")))
+            lengths = [f"l_{f} int" for f in self.fields]
+            measured = fresh.select("note_id", "hash", F.xxhash64("note_id").alias("salt"), *self.fields).mapInArrow(_measured(self.fields, max(1, n // (8 * BLOCK))), ", ".join(["note_id long, hash long, block long", *lengths, *(f"{f} string" for f in self.fields)]))
+            measured = written(measured, "texts")
+            rows = measured.select("note_id", "block", *self.fields).repartition("block").sortWithinPartitions("block", "note_id").mapInArrow(_inverted(self.fields), POSTINGS)
+            segments.append(self._write(rows, measured.drop(*self.fields)))
             changed = True
         if changed or stamp != self.stamp or not self.version:
             self._commit(segments, stamp)
@@ -224,45 +234,35 @@ class Store:
         numbers = [s["segment"] for s in old]
         kept = self.notes().where(F.col("segment").isin(numbers))
         spread = max(1, sum(s["notes"] - s["dead"] for s in old) // (16 * BLOCK))
-        lists = ["notes", "places", *(f"c_{f}" for f in self.fields), *(f"l_{f}" for f in self.fields)]
-        rows = self._read(self.schema, [f"{s['path']}/postings/folder={k}" for s in old for k in s["held"]])
-        each = rows.select("term", "block", F.explode(F.arrays_zip(*lists)).alias("x")).select("term", "block", F.col("x.notes").alias("note_id"), "x.*")
         # notes keep their kind of length, and are dealt anew within it
         anew = (F.shiftright(F.col("block").bitwiseAND((1 << SEGMENT) - 1), KIND) * F.lit(1 << KIND)) + F.pmod(F.xxhash64("note_id"), F.lit(spread))
-        partial = self.living(each).select(*_nulls("note_id long, hash long"), anew.alias("block"), *_nulls(", ".join(f"l_{f} int" for f in self.fields)), "term", F.array("notes").alias("notes"), F.array("places").alias("places"), *[F.array(f"c_{f}").alias(f"c_{f}") for f in self.fields], *[F.array(f"l_{f}").alias(f"ls_{f}") for f in self.fields])
-        heads = kept.select("note_id", "hash", anew.alias("block"), *[f"l_{f}" for f in self.fields])
-        segment = self._write(partial.unionByName(heads, allowMissingColumns=True))
+        rows = self._read(POSTINGS, [f"{s['path']}/postings/folder={k}" for s in old for k in s["held"]])
+        each = self.living(rows.select("term", "field", "block", F.explode(F.arrays_zip(*LISTS)).alias("x")).select("term", "field", "block", F.col("x.notes").alias("note_id"), "x.*"))
+        first = F.min("field").over(Window.partitionBy("term", "note_id"))  # as many rows as fields
+        each = each.withColumn("block", anew).withColumn("first", (F.col("field") == first).cast("int"))
+        whole = each.groupBy("term", "field", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("first").cast("int").alias("fresh"), F.max("counts").alias("most"), F.min("own").alias("least"), F.min("every").alias("least_of_all"), F.collect_list(F.struct(*LISTS)).alias("x"))
+        whole = whole.select("term", "field", "block", "n", "fresh", "most", "least", "least_of_all", *[F.col(f"x.{c}").alias(c) for c in LISTS])
+        segment = self._write(whole, kept.select("note_id", "hash", anew.alias("block"), *[f"l_{f}" for f in self.fields]))
         self._commit([*(s for s in self.segments if s["segment"] not in numbers), segment], self.stamp)
         return True
 
-    def _write(self, rows: DataFrame) -> dict:
-        """A segment of partial rows of postings and rows of notes (those without a term)."""
+    def _write(self, rows: DataFrame, notes: DataFrame) -> dict:
+        """A segment of postings and notes, both with block but for the segment's number."""
         number = max((s["segment"] for s in self.segments), default=-1) + 1
         path = f"{self.path}/segments/{number}-{uuid.uuid4().hex}"
         block = F.col("block") + F.lit(number << SEGMENT)
-        own = rows.where("term IS NULL").select("note_id", F.lit(number).alias("segment"), "hash", block.alias("block"), *[f"l_{f}" for f in self.fields])
-        own.write.parquet(f"{path}/notes")
+        notes.select("note_id", F.lit(number).alias("segment"), "hash", block.alias("block"), *[f"l_{f}" for f in self.fields]).write.parquet(f"{path}/notes")
         sums = self._read(", ".join([NOTES, *(f"l_{f} int" for f in self.fields)]), [f"{path}/notes"]).agg(F.count(F.lit(1)), *[F.sum(f"l_{f}") for f in self.fields]).first()
         words = sum(x or 0 for x in sums[1:])
         folders = int(min(max(words // FOLDER, FOLDERS[0]), FOLDERS[1]))
         deals = max(1, words // (folders * TASK))
-        lists = ["notes", "places", *(f"c_{f}" for f in self.fields), *(f"ls_{f}" for f in self.fields)]
-        partial = rows.where("term IS NOT NULL").select(_folder(folders).alias("folder"), F.pmod("block", F.lit(deals)).alias("deal"), "term", block.alias("block"), *lists)
-        # dealt by folder and deal, which the keys of groups hold, so that one exchange serves all that follows
-        whole = partial.repartition(int(folders * deals), "folder", "deal").groupBy("folder", "deal", "term", "block").agg(F.collect_list(F.struct(*lists)).alias("x"))
-        flat = whole.select("folder", "term", "block", *[F.flatten(F.col(f"x.{c}")).alias(c) for c in lists])
-        each = [x for f in self.fields for x in (F.col(f"c_{f}"), F.col(f"ls_{f}").alias(f"l_{f}"), F.size(F.filter(f"c_{f}", lambda c: c > 0)).alias(f"n_{f}"), F.array_max(f"c_{f}").alias(f"most_{f}"), F.array_min(f"ls_{f}").alias(f"least_{f}"))]
-        table = flat.select("folder", "term", "block", F.size("notes").alias("n"), "notes", "places", *each)
-        table.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
-        stored = self.spark.read.schema(f"{self.schema}, folder int").parquet(f"{path}/postings") if words else self.spark.createDataFrame([], f"{self.schema}, folder int")
-        stored.groupBy("term").agg(F.sum("n").alias("n")).repartitionByRange(max(1, folders // 8), "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        dealt = rows.withColumn("block", block).withColumns({"folder": _folder(folders), "deal": F.pmod("block", F.lit(deals))}).repartition(int(folders * deals), "folder", "deal").drop("deal")
+        dealt.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
+        stored = self.spark.read.schema(f"{POSTINGS}, folder int").parquet(f"{path}/postings") if words else self.spark.createDataFrame([], f"{POSTINGS}, folder int")
+        stored.groupBy("term").agg(F.sum("fresh").alias("n")).repartitionByRange(max(1, folders // 8), "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         held = sorted(r.folder for r in stored.select("folder").distinct().collect())  # at most FOLDERS
         return {"segment": number, "path": path, "folders": folders, "held": held, "notes": sums[0], "words": {f: int(x or 0) for f, x in zip(self.fields, sums[1:], strict=True)}, "dead": 0, "dead_words": {}, "tombstones": []}
 
 
 def _folder(folders: int) -> Column:
     return F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(folders)).cast("int")
-
-
-def _nulls(schema: str) -> list[Column]:
-    return [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))]

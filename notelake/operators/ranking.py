@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def search(vault, query: str = "", mode: str = "normal", vector: list[float] | N
         pool = lexical_pool(vault, query, filters, cfg)
         if mode != "bm25" and vector is not None:
             pool += [(n, None) for n in cosine_pool(vault, vector, filters, cfg) if n not in dict(pool)]
-    rows = vault.spark.createDataFrame(pool, "note_id long, rank int")
+    rows = vault.spark.createDataFrame(pa.table({"note_id": pa.array([n for n, _ in pool], pa.int64()), "rank": pa.array([r for _, r in pool], pa.int32())}))
     if mode == "bm25":
         ranked = vault.notes.join(F.broadcast(rows), "note_id").select(*NOTE, "rank").withColumn("engagement", engagement(vault.now, cfg))
         return cut(ranked.withColumn("final", F.lit(0.75) * (1 - F.col("rank") / F.lit(max(len(pool), 1))) + F.lit(0.25) * F.col("engagement")), cfg)

@@ -4,18 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import heading, right_trimmed
+from ..plans.tables import written
 
 
 def history(versions: DataFrame, note_id: int | None = None) -> DataFrame:
-    """Versions of a note, or of each note, from the head back; depth 0 is the head. Chains are linear: order by seq."""
+    """(note_id, seq, content_hash, depth) of the versions that a note's head goes back to along prev; depth 0 is the head.
+
+    The head is a note's latest version. A version that the head doesn't go back to, as another branch's, is left out; a
+    chain ends at a version without prev, whose prev isn't there, or that it has come by already. Of chains that are all
+    linear, each version following the one before it (all, where versions have no prev), the order tells the depth; others are followed
+    by doubling steps."""
     rows = versions if note_id is None else versions.where(F.col("note_id") == note_id)
-    depth = F.row_number().over(Window.partitionBy("note_id").orderBy(F.col("seq").desc())) - 1
-    return rows.select("note_id", "seq", "content_hash", depth.alias("depth"))
+    ordered = Window.partitionBy("note_id").orderBy("seq")
+    rows = rows.select("note_id", "seq", "prev" if "prev" in rows.columns else F.lag("seq").over(ordered).alias("prev"), "content_hash")
+    if rows.withColumn("_last", F.lag("seq").over(ordered)).where("NOT (prev <=> _last)").isEmpty():
+        depth = F.row_number().over(Window.partitionBy("note_id").orderBy(F.col("seq").desc())) - 1
+        return rows.select("note_id", "seq", "content_hash", depth.alias("depth"))
+    return rows.join(chain(rows), ["note_id", "seq"]).select("note_id", "seq", "content_hash", "depth")
+
+
+def chain(versions: DataFrame) -> DataFrame:
+    """(note_id, seq, depth) of the versions (note_id, seq, prev) that heads go back to, each at its least depth.
+
+    Round k knows what is less than 2^k steps back, and where 2^k steps lead from everywhere; it ends when a round finds
+    nothing new, which with a cycle is when all of it is known."""
+    there = versions.select("note_id", F.col("seq").alias("prev"))
+    jump = written(versions.where("prev IS NOT NULL").join(there, ["note_id", "prev"], "left_semi").select("note_id", "seq", F.col("prev").alias("back")), "jumps")
+    known = written(versions.groupBy("note_id").agg(F.max("seq").alias("seq")).select("note_id", "seq", F.lit(0).alias("depth")), "chain")
+    step = 1
+    while True:
+        more = known.join(jump, ["note_id", "seq"]).select("note_id", F.col("back").alias("seq"), (F.col("depth") + step).alias("depth"))
+        new = written(more.join(known, ["note_id", "seq"], "left_anti").groupBy("note_id", "seq").agg(F.min("depth").alias("depth")), "chain")
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+        then = jump.select("note_id", F.col("seq").alias("back"), F.col("back").alias("_further"))
+        jump = written(jump.join(then, ["note_id", "back"]).select("note_id", "seq", F.col("_further").alias("back")), "jumps")
+        step *= 2
 
 
 def heads(versions: DataFrame) -> DataFrame:
@@ -54,66 +85,105 @@ def committed(versions: DataFrame, changed: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- differences
 
 
+def common_before(a: list, b: list) -> np.ndarray:
+    """For each j, how long the longest common subsequence of a and the first j of b is.
+
+    Of a row of the table of lengths only the places where it steps up are kept, as the zero bits of one integer, so that a
+    row follows from the last by an addition: lines times lines over the bits of a word, in space of one row."""
+    place: dict = {}
+    for j, x in enumerate(b):
+        place[x] = place.get(x, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        met = row & place.get(x, 0)
+        row = ((row + met) | (row - met)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places (in a, in b) of a longest common subsequence, by halving a and cutting b where both halves have most in common."""
+    out, parts = [], [(0, len(a), 0, len(b))]
+    while parts:
+        i, j, k, m = parts.pop()
+        while i < j and k < m and a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < m and a[j - 1] == b[m - 1]:
+            j, m = j - 1, m - 1
+            out.append((j, m))
+        if i == j or k == m:
+            continue
+        if j - i == 1:
+            if a[i] in (rest := b[k:m]):
+                out.append((i, k + rest.index(a[i])))
+            continue
+        half = (i + j) // 2
+        cut = k + int(np.argmax(common_before(a[i:half], b[k:m]) + common_before(a[half:j][::-1], b[k:m][::-1])[::-1]))
+        parts += [(i, half, k, cut), (half, j, cut, m)]
+    return sorted(out)
+
+
 def line_diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """A shortest edit script by lines: (' ', '-' or '+', line). Its work grows with the lines times the differences."""
-    head = 0
-    while head < min(len(old), len(new)) and old[head] == new[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
-        tail += 1
-    a, b = old[head : len(old) - tail], new[head : len(new) - tail]
-    script: list[tuple[str, str]] = []
-    for steps in _furthest(a, b):
-        script.append(steps)
-    return [(" ", x) for x in old[:head]] + script + [(" ", x) for x in old[len(old) - tail :]]
-
-
-def _furthest(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """The edit script by furthest places on each diagonal, for ever more differences."""
-    n, m = len(a), len(b)
-    reach, trail = {1: 0}, []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or k != d and reach[k - 1] < reach[k + 1]
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                return _script(a, b, trail)
-    return []
-
-
-def _script(a: list[str], b: list[str], trail: list[dict]) -> list[tuple[str, str]]:
-    x, y, out = len(a), len(b), []
-    for d in range(len(trail) - 1, -1, -1):
-        reach, k = trail[d], x - y
-        down = k == -d or k != d and reach[k - 1] < reach[k + 1]
-        before = k + 1 if down else k - 1
-        px = reach[before] if d else 0
-        py = px - before if d else 0
-        while x > px and y > py:
-            x, y = x - 1, y - 1
-            out.append((" ", a[x]))
-        if d:
-            out.append(("+", b[y - 1]) if down else ("-", a[x - 1]))
-            x, y = px, py
-    return out[::-1]
+    """A shortest edit script by lines: (' ', '-' or '+', line), deletions before additions."""
+    shared = set(old) & set(new)  # other lines are in no common subsequence
+    at, to = ([i for i, x in enumerate(side) if x in shared] for side in (old, new))
+    script, i, j = [], 0, 0
+    for x, y in [*((at[p], to[q]) for p, q in common([old[k] for k in at], [new[k] for k in to])), (len(old), len(new))]:
+        script += [("-", line) for line in old[i:x]] + [("+", line) for line in new[j:y]]
+        script += [(" ", old[x])] if x < len(old) else []
+        i, j = x + 1, y + 1
+    return script
+
+
+def _paired(versions: DataFrame) -> DataFrame:
+    """(note_id, seq, old, new): the lines of each version and of the one before; a null text is empty."""
+    before = F.lag(F.coalesce("text", F.lit(""))).over(Window.partitionBy("note_id").orderBy("seq"))
+    rows = versions.select(F.col("note_id").cast("long").alias("note_id"), F.col("seq").cast("long").alias("seq"), before.alias("old"), F.coalesce("text", F.lit("")).alias("new")).where("old IS NOT NULL")
+    return rows.select("note_id", "seq", F.split("old", "\n").alias("old"), F.split("new", "\n").alias("new"))
 
 
 def diffs(versions: DataFrame) -> DataFrame:
-    """Lines added and deleted from each version to the next; a null text is empty."""
-    before = F.lag(F.coalesce("text", F.lit(""))).over(Window.partitionBy("note_id").orderBy("seq"))
-    pairs = versions.select("note_id", "seq", before.alias("old"), F.coalesce("text", F.lit("")).alias("new")).where("old IS NOT NULL")
+    """(note_id, seq, added, deleted): lines added and deleted from each version to the next, by a shortest edit script.
+
+    Lines meet those of the other side by join; one that the other side doesn't have is added or deleted, whatever the rest.
+    Only the numbers of lines that both have, in their orders, are compared by longest common subsequence."""
+    pairs = _paired(versions)
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("lines")) for k, c in enumerate(("old", "new"))])
+    lines = pairs.where("old <> new").select("note_id", "seq", F.explode(sides).alias("s")).select("note_id", "seq", "s.side", F.posexplode("s.lines").alias("place", "line"))
+    # a number stands for a line: its first place on either side, doubled, and the side that is there
+    shared = lines.groupBy("note_id", "seq", "line").agg(F.min(F.col("place") * 2 + F.col("side")).alias("number"), F.min("side").alias("low"), F.max("side").alias("high")).where("low < high")
+    met = lines.join(shared.select("note_id", "seq", "line", "number"), ["note_id", "seq", "line"])
+    order = F.sort_array(F.collect_list(F.struct("side", "place", "number")))  # one note's lines
+    met = met.groupBy("note_id", "seq").agg(order.alias("x")).select("note_id", "seq", *[F.transform(F.filter("x", _of_side(k)), lambda r: r["number"]).alias(c) for k, c in enumerate(("old", "new"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [int(common_before(a, b)[-1]) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.int64())], names=["note_id", "seq", "same"])
+
+    same = met.mapInArrow(run, "note_id long, seq long, same long")
+    kept = F.when(F.col("old") == F.col("new"), F.size("new")).otherwise(F.coalesce("same", F.lit(0)))
+    found = pairs.join(same, ["note_id", "seq"], "left").withColumn("kept", kept.cast("long"))
+    return found.select("note_id", "seq", (F.size("new") - F.col("kept")).alias("added"), (F.size("old") - F.col("kept")).alias("deleted"))
+
+
+def _of_side(side: int):
+    return lambda r: r["side"] == F.lit(side)
+
+
+def diff_lines(versions: DataFrame) -> DataFrame:
+    """(note_id, seq, place, tag, line): the edit script from each version to the next, tag being ' ', '-' or '+'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs = [[t for t, _ in line_diff(a.as_py().split("\n"), b.as_py().split("\n"))] for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.count("+") for s in signs], pa.int64()), pa.array([s.count("-") for s in signs], pa.int64())], names=["note_id", "seq", "added", "deleted"])
+            for note_id, seq, old, new in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                script = line_diff(old, new)
+                n = len(script)
+                yield pa.RecordBatch.from_arrays([pa.array([note_id] * n, pa.int64()), pa.array([seq] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([t for t, _ in script], pa.string()), pa.array([x for _, x in script], pa.string())], names=["note_id", "seq", "place", "tag", "line"])
 
-    return pairs.select(F.col("note_id").cast("long"), F.col("seq").cast("long"), "old", "new").mapInArrow(run, "note_id long, seq long, added long, deleted long")
+    return _paired(versions).mapInArrow(run, "note_id long, seq long, place int, tag string, line string")
 
 
 # ---------------------------------------------------------------- edits, as columns

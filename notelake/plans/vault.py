@@ -37,18 +37,20 @@ class Vault:
         views = self.table("events").where("event_type = 'view'")
         return views.groupBy(F.col("user_id").alias("note_id")).agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_accessed"))
 
+    @property
+    def _documents(self) -> DataFrame:
+        """What documents themselves say of their notes."""
+        kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 12 + 1).cast("int"))
+        return self.table("documents").select(F.col("doc_id").alias("note_id"), title(F.col("text")).alias("title"), F.col("source").alias("domain"), F.col("lang").alias("intent"), kind.alias("kind"), F.col("text").alias("body"))
+
     @cached_property
     def heads(self) -> DataFrame:
         """Current state of each note, its text included; columns that a query doesn't use aren't read."""
         labels = self.table("labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
         status = F.when(F.col("t") == 1, "retracted").when(F.col("q") == 0, "deprecated").when(F.col("q") == 1, "active").otherwise("draft")
-        kinds = F.array(*map(F.lit, KINDS))
-        docs = self.table("documents").join(labels, "doc_id", "left")
-        updated = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 720 as int))")
-        heads = docs.select(
-            F.col("doc_id").alias("note_id"), title(F.col("text")).alias("title"), F.col("source").alias("domain"), F.col("lang").alias("intent"),
-            F.element_at(kinds, (F.col("doc_id") % 12 + 1).cast("int")).alias("kind"), status.alias("status"), updated.alias("updated_at"), F.col("text").alias("body"),
-        )
+        docs = self._documents.join(labels, F.col("note_id") == F.col("doc_id"), "left")
+        updated = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, cast(note_id % 720 as int))")
+        heads = docs.select("note_id", "title", "domain", "intent", "kind", status.alias("status"), updated.alias("updated_at"), "body")
         return heads.join(self.access, "note_id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
 
     @cached_property
@@ -84,8 +86,8 @@ class Vault:
             self._index = Index(store=Store(self.spark, f"{shared_folder(self.spark)}/index-{place}", tuple(FIELD_WEIGHTS)))
         if self._index.store.stamp != stamp:
             keywords = self.tags.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("keywords"))
-            texts = self.heads.select("note_id", "title", "body", F.concat_ws("/", "domain", "intent", "kind").alias("spine"), F.lit("").alias("aliases")).join(keywords, "note_id", "left")
-            self._index.store.refresh(texts, stamp)
+            texts = self._documents.select("note_id", "title", "body", F.concat_ws("/", "domain", "intent", "kind").alias("spine"), F.lit("").alias("aliases"))
+            self._index.store.refresh(texts.join(keywords.hint("merge"), "note_id", "left"), stamp)  # as large tables meet, so that texts are spread
             self._index.store.merge()
         return self._index
 

@@ -519,7 +519,7 @@ def _catalogue() -> dict:
         f"WITH a AS ({bm25_sql([_word(w) for w in ('thing', 'shes', 'ound')], 'n0 > 0 OR n1 > 0 OR n2 > 0', _W, 1000000000)}), {pairs}, b AS (SELECT DISTINCT note_id FROM p WHERE s >= {NEAR}) "
         "SELECT coalesce(a.note_id, b.note_id) AS note_id, CASE WHEN a.note_id IS NOT NULL THEN 1 END AS lexical, CASE WHEN b.note_id IS NOT NULL THEN 1 END AS near FROM a FULL JOIN b ON a.note_id = b.note_id",
     )
-    c["version_history"] = (lambda v: versions.history(v.versions), f"WITH {VERSIONS} SELECT note_id, seq, content_hash, CAST(row_number() OVER (PARTITION BY note_id ORDER BY seq DESC) - 1 AS INT) AS depth FROM versions")
+    c["version_history"] = (lambda v: versions.history(v.versions), f"WITH RECURSIVE {VERSIONS}, chain AS (SELECT note_id, max(seq) AS seq, 0 AS depth FROM versions GROUP BY 1 UNION ALL SELECT v.note_id, p.seq, depth + 1 FROM chain c JOIN versions v USING (note_id, seq) JOIN versions p ON p.note_id = v.note_id AND p.seq = v.prev) SELECT note_id, seq, content_hash, depth FROM chain JOIN versions USING (note_id, seq)")
     c["version_heads"] = (lambda v: versions.heads(v.versions), f"WITH {VERSIONS} SELECT note_id, max(seq) AS seq, arg_max(content_hash, seq) AS content_hash FROM versions GROUP BY 1")
     c["rollback"] = (lambda v: versions.rollback(v.versions, 0), f"WITH {VERSIONS}, h AS (SELECT note_id, max(seq) AS head FROM versions GROUP BY 1) SELECT note_id, head + 1 AS seq, head AS prev, content_hash FROM h JOIN versions USING (note_id) WHERE seq = 0")
     c["content_hash"] = (lambda v: v.table("documents").select("doc_id", F.sha2("text", 256).alias("content_hash")), "SELECT doc_id, sha256(text) AS content_hash FROM documents")

@@ -100,7 +100,7 @@ def test_a_common_word_is_read_in_part(spark):
 
 def test_only_folders_of_the_terms_are_opened(spark, notes):
     store = Index(table(spark, notes)).store
-    every = store._read(store.schema, store._folders(range)).inputFiles()
+    every = store._read(postings.POSTINGS, store._folders(range)).inputFiles()
     one = store.postings(["fox"]).inputFiles()
     assert one and len({f.rsplit("/", 2)[1] for f in one}) == 1 and len(one) < len(every) / 2
     assert not store.postings([]).inputFiles() and store.postings(["nowhere"]).count() == 0
