@@ -27,7 +27,7 @@ class Vault:
 
     def __init__(self, spark: SparkSession, folder: str, now: datetime.datetime = NOW):
         self.spark, self.folder, self.now = spark, folder, now
-        self._notes, self._near, self._index = (None, None), {}, None
+        self._stamps, self._notes, self._near, self._index = {}, (None, None), {}, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -58,10 +58,19 @@ class Vault:
         return self.table("documents").select(F.col("doc_id").alias("note_id"), F.col("text").alias("body"))
 
     def stamp(self, *tables: str) -> str:
-        """What the files of tables are at this moment: changes whenever one of them is written, added to or taken from."""
-        files = self.spark.read.format("binaryFile").load([f"{self.folder}/{t}.parquet" for t in tables])
-        row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("files")).first()
-        return f"{row.n} {row.bytes} {row.files}"
+        """What the files of tables are at this moment: changes whenever one of them is written, added to or taken from.
+
+        Where any table's files have changed, plans are forgotten, as they hold lists of files."""
+        files = self.spark.read.format("binaryFile").load(f"{self.folder}/*.parquet")
+        table = F.regexp_extract("path", "([^/]+)\\.parquet(?:/[^/]*)?$", 1)
+        one = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
+        stamps = {r.t: f"{r.n} {r.x}" for r in files.groupBy(table.alias("t")).agg(F.count(F.lit(1)).alias("n"), one.alias("x")).collect()}
+        if stamps != self._stamps:
+            self._stamps = stamps
+            for name, kind in vars(type(self)).items():
+                if isinstance(kind, cached_property):
+                    self.__dict__.pop(name, None)
+        return ", ".join(f"{t} {stamps.get(t)}" for t in tables)
 
     @property
     def notes(self) -> DataFrame:

@@ -560,7 +560,9 @@ def _vault(application: str, spark: SparkSession, folder: str) -> Vault:
 
 
 def vault_of(spark: SparkSession, folder: str) -> Vault:
-    return _vault(spark.sparkContext.applicationId, spark, folder)
+    vault = _vault(spark.sparkContext.applicationId, spark, folder)
+    vault.stamp()  # plans made before the tables changed aren't used
+    return vault
 
 
 def queries() -> dict:
