@@ -149,7 +149,7 @@ def hybrid(vault, queries: DataFrame, cfg: Ranking | None = None) -> tuple[DataF
     # only candidates' vectors are multiplied
     theirs = vault.vectors.select("note_id", F.col("embedding").alias("_v"))
     found = found.join(theirs, "note_id", "left").join(vectors.select("query_id", F.col("embedding").alias("_q")), "query_id", "left").join(sizes, "query_id")
-    found = found.withColumn("cosine", F.coalesce(dot(F.col("_v"), F.col("_q")), F.lit(0.0)))
+    found = found.withColumn("cosine", F.coalesce(F.when(F.size("_v") == F.size("_q"), dot(F.col("_v"), F.col("_q"))), F.lit(0.0)))
     by_words = F.when(F.col("rank").isNotNull(), 1 - F.col("rank") / F.greatest("ranked", F.lit(1))).otherwise(F.lit(0.0))
     primary = F.when(F.coalesce("by_vector", F.lit(False)), F.col("cosine")).otherwise(by_words)
     found = found.withColumn("engagement", engagement(vault.now, cfg)).withColumn("final", primary * F.lit(cfg.cosine) + F.col("graph") * F.lit(cfg.graph) + F.col("engagement") * F.lit(cfg.engagement))

@@ -61,9 +61,9 @@ def lexical_pool(vault, query: str, filters: Filters, cfg: Ranking) -> list[tupl
 
 
 def cosine_pool(vault, vector: list[float], filters: Filters, cfg: Ranking) -> list[int]:
-    """The nearest top_k of all live notes, and of these the allowed ones."""
+    """The nearest top_k of all live notes with vectors of the query's size, and of these the allowed ones."""
     v = F.array(*[F.lit(float(x)) for x in vector])
-    near = vault.vectors.join(live(vault.notes).select("note_id"), "note_id", "left_semi").select("note_id", dot(F.col("embedding"), v).alias("cosine"))
+    near = vault.vectors.where(F.size("embedding") == len(vector)).join(live(vault.notes).select("note_id"), "note_id", "left_semi").select("note_id", dot(F.col("embedding"), v).alias("cosine"))
     near = held(near.orderBy(F.col("cosine").desc(), "note_id").limit(cfg.top_k), cfg.top_k)
     if filters != Filters():
         near = near.join(filters.apply(live(vault.notes), vault.tags).select("note_id"), "note_id", "left_semi")
@@ -94,7 +94,7 @@ def blended(pool: DataFrame, notes: DataFrame, edges: DataFrame, vectors: DataFr
         found = found.withColumn("graph", F.col("graph") / F.lit(top))
     if vectors is not None and query is not None:
         v = F.array(*[F.lit(float(x)) for x in query])
-        found = found.join(vectors.select("note_id", dot(F.col("embedding"), v).alias("cosine")), "note_id", "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+        found = found.join(vectors.where(F.size("embedding") == len(query)).select("note_id", dot(F.col("embedding"), v).alias("cosine")), "note_id", "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
         primary = F.col("cosine")
     else:
         found = found.withColumn("cosine", F.lit(0.0))
