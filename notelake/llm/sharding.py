@@ -4,7 +4,8 @@ Rows are shuffled by a seed within their source, row r of n gets the fractional
 in the order of that rank, and the order is cut into runs whose lengths differ by one at most.
 
 No window sees more than a bucket of rows: a row's bucket is the leading bits of its key, which spread evenly, and the
-counts of the buckets give where each bucket's ranks begin. A source with a third of the rows has thousands of buckets.
+counts of the buckets give where each bucket's ranks begin. A source with a third of the rows has thousands of buckets. The
+order of fractional ranks is cut into ranges, equal fractions too, and the counts of the ranges give where each begins.
 
 Nulls: a null source is a source of its own; a null text has size 1 and the CRC of no bytes; null ids are ranked like
 others. Equal rows are interchangeable and each keeps its own place. An empty table gives no rows.
@@ -15,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the shuffled order of a source, and of the order of fractional ranks.
-BUCKETS = 4096
+from .common import written
 
 
 def _offsets(rows: DataFrame, group: list[str], bucket: str) -> DataFrame:
@@ -44,14 +44,18 @@ def interleave(rows: DataFrame, stratum: Column, key: Column, shards: int, seed:
         first, F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))
     )
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.coalesce("_before", F.lit(0)))
-    # (rank - 1/2) / n; the bucket follows from it, so that equal fractions share one
+    # (rank - 1/2) / n
     ranked = ranked.withColumn("_part", (F.col("_rank") - F.lit(0.5)) / F.col("_total")).select("_row", "_stratum", "_key", "_id", "_part")
-    ranked = ranked.withColumn("_slice", F.floor(F.col("_part") * BUCKETS))
-    second = _offsets(ranked, [], "_slice").withColumnRenamed("_slice", "_b")
     # of sources with the same fraction, a hash decides which comes first, not the name
-    order = Window.partitionBy("_slice").orderBy("_part", F.xxhash64(F.lit(seed + 1), "_stratum"), "_key", "_id")
-    placed = ranked.withColumn("_at", F.row_number().over(order) - 1).join(F.broadcast(second), F.col("_slice") == F.col("_b"))  # at most BUCKETS rows
-    at, n = F.col("_at") + F.coalesce("_before", F.lit(0)), F.col("_total")
+    order = ["_part", "_tie", "_key", "_id"]
+    ordered = ranked.withColumn("_tie", F.xxhash64(F.lit(seed + 1), "_stratum"))
+    # ranges of the whole order, so that rows of one fraction, as of many sources of one row, are cut as well
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = written(ordered.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_nth", F.monotonically_increasing_id()), "ordered")
+    ordered = ordered.withColumn("_range", F.shiftright("_nth", 33))  # the partition's number is above its rows'
+    second = _offsets(ordered, [], "_range").withColumnRenamed("_range", "_b")
+    placed = ordered.join(F.broadcast(second), F.col("_range") == F.col("_b"))  # as many rows as ranges
+    at, n = F.col("_nth").bitwiseAND((1 << 33) - 1) + F.coalesce("_before", F.lit(0)), F.col("_total")
     shard = F.expr(f"(_place * {shards} + {shards - 1}) div _total")
     placed = placed.withColumn("_place", at).withColumn("_total", n)
     # shard s starts at floor(s * n / shards), so place p belongs to floor(((p + 1) * shards - 1) / n)
