@@ -204,6 +204,14 @@ def _frontmatter(v: Vault) -> DataFrame:
     return read.select(F.col("file").cast("long").alias("note_id"), F.col("meta.title").alias("title"), F.array_join("meta.tags", "+").alias("tags"), F.col("meta.links")[0]["target"].alias("target"), F.sha2("body", 256).alias("body_hash"))
 
 
+def _forms(v: Vault) -> DataFrame:
+    """Frontmatter with comments, block scalars, flow lists with commas in quotes, and flow maps."""
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    doc = F.concat(F.lit("---\n# a note\ntitle: |-\n  "), "title", F.lit("\nauthor: >-\n  one\n  hand\ntags: ["), q(F.concat("domain", F.lit(", x"))), F.lit(", '"), "intent", F.lit("'] # both\nlinks:\n- {target: "), "kind", F.lit(", rel: extends}\nkind: "), "kind", F.lit(" # plain\n---\n"), "body")
+    read = markdown.fields(markdown.split(v.heads.select(F.col("note_id").cast("string").alias("file"), doc.alias("doc"))))
+    return read.select(F.col("file").cast("long").alias("note_id"), F.col("meta.title").alias("title"), F.col("meta.author").alias("author"), F.array_join("meta.tags", "+").alias("tags"), F.col("meta.links")[0]["target"].alias("target"), F.sha2("meta.canonical", 256).alias("canonical_hash"))
+
+
 def _cut_sql(most: int) -> str:
     """body of at most so many bytes, up to its last blank, trimmed."""
     head = f"substr(body, 1, list_max(list_filter(range(0, {most + 1}), lambda i: strlen(substr(body, 1, i)) <= {most})))"
@@ -549,6 +557,12 @@ def _catalogue() -> dict:
         f"WITH {HEADS} SELECT note_id, sha256({_cut_sql(150)}) AS snippet_hash FROM heads",
     )
     c["frontmatter_parse"] = (_frontmatter, f"WITH {HEADS} SELECT note_id, title, domain || '+' || intent AS tags, kind AS target, sha256(trim(body, {SPACES})) AS body_hash FROM heads")
+    quote = lambda x: f"to_json({x})"
+    c["frontmatter_forms"] = (
+        _forms,
+        f"""WITH {HEADS} SELECT note_id, title, 'one hand' AS author, domain || ', x+' || intent AS tags, kind AS target,
+        sha256('"title": ' || {quote('title')} || chr(10) || '"author": "one hand"' || chr(10) || '"kind": ' || {quote('kind')} || chr(10) || '"tags": [' || {quote("domain || ', x'")} || ', ' || {quote('intent')} || ']' || chr(10) || '"links": [{{"rel": "extends", "target": ' || {quote('kind')} || '}}]' || chr(10)) AS canonical_hash FROM heads""",
+    )
     _changes(c)
     return c
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tomllib
 from collections.abc import Iterator
 from dataclasses import replace
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Ranking
 from ..functions.text import trimmed
+from . import yaml
 
 
 def read_notes(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -41,59 +41,17 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select("file", part(1).alias("frontmatter"), trimmed(part(2)).alias("body"), F.when(~fits, "no frontmatter").alias("error"))
 
 
-META = "title string, author string, domain string, intent string, kind string, status string, tags array<string>, aliases array<string>, links array<struct<target:string,rel:string>>, problem string"
+META = "title string, author string, domain string, intent string, kind string, status string, tags array<string>, aliases array<string>, links array<struct<target:string,rel:string>>, canonical string, problem string"
 _TEXT = ("title", "author", "domain", "intent", "kind", "status")
-
-
-def _scalar(text: str) -> str:
-    text = text.strip()
-    if text[:1] == '"' and text[-1:] == '"' and len(text) > 1:
-        try:
-            return json.loads(text)
-        except ValueError:
-            return text[1:-1]
-    return text[1:-1].replace("''", "'") if text[:1] == "'" and text[-1:] == "'" and len(text) > 1 else text
-
-
-def frontmatter(text: str) -> dict:
-    """The fields of frontmatter of plain form: `key: value`, `[a, b]`, block lists, and lists of `key: value` groups.
-
-    ValueError for a repeated key or a line of another form."""
-    found: dict = {}
-    key = None
-    for line in text.split("\n"):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        if line[0] not in " -":
-            name, colon, value = line.partition(":")
-            if not colon or name in found:
-                raise ValueError(f"repeated key: {name}" if colon else f"no field: {line}")
-            key, value = name.strip(), value.strip()
-            if value[:1] == "[" and value[-1:] == "]":
-                found[key] = [_scalar(x) for x in value[1:-1].split(",") if x.strip()]
-            else:
-                found[key] = _scalar(value) if value else []
-        elif key is not None and isinstance(found[key], list):
-            item = line.strip()
-            if item.startswith("- "):
-                item = item[2:].strip()
-                name, colon, value = item.partition(": ")
-                found[key].append({name: _scalar(value)} if colon else _scalar(item))
-            elif found[key] and isinstance(found[key][-1], dict) and ": " in item:
-                name, _, value = item.partition(": ")
-                found[key][-1][name] = _scalar(value)
-            else:
-                raise ValueError(f"no field: {line}")
-        else:
-            raise ValueError(f"no field: {line}")
-    return found
+#: The order of fields in canonical text; others follow by name.
+FIRST = (*_TEXT, "tags", "aliases", "links")
 
 
 def _meta(text: str | None) -> dict | None:
     if text is None:
         return None
     try:
-        found = frontmatter(text)
+        found = yaml.loads(text)
     except ValueError as e:
         return {"problem": str(e)}
     out = {c: found[c] for c in _TEXT if isinstance(found.get(c), str)}
@@ -102,13 +60,15 @@ def _meta(text: str | None) -> dict | None:
     links = found.get("links", [])
     out["links"] = [{"target": x.get("target"), "rel": x.get("rel")} for x in links if isinstance(x, dict)] if isinstance(links, list) else []
     missing = [c for c in _TEXT if c not in out] + ["tags"] * ("tags" not in found)
+    out["canonical"] = yaml.dumps(found, FIRST)
     return out | {"problem": f"missing: {', '.join(missing)}" if missing else None}
 
 
 def fields(notes: DataFrame) -> DataFrame:
-    """notes with the struct meta of their frontmatter: the six texts, tags, aliases, links, and a problem if there is one."""
+    """notes with the struct meta of their frontmatter: the six texts, tags, aliases, links, the canonical text of all its fields
+    (what is hashed: equal fields have equal texts however they were written), and a problem if there is one."""
     text, many = pa.string(), pa.list_(pa.string())
-    kind = pa.struct([*[(c, text) for c in _TEXT], ("tags", many), ("aliases", many), ("links", pa.list_(pa.struct([("target", text), ("rel", text)]))), ("problem", text)])
+    kind = pa.struct([*[(c, text) for c in _TEXT], ("tags", many), ("aliases", many), ("links", pa.list_(pa.struct([("target", text), ("rel", text)]))), ("canonical", text), ("problem", text)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = notes_columns.index("frontmatter")
