@@ -26,6 +26,8 @@ SAMPLE, MOST_LISTS, ROUNDS, PACK, ASKED = 1 << 14, 1 << 12, 8, 512, 256
 #: Share of the ten nearest of sample queries that probes have to meet.
 RECALL = 0.95
 
+#: To be raised when what is stored changes.
+FORMAT = 2
 LISTS = "size int, list int, radius double, ids array<long>, x binary"
 CENTRES = "size int, list int, probes int, centre array<double>"
 FOUND = "query_id long, note_id long, similarity double"
@@ -189,6 +191,7 @@ class VectorIndex:
     def _read_centres(self) -> Centres | None:
         try:
             self.spark.read.schema("done boolean").parquet(f"{self.path}/built").first()
+            _ = self.lists  # a path that was cleared is an error here
             return Centres(self.spark.read.schema(CENTRES).parquet(f"{self.path}/centres").collect())
         except AnalysisException:
             return None

@@ -36,6 +36,8 @@ SEGMENT, KIND = 48, 32
 #: Segments of at most so many notes are merged once there are so many of them.
 SMALL, MANY = 1 << 20, 8
 
+#: To be raised when what is stored changes: an index of another format isn't read.
+FORMAT = 3
 NOTES = "note_id long, segment int, hash long, block long"
 SEGMENTS = "segment int, path string, folders int, held array<int>, notes long, words map<string,long>, dead long, dead_words map<string,long>, tombstones array<string>, stamp string"
 
@@ -120,8 +122,15 @@ class Store:
         if not rows:
             return 0, []
         last = [r.asDict() for r in rows if r["version"] == rows[0]["version"]]
+        segments = [s for s in last if s["segment"] is not None]
+        try:  # what a cleared folder has lost is built again
+            for part in ("notes", "terms"):
+                self._read("note_id long", [f"{s['path']}/{part}" for s in segments])
+            self._read(POSTINGS, [f"{s['path']}/postings/folder={k}" for s in segments for k in s["held"]])
+        except AnalysisException:
+            return last[0]["version"], []
         self.stamp = last[0]["stamp"]
-        return last[0]["version"], [s for s in last if s["segment"] is not None]
+        return last[0]["version"], segments
 
     def _commit(self, segments: list[dict], stamp: str | None) -> None:
         """The next version, with these segments; of two writers of the same version one fails."""

@@ -87,11 +87,11 @@ class Vault:
         It is stored in the shared folder under the given folder's name, so that later sessions find it; new and changed
         notes are added to it, and deleted ones taken out, when the tables have changed."""
         from ..operators.lexical import Index
-        from ..operators.postings import Store
+        from ..operators.postings import FORMAT, Store
 
         stamp = self.stamp("documents", "part")
         if self._index is None:
-            place = hashlib.md5(self.folder.rstrip("/").encode(), usedforsecurity=False).hexdigest()
+            place = hashlib.md5(f"{FORMAT} {self.folder.rstrip('/')}".encode(), usedforsecurity=False).hexdigest()
             self._index = Index(store=Store(self.spark, f"{shared_folder(self.spark)}/index-{place}", tuple(FIELD_WEIGHTS)))
         if self._index.store.stamp != stamp:
             keywords = self.tags.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), " ").alias("keywords"))
@@ -101,11 +101,11 @@ class Vault:
         return self._index
 
     def _vectors_of(self, what: str, tables: tuple[str, ...], rows):
-        from ..operators.neighbours import VectorIndex
+        from ..operators.neighbours import FORMAT, VectorIndex
 
         stamp = self.stamp(*tables)
         if self._near.get(what, (None, None))[0] != stamp:
-            place = hashlib.md5(f"{what} {self.folder.rstrip('/')} {stamp}".encode(), usedforsecurity=False).hexdigest()
+            place = hashlib.md5(f"{FORMAT} {what} {self.folder.rstrip('/')} {stamp}".encode(), usedforsecurity=False).hexdigest()
             self._near[what] = stamp, VectorIndex(self.spark, f"{shared_folder(self.spark)}/vectors-{place}", rows())
         return self._near[what][1]
 

@@ -134,3 +134,12 @@ def test_empty_and_odd_texts(spark):
     assert index.totals == {"_notes": 6, "body": 3003}
     assert {r.note_id for r in index.bm25("fox").collect()} == {4, 5} and index.bm25("fox").count() == 2  # notes of one id are one note
     assert Index(rows.limit(0)).bm25("fox").count() == 0
+
+
+def test_what_a_cleared_folder_lost_is_built_again(spark, notes, tmp_path):
+    store = Store(spark, f"{tmp_path}/index", FIELDS)
+    store.refresh(table(spark, notes), "a")
+    shutil.rmtree(store.segments[0]["path"])
+    again = Store(spark, f"{tmp_path}/index", FIELDS)
+    assert again.segments == [] and again.stamp is None and again.refresh(table(spark, notes), "a")
+    assert Index(store=again).top("fox", 5).count() == 5 and again.totals()["_notes"] == len(notes)
