@@ -150,6 +150,19 @@ def hits(vault, found: DataFrame, query: str, cfg: Ranking | None = None, previe
     return rows.select("note_id", "title", "domain", "kind", "final", "snippet", F.coalesce("links_in", none).alias("links_in"), F.coalesce("links_out", none).alias("links_out"))
 
 
+def as_json(found: DataFrame, query: str, domain: str | None = None, mode: str = "normal") -> DataFrame:
+    """(json) of hits, one row: the query, its domain and mode, how many hits there are (at most a search's limit), and the hits in order.
+
+    mode is bm25, semantic or normal. Absent values are null, and without hits results are empty."""
+    if mode not in ("bm25", "semantic", "normal"):
+        raise ValueError(f"no such mode: {mode}")
+    hit = F.struct(F.col("note_id").alias("id"), "title", "domain", "kind", "snippet", F.col("final").alias("rank"), "links_in", "links_out")
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("final")).alias("_a"), F.col("note_id").alias("_b"), hit.alias("x"))))
+    told = found.agg(F.transform(rows, lambda r: r["x"]).alias("results"))
+    text = lambda x: F.lit(x).cast("string")
+    return told.select(F.to_json(F.struct(text(query).alias("query"), text(domain).alias("domain"), text(mode).alias("mode"), F.size("results").alias("hits"), "results"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 # ---------------------------------------------------------------- commands made of a search
 
 

@@ -253,16 +253,22 @@ def _changes(c: dict) -> None:
     plain = f"{asked}, {counted}, {scored} SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, note_id) AS rank FROM s JOIN (SELECT query_id, count(*) AS need FROM asked GROUP BY 1) USING (query_id) WHERE have = need QUALIFY rank <= 10"
     runs = f"WITH {_RUNS}, bm25 AS (WITH {plain}), runs AS (SELECT 'bm25' AS system, * FROM bm25 UNION ALL SELECT 'vector', * FROM vector UNION ALL SELECT 'hybrid', * FROM hybrid)"
     c["ir_runs"] = (lambda v: reduce(DataFrame.unionByName, [run.select(F.lit(name).alias("system"), "query_id", "note_id", "rank") for name, run in _runs(v)[0].items()]), f"{runs} SELECT * FROM runs")
-    c["ir_systems"] = (
-        lambda v: rounded(_systems(v), "recall_at_1", "recall_at_5", "recall_at_10", "mrr", "ndcg_at_10"),
-        f"""{runs}, item_lines AS (SELECT DISTINCT item_id AS query_id, sentence FROM (SELECT item_id, unnest(string_split(text, '. ')) AS sentence FROM benchmark) WHERE length(sentence) >= 20),
+    each_query = f"""{runs}, item_lines AS (SELECT DISTINCT item_id AS query_id, sentence FROM (SELECT item_id, unnest(string_split(text, '. ')) AS sentence FROM benchmark) WHERE length(sentence) >= 20),
         doc_lines AS (SELECT DISTINCT doc_id AS note_id, sentence FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS sentence FROM documents) WHERE length(sentence) >= 20),
         gold AS (SELECT DISTINCT query_id, note_id FROM item_lines JOIN doc_lines USING (sentence)), golds AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1),
         hit AS (SELECT system, query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) AS h10, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM runs JOIN gold USING (query_id, note_id) GROUP BY 1, 2),
-        each_query AS (SELECT system, query_id, n, h1, h5, h10, first, dcg FROM (SELECT unnest(['bm25', 'vector', 'hybrid']) AS system) CROSS JOIN (SELECT item_id AS query_id FROM benchmark) a LEFT JOIN golds USING (query_id) LEFT JOIN hit USING (system, query_id) WHERE NOT (system = 'hybrid' AND query_id % 10 = 9))
-        SELECT system, count(*) AS queries, (SELECT count(*) FROM benchmark) - count(*) AS errors, round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h1, 0) / n END), 6) AS recall_at_1, round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h5, 0) / n END), 6) AS recall_at_5,
-        round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h10, 0) / n END), 6) AS recall_at_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10) + 1) t(i)) END), 6) AS ndcg_at_10
-        FROM each_query GROUP BY system""",
+        each_query AS (SELECT system, query_id, n, h1, h5, h10, first, dcg FROM (SELECT unnest(['bm25', 'vector', 'hybrid']) AS system) CROSS JOIN (SELECT item_id AS query_id FROM benchmark) a LEFT JOIN golds USING (query_id) LEFT JOIN hit USING (system, query_id) WHERE NOT (system = 'hybrid' AND query_id % 10 = 9))"""
+    means = """round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h1, 0) / n END), 6) AS recall_at_1, round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h5, 0) / n END), 6) AS recall_at_5,
+        round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(h10, 0) / n END), 6) AS recall_at_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(CASE WHEN n IS NULL THEN 1 ELSE coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10) + 1) t(i)) END), 6) AS ndcg_at_10"""
+    c["ir_systems"] = (
+        lambda v: rounded(_systems(v), *evaluation.MEANS),
+        f"{each_query} SELECT system, count(*) AS queries, (SELECT count(*) FROM benchmark) - count(*) AS errors, {means} FROM each_query GROUP BY system",
+    )
+    c["ir_results"] = (
+        _results,
+        f"""{each_query} SELECT 'ir-' || system || '-benchmark-default.json' AS name, class, queries, recall_at_1, recall_at_5, recall_at_10, mrr, ndcg_at_10, (SELECT count(*) FROM benchmark WHERE system = 'hybrid' AND item_id % 10 = 9) AS errors
+        FROM (SELECT system, CASE query_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS class, count(*) AS queries, {means}, grouping(CASE query_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END) AS whole
+        FROM each_query GROUP BY GROUPING SETS ((system), (system, CASE query_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END))) WHERE whole = 1 OR class IS NOT NULL""",
     )
     c["token_counters"] = (lambda v: v.table("conversations").groupBy("role").agg(F.sum(F.length("text")).alias("characters"), F.count(F.lit(1)).alias("operations")), "SELECT role, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) AS operations FROM conversations GROUP BY 1")
     c["regression_gate"] = (
@@ -386,6 +392,18 @@ def _systems(v: Vault) -> DataFrame:
     return evaluation.systems({name: run.select("query_id", "note_id", "rank") for name, run in runs.items()}, failed, _gold(v), _asked(v).select("query_id"))
 
 
+def _results(v: Vault) -> DataFrame:
+    """Results of each system as they are written, a row for all its queries and for each class."""
+    runs, failed = _runs(v)
+    asked = _asked(v)
+    classes = asked.select("query_id", F.element_at(F.create_map(F.lit(0), F.lit("a"), F.lit(1), F.lit("b")), (F.col("query_id") % 3).cast("int")).alias("class"))
+    every = evaluation.results({name: run.select("query_id", "note_id", "rank") for name, run in runs.items()}, failed, _gold(v), asked.select("query_id"), dict.fromkeys(runs, "1"), "benchmark", v.now, classes=classes)
+    name = F.concat(F.concat_ws("-", "task", "system", "corpus", "config"), F.lit(".json")).alias("name")
+    each = F.explode(F.map_concat(F.create_map(F.lit(""), F.col("ir")), F.col("ir_per_class"))).alias("class", "x")
+    found = every.select(name, F.size("errors").alias("errors"), "ir", "ir_per_class").select("name", "errors", each)
+    return rounded(found.select("name", F.nullif("class", F.lit("")).alias("class"), "errors", "x.*"), *evaluation.MEANS)
+
+
 _RUNS = f"""{HEADS}, {EDGES}, {ANALYSED},
 asked AS (SELECT item_id AS query_id, {_tokens('text')} AS w, item_id % 10 = 9 AS wrong FROM benchmark),
 leaf AS (SELECT query_id, unnest([0, 1]) AS p, unnest([w[1], w[2]]) AS t, NULL AS u FROM asked WHERE NOT wrong UNION ALL SELECT query_id, 2, w[3], w[4] FROM asked WHERE NOT wrong),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 from collections.abc import Iterator
 from dataclasses import replace
@@ -12,33 +13,37 @@ from pyspark.sql import functions as F
 
 from ..config import Ranking
 from ..functions.text import trimmed
-from . import yaml
+from . import files, yaml
 
 
-def read_notes(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(file, name, frontmatter, body, error) of the *.md files below path, or of a file; name is the file's without its ending.
+def read_notes(spark: SparkSession, *paths: str, depth: int | None = None) -> DataFrame:
+    """(place, file, name, frontmatter, body, error) of the notes of files and folders, place being their order.
 
-    A file without frontmatter has an error; a path that doesn't exist is one, when the table is read."""
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", recursive)
-    if path.rstrip("/").rsplit("/", 1)[-1].count(".") == 0:
-        files = files.option("pathGlobFilter", "*.md")
-    files = files.load(path)
-    rows = split(files.select(F.input_file_name().alias("file"), F.col("value").alias("doc")))
-    return rows.withColumn("name", F.regexp_extract("file", "([^/]*?)(?:\\.[^./]*)?$", 1))
+    Files may have any name; of folders it is the .md files, at most depth levels down (1: the folder itself). name is the
+    file's without its ending. A file without frontmatter has an error; a path that doesn't exist is one, when the table is read."""
+    spark.dataSource.register(files.Notes)
+    return split(spark.read.format("notes").options(paths=json.dumps(paths), **({} if depth is None else {"depth": depth})).load())
 
 
-def stream_notes(spark: SparkSession, path: str) -> DataFrame:
-    """As read_notes, of files as they come in."""
-    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(path)
-    return split(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc")))
+def stream_notes(spark: SparkSession, *paths: str, log: str, depth: int | None = None) -> DataFrame:
+    """As read_notes, of files as they come in or change; log is a folder of this stream's own."""
+    spark.dataSource.register(files.Notes)
+    return split(spark.readStream.format("notes").options(paths=json.dumps(paths), log=log, **({} if depth is None else {"depth": depth})).load())
+
+
+def given_notes(spark: SparkSession, *docs: str) -> DataFrame:
+    """As read_notes, of documents that are at hand, as from standard input; their file is `-`."""
+    return split(spark.createDataFrame([(i, "-", "-", d, None) for i, d in enumerate(docs)], files.NOTES))
 
 
 def split(docs: DataFrame) -> DataFrame:
-    """docs (file, doc) in frontmatter and body: the first ends at the first line of three dashes after its own."""
+    """docs (doc and others) in frontmatter and body: the first ends at the first line of three dashes after its own."""
     pattern = "(?s)\\A---\\n(.*?)\\n---\\n(.*)\\z"
     fits = F.coalesce(F.col("doc").rlike(pattern), F.lit(False))
     part = lambda i: F.when(fits, F.regexp_extract("doc", pattern, i))
-    return docs.select("file", part(1).alias("frontmatter"), trimmed(part(2)).alias("body"), F.when(~fits, "no frontmatter").alias("error"))
+    error = F.when(~fits, "no frontmatter")
+    kept = [c for c in docs.columns if c not in ("doc", "error")]
+    return docs.select(*kept, part(1).alias("frontmatter"), trimmed(part(2)).alias("body"), (F.coalesce("error", error) if "error" in docs.columns else error).alias("error"))
 
 
 META = "title string, author string, domain string, intent string, kind string, status string, tags array<string>, aliases array<string>, links array<struct<target:string,rel:string>>, canonical string, problem string"
@@ -107,11 +112,7 @@ def ranking_of(text: str) -> Ranking:
     return replace(Ranking(), **given, fields=Ranking().fields | weights)
 
 
-def result_name(task: str, system: str, corpus: str, config: str) -> str:
-    """The name of a result file; separators of paths become hyphens."""
-    return "-".join(x.replace("/", "-").replace("\\", "-") for x in (task, system, corpus, config)) + ".json"
-
-
-def write_result(result: DataFrame, path: str) -> None:
-    """A result of a few rows as JSON lines in one file."""
-    result.coalesce(1).write.mode("overwrite").json(path)
+def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
+    """A JSON file in path for each of a few results (evaluation.results)."""
+    results.sparkSession.dataSource.register(files.Results)
+    results.write.format("results").mode(mode).save(path)

@@ -147,8 +147,8 @@ def test_metrics(spark):
     worst = spark.createDataFrame([("q", n, i + 1) for i, n in enumerate("cdab")], "query_id string, note_id string, rank int")
     two = spark.createDataFrame([("q", "a"), ("q", "b")], "query_id string, note_id string")
     assert round(evaluation.per_query(worst, two, queries.limit(1)).first().ndcg_at_10, 4) == 0.5706
-    lat = spark.createDataFrame([(x,) for x in range(10, 101, 10)], "x long")
-    assert lat.agg(evaluation.nearest_rank(F.col("x"), 0.5)).first()[0] == 60
+    lat = spark.createDataFrame([("a", x) for x in range(10, 101, 10)], "k string, x long")
+    assert evaluation.nearest_ranks(lat, "k", "x", {"p": 0.5}).first().p == 60
     assert evaluation.regressions({"recall_at_5": 0.9, "mrr": 1, "ndcg_at_10": 1, "queries": 10}, {"recall_at_5": 1, "mrr": 1, "ndcg_at_10": 1, "queries": 10}) == ["recall_at_5"]
     assert evaluation.regressions({}, None) == []
     failed = spark.createDataFrame([("q", "search", "lost")], "query_id string, phase string, message string")
@@ -189,14 +189,13 @@ def test_markdown(spark, tmp_path):
     assert set(got) == {"a", "b"} and got["b"].error == "no frontmatter" and got["b"].meta is None
     a = got["a"]
     assert (a.body, a.meta.title, a.meta.tags, a.meta.links[0].target, a.meta.problem) == ("body", "A: b", ["x", "y"], "b", None)
-    assert markdown.read_notes(spark, str(tmp_path / "notes"), recursive=False).count() == 1
+    assert markdown.read_notes(spark, str(tmp_path / "notes"), depth=1).count() == 1
     one = markdown.fields(markdown.read_notes(spark, str(tmp_path / "notes" / "c.txt"))).first()
     assert one.meta.problem == "repeated key: title"
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    with pytest.raises(Exception, match="path not found"):
         markdown.read_notes(spark, str(tmp_path / "none")).count()
     (tmp_path / "q.jsonl").write_text('{"query_id":"1","query":"x","relevant":["a"]}\n\n{"query_id":"2","query":"y","relevant":[],"class":"c"}\n')
     assert [(r.query_id, r["class"]) for r in markdown.read_queries(spark, str(tmp_path / "q.jsonl")).orderBy("query_id").collect()] == [("1", None), ("2", "c")]
-    assert markdown.result_name("ir", "a/b", "c", "d") == "ir-a-b-c-d.json"
     cfg = markdown.ranking_of("[search]\nthreshold = 0.2\n[search.bm25]\nweight_title = 7\ntop_k = 9\n[search.weights]\nactivation = 0.5\n[search.graph]\nrespect_domain_filter = true\n")
     assert (cfg.threshold, cfg.fields["title"], cfg.fields["body"], cfg.top_k, cfg.engagement, cfg.cosine, cfg.respect_domain) == (0.2, 7, 1.0, 9, 0.5, 0.5, True)
 
@@ -204,7 +203,7 @@ def test_markdown(spark, tmp_path):
 def test_markdown_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_text("---\nt: 1\n---\nx")
-    got = access.drained(markdown.stream_notes(spark, str(tmp_path / "in"))).collect()
+    got = access.drained(markdown.stream_notes(spark, str(tmp_path / "in"), log=str(tmp_path / "log"))).collect()
     assert [(r.frontmatter, r.body) for r in got] == [("t: 1", "x")]
 
 
