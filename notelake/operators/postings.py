@@ -194,7 +194,11 @@ class Store:
 
     # ------------------------------------------------------------ writing
 
-    def refresh(self, texts: DataFrame, stamp: str | None = None) -> bool:
+    def add(self, texts: DataFrame) -> bool:
+        """As refresh, of new and changed notes: those that texts doesn't have stay as they are."""
+        return self.refresh(texts, self.stamp, whole=False)
+
+    def refresh(self, texts: DataFrame, stamp: str | None = None, whole: bool = True) -> bool:
         """Makes the index that of texts (note_id, a column for each field), and tells whether anything had changed.
 
         Only new and changed notes are read into a segment; those and deleted ones are dead in the segments that had them.
@@ -205,6 +209,7 @@ class Store:
         fresh = hashed
         if segments:
             known, now = self.notes(), hashed.select("note_id", "hash")
+            known = known if whole else known.join(now.select("note_id"), "note_id", "left_semi")
             fresh = hashed.join(known.select("note_id", "hash"), ["note_id", "hash"], "left_anti")
             changed = self._bury(segments, known.join(now, ["note_id", "hash"], "left_anti"))
         n = fresh.count()
