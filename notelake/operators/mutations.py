@@ -77,6 +77,12 @@ def orphaned(contents: DataFrame, uses: DataFrame, notes: DataFrame) -> DataFram
     return contents.select("hash").join(gone, "hash", "left_semi").join(rest, "hash", "left_anti")
 
 
+def purged(contents: DataFrame, uses: DataFrame, notes: DataFrame) -> DataFrame:
+    """Contents (hash, payload) after a hard delete of notes: those that only deleted notes used are gone, and shared ones, and
+    ones that no note has used, stay."""
+    return contents.join(orphaned(contents, uses, notes), "hash", "left_anti")
+
+
 # ---------------------------------------------------------------- tags
 
 

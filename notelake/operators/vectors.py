@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -88,3 +89,38 @@ def auto_edges(near: DataFrame, edges: DataFrame, threshold: float = 0.8) -> Dat
     new = near.where(F.col("similarity") >= threshold).select(F.col("query_id").alias("src"), F.col("note_id").alias("dst"), F.lit("references").alias("edge_type"))
     new = new.join(edges.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti")
     return new.select("src", "dst", "edge_type", F.lit(1.0).alias("weight"), F.lit("auto").alias("source_type"), F.lit(None).cast("string").alias("context"))
+
+
+# ---------------------------------------------------------------- vectors as bytes
+
+
+def to_blobs(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """vectors with column as bytes, four for each number, least significant first; null stays null, and a null number is NaN."""
+
+    def blob(x: list | None) -> bytes | None:
+        return None if x is None else np.array([math.nan if v is None else v for v in x], dtype="<f4").tobytes()
+
+    return _converted(vectors, column, "binary", lambda cells: pa.array([blob(x) for x in cells], pa.binary()))
+
+
+def from_blobs(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """vectors with column as numbers again; bytes that are no whole number of fours are an error."""
+
+    def numbers(x: bytes | None) -> np.ndarray | None:
+        if x is not None and len(x) % 4:
+            raise ValueError(f"{len(x)} bytes are no vector")
+        return None if x is None else np.frombuffer(x, dtype="<f4")
+
+    return _converted(vectors, column, "array<float>", lambda cells: pa.array([numbers(x) for x in cells], pa.list_(pa.float32())))
+
+
+def _converted(rows: DataFrame, column: str, kind: str, of) -> DataFrame:
+    at, names = rows.columns.index(column), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [*batch.columns]
+            columns[at] = of(columns[at].to_pylist())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {kind if n == column else t}" for n, t in rows.dtypes))

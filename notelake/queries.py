@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from .config import KINDS, Ranking
 from .functions import text as T
 from .operators import batched, browse, evaluation, graph, lexical, mutations, ranking, vectors, versions
+from .plans.tables import shared_folder
 from .plans.vault import Vault, live
 from .sources import markdown, providers
-from .streaming import access
+from .streaming import access, counters
 
 FTS = "thing OR shes OR ound"
 DAY = datetime.datetime
@@ -392,6 +394,15 @@ def _systems(v: Vault) -> DataFrame:
     return evaluation.systems({name: run.select("query_id", "note_id", "rank") for name, run in runs.items()}, failed, _gold(v), _asked(v).select("query_id"))
 
 
+def _counters(v: Vault) -> DataFrame:
+    """Counters after a stream of all views; a stream takes a file or a folder alike by a pattern alone."""
+    schema, folder = v.table("events").schema, f"{shared_folder(v.spark)}/counters-{uuid.uuid4().hex}"
+    views = v.spark.readStream.schema(schema).parquet(f"{v.folder}/events.parque[t]").where("event_type = 'view'")
+    counters.stored(counters.counters(counters.reads(views.select(F.col("user_id").alias("note_id"), "ts"))), folder)
+    found = counters.latest(v.spark, folder)
+    return found.select("note_id", "access_count", F.col("last_accessed").cast("timestamp_ntz").alias("last_accessed"), "links_out", "links_in")
+
+
 def _results(v: Vault) -> DataFrame:
     """Results of each system as they are written, a row for all its queries and for each class."""
     runs, failed = _runs(v)
@@ -400,7 +411,7 @@ def _results(v: Vault) -> DataFrame:
     every = evaluation.results({name: run.select("query_id", "note_id", "rank") for name, run in runs.items()}, failed, _gold(v), asked.select("query_id"), dict.fromkeys(runs, "1"), "benchmark", v.now, classes=classes)
     name = F.concat(F.concat_ws("-", "task", "system", "corpus", "config"), F.lit(".json")).alias("name")
     each = F.explode(F.map_concat(F.create_map(F.lit(""), F.col("ir")), F.col("ir_per_class"))).alias("class", "x")
-    found = every.select(name, F.size("errors").alias("errors"), "ir", "ir_per_class").select("name", "errors", each)
+    found = every.select(name, F.size("errors").cast("long").alias("errors"), "ir", "ir_per_class").select("name", "errors", each)
     return rounded(found.select("name", F.nullif("class", F.lit("")).alias("class"), "errors", "x.*"), *evaluation.MEANS)
 
 
@@ -569,6 +580,14 @@ def _catalogue() -> dict:
         lambda v: access.reads_by_window(v.table("events")).select("note_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "reads"),
         "SELECT user_id AS note_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS reads FROM events WHERE event_type = 'view' GROUP BY 1, 2",
     )
+    c["counters_streamed"] = (
+        _counters,
+        "SELECT user_id AS note_id, count(*) AS access_count, max(ts) AS last_accessed, CAST(0 AS BIGINT) AS links_out, CAST(0 AS BIGINT) AS links_in FROM events WHERE event_type = 'view' AND user_id IS NOT NULL GROUP BY 1",
+    )
+    c["vectors_as_blobs"] = (
+        lambda v: vectors.from_blobs(vectors.to_blobs(v.vectors)).join(v.vectors.select("note_id", F.col("embedding").alias("given")), "note_id").select("note_id", F.size("embedding").cast("long").alias("numbers"), (F.col("embedding") == F.col("given")).alias("same")),
+        "SELECT vec_id AS note_id, len(embedding) AS numbers, true AS same FROM embeddings",
+    )
     c["version_diffs"] = (lambda v: versions.diffs(v.versions), None)
     c["snippet_fallback"] = (
         lambda v: v.heads.select("note_id", F.sha2(T.trimmed(T.cut_at_word(F.col("body"), 150)), 256).alias("snippet_hash")),
