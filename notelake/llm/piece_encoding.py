@@ -5,6 +5,7 @@ names the tokens that may end there; of these, the one that is compatible with t
 is right, where two tokens are compatible if merging their joint text gives just these two. Ids are then recovered from
 the end. A unit is a run of word marks with what follows up to the next mark or line feed: no token crosses its ends, so
 units met before are looked up. Characters outside the vocabulary are their UTF-8 bytes' ids, and nothing merges across.
+Decoding starts from the ids of the whole document, the end id included, and knows nothing of the text.
 
 Nulls: a null text is empty and has the end id only; null ids stay null. Repeated rows give repeated results. Texts of
 any length are encoded whole, in time proportional to it. Extra columns are not read. An empty table gives no rows.
@@ -12,19 +13,21 @@ any length are encoded whole, in time proportional to it. Extra columns are not
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
 MEMO = 1 << 20
-RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text string"
+#: Bytes of ids and texts that a worker hands over together; one longer document is still whole.
+HANDED = 4 << 20
+RESULT = "doc_id long, ids array<int>, text string"
 
 
 class PieceModel:
@@ -51,6 +54,8 @@ class PieceModel:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.bytes_of = {i: b for b, i in enumerate(self.byte)}
+        #: What each id says; one byte that no UTF-8 has for ids that say nothing.
+        self.says = [bytes([self.bytes_of[i]]) if i in self.bytes_of else p.replace(MARK, " ").encode() if p in self.id else b"\xff" for i, p in enumerate(self.piece)]
         self.single = frozenset(p for p in self.id if len(p) == 1)
         self.halves: dict[str, tuple[str, str]] = {}
         self.edges: tuple[dict[str, list[str]], ...] = ({}, {})
@@ -60,7 +65,7 @@ class PieceModel:
         breaks = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id))
         none = re.escape(breaks)
         self.unit = re.compile(f"[{none}]|{MARK}*[^{MARK}{none}]+|{MARK}+" if breaks else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging in order of score, then of place, makes of a short text; tells how each piece came about."""
@@ -183,8 +188,8 @@ class PieceModel:
         i = self.id.get(token)
         return [i] if i is not None else [self.byte[b] for b in token.encode()]
 
-    def units(self, text: str) -> list[tuple[str, int, str]]:
-        """(ids as text, number of ids, text that they stand for) of each unit of a text."""
+    def units(self, text: str) -> list[bytes]:
+        """The ids of each unit of a text, as little-endian 32-bit numbers."""
         if not text:
             return []
         known, out = self.known, []
@@ -193,15 +198,18 @@ class PieceModel:
             if found is None:
                 if len(known) > MEMO:
                     known.clear()
-                tokens = self.tokens(unit)
-                ids = [i for token in tokens for i in self.ids_of(token)]
-                # bytes of a character spell that character again, so the tokens are what the ids stand for
-                found = known[unit] = (" ".join(map(str, ids)), len(ids), "".join(tokens).replace(MARK, " "))
+                found = known[unit] = np.array([i for token in self.tokens(unit) for i in self.ids_of(token)], dtype="<i4").tobytes()
             out.append(found)
         return out
 
     def spelled(self, ids: list[int]) -> str:
         """Pieces of ids as text, with blanks for marks. Bytes that aren't UTF-8 give a replacement character each."""
+        try:
+            return b"".join([self.says[i] for i in ids]).decode()
+        except UnicodeDecodeError:
+            return self._spelled(ids)
+
+    def _spelled(self, ids: list[int]) -> str:
         out, run = [], bytearray()
         for i in [*ids, -1]:
             if i in self.bytes_of:
@@ -220,10 +228,10 @@ class PieceModel:
         return self._shown
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.units(text) for i in ids.split()] + [self.end_id]
+        return np.frombuffer(b"".join(self.units(text)), dtype="<i4").tolist() + [self.end_id]
 
     def decode(self, ids: list[int]) -> str:
-        text = self.spelled(ids)
+        text = self.spelled(ids[:-1] if ids and ids[-1] == self.end_id else ids)
         return text[1:] if ids and self.piece[ids[0]].startswith(MARK) else text
 
 
@@ -256,28 +264,38 @@ def _utf8(data: bytes) -> str:
         return "".join(out)
 
 
-def encode_documents(docs: DataFrame, model: str, with_text: bool = False) -> DataFrame:
-    """Number of ids, digests of ids and of the decoded text of each of docs (doc_id, text); with_text: ids and text too."""
-    columns = RESULT if with_text else RESULT.removesuffix(", text string")
+def encoded(docs: DataFrame, model: str) -> DataFrame:
+    """The ids of each of docs (doc_id, text), the end id last, and the text that these ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_at(model)
-        end = str(m.end_id)
+        docs, ids, texts, size = [], [], [], 0
+
+        def handed() -> pa.RecordBatch:
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            numbers = pa.array(np.concatenate([np.array(x, dtype=np.int32) for x in ids]), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(offsets, numbers), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
         for batch in batches:
-            out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                units = m.units(text.as_py() or "")
-                ids = " ".join([*[u[0] for u in units], end])
-                back = "".join([u[2] for u in units])
-                back = back[1:] if back.startswith(" ") else back
-                row = (doc, sum([u[1] for u in units]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                out.append((*row, ids) if with_text else row)
-            if out:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                names = [x.split()[0] for x in columns.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)], names=names)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, columns)
+                own = m.encode(text.as_py() or "")
+                docs.append(doc)
+                ids.append(own)
+                texts.append(m.decode(own))
+                size += 8 * len(own)
+                if size > HANDED:
+                    yield handed()
+                    docs, ids, texts, size = [], [], [], 0
+        if docs:
+            yield handed()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+
+
+def encode_documents(docs: DataFrame, model: str, with_text: bool = False) -> DataFrame:
+    """Number of ids, digests of ids and of the decoded text of each of docs (doc_id, text); with_text: ids and text too."""
+    digests = [F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")]
+    return encoded(docs, model).select("doc_id", *digests, *(["ids", "text"] if with_text else []))
 
 
 def op5_prefix_table_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,23 @@ def test_piece_encoding(spark, rows):
     assert got == collections.Counter((i, len(x), digest(" ".join(map(str, x))), digest(sp.decode(x))) for i, x in ids)
 
 
+def test_piece_decoding_starts_from_ids(spark, rows, monkeypatch):
+    """ids and decoded texts are results, in whatever parts they are handed over; ids that no encoding gives decode as the library's do."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, m, r = sentencepiece.SentencePieceProcessor(model_file=path), piece_encoding.PieceModel(path), random.Random(6)
+    for _ in range(2000):
+        ids = [r.choice([*m.byte, 1, 2, 2, r.randrange(3, sp.vocab_size()), m.byte[0xC3], m.byte[0xA9]]) for _ in range(r.randrange(12))]
+        assert m.decode(ids) == sp.decode(ids)
+    odd = [(k, t) for k, t in enumerate([" a", "  a", "\t\u2581x", "\ufffd", "é日😀①", "\n\n", "\u0000z", None])]
+    want = [(i, [*sp.encode(t or ""), 2]) for i, t in rows + odd]
+    for part in (1, 1 << 22):
+        monkeypatch.setattr(piece_encoding, "HANDED", part)
+        got = piece_encoding.encode_documents(table(spark, rows + odd), path, with_text=True).collect()
+        assert collections.Counter((g.doc_id, tuple(g.ids), g.text) for g in got) == collections.Counter((i, tuple(x), sp.decode(x)) for i, x in want)
+
+
 def counts(t):
     w = WORD.findall(t or "")
     seen, dup = set(), 0
