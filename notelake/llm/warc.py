@@ -8,8 +8,8 @@ REVISIT_BYTES the one with the largest key stays a response; the others become r
 
 Archives are rows of at most ARCHIVE_BYTES before compression (one longer record has an archive of its own); Spark's
 text writer puts each in a gzip file of the shared folder and its binaryFile reader brings it back, so no path is
-opened by Python. Only digests, keys and identifiers are grouped; payloads cross the network only where the table of
-repeated digests is too large for Spark to broadcast.
+opened by Python. Only digests, keys and identifiers are grouped by payload; what each archive's revisits refer to meets
+the archive, as it is stored, by its name, so equal payloads never meet in a task.
 
 Header lines that fit no version are skipped up to the next one that does. Contents shorter than declared are kept and
 marked `WARC-Truncated: length`. Nulls: a null html is an empty payload, a null url is `-`, a null page_id writes no key
@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import new_path, written
+
 ARCHIVE_BYTES = 16 << 20
 REVISIT_BYTES = 1000
 KEY_HEADER = "X-Page-Id"
@@ -66,8 +68,11 @@ def _one(head: bytes, held: list[bytes]) -> pa.RecordBatch:
 
 
 def write_archives(archives: DataFrame, path: str) -> str:
-    """One gzip file for each row. The text writer passes bytes on as they are; an archive may end with a line feed."""
-    archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    """One gzip file for each row. The text writer passes bytes on as they are; an archive may end with a line feed.
+
+    Most of the time goes into compression, so its fastest level is taken."""
+    fast = archives.select(F.col("value").cast("string")).write.option("zlib.compress.level", "BEST_SPEED")
+    fast.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
     return path
 
 
@@ -142,9 +147,14 @@ def http_parts(block: bytes) -> tuple[bytes, bytes]:
     return (block, b"") if cut < 0 else (block[: cut + 4], block[cut + 4 :])
 
 
-def header(head: bytes, name: str) -> str | None:
-    m = re.search(rb"(?im)^" + re.escape(name.encode()) + rb":[ \t]*([^\r\n]*)", head)
-    return m[1].decode("utf-8", "replace") if m else None
+def headers(head: bytes) -> dict[str, str]:
+    """The values of a head's fields by their names in lower case, of repeated fields the first."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\n"):
+        name, colon, value = line.partition("\r")[0].partition(":")
+        if colon:
+            out.setdefault(name.lower(), value.lstrip(" \t"))
+    return out
 
 
 def _key(stated: str | None) -> int | None:
@@ -160,6 +170,14 @@ def iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def record_id(archive: str, offset: int) -> str:
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{offset}"))
+
+
+def record_type(url: str, head: bytes) -> str:
+    return "warcinfo" if url.startswith("filedesc:") else "response" if head else "resource"
+
+
 def _parsed(with_block: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,10 +185,10 @@ def _parsed(with_block: bool):
                 rows, size = [], 0
                 for offset, url, ip, date, mime, block, short in arc_records(content.as_py()):
                     head, body = http_parts(block)
-                    kind = "warcinfo" if url.startswith("filedesc:") else "response" if head else "resource"
-                    key = header(head, KEY_HEADER)
+                    kind = record_type(url, head)
+                    key = headers(head).get(KEY_HEADER.lower())
                     row = (archive, offset, url, ip, iso(date), mime, kind, _key(key))
-                    row += (str(uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{offset}")), short, hashlib.sha1(body).hexdigest(), len(body))
+                    row += (record_id(archive, offset), short, hashlib.sha1(body).hexdigest(), len(body))
                     rows.append((*row, block) if with_block else row)
                     size += len(block)
                     if size > 4 << 20:
@@ -203,51 +221,64 @@ def _digest(sha1: bytes) -> str:
     return "sha1:" + base64.b32encode(sha1).decode()
 
 
-def warc_record(row: dict) -> bytes:
-    """One WARC/1.1 record; a revisit keeps the HTTP head as its block."""
-    head, body = http_parts(row["block"])
-    revisit = row["refers_to_id"] is not None
-    block = head if revisit else row["block"]
-    kind = "revisit" if revisit else row["record_type"]
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{row['record_id']}>", f"WARC-Date: {row['date']}"]
+def warc_record(archive: str, record: tuple, target: dict | None) -> bytes:
+    """One WARC/1.1 record of a record of arc_records; target: what it is a revisit of. A revisit keeps the HTTP head as its block."""
+    offset, url, ip, date, mime, block, truncated = record
+    head, body = http_parts(block)
+    if target is not None:
+        block = head
+    kind = "revisit" if target is not None else record_type(url, head)
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id(archive, offset)}>", f"WARC-Date: {iso(date)}"]
     if kind != "warcinfo":
-        lines += [f"WARC-Target-URI: {row['url']}", f"WARC-IP-Address: {row['ip']}", f"WARC-Payload-Digest: {_digest(bytes.fromhex(row['payload_digest']))}"]
-    if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{row['refers_to_id']}>", f"WARC-Refers-To-Target-URI: {row['refers_to_url']}", f"WARC-Refers-To-Date: {row['refers_to_date']}", f"X-Payload-Length: {row['payload_bytes']}"]
-    if row["truncated"]:
+        lines += [f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}", f"WARC-Payload-Digest: {_digest(hashlib.sha1(body).digest())}"]
+    if target is not None:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{target['record_id']}>", f"WARC-Refers-To-Target-URI: {target['url']}", f"WARC-Refers-To-Date: {target['date']}", f"X-Payload-Length: {len(body)}"]
+    if truncated:
         lines.append("WARC-Truncated: length")
-    mime = "application/warc-fields" if kind == "warcinfo" else "application/http; msgtype=response" if head else row["mime"]
+    mime = "application/warc-fields" if kind == "warcinfo" else "application/http; msgtype=response" if head else mime
     lines += [f"WARC-Block-Digest: {_digest(hashlib.sha1(block).digest())}", f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from archives_of((warc_record(row) for batch in batches for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()), b"")
+    def records() -> Iterator[bytes]:
+        for batch in batches:
+            for archive, content, revisits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                targets = {r["offset"]: r for r in revisits.as_py() or []}
+                for record in arc_records(content.as_py()):
+                    yield warc_record(archive, record, targets.get(record[0]))
 
+    yield from archives_of(records(), b"")
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str) -> str:
-    """Writes WARC archives with the records of the ARC archives; each file's description becomes a warcinfo record."""
+
+def revisits(spark: SparkSession, arc_path: str) -> DataFrame:
+    """For each archive with any, the offsets of records whose payload a record of a larger key has, and what these are."""
     seen = read_arc(spark, arc_path, with_block=False).where((F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("record_type") == "response"))
+    seen = written(seen.select("archive", "offset", "key", "record_id", "url", "date", F.unhex("payload_digest").alias("digest")), "arc-records")
     last = F.max(F.struct("key", "record_id", "url", "date")).alias("last")
-    repeated = seen.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), last).where("n > 1").select(F.col("payload_digest").alias("digest"), "last")
-    records = read_arc(spark, arc_path)
-    other = (F.col("last.record_id") != F.col("record_id")) & (F.col("record_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES)
-    linked = records.join(repeated, records.payload_digest == repeated.digest, "left").select(
-        *records.columns, *[F.when(other, F.col(f"last.{a}")).alias(b) for a, b in (("record_id", "refers_to_id"), ("url", "refers_to_url"), ("date", "refers_to_date"))]
-    )
-    return write_archives(linked.mapInArrow(_to_warc, "value binary"), warc_path)
+    repeated = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), last).where("n > 1").select("digest", "last")
+    linked = seen.select("archive", "offset", "record_id", "digest").join(repeated, "digest").where(F.col("last.record_id") != F.col("record_id"))
+    target = F.struct("offset", F.col("last.record_id").alias("record_id"), F.col("last.url").alias("url"), F.col("last.date").alias("date"))
+    return linked.groupBy("archive").agg(F.collect_list(target).alias("revisits"))
+
+
+def convert(spark: SparkSession, arc_path: str, warc_path: str) -> str:
+    """Writes WARC archives with the records of the ARC archives; each file's description becomes a warcinfo record."""
+    found = read_archives(spark, arc_path).join(revisits(spark, arc_path), "archive", "left").select("archive", "content", "revisits")
+    return write_archives(found.mapInArrow(_to_warc, "value binary"), warc_path)
 
 
 def warc_records(content: bytes):
-    """(header block, record block) of each record, by declared lengths."""
+    """(header fields, record block) of each record, by declared lengths."""
     data, at = unpacked(content), 0
     while (at := data.find(b"WARC/", at)) >= 0:
         cut = data.find(b"\r\n\r\n", at)
         if cut < 0:
             return
         head = data[at:cut]
-        length = int(header(head, "Content-Length") or 0)
-        yield head, data[cut + 4 : cut + 4 + length]
+        fields = headers(head)
+        length = int(fields.get("content-length") or 0)
+        yield fields, data[cut + 4 : cut + 4 + length]
         at = cut + 4 + length
 
 
@@ -259,20 +290,20 @@ def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             out = []
-            for head, block in warc_records(content.as_py()):
-                kind = header(head, "WARC-Type")
+            for fields, block in warc_records(content.as_py()):
+                kind = fields.get("warc-type")
                 if kind == "warcinfo":
                     continue
                 http, body = http_parts(block)
-                key = header(http, KEY_HEADER)
-                stated = header(head, "WARC-Payload-Digest")
+                said = headers(http)
+                stated = fields.get("warc-payload-digest")
                 sha1 = base64.b32decode(stated[5:]).hex() if stated else None
                 size = len(body)
                 if kind == "revisit":
-                    size = int(header(head, "X-Payload-Length") or header(http, "Content-Length") or 0)
+                    size = int(fields.get("x-payload-length") or said.get("content-length") or 0)
                 elif sha1 != hashlib.sha1(body).hexdigest():
-                    raise ValueError(f"payload of {header(head, 'WARC-Record-ID')} does not fit its digest")
-                out.append((_key(key), plain(header(head, "WARC-Record-ID")), kind, header(head, "WARC-Target-URI"), size, sha1, plain(header(head, "WARC-Refers-To"))))
+                    raise ValueError(f"payload of {fields.get('warc-record-id')} does not fit its digest")
+                out.append((_key(said.get(KEY_HEADER.lower())), plain(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), size, sha1, plain(fields.get("warc-refers-to"))))
             if out:
                 names = [x.split()[0] for x in READ.split(", ")]
                 types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
@@ -306,8 +337,6 @@ def pages_to_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202
 
 def op10_legacy_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through legacy archives to WARC archives, and what these say when they are read back."""
-    from .common import new_path, written
-
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     arc = pages_to_arc(pages, new_path(spark, "arc"))
     warc = convert(spark, arc, new_path(spark, "warc"))

@@ -379,6 +379,30 @@ def test_archives(spark, tmp_path):
     assert [(f[1], f[5], f[6]) for f in found] == [("http://a b", b"body", False), ("http://c", b"cut", True)]
 
 
+def test_equal_payloads_stay_in_their_archives(spark, tmp_path, monkeypatch):
+    """Half of the records have one payload: they are linked across archives, and no payload is shuffled or meets its like."""
+    big, n = "z" * 1200, 240
+    pages = spark.range(n).repartition(6).selectExpr("id AS page_id", "concat('http://h/', id) AS url", f"IF(id % 2 = 0, '{big}', concat(id, repeat('q', 1100))) AS html")
+    arc, plans, write = warc.pages_to_arc(pages, f"{tmp_path}/arc"), [], warc.write_archives
+
+    def seen(archives, path):
+        plans.append(archives._jdf.queryExecution().analyzed().toString())
+        return write(archives, path)
+
+    monkeypatch.setattr(warc, "write_archives", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        back = warc.read_warc(spark, warc.convert(spark, arc, f"{tmp_path}/warc")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(plans) == 1 and "block" not in plans[0]
+    last = next(b.record_id for b in back if b.key == n - 2)
+    assert {(b.key, b.record_type, b.refers_to_id) for b in back} == {(i, "revisit", last) if i % 2 == 0 and i != n - 2 else (i, "response", None) for i in range(n)}
+    assert all(b.payload_bytes == (1200 if b.key % 2 == 0 else 1100 + len(str(b.key))) for b in back) and len(back) == n
+    assert warc.headers(b"HTTP/1.1 200 OK\r\nX-Page-Id:\t7\r\nx-page-id: 8\r\nno colon\r\nUrl: http://a:1\r\n\r\n") == {"x-page-id": "7", "url": "http://a:1"}
+
+
 def test_archives_keep_keys_of_all_sizes(spark, tmp_path):
     """The largest page_id answers whatever its digits; the query has the contract's five columns, empty tables too."""
     big, ids = "y" * 1500, [7, 10**18 + 5, -(1 << 63), (1 << 63) - 1]
