@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,10 @@ from ..plans.tables import shared_folder
 BLOCK_BYTES = 1 << 19
 
 
+#: Rows of a table of few columns that one task writes; a table of less has FEWEST files at most.
+ROWS_A_FILE, FEWEST = 1 << 16, 8
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -29,6 +35,33 @@ def written(df: DataFrame, what: str = "table", plain: bool = False) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has no more than rows, in fewer partitions if it is small: behind a shuffle, for tasks with little to do.
+
+    Each file costs a task, processes that set its rights, and a look-up when it is read."""
+    return df.coalesce(max(FEWEST, rows // ROWS_A_FILE))
+
+
+# ---------------------------------------------------------------- what workers remember
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(what: str, make: Callable[[], object]):
+    """What a worker's tasks remember from one to the next, made when the first asks."""
+    if what not in _KEPT:
+        forget()
+        _KEPT[what] = make()
+    return _KEPT[what]
+
+
+def forget() -> None:
+    """Lets go what tasks of another operator remember: Spark gives a worker to one operator after another."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+
+
 # ---------------------------------------------------------------- text as arrays
 
 SPACE = np.zeros(256, dtype=bool)

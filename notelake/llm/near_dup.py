@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix, utf8, written
+from .common import U64, Words, blocks, few, forget, mix, utf8, written
 from .components import components
 
 BANDS, ROWS = 20, 4
@@ -103,6 +103,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
     """doc_id, words, MD5 and bands of each text; a text without words has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             buf, offs = utf8(batch.column(2))
             for i, j in blocks(offs):
@@ -189,10 +190,11 @@ def between(texts: DataFrame, labels: DataFrame, threshold: float, width: int =
     """Pairs (a, b) of texts (id, text) of different labels (id, label) that may be similar; no similar pair is missing."""
     rows = texts.select("id", "text").mapInArrow(_shingled(width), SHINGLED).join(labels, "id")
     rows = written(rows, "shingles")
+    n = rows.count()
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), (F.min("label") < F.max("label")).alias("meets")).where("n > 1")
-    counts = written(counts, "shingle-counts")
+    counts = written(few(counts, n), "shingle-counts")
     # at most HOT shingles occur that often, so they may be broadcast; the others meet their counts by shingle
-    often = F.lit(max(rows.count() // HOT, 1))
+    often = F.lit(max(n // HOT, 1))
     hot, rest = F.broadcast(counts.where(F.col("n") > often)), counts.where(F.col("n") <= often)
     known = rows.join(hot, "shingle", "left")
     shared = known.where("n IS NOT NULL").unionByName(known.where("n IS NULL").drop("n", "meets").join(rest, "shingle"))
@@ -203,7 +205,7 @@ def between(texts: DataFrame, labels: DataFrame, threshold: float, width: int =
     t = F.lit(threshold)
     least = lambda share: F.col("size") - F.ceil(share * F.col("size") - 1e-9)
     placed = placed.withColumn("early", F.col("pos") <= least(2 * t / (1 + t))).where(F.col("pos") <= least(t))
-    placed = written(placed.select("shingle", "label", "id", "size", "pos", "early", (F.col("size") - F.col("pos")).alias("left")), "prefixes")
+    placed = written(few(placed.select("shingle", "label", "id", "size", "pos", "early", (F.col("size") - F.col("pos")).alias("left")), n), "prefixes")
     # labels meet first, so that members of one component never meet each other, and only where members' bounds allow it
     groups = placed.groupBy("shingle", "label").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("left").alias("left"), F.max("early").alias("early"))
     one, two = (groups.select("shingle", *[F.col(c).alias(c + k) for c in ("label", "low", "high", "left", "early")]) for k in "xy")
@@ -222,23 +224,24 @@ def between(texts: DataFrame, labels: DataFrame, threshold: float, width: int =
 
 def labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
     """(id, label) of all ids: the least id of the component, their own where no link holds them."""
-    return written(ids.join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "joined")
+    return written(few(ids.join(components(links), "id", "left").select("id", F.coalesce("label", "id").alias("label")), ids.count()), "joined")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """(doc_id, class_id, class_rows) of docs (doc_id, text): class_id is the least doc_id of the class."""
     sigs = written(signed(docs, bands, rows, width), "signed")
-    distinct = written(sigs.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "distinct")
+    n = sigs.count()
+    distinct = written(few(sigs.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), 8 * n), "distinct")  # wide rows
     keyed = distinct.where("id IS NOT NULL").select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     several = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = written(keyed.join(several, "bucket").select("id", "bucket", "n"), "buckets")
-    everyone = written(buckets.select("id").distinct(), "ids")
+    buckets = written(few(keyed.join(several, "bucket").select("id", "bucket", "n"), 2 * bands * n), "buckets")
+    everyone = written(few(buckets.select("id").distinct(), n), "ids")
     near = F.broadcast if everyone.count() <= MOST_IDS else lambda df: df  # few enough, texts needn't move to be chosen
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # a repeated id may have several texts: the one whose digest is its own counts
     owners = distinct.join(everyone, "id", "left_semi").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
     texts = source.join(near(everyone), "id", "left_semi").join(near(owners), (F.col("id") == F.col("_id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("_digest")), "left_semi").dropDuplicates(["id"])
-    texts = written(texts, "texts")
+    texts = written(few(texts, 16 * n), "texts")  # some 4096 texts a file
     # every member of a bucket against the one of them with the most bucket mates
     mates = buckets.groupBy("id").agg(F.sum("n").alias("mates"))
     first = buckets.join(mates, "id").groupBy("bucket").agg(F.max_by("id", F.struct("mates", F.xxhash64("id"))).alias("first"))

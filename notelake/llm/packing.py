@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept, written
 
 SALTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -148,14 +148,9 @@ class WordIds(dict):
         return ids
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The words of the tokenizer at path, with those that this worker's earlier tasks met."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    return kept(f"words of {path}", lambda: WordIds(path))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, max_tokens: int, end_id: int) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import kept
+
 MARK = "▁"
 MEMO = 1 << 20
 #: Bytes of ids and texts that a worker hands over together; one longer document is still whole.
@@ -235,14 +237,9 @@ class PieceModel:
         return text[1:] if ids and self.piece[ids[0]].startswith(MARK) else text
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def model_at(path: str) -> PieceModel:
     """The model at path, with the units that this worker's earlier tasks met."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    return kept(f"pieces of {path}", lambda: PieceModel(path))
 
 
 def _utf8(data: bytes) -> str:

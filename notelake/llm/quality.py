@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix, new_path, range_hash, utf8, written
+from .common import U64, Words, blocks, forget, mix, new_path, range_hash, utf8, written
 
 #: Documents that an estimate needs: ten for each statistic.
 MIN_GROUP = 50
@@ -107,6 +107,7 @@ def _shared(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         buf, offs = utf8(batch.column(batch.num_columns - 1))
         parts = [text_stats(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in blocks(offs)]

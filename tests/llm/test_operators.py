@@ -505,6 +505,37 @@ def test_near_duplicates_with_repeated_lines(spark):
     assert len(set(want)) == 24 and got == dict(enumerate(want))
 
 
+def test_small_tables_have_few_files(spark, tmp_path):
+    """However many partitions a shuffle has, a small class table's steps aren't written by so many tasks."""
+    import glob
+
+    r, conf = random.Random(3), {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    links = spark.createDataFrame([(k, k + 1 + r.randrange(3)) for k in range(0, 3000, 4)], "a long, b long")
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        label = components.components(links)
+        files = label.inputFiles()
+        wide = common.written(common.few(spark.range(1000).repartition(64, "id"), common.ROWS_A_FILE * 64))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < len(files) <= common.FEWEST and len(wide.inputFiles()) == 64
+    assert sorted(g.id for g in label.collect() if g.id == g.label) == list(range(0, 3000, 4))
+
+
+def test_memos_go_with_the_operator():
+    """What a worker remembers of one operator is gone when another's tasks come, and stays for its own."""
+    import pyarrow as pa
+
+    first = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert first["alpha"] and packing.word_ids(public_tokenizers.path("word_bpe_49k.json")) is first
+    list(quality._stats(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})])))
+    assert not common._KEPT and "alpha" not in packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    common.forget()
+
+
 def test_components_of_long_chains(spark, monkeypatch):
     """A chain whose least id stands at one end and whose others descend, and a random one, in few rounds."""
     rounds, written = [], components.written
