@@ -23,7 +23,9 @@ class Provider(Protocol):
 
 
 class Hashing:
-    """Words' counts in hashed places with hashed signs, at length one: for tests and for data without a model."""
+    """Words' counts in hashed places with hashed signs, at length one: for tests and for data without a model.
+
+    Where words of opposite signs leave nothing of a text, its words count without signs; only a text without words is zero."""
 
     def __init__(self, dimensions: int = 64):
         self.name, self.dimensions = f"hashing-{dimensions}", dimensions
@@ -31,9 +33,12 @@ class Hashing:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions))
         for row, text in zip(out, texts, strict=True):
-            for w in words(text):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            hashes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words(text)]
+            for h in hashes:
                 row[h % self.dimensions] += 1 if h >> 63 else -1
+            if not row.any():
+                for h in hashes:
+                    row[h % self.dimensions] += 1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from notelake.functions import text as T
 from notelake.operators import browse, evaluation, graph, lexical, mutations, versions
 from notelake.sources import markdown
+from notelake.sources.providers import Hashing
 from notelake.streaming import access
 
 
@@ -228,3 +229,9 @@ def test_captures(spark):
     assert (got[1].title, got[1].domain, got[1].kind, got[1].status, got[1].tags, got[1].error) == ("Head", "d", "spec", "draft", ["t"], None)
     assert [got[i].error for i in (2, 3, 4, 5)] == ["empty body", "no such kind", None, "no such template"]
     assert (got[4].title, got[4].intent, got[4].kind, got[4].status) == ("T", "research", "reference", "active")
+
+
+def test_words_that_cancel_still_have_length_one():
+    """`the` and `of` meet in a place of 32 with opposite signs: their sum is no text without words."""
+    norms = (Hashing(32).embed(["the of", "the of the", "", "the of of the"]) ** 2).sum(1)
+    assert [round(x, 9) for x in norms] == [1, 1, 0, 1]
