@@ -1,14 +1,12 @@
 """Search for whole tables of queries: one plan for all of them, without a query's rows ever reaching the driver.
 
-A query is parsed where its row is, into phrases and a program that combines them. Words meet postings by join; a note's
-phrases are gathered by query, and the program runs over them from the leaves up. Pools, graph expansion, scales and blend all
-go by query. Statistics, weights and rules are those of a single search (lexical.py, ranking.py). A query that can't be parsed
+A query is parsed where its row is, into phrases and a program that combines them, which is run over the notes of a block of
+postings at a time (blocks.py). Pools, graph expansion, scales and blend all go by query. Statistics, weights and rules are those of a single search (lexical.py, ranking.py). A query that can't be parsed
 has an error row and no results."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +15,10 @@ from pyspark.sql import functions as F
 from ..config import Ranking
 from ..plans.tables import written
 from ..plans.vault import live
-from .graph import expand
-from .lexical import B, K1, Both, Index, Phrase, all_phrases, parse, scored_phrases
-from .ranking import NOTE, engagement
+from .blocks import scored
+from .graph import expand, touching
+from .lexical import Both, Index, Phrase, all_phrases, parse, scored_phrases
+from .ranking import engagement
 from .vectors import dot
 
 PARSED = "query_id long, phrases array<struct<p:int,words:array<string>,prefix:boolean,field:string,times:int>>, program array<struct<op:string,p:int>>, error string"
@@ -55,67 +54,9 @@ def parsed(queries: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return queries.select(F.col("query_id").cast("long"), F.col("query").cast("string")).mapInArrow(run, PARSED)
 
 
-def holds(program: Column, present: Column) -> Column:
-    """Whether a program is true of a note that has the phrases present (their numbers)."""
-
-    def step(stack: Column, x: Column) -> Column:
-        rest = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 2, F.lit(0)))
-        a, b = F.get(stack, F.size(stack) - 2), F.get(stack, F.size(stack) - 1)
-        both = F.when(x["op"] == "AND", a & b).when(x["op"] == "OR", a | b).otherwise(a & ~b)
-        return F.when(x["op"] == "has", F.concat(stack, F.array(F.array_contains(present, x["p"])))).otherwise(F.concat(rest, F.array(both)))
-
-    return F.get(F.aggregate(program, F.array().cast("array<boolean>"), step), 0)
-
-
-def occurrences(index: Index, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query_id, p, note_id, len, n, f) of the notes that have a phrase of asked (PARSED): how often, and by weights."""
-    phrases = asked.select("query_id", F.explode("phrases").alias("x")).select("query_id", "x.*").where(F.size("words") > 0)
-    words = phrases.select("query_id", "p", "field", "prefix", F.size("words").alias("many"), F.posexplode("words").alias("i", "word"))
-    ends = F.col("prefix") & (F.col("i") == F.col("many") - 1)
-    exact = words.where(~ends).withColumn("term", F.col("word"))
-    begun = words.where(ends)
-    terms = index.store.dictionary().select("term").distinct()
-    same = (F.substring("term", 1, 1) == F.substring("word", 1, 1)) & F.col("term").startswith(F.col("word"))
-    words = written(exact.unionByName(begun.join(terms, same)), "words")
-    weight, number = F.lit(0.0), {f: index.fields.index(f) for f in weights}
-    for f, w in weights.items():
-        weight = F.when(F.col("field") == number[f], float(w)).otherwise(weight)
-    postings = index.store.postings_of(words).where(F.col("field").isin(list(number.values()))).withColumn("w", weight)
-    name = F.lit(None).cast("string")
-    for f, k in number.items():
-        name = F.when(F.col("field") == k, f).otherwise(name)
-    postings = postings.withColumn("name", name)
-
-    def met(own: DataFrame, *more: str) -> DataFrame:
-        lists = ("notes", "counts", "own", "every", *more)
-        rows = postings.join(own.withColumnRenamed("field", "only"), "term").where("only IS NULL OR only = name")
-        each = rows.select("query_id", "p", "i", "many", "field", "w", "block", F.explode(F.arrays_zip(*lists)).alias("x"))
-        each = index.store.living(each.select("query_id", "p", "i", "many", "field", "w", "block", F.col("x.notes").alias("note_id"), *[f"x.{c}" for c in lists[1:]]))
-        if len(weights) in (1, len(index.fields)):
-            return each.withColumn("len", F.col("own" if len(weights) == 1 else "every"))
-        told = index.store.notes().select("note_id", reduce(lambda a, b: a + b, [F.col(f"l_{f}") for f in weights]).alias("len"))
-        return each.join(told, "note_id")
-
-    one = met(words.where("many = 1")).groupBy("query_id", "p", "note_id").agg(F.max("len").alias("len"), F.sum("counts").alias("n"), F.sum(F.col("counts") * F.col("w")).alias("f"))
-    # a phrase begins where all of its words stand, each as many places on as its number
-    several = met(words.where("many > 1"), "places").select("query_id", "p", "i", "many", "field", "w", "note_id", "len", F.explode("places").alias("place"))
-    begins = several.groupBy("query_id", "p", "many", "field", "w", "note_id", (F.col("place") - F.col("i")).alias("at")).agg(F.max("len").alias("len"), F.count_distinct("i").alias("words")).where("words = many")
-    more = begins.groupBy("query_id", "p", "note_id").agg(F.max("len").alias("len"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("f"))
-    return one.unionByName(more)
-
-
-def bm25(index: Index, asked: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(query_id, note_id, bm25) of all matches of asked (PARSED)."""
-    weights = {f: w for f, w in weights.items() if f in index.fields}
-    totals = index.totals
-    total, size = totals["_notes"], sum(totals[f] for f in weights)
-    found = written(occurrences(index, asked, weights), "occurrences")
-    rare = F.log((total - F.col("d") + 0.5) / (F.col("d") + 0.5))
-    times = asked.select("query_id", F.explode("phrases").alias("x")).select("query_id", "x.p", "x.times")
-    share = found.groupBy("query_id", "p").agg(F.count(F.lit(1)).alias("d")).join(times, ["query_id", "p"]).select("query_id", "p", (F.col("times") * F.when(rare > 0, rare).otherwise(F.lit(1e-6))).alias("share"))
-    one = F.col("share") * F.col("f") * F.lit(K1 + 1) / (F.col("f") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.lit(size / total if total and size else 1.0)))
-    notes = found.join(share, ["query_id", "p"]).groupBy("query_id", "note_id").agg((-F.sum(one)).alias("bm25"), F.collect_set("p").alias("present"))
-    return notes.join(asked.select("query_id", "program"), "query_id").where(holds(F.col("program"), F.col("present"))).select("query_id", "note_id", "bm25")
+def bm25(index: Index, asked: DataFrame, weights: dict[str, float], k: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, note_id, bm25) of all matches of asked (PARSED); with k, of each query's k best of the allowed notes (note_id), and some others."""
+    return scored(index, asked, weights, k, allowed).select("query_id", "note_id", (-F.col("score")).alias("bm25"))
 
 
 def best(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -134,16 +75,16 @@ def hybrid(vault, queries: DataFrame, cfg: Ranking | None = None) -> tuple[DataF
     asked = asked.where("error IS NULL")
     vectors = queries.join(asked.select("query_id"), "query_id", "left_semi").where("embedding IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     notes = live(vault.notes)
-    words = best(bm25(vault.index, asked, cfg.fields).join(notes.select("note_id"), "note_id", "left_semi"), cfg.top_k, F.round("bm25", 9), F.col("note_id"))
+    words = best(bm25(vault.index, asked, cfg.fields, cfg.top_k, notes.select("note_id")), cfg.top_k, F.round("bm25", 9), F.col("note_id"))
     near = vault.near_live.nearest(vectors, cfg.top_k, itself=True)
     pool = words.select("query_id", "note_id", (F.col("rank") - 1).alias("rank")).unionByName(near.select("query_id", "note_id", F.lit(None).cast("int").alias("rank")))
     pool = written(pool.groupBy("query_id", "note_id").agg(F.min("rank").alias("rank")), "pool")
     sizes = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("all"), F.count("rank").alias("ranked")).join(vectors.select("query_id", F.lit(True).alias("by_vector")), "query_id", "left")
     seeds = pool.join(sizes.select("query_id", "all"), "query_id").select("query_id", "note_id", F.when(F.col("rank").isNotNull(), 1 - F.col("rank") / F.col("all")).otherwise(F.lit(0.5)).alias("seed"))
-    passed = expand(seeds, vault.edges, cfg.decay, by="query_id")
+    passed = expand(seeds, written(touching(vault.edges, pool.select("note_id")), "edges"), cfg.decay, by="query_id")
     none = lambda kind: F.lit(None).cast(kind)
     every = passed.select("query_id", "note_id", "graph", none("int").alias("rank")).unionByName(pool.select("query_id", "note_id", none("double").alias("graph"), "rank"))
-    found = every.groupBy("query_id", "note_id").agg(F.coalesce(F.max("graph"), F.lit(0.0)).alias("graph"), F.max("rank").alias("rank")).join(notes.select(*NOTE), "note_id")
+    found = every.groupBy("query_id", "note_id").agg(F.coalesce(F.max("graph"), F.lit(0.0)).alias("graph"), F.max("rank").alias("rank")).join(notes.select("note_id", "access_count", "last_accessed", "updated_at"), "note_id")
     top = F.max("graph").over(Window.partitionBy("query_id"))  # some thousand candidates a query
     found = found.withColumn("top", top).withColumn("graph", F.when(F.col("top") > 0, F.col("graph") / F.col("top")).otherwise(F.col("graph")))
     # only candidates' vectors are multiplied

@@ -75,6 +75,14 @@ def degrees(edges: DataFrame, notes: DataFrame) -> DataFrame:
     return notes.select("note_id").join(out, "note_id", "left").join(into, "note_id", "left").select("note_id", F.coalesce("links_out", none).alias("links_out"), F.coalesce("links_in", none).alias("links_in"))
 
 
+def touching(edges: DataFrame, notes: DataFrame) -> DataFrame:
+    """(src, dst, edge_type) of the edges from or to notes (note_id, repeats allowed); all edges are read once."""
+    own = notes.select("note_id").distinct()
+    s, t = own.select(F.col("note_id").alias("_s")), own.select(F.col("note_id").alias("_t"))
+    e = edges.select("src", "dst", "edge_type")
+    return e.join(s, F.col("src") == F.col("_s"), "left").join(t, F.col("dst") == F.col("_t"), "left").where("_s IS NOT NULL OR _t IS NOT NULL").select("src", "dst", "edge_type")
+
+
 def expand(seeds: DataFrame, edges: DataFrame, decay: float = 0.5, by: str | None = None) -> DataFrame:
     """(note_id, graph) that seeds (note_id, seed) pass on over one hop, in both directions; by: a column that keeps searches apart.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .config import KINDS, Ranking
 from .functions import text as T
 from .operators import batched, browse, evaluation, graph, lexical, mutations, ranking, vectors, versions
-from .plans.tables import shared_folder
+from .plans.tables import shared_folder, written
 from .plans.vault import Vault, live
 from .sources import markdown, providers
 from .streaming import access, counters
@@ -371,12 +371,12 @@ def _asked(v: Vault) -> DataFrame:
 
 
 def _sentences(table: DataFrame, key: str, text: str) -> DataFrame:
-    return table.select(key, F.explode(F.split(text, "\\. ")).alias("sentence")).where(F.length("sentence") >= 20).distinct()
+    return table.select(key, F.explode(F.split(text, "\\. ")).alias("sentence")).where(F.length("sentence") >= 20)
 
 
 def _gold(v: Vault) -> DataFrame:
     """(query_id, note_id): notes that share a sentence with an item are relevant to it."""
-    items = _sentences(v.table("benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
+    items = _sentences(v.table("benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text").distinct()
     return items.join(_sentences(v.bodies, "note_id", "body"), "sentence").select("query_id", "note_id").distinct()
 
 
@@ -386,12 +386,13 @@ def _runs(v: Vault) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     words = lexical.batch(v.index, asked.select("query_id", F.col("text").alias("query")), 10)
     near = v.near.nearest(asked.where("embedding IS NOT NULL").select("query_id", "embedding"), 10, itself=True)
     hits, failed = batched.hybrid(v, asked)
-    return {"bm25": words, "vector": near, "hybrid": hits}, {"hybrid": failed}
+    found = {"bm25": words, "vector": near, "hybrid": hits}
+    return {name: written(run.select("query_id", "note_id", "rank"), "run") for name, run in found.items()}, {"hybrid": failed}
 
 
 def _systems(v: Vault) -> DataFrame:
     runs, failed = _runs(v)
-    return evaluation.systems({name: run.select("query_id", "note_id", "rank") for name, run in runs.items()}, failed, _gold(v), _asked(v).select("query_id"))
+    return evaluation.systems(runs, failed, written(_gold(v), "gold"), _asked(v).select("query_id"))
 
 
 def _counters(v: Vault) -> DataFrame:
@@ -408,7 +409,7 @@ def _results(v: Vault) -> DataFrame:
     runs, failed = _runs(v)
     asked = _asked(v)
     classes = asked.select("query_id", F.element_at(F.create_map(F.lit(0), F.lit("a"), F.lit(1), F.lit("b")), (F.col("query_id") % 3).cast("int")).alias("class"))
-    every = evaluation.results({name: run.select("query_id", "note_id", "rank") for name, run in runs.items()}, failed, _gold(v), asked.select("query_id"), dict.fromkeys(runs, "1"), "benchmark", v.now, classes=classes)
+    every = evaluation.results(runs, failed, written(_gold(v), "gold"), asked.select("query_id"), dict.fromkeys(runs, "1"), "benchmark", v.now, classes=classes)
     name = F.concat(F.concat_ws("-", "task", "system", "corpus", "config"), F.lit(".json")).alias("name")
     each = F.explode(F.map_concat(F.create_map(F.lit(""), F.col("ir")), F.col("ir_per_class"))).alias("class", "x")
     found = every.select(name, F.size("errors").cast("long").alias("errors"), "ir", "ir_per_class").select("name", "errors", each)
