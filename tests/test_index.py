@@ -1,8 +1,10 @@
 """The stored index: appended to, deleted from, merged and found again, and best notes without scoring every block."""
 
+import glob
 import random
 import shutil
 
+import pyarrow as pa
 import pytest
 
 from notelake import queries
@@ -143,3 +145,16 @@ def test_what_a_cleared_folder_lost_is_built_again(spark, notes, tmp_path):
     again = Store(spark, f"{tmp_path}/index", FIELDS)
     assert again.segments == [] and again.stamp is None and again.refresh(table(spark, notes), "a")
     assert Index(store=again).top("fox", 5).count() == 5 and again.totals()["_notes"] == len(notes)
+
+
+def test_texts_are_inverted_in_slices_and_not_stored_between_steps(spark, notes, tmp_path, monkeypatch):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{shared}/texts-*"))
+    store = Store(spark, f"{tmp_path}/index", FIELDS)
+    store.refresh(table(spark, notes))
+    assert set(glob.glob(f"{shared}/texts-*")) == before and store.totals()["_notes"] == len(notes)
+    monkeypatch.setattr(postings, "SLICE", (1000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(["x" * 90 * (i % 5) for i in range(29)] + ["y" * 5000])], names=["note_id", "body"])
+    parts = list(postings._slices(batch, 1))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(len(p) <= 8 and (len(p) == 1 or sum(map(len, p.column(1).to_pylist())) <= 1000) for p in parts)
