@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from notelake import queries
@@ -75,3 +77,16 @@ def test_filtered_similarity_serves_every_size(spark, rows):
     df = table(spark, rows)
     found = vectors.similar(df, df.where("note_id % 5 = 0 OR note_id > 900"), 4, -100.0)
     assert got(found) == wanted([x for x in rows if x[0] not in (902,)], lambda q: q % 5 == 0 or q > 900, 4)
+
+
+def test_a_task_passes_on_what_may_be_nearest_alone():
+    r = np.random.default_rng(4)
+    x, q = r.normal(size=(4000, 8)), r.normal(size=(3, 8))
+    x[3990:] = x[:10]  # ties
+    rows = [{"size": 8, "list": 0, "ids": list(range(i, i + 200)), "x": x[i : i + 200].tobytes(), "queries": [5001, 5002, 5003], "q": q.tobytes(), "floors": [-9.0, -9.0, 1.0]} for i in range(0, 4000, 200)]
+    got = pa.Table.from_batches(neighbours._met(10, False)(iter([pa.RecordBatch.from_pylist(rows)]))).to_pandas()
+    assert len(got) < 300  # 600 without what the task has seen
+    for i, floor in ((0, -9.0), (1, -9.0), (2, 1.0)):
+        own = got[got.query_id == 5001 + i].sort_values(["similarity", "note_id"], ascending=[False, True]).note_id.tolist()[:10]
+        exact = sum(x[:, d] * q[i, d] for d in range(8))
+        assert own == [n for n in np.lexsort((np.arange(4000), -exact))[:10].tolist() if exact[n] >= floor]
